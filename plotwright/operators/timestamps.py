@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotwright.functions.text import squeeze
 from plotwright.operators.skew import lookup_join
 from plotwright.session import fresh_path, path_exists
 
@@ -55,7 +56,7 @@ _NOTATIONS = [
 
 def _tidy(raw: Column) -> Column:
     """Lower case, single spaces, without labels, weekday, year suffix and hour words."""
-    t = F.trim(F.regexp_replace(raw, r"[\s  -​ 　﻿]+", " "))
+    t = squeeze(raw)
     t = F.lower(t)
     t = F.regexp_replace(t, r"^\p{L}[\p{L} ]*: ?", "")
     t = F.regexp_replace(t, r"^\p{L}{2,12}\.?, ", "")
