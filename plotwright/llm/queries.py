@@ -1,0 +1,18 @@
+"""Queries of the training-data operators, and their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from plotwright.llm.components import ad_groups
+from plotwright.session import table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ads of listing with the group that confirmed matches put them in."""
+    listing = table(spark, sf_dir, "listing").select("seq", "source", "source_id", "url")
+    return ad_groups(listing, table(spark, sf_dir, "match_pair"))
+
+
+QUERIES = {"p2_found": p2_found}
+ORACLE: dict[str, str] = {}
