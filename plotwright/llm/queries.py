@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plotwright.llm.components import ad_groups
+from plotwright.llm.near_dup import near_duplicate_pairs
 from plotwright.session import table
 
 
@@ -14,5 +15,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad_groups(listing, table(spark, sf_dir, "match_pair"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of listing rows with close area and price that share the picture or most title words."""
+    return near_duplicate_pairs(table(spark, sf_dir, "listing").select("seq", "type", "area", "price", "title", "image"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
 ORACLE: dict[str, str] = {}
