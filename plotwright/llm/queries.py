@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plotwright.llm.canonical import map_to_canonical
 from plotwright.llm.components import ad_groups
 from plotwright.llm.near_dup import near_duplicate_pairs
 from plotwright.session import table
@@ -20,5 +21,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "listing").select("seq", "type", "area", "price", "title", "image"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Freely typed towns with the entry of locality_ref they stand for, or 0."""
+    listing = table(spark, sf_dir, "listing").select("seq", "locality", "district")
+    return map_to_canonical(listing, "locality", table(spark, sf_dir, "locality_ref"), beside="district").select("seq", "loc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
 ORACLE: dict[str, str] = {}
