@@ -16,7 +16,9 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.functions.text import BLANKS
@@ -27,30 +29,32 @@ from plotwright.session import discard, materialize
 def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """``v, comp``: each vertex of ``edges`` with the smallest vertex it is linked to.
 
-    ``a`` and ``b`` are columns of one orderable type. ``max_rounds`` only guards against a
+    ``a`` and ``b`` are columns of one orderable type. Components that have become stars leave
+    the iteration, so later rounds touch only long chains. ``max_rounds`` only guards against a
     defect; reaching it raises, it never returns a partial result.
     """
     pairs = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).filter(F.col("v").isNotNull() & F.col("u").isNotNull())
     both = pairs.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("e"))
-    clusters = materialize(both.select("e.v", "e.u").distinct(), "h2m")
+    clusters, settled = materialize(both.select("e.v", "e.u").distinct(), "h2m"), []
     for _ in range(max_rounds):
-        # Written so that the join below meets two plain exchanges, which adaptive execution can split where v is hot.
-        smallest = materialize(clusters.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("comp")), "h2m-min")
-        unsettled = Observation()
-        sent = (
-            clusters.join(smallest, "v")
-            .observe(unsettled, F.count_if((F.col("v") != F.col("comp")) & (F.col("u") != F.col("comp"))).alias("n"))
-            .select(F.explode(_messages()).alias("e"))
-            .select("e.v", "e.u")
-            .filter(F.col("v") != F.col("u"))
-        )
+        degree = F.count_if(F.col("u") != F.col("v"))
+        # Tables are written so that the joins meet plain exchanges, which adaptive execution can split where a key is hot.
+        smallest = materialize(clusters.groupBy("v").agg(F.min("u").alias("m"), degree.alias("deg")).select("v", F.least("v", "m").alias("comp"), "deg"), "h2m-min")
+        leaves = smallest.filter((F.col("v") != F.col("comp")) & (F.col("deg") == 1)).groupBy("comp").agg(F.count(F.lit(1)).alias("deg"))
+        centres = smallest.filter(F.col("v") == F.col("comp")).select("comp", "deg")
+        # By symmetry all leaves of a centre are in its cluster; if they are all of it, the component is a finished star.
+        stars = materialize(centres.join(leaves.unionByName(centres.filter("deg = 0")), ["comp", "deg"], "left_semi").select("comp"), "h2m-stars")
+        flagged = materialize(smallest.join(stars.withColumn("star", F.lit(True)), "comp", "left").select("v", "comp", F.coalesce("star", F.lit(False)).alias("star")), "h2m-flag")
+        settled.append(flagged.filter("star").select("v", "comp"))
+        active = flagged.filter(~F.col("star")).select("v", "comp")
+        sent = clusters.join(active, "v").select(F.explode(_messages()).alias("e")).select("e.v", "e.u").filter(F.col("v") != F.col("u"))
         following = materialize(sent.distinct(), "h2m")
-        discard(clusters)
-        if not unsettled.get["n"]:
-            discard(following)
-            return smallest
-        discard(smallest)
+        for t in (clusters, smallest, stars):
+            discard(t)
         clusters = following
+        if following.isEmpty():
+            discard(following)
+            return reduce(DataFrame.unionByName, settled)
     raise RuntimeError(f"hash-to-min did not settle in {max_rounds} rounds")
 
 
@@ -62,20 +66,37 @@ def _messages() -> Column:
     return F.when(v == m, ends).otherwise(F.concat(ends, F.array(pair(m, v), pair(v, m))))
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tidy_url(url: Column) -> Column:
     """An address without what differs between copies: scheme, www, host case, query, fragment, closing slashes, blanks."""
-    bare = F.regexp_replace(F.regexp_replace(url, f"[{BLANKS}]+", ""), r"[#?].*$", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^(?i:https?:)?//", ""), r"/+$", "")
-    host = F.regexp_replace(F.lower(F.substring_index(bare, "/", 1)), r"^www\.", "")
-    return F.nullif(F.concat(host, F.regexp_replace(bare, r"^[^/]*", "")), F.lit(""))
+    shape = r"^(?:[a-zA-Z]+:)?(?://)?([^/?#]*)([^?#]*?)/*(?:[?#].*)?$"
+
+    def parts(u: Column) -> Column:
+        host = F.regexp_replace(F.lower(F.regexp_extract(u, shape, 1)), r"^www\.", "")
+        return _bind(F.concat(host, F.regexp_extract(u, shape, 2)), lambda x: F.when(x != "", x))
+
+    return _bind(F.regexp_replace(url, f"[{BLANKS}]+", ""), parts)
 
 
 def _tidy_id(x: Column) -> Column:
-    return F.nullif(F.regexp_replace(x, f"[{BLANKS}]+", ""), F.lit(""))
+    return _bind(F.lower(F.regexp_replace(x, f"[{BLANKS}]+", "")), lambda t: F.when(t != "", t))
+
+
+def _key(name: Column) -> Column:
+    """A name as 16 bytes, null for null."""
+    return F.unhex(F.md5(name))
 
 
 def _id_key(source: Column, source_id: Column) -> Column:
-    return F.concat(F.lit("i|"), F.lower(_tidy_id(source)), F.lit("|"), F.lower(_tidy_id(source_id)))
+    return _key(F.concat(F.lit("i|"), _tidy_id(source), F.lit("|"), _tidy_id(source_id)))
+
+
+def _url_key(url: Column) -> Column:
+    return _key(F.concat(F.lit("u|"), tidy_url(url)))
 
 
 def ad_groups(listing: DataFrame, match_pair: DataFrame) -> DataFrame:
@@ -86,29 +107,24 @@ def ad_groups(listing: DataFrame, match_pair: DataFrame) -> DataFrame:
     Ads without source or source_id cannot be named and have no row; sides without any name
     and undecided rows (``is_match`` null) link nothing.
     """
-    named = listing.select("seq", "source", "source_id", tidy_url(F.col("url")).alias("__url")).filter(F.col("source").isNotNull() & F.col("source_id").isNotNull())
-    sightings = named.groupBy("source", "source_id", "__url").agg(F.min("seq").alias("__seq"))
-    ads = sightings.groupBy("source", "source_id").agg(F.min("__seq").alias("__ad"))
-    by_url = sightings.filter(F.col("__url").isNotNull()).join(ads, ["source", "source_id"]).groupBy("__url").agg(F.min("__ad").alias("__ad"))
-    names = ads.select(_id_key(F.col("source"), F.col("source_id")).alias("name"), "__ad").groupBy("name").agg(F.min("__ad").alias("__ad")).unionByName(by_url.select(F.concat(F.lit("u|"), "__url").alias("name"), "__ad"))
+    named = listing.select("seq", "source", "source_id", _id_key(F.col("source"), F.col("source_id")).alias("id"), "url").filter(F.col("id").isNotNull())
+    ads = named.groupBy("source", "source_id").agg(F.min("seq").alias("ad"), F.min("id").alias("id"))
+    by_url = named.filter(F.col("url").isNotNull()).select(_url_key(F.col("url")).alias("name"), "id").groupBy("name").agg(F.min("id").alias("id"))
 
     def side(s: str) -> Column:
-        return F.array_compact(F.array(_id_key(F.col(f"{s}_source"), F.col(f"{s}_source_id")), F.concat(F.lit("u|"), tidy_url(F.col(f"{s}_url")))))
-
-    names_of = match_pair.filter(F.col("is_match")).select(F.concat(side("left"), side("right")).alias("names"))
-    links = names_of.filter(F.size("names") > 1).select(F.get("names", F.lit(0)).alias("x"), F.explode(F.slice("names", 2, 3)).alias("y"))
-    links = materialize(links.filter("x != y").distinct(), "links")
-    return _resolve(ads, names, links)
-
+        return F.array_compact(F.array(_id_key(F.col(f"{s}_source"), F.col(f"{s}_source_id")), _url_key(F.col(f"{s}_url"))))
 
-def _resolve(ads: DataFrame, names: DataFrame, links: DataFrame) -> DataFrame:
+    names = match_pair.filter(F.col("is_match")).select(F.concat(side("left"), side("right")).alias("names"))
+    # Names of one pair form a star around the first; a url that a listed ad has stands for the ad's id.
+    links = materialize(names.filter(F.size("names") > 1).select(F.get("names", F.lit(0)).alias("x"), F.explode(F.slice("names", 2, 3)).alias("y")).filter("x != y").distinct(), "links")
     used = links.select(F.explode(F.array("x", "y")).alias("name")).distinct()
     # Listed ads are even numbers (twice their first seq), unlisted names odd ones; written once, so the numbers stay.
-    known = used.join(names, "name", "left")
-    numbers = materialize(known.select("name", F.when(F.col("__ad").isNotNull(), F.col("__ad") * 2).otherwise(F.monotonically_increasing_id() * 2 + 1).alias("v")), "names")
+    ad_of = ads.groupBy("id").agg(F.min("ad").alias("ad"))
+    known = used.join(by_url, "name", "left").select("name", F.coalesce("id", "name").alias("id")).join(ad_of, "id", "left")
+    numbers = materialize(known.select("name", F.when(F.col("ad").isNotNull(), F.col("ad") * 2).otherwise(F.monotonically_increasing_id() * 2 + 1).alias("v")), "names")
     edges = links.join(numbers.select(F.col("name").alias("x"), F.col("v").alias("a")), "x").join(numbers.select(F.col("name").alias("y"), F.col("v").alias("b")), "y").select("a", "b")
     comps = hash_to_min(edges)
-    listed = comps.filter(F.pmod("v", F.lit(2)) == 0).select("comp", F.floor(F.col("v") / 2).alias("__ad"))
-    sizes = materialize(listed.groupBy("comp").agg(F.min("__ad").alias("group_seq"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
+    listed = comps.filter(F.pmod("v", F.lit(2)) == 0).select("comp", F.expr("v div 2").alias("ad"))
+    sizes = materialize(listed.groupBy("comp").agg(F.min("ad").alias("group_seq"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
     grouped = lookup_join(listed, sizes, ["comp"], "n", ["group_seq"])
-    return ads.join(grouped, "__ad").select("source", "source_id", "group_seq")
+    return ads.join(grouped, "ad").select("source", "source_id", "group_seq")
