@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plotwright.llm.addresses import same_building_pairs
 from plotwright.llm.canonical import map_to_canonical
 from plotwright.llm.components import ad_groups
 from plotwright.llm.near_dup import near_duplicate_pairs
@@ -27,5 +28,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_to_canonical(listing, "locality", table(spark, sf_dir, "locality_ref"), beside="district").select("seq", "loc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of listing rows that state the same building."""
+    listing = table(spark, sf_dir, "listing").select("seq", "street", "locality", "district")
+    return same_building_pairs(listing, table(spark, sf_dir, "locality_ref"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 ORACLE: dict[str, str] = {}
