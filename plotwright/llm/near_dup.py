@@ -2,17 +2,20 @@
 
 1. Rows that agree in type, area, price, word set and picture form one class; classes are
    compared, members are expanded at the end, so copies cost nothing in the search.
-2. Each class gets ``samples`` MinHash values of its title words. Pairs of values are bands;
-   a band key also holds the cell of a grid over log area and log price (a class near the upper
-   edge of its cell is sent to the next cell too, so no close pair is separated). The picture
-   file is one more key.
-3. All samples are folded into an odd sketch: sample i toggles one of ``bits`` parity bits.
-   The population count of the XOR of two sketches estimates the share of common words; pairs
-   clearly below the threshold go at once, inside the band join.
-4. The rest is verified exactly: area, price, type, picture or word sets.
-
-Recall of step 2 for titles that share exactly the threshold of 60 % is 1 - (1 - 0.6^2)^bands
-(99.5 % at 12 bands, 99.98 % at 75 %); step 3 keeps 3.5 standard deviations. Equal pictures
+2. Classes are sent to the cells of a grid over type, log area and log price. A class near the
+   upper edge of its cell also goes to the next one, so no pair that is close enough in area and
+   price is separated; a pair that meets twice is taken in the lower cell only. The grid gets
+   finer as the fullest cell grows, and a cell that still exceeds ``BLOCK`` classes is cut into blocks
+   whose pairs are separate tasks: no task ever holds more than two blocks.
+3. In a task, each class gets ``samples`` MinHash values of its title words; groups of ``ROWS``
+   values are bands, and classes that share a band (or the picture file) are candidates.
+4. All samples are folded into an odd sketch: sample i toggles one of ``bits`` parity bits.
+   The population count of the XOR of two sketches estimates how many samples differ, sharply
+   so for high similarities; candidates clearly below the threshold go.
+5. The rest is verified exactly: area, price, and equal pictures or shared words.
+
+Recall of step 3 for titles that share exactly the threshold of 60 % is 1 - (1 - 0.6^2)^bands:
+99.9 % at 16 bands, above 99.999 % at 75 %; step 4 keeps 4 standard deviations. Equal pictures
 are found without loss.
 
 Defined results
@@ -31,82 +34,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.functions.text import fold_words
+from plotwright.llm.pairs import expand_pairs
 from plotwright.session import materialize
 
-SAMPLES, BITS, BANDS, ROWS, CELL = 96, 256, 12, 2, 8
-SCALE = 20_000  # steps of log area and log price in the packed coordinates
-GAP = 24
+SAMPLES, BITS, BANDS, ROWS = 128, 512, 16, 2
+#: Classes of one block; a task holds at most two blocks.
+BLOCK = 4096
+#: Cell widths tried, in tolerances, widest first: wide cells copy fewer rows, narrow ones compare fewer.
+CELLS = (8, 4, 2, 1)
 
 
 def picture_file(image: Column) -> Column:
     """The file an image address shows, whatever host, size or format; null for stand-ins."""
-    bare = F.regexp_replace(F.lower(F.trim(image)), r"[?#;].*$", "")
-    bare = F.regexp_replace(bare, r"/image$", "")
-    stem = F.regexp_replace(F.regexp_extract(bare, r"([^/]+)$", 1), r"\.[a-z]{3,4}$", "")
-    stem = F.regexp_replace(stem, r"(?:[_-](?:xs|s|m|l|xl|xxl|thumb|\d{2,4}x\d{2,4}|\d{1,2}))+$", "")
-    standin = bare.rlike(r"placeholder|brak[-_]?zdj|no[-_]?(?:photo|image|img|pic)|default|blank|noimg")
-    return F.when(~standin & (F.length(stem) > 0), stem)
-
-
-def _sketcher(samples: int, bits: int, bands: int, rows: int, cell: int, area_step: float, price_step: float):
-    rng = np.random.default_rng(20240229)
-    mult = rng.integers(1, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    salt = rng.integers(0, 2**63, samples, dtype=np.uint64)
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    limbs = bits // 64
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), *[(f"s{i}", pa.int64()) for i in range(limbs)]])
-
-    def hashed(*parts):
-        h = np.full(len(parts[0]), 0xCBF29CE484222325, np.uint64)
-        for p in parts:
-            h = (h ^ p.astype(np.uint64)) * mix
-            h ^= h >> np.uint64(29)
-        return h
-
-    def run(batches):
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            words, offsets = b["words"].flatten().to_numpy(zero_copy_only=False).view(np.uint64), b["words"].offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            ids, house = b["id"].to_numpy(), b["type_hash"].to_numpy().view(np.uint64)
-            la, lp = np.log(b["area"].to_numpy()), np.log(b["price"].to_numpy())
-            full = np.nonzero(np.diff(offsets) > 0)[0]
-            sketch, mins = np.zeros((n, limbs), np.uint64), np.empty((samples, len(full)), np.uint64)
-            for i in range(samples if len(full) else 0):
-                h = (words ^ salt[i]) * mult[i]
-                h ^= h >> np.uint64(32)
-                mins[i] = np.minimum.reduceat(h * mix, offsets[:-1][full])
-                spot = (mins[i] * mult[i]) >> np.uint64(64 - (bits - 1).bit_length())
-                sketch[full, (spot >> np.uint64(6)).astype(int)] ^= np.uint64(1) << (spot & np.uint64(63))
-            cells = []
-            for x, step in ((la, area_step), (lp, price_step)):
-                own = np.floor(x / (cell * step)).astype(np.int64)
-                cells.append((own, x > (own + 1) * cell * step - step))
-            coarse = (np.round((la + 50) * SCALE).astype(np.int64) << (GAP + 3)) | (np.round((lp + 50) * SCALE).astype(np.int64) << 3)
-            image = np.nonzero(b["picture_hash"].is_valid().to_numpy(zero_copy_only=False))[0]
-            pic = b["picture_hash"].fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            keys = [(full, hashed(*mins[rows * k : rows * (k + 1)], np.full(len(full), k)), 0) for k in range(bands)] if len(full) else []
-            keys.append((image, hashed(pic[image], np.full(len(image), -1)), 4))
-            for at, band_key, flag in keys:
-                for ra in (0, 1):
-                    for rp in (0, 1):
-                        m = np.ones(len(at), bool)
-                        if ra:
-                            m &= cells[0][1][at]
-                        if rp:
-                            m &= cells[1][1][at]
-                        w = at[m]
-                        if len(w):
-                            key = hashed(band_key[m], house[w], cells[0][0][w] + ra, cells[1][0][w] + rp)
-                            cols = [key.view(np.int64), ids[w], coarse[w] | (ra + 2 * rp + flag), *(np.ascontiguousarray(sketch[w, i]).view(np.int64) for i in range(limbs))]
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
-
-    return run, ", ".join(["key bigint, id bigint, at bigint", *(f"s{i} bigint" for i in range(limbs))]), limbs
-
-
-def sketch_limit(min_share: float, samples: int, bits: int, deviations: float = 3.5) -> int:
+    bare = F.regexp_replace(F.lower(F.trim(image)), r"(?:[?#;].*|/image(?:[?#;].*)?)$", "")
+    stem = F.regexp_extract(bare, r"([^/]+?)(?:[_-](?:xs|s|m|l|xl|xxl|thumb|\d{2,4}x\d{2,4}|\d{1,2}))*(?:\.[a-z]{3,4})?$", 1)
+    return F.when(~bare.rlike(r"placeholder|brak[-_]?zdj|no[-_]?(?:photo|image|img|pic)|default|blank|noimg") & (stem != ""), stem)
+
+
+def sketch_limit(min_share: float, samples: int, bits: int, deviations: float = 4.0) -> int:
     """Largest XOR population count that still can mean a share of ``min_share``."""
     differ = 2 * samples * (1 - min_share)
     fill = np.exp(-2 * differ / bits)
@@ -115,56 +60,172 @@ def sketch_limit(min_share: float, samples: int, bits: int, deviations: float =
     return int(np.ceil(bits / 2 * (1 - fill) + deviations * np.hypot(sampling, throwing)))
 
 
-def near_duplicate_pairs(listing: DataFrame, area_tol: float = 0.02, price_tol: float = 0.06, min_share: float = 0.6, bands: int = BANDS, samples: int = SAMPLES, bits: int = BITS) -> DataFrame:
+class OddSketcher:
+    """MinHash samples of word sets and their odd sketches, for arrays of sets at once."""
+
+    def __init__(self, samples: int = SAMPLES, bits: int = BITS) -> None:
+        rng = np.random.default_rng(20240229)
+        self.samples, self.bits = samples, bits
+        self.mult = rng.integers(1, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.salt = rng.integers(0, 2**63, samples, dtype=np.uint64)
+
+    def minhash(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """``samples`` x sets; ``words`` holds the hashed words of all sets, set i from ``starts[i]`` on; no set is empty."""
+        out = np.empty((self.samples, len(starts)), np.uint64)
+        for i in range(self.samples if len(starts) else 0):
+            h = (words ^ self.salt[i]) * self.mult[i]
+            h ^= h >> np.uint64(32)
+            out[i] = np.minimum.reduceat(h * self.mult[-1 - i], starts)
+        return out
+
+    def sketch(self, mins: np.ndarray) -> np.ndarray:
+        """Sets x ``bits / 64`` words of parity bits."""
+        out, row = np.zeros((mins.shape[1], self.bits // 64), np.uint64), np.arange(mins.shape[1])
+        for i in range(self.samples):
+            spot = (mins[i] * self.mult[i]) >> np.uint64(64 - (self.bits - 1).bit_length())
+            out[row, (spot >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (spot & np.uint64(63))
+        return out
+
+
+def equal_pairs(keys: np.ndarray, at: np.ndarray, limit: int = 4_000_000):
+    """Pairs (i, j) of ``at`` whose keys agree, in arrays of about ``limit`` at most."""
+    order = np.argsort(keys, kind="stable")
+    k, ids = keys[order], at[order]
+    bounds = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True])
+    size = np.diff(bounds)
+    first, n = bounds[:-1][size > 1], size[size > 1]
+    if not len(n):
+        return
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    spots, ahead = np.repeat(first, n) + inside, np.repeat(n, n) - 1 - inside
+    reached, done = np.cumsum(ahead), 0
+    while done < len(spots):
+        before = int(reached[done - 1]) if done else 0
+        cut = max(done + 1, int(np.searchsorted(reached, before + limit, "right")))
+        rep = ahead[done:cut]
+        total = int(rep.sum())
+        if total:
+            i = np.repeat(spots[done:cut], rep)
+            yield ids[i], ids[i + 1 + np.arange(total) - np.repeat(np.cumsum(rep) - rep, rep)]
+        done = cut
+
+
+def _shared(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of common words of the sets a[k] and b[k]; each set's words are sorted."""
+    n = ends - starts
+    out = np.zeros(len(a), np.int64)
+    longest = np.maximum(n[a], n[b])
+    short = np.flatnonzero(longest <= 48)
+    for part in np.array_split(short, max(1, len(short) // 20_000)):
+        if not len(part):
+            continue
+        width = int(longest[part].max())
+        grid = lambda s, pad: np.where(np.arange(width) < n[s][:, None], words[np.minimum(starts[s][:, None] + np.arange(width), max(len(words) - 1, 0))], pad + np.arange(width, dtype=np.uint64))
+        both = np.sort(np.concatenate([grid(a[part], np.uint64(0)), grid(b[part], np.uint64(2**32))], axis=1), axis=1)
+        out[part] = (both[:, 1:] == both[:, :-1]).sum(axis=1)
+    for k in np.flatnonzero(longest > 48):
+        out[k] = len(np.intersect1d(words[starts[a[k]] : ends[a[k]]], words[starts[b[k]] : ends[b[k]]], assume_unique=True))
+    return out
+
+
+def _cell_task(area_tol: float, price_tol: float, min_share: float, bands: int, samples: int, bits: int):
+    """The pairs of close classes among the rows of one cell, or of one pair of its blocks."""
+    sketcher, limit = OddSketcher(samples, bits), sketch_limit(min_share, samples, bits)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, area, price = (t[c].to_numpy() for c in ("id", "area", "price"))
+        copy, block, picture = t["copy"].to_numpy(), t["block"].to_numpy(), t["picture"].to_numpy(zero_copy_only=False)
+        listed = t["words"].combine_chunks()
+        listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
+        offsets = listed.offsets.to_numpy()
+        words = listed.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        starts, ends = offsets[:-1], offsets[1:]
+        full = np.flatnonzero(ends > starts)
+        used = words[offsets[0] : offsets[-1]]
+        mins = sketcher.minhash(used, starts[full] - offsets[0])
+        sketch = np.zeros((len(ids), bits // 64), np.uint64)
+        sketch[full] = sketcher.sketch(mins)
+        across = bool(t["across"][0].as_py())
+
+        def close(a, b):
+            m = (copy[a] & copy[b]) == 0  # both copied in one direction: the pair also meets in the lower cell
+            m &= np.abs(area[a] - area[b]) <= area_tol * np.maximum(area[a], area[b]) + 1e-9
+            m &= np.abs(price[a] - price[b]) <= price_tol * np.maximum(price[a], price[b]) + 1e-9
+            if across:
+                m &= block[a] != block[b]
+            return a[m], b[m]
+
+        kept, n = [], len(ids)
+        shown = np.flatnonzero(picture != 0)
+        for a, b in equal_pairs(picture[shown], shown):
+            a, b = close(a, b)
+            kept.append(np.minimum(a, b) * n + np.maximum(a, b))
+        likely = []
+        for k in range(bands):
+            key = mins[ROWS * k]
+            for extra in mins[ROWS * k + 1 : ROWS * (k + 1)]:
+                key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + extra
+            for a, b in equal_pairs(key, full):
+                a, b = close(a, b)
+                m = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= limit
+                likely.append(np.minimum(a, b)[m] * n + np.maximum(a, b)[m])
+        if likely:
+            pairs = np.unique(np.concatenate(likely))
+            a, b = pairs // n, pairs % n
+            common = _shared(words, starts, ends, a, b)
+            union = (ends - starts)[a] + (ends - starts)[b] - common
+            kept.append(pairs[common >= min_share * union - 1e-9])
+        pairs = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
+        a, b = ids[pairs // max(n, 1)], ids[pairs % max(n, 1)]
+        return pa.table([np.minimum(a, b), np.maximum(a, b)], schema=schema)
+
+    return run
+
+
+def near_duplicate_pairs(listing: DataFrame, area_tol: float = 0.02, price_tol: float = 0.06, min_share: float = 0.6, bands: int = BANDS, samples: int = SAMPLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """``seq_a, seq_b`` (seq_a < seq_b): every pair of near-duplicate rows. See the module text."""
+    words = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(fold_words(F.coalesce("title", F.lit(""))), " "), lambda w: w != ""), lambda w: F.xxhash64(w))))
     rows = listing.filter((F.col("area") > 0) & (F.col("price") > 0) & F.col("type").isNotNull()).select(
-        "seq", "type", "area", "price", F.array_join(F.array_sort(F.array_distinct(F.split(fold_words(F.coalesce("title", F.lit(""))), " "))), " ").alias("words"), picture_file(F.col("image")).alias("picture")
-    )
-    traits = ["type", "area", "price", "words", "picture"]
-    rows = rows.filter((F.col("words") != "") | F.col("picture").isNotNull())
-    classes = materialize(rows.groupBy(*traits).agg(F.min("seq").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
-    near = _close_classes(classes, area_tol, price_tol, min_share, bands, samples, bits)
-    copies = classes.filter("n > 1").select(*traits, F.col("id"))
-    same = F.lit(True)
-    for t in traits:
-        same = same & F.col(f"r.{t}").eqNullSafe(F.col(f"c.{t}"))
-    twins = materialize(rows.alias("r").join(copies.alias("c"), same).select("c.id", "r.seq"), "twins")
-    across = _expand(_expand(near, twins, "a"), twins, "b").select(F.least("a", "b").alias("seq_a"), F.greatest("a", "b").alias("seq_b"))
-    within = twins.alias("x").join(twins.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.seq") < F.col("y.seq"))).select(F.col("x.seq").alias("seq_a"), F.col("y.seq").alias("seq_b"))
-    return across.unionByName(within)
-
-
-def _expand(pairs: DataFrame, twins: DataFrame, side: str) -> DataFrame:
-    """``pairs`` with the class in column ``side`` replaced by each of its rows."""
-    t = twins.select(F.col("id").alias(side), F.col("seq").alias("__seq"))
-    return pairs.join(t, side, "left").withColumn(side, F.coalesce("__seq", side)).drop("__seq")
-
-
-def _close_classes(classes: DataFrame, area_tol: float, price_tol: float, min_share: float, bands: int, samples: int, bits: int) -> DataFrame:
-    area_step, price_step = -np.log(1 - area_tol) + 1e-7, -np.log(1 - price_tol) + 1e-7
-    run, schema, limbs = _sketcher(samples, bits, bands, ROWS, CELL, area_step, price_step)
-    split = F.filter(F.split("words", " "), lambda w: w != "")
-    slim = classes.select("id", F.xxhash64("type").alias("type_hash"), F.col("area").cast("double").alias("area"), F.col("price").cast("double").alias("price"), F.transform(split, lambda w: F.xxhash64(w)).alias("words"), F.when(F.col("picture").isNotNull(), F.xxhash64("picture")).alias("picture_hash"))
-    keyed = slim.mapInArrow(run, schema)
-    x, y = keyed.alias("x"), keyed.alias("y")
-    at = lambda s, shift: F.shiftright(F.col(f"{s}.at"), shift).bitwiseAND(F.lit(2**GAP - 1))
-    apart = lambda shift, step: F.abs(at("x", shift) - at("y", shift)) <= int(np.ceil(step * SCALE)) + 2
-    both = F.col("x.at").bitwiseAND(F.col("y.at"))
-    differing = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, limbs)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
-    met = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
-        & (both.bitwiseAND(F.lit(3)) == 0)  # else the pair meets in a lower cell as well
-        & apart(GAP + 3, area_step) & apart(3, price_step)
-        & ((both.bitwiseAND(F.lit(4)) > 0) | (differing <= sketch_limit(min_share, samples, bits)))
+        "seq", F.xxhash64("type").alias("type"), F.col("area").cast("double").alias("area"), F.col("price").cast("double").alias("price"),
+        words.alias("words"), F.coalesce(F.xxhash64(F.coalesce(picture_file(F.col("image")), F.lit(""))), F.lit(0)).alias("picture"),
     )
-    candidates = x.join(y, met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    side = lambda s: classes.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("type", "area", "price", "words", "picture")))
-    full = candidates.join(side("a"), "a").join(side("b"), "b")
-    words = lambda s: F.filter(F.split(f"{s}_words", " "), lambda w: w != "")
-    shared = F.size(F.array_intersect(words("a"), words("b")))
-    total = F.size(words("a")) + F.size(words("b")) - shared
-    within = lambda c, tol: F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= F.lit(tol) * F.greatest(f"a_{c}", f"b_{c}") + F.lit(1e-9)
-    return full.filter(
-        (F.col("a_type") == F.col("b_type")) & within("area", area_tol) & within("price", price_tol)
-        & ((F.col("a_picture") == F.col("b_picture")) | (shared >= F.lit(min_share) * total - F.lit(1e-9)) & (total > 0))
-    ).select("a", "b")
+    stand_in = F.xxhash64(F.lit(""))
+    rows = rows.withColumn("picture", F.when(F.col("picture") == stand_in, F.lit(0)).otherwise(F.col("picture"))).filter((F.size("words") > 0) | (F.col("picture") != 0))
+    rows = materialize(rows.withColumn("k", F.struct(F.xxhash64("type", "area", "price", "words", "picture").alias("h"), F.xxhash64("picture", "words", "price", "area", "type").alias("g"))), "rows")
+    reps = materialize(rows.groupBy("k").agg(F.min("seq").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = rows.join(reps.select(F.col("id").alias("seq")), "seq", "left_semi").withColumnRenamed("seq", "id").drop("k")
+    near = _close_classes(classes, area_tol, price_tol, min_share, bands, samples, bits, block)
+    twins = materialize(rows.select("k", "seq").join(reps.filter("n > 1").select("k", "id"), "k").select("id", "seq"), "twins")
+    return expand_pairs(near, twins)
+
+
+def _close_classes(classes: DataFrame, area_tol: float, price_tol: float, min_share: float, bands: int, samples: int, bits: int, block: int) -> DataFrame:
+    steps = {"area": -float(np.log(1 - area_tol)) + 1e-7, "price": -float(np.log(1 - price_tol)) + 1e-7}
+    fine = [F.floor(F.log(c) / s).alias(f"{c}_step") for c, s in steps.items()]
+    # One row per occupied step of log area and log price: bounded by the range of the values, not by the number of rows.
+    fullest = materialize(classes.select("type", *fine).groupBy("type", "area_step", "price_step").count(), "steps")
+    width = CELLS[-1]
+    for w in CELLS:
+        cells = fullest.groupBy("type", F.floor(F.col("area_step") / w).alias("a"), F.floor(F.col("price_step") / w).alias("p")).agg(F.sum("count").alias("n"))
+        if (cells.agg(F.max("n")).first()[0] or 0) <= block:
+            width = w
+            break
+
+    def place(c: str) -> Column:
+        at = F.log(c) / (steps[c] * width)
+        near_edge = at - F.floor(at) > 1 - 1 / width
+        return F.when(near_edge, F.array(F.struct(F.floor(at).alias("cell"), F.lit(0).alias("copy")), F.struct((F.floor(at) + 1).alias("cell"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.floor(at).alias("cell"), F.lit(0).alias("copy"))))
+
+    sent = classes.withColumn("pa", F.explode(place("area"))).withColumn("pp", F.explode(place("price"))).select("id", "type", "area", "price", "words", "picture", F.col("pa.cell").alias("ca"), F.col("pp.cell").alias("cp"), (F.col("pa.copy") + 2 * F.col("pp.copy")).cast("int").alias("copy"))
+    cell = ["type", "ca", "cp"]
+    crowded = materialize(sent.groupBy(*cell).count().filter(F.col("count") > block).select(*cell, F.ceil(F.col("count") / block).cast("int").alias("blocks")), "crowded")
+    blocked = sent.join(crowded, cell, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int"))
+    tasks = (
+        blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        .withColumn("task", F.least("block", "other") * F.coalesce("blocks", F.lit(1)) + F.greatest("block", "other"))
+        .withColumn("across", F.col("block") != F.col("other"))
+        .drop("blocks", "other")
+    )
+    return tasks.groupBy(*cell, "task").applyInArrow(_cell_task(area_tol, price_tol, min_share, bands, samples, bits), "a bigint, b bigint")
