@@ -30,7 +30,9 @@ from plotwright.llm.canonical import Resolver, allowed_edits, frequent_values, r
 from plotwright.llm.pairs import expand_pairs
 from plotwright.session import materialize
 
-COSINE = 0.45
+COSINE = 0.3
+#: Added to document frequencies, so that the 3-grams of a misspelling do not outweigh the rest of the name.
+RARE = 10
 
 # Words for kinds of streets.
 STREET_TYPES = ("ul", "ulica", "ulicy", "al", "aleja", "aleje", "alei", "pl", "plac", "placu", "os", "osiedle", "osiedlu", "rondo", "rynek", "skwer", "bulwar", "trakt", "szosa")
@@ -269,7 +271,7 @@ def same_building_pairs(listing: DataFrame, towns: DataFrame, threshold: float =
     # Character 3-grams over a-z, 0-9 and the two marks: at most 38^3 entries.
     total = max(1, names.count())
     seen = names.select(F.explode(F.flatten(F.transform("words", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substr(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(3)))))).alias("g")).groupBy("g").count()
-    idf = {r["g"]: math.log(1 + total / r["count"]) for r in seen.collect()}
+    idf = {r["g"]: math.log(1 + total / (r["count"] + RARE)) for r in seen.collect()}
     # Names of towns outside the list may hold typos, so they do not split the index.
     index = classes.select("id", "town", "number", "name").mapInArrow(_index_task(idf, given, threshold), "id bigint, town string, number string, grams array<string>")
     keyed = index.select("id", "town", "number", F.explode("grams").alias("g")).select("id", F.xxhash64(F.when(F.col("town").startswith("#"), F.col("town")), "number", "g").alias("key"))
