@@ -276,7 +276,8 @@ def same_building_pairs(listing: DataFrame, towns: DataFrame, threshold: float =
     index = classes.select("id", "town", "number", "name").mapInArrow(_index_task(idf, given, threshold), "id bigint, town string, number string, grams array<string>")
     keyed = index.select("id", "town", "number", F.explode("grams").alias("g")).select("id", F.xxhash64(F.when(F.col("town").startswith("#"), F.col("town")), "number", "g").alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    # The planner cannot estimate exploded rows; neither side may be broadcast.
+    met = x.hint("merge").join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     side = lambda s: classes.select(F.col("id").alias(s), F.col("name").alias(f"name_{s}"), F.col("town").alias(f"town_{s}"))
     near_classes = met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify_task(idf, given, threshold), "a bigint, b bigint")
     twins = materialize(rows.join(classes.filter("n > 1").select(*traits, "id"), traits).select("id", "seq"), "twins")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plotwright.llm.addresses import same_building_pairs
 from plotwright.llm.canonical import map_to_canonical
 from plotwright.llm.components import ad_groups
+from plotwright.llm.linkage import link_deeds
 from plotwright.llm.near_dup import near_duplicate_pairs
 from plotwright.session import table
 
@@ -34,5 +35,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_building_pairs(listing, table(spark, sf_dir, "locality_ref"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_deeds(table(spark, sf_dir, "archive_row"), table(spark, sf_dir, "deed"), table(spark, sf_dir, "locality_ref"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archived properties with the deeds that can be their sale."""
+    return _links(spark, sf_dir).filter("matched").select("archive_id", "deed_id")
+
+
+def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate pairs with the label model's confidence."""
+    return _links(spark, sf_dir)
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_confidence": p6_confidence}
 ORACLE: dict[str, str] = {}
