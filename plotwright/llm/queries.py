@@ -9,6 +9,7 @@ from plotwright.llm.canonical import map_to_canonical
 from plotwright.llm.components import ad_groups
 from plotwright.llm.linkage import link_deeds
 from plotwright.llm.near_dup import near_duplicate_pairs
+from plotwright.llm.survivor import judge_values, survivors
 from plotwright.session import table
 
 
@@ -49,5 +50,15 @@ def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_confidence": p6_confidence}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving row, price, source and created of each duplicate group."""
+    return survivors(table(spark, sf_dir, "dup_group"), table(spark, sf_dir, "listing"), table(spark, sf_dir, "source_trust"))
+
+
+def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every claimed value of the groups' fields with the probability that it is true."""
+    return judge_values(table(spark, sf_dir, "dup_group"), table(spark, sf_dir, "listing"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_confidence": p6_confidence, "p7_found": p7_found, "p7_values": p7_values}
 ORACLE: dict[str, str] = {}
