@@ -191,14 +191,18 @@ def link_deeds(archive: DataFrame, deeds: DataFrame, towns: DataFrame) -> DataFr
     scores = spark.createDataFrame([(*map(int, v), float(p)) for v, p in zip(votes, confidence)], ", ".join(f"{f} int" for f in FUNCTIONS) + ", confidence double")
     scored = voted.join(F.broadcast(scores), list(FUNCTIONS))
     clear = sum((F.when(F.col(f) == -1, 1).otherwise(0) for f in HARD[1:]), F.when(F.col(HARD[0]) == -1, 1).otherwise(0)) == 0
-    checked = scored.select("archive_id", "deed_id", "confidence", clear.alias("clear"), F.when(clear & (F.col("v_street") == 1), F.col("street")).alias("street"), "street_d")
-    return checked.mapInArrow(_street_check(given), "archive_id bigint, deed_id bigint, confidence double, matched boolean")
+    scored = scored.withColumn("clear", clear)
+    # Only pairs without a vote against them and with names that differ need the closer look.
+    unsure = F.col("clear") & (F.col("v_street") == 1) & (F.col("street") != F.col("street_d"))
+    sure = scored.filter(~unsure).select("archive_id", "deed_id", "confidence", F.col("clear").alias("matched"))
+    looked = scored.filter(unsure).select("archive_id", "deed_id", "confidence", "street", "street_d").mapInArrow(_street_check(given), "archive_id bigint, deed_id bigint, confidence double, matched boolean")
+    return sure.unionByName(looked)
 
 
 def _street_check(given):
     def run(batches):
         for b in batches:
-            ok = [c and (s is None or same_street(s, d, given)) for c, s, d in zip(b["clear"].to_pylist(), b["street"].to_pylist(), b["street_d"].to_pylist())]
+            ok = [same_street(s, d, given) for s, d in zip(b["street"].to_pylist(), b["street_d"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["archive_id"], b["deed_id"], b["confidence"], pa.array(ok, pa.bool_())], names=["archive_id", "deed_id", "confidence", "matched"])
 
     return run
