@@ -9,6 +9,7 @@ from plotwright.llm.canonical import map_to_canonical
 from plotwright.llm.components import ad_groups
 from plotwright.llm.linkage import link_deeds
 from plotwright.llm.near_dup import near_duplicate_pairs
+from plotwright.llm.pii import find_mentions, redact_documents
 from plotwright.llm.survivor import judge_values, survivors
 from plotwright.session import table
 
@@ -60,5 +61,15 @@ def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_values(table(spark, sf_dir, "dup_group"), table(spark, sf_dir, "listing"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_confidence": p6_confidence, "p7_found": p7_found, "p7_values": p7_values}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of people and how to reach them, by kind and position."""
+    return find_mentions(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with typed placeholders in place of the mentions."""
+    return redact_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_confidence": p6_confidence, "p7_found": p7_found, "p7_values": p7_values, "p10_found": p10_found, "p10_redacted": p10_redacted}
 ORACLE: dict[str, str] = {}
