@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plotwright.llm.addresses import same_building_pairs
 from plotwright.llm.canonical import map_to_canonical
 from plotwright.llm.components import ad_groups
+from plotwright.llm.leakage import WINDOW, find_leaks
 from plotwright.llm.linkage import link_deeds
 from plotwright.llm.near_dup import near_duplicate_pairs
 from plotwright.llm.pii import find_mentions, redact_documents
@@ -61,6 +63,18 @@ def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_values(table(spark, sf_dir, "dup_group"), table(spark, sf_dir, "listing"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the test items of which they contain at least 12 consecutive words."""
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return leaks.filter(F.col("run") >= WINDOW).select("doc_id", "item_id")
+
+
+def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain an edited copy of a tenth of a test item or more, with alignment score and longest run."""
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return leaks.filter(F.col("score") >= F.greatest(F.lit(2 * WINDOW), F.ceil(F.col("item_words") * 0.2)))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of people and how to reach them, by kind and position."""
     return find_mentions(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start_pos")
@@ -71,5 +85,5 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_confidence": p6_confidence, "p7_found": p7_found, "p7_values": p7_values, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_confidence": p6_confidence, "p7_found": p7_found, "p7_values": p7_values, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_redacted": p10_redacted}
 ORACLE: dict[str, str] = {}
