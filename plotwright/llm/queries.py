@@ -11,6 +11,7 @@ from plotwright.llm.components import ad_groups
 from plotwright.llm.leakage import WINDOW, find_leaks
 from plotwright.llm.linkage import link_deeds
 from plotwright.llm.near_dup import near_duplicate_pairs
+from plotwright.llm.packing import CAPACITY, pack_documents
 from plotwright.llm.pii import find_mentions, redact_documents
 from plotwright.llm.survivor import judge_values, survivors
 from plotwright.session import table
@@ -63,6 +64,17 @@ def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_values(table(spark, sf_dir, "dup_group"), table(spark, sf_dir, "listing"))
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed whole into containers of 4,096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of containers and the share of their capacity that is used."""
+    packed = pack_documents(table(spark, sf_dir, "documents"))
+    return packed.agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens")).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 4))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the test items of which they contain at least 12 consecutive words."""
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
@@ -85,5 +97,5 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_confidence": p6_confidence, "p7_found": p7_found, "p7_values": p7_values, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_confidence": p6_confidence, "p7_found": p7_found, "p7_values": p7_values, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_redacted": p10_redacted}
 ORACLE: dict[str, str] = {}
