@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from plotwright.functions.text import squeeze
 from plotwright.operators.skew import lookup_join
-from plotwright.session import fresh_path, path_exists
+from plotwright.session import materialize, path_exists
 
 DEFAULT_ZONE = "Europe/Warsaw"
 
@@ -135,9 +135,7 @@ def build_dictionary(rows: DataFrame, column: str = "created", source: str | Non
     )
     parsed = lambda d: d.withColumn("created_ms", parse_instant_ms(F.col("__ts_raw"), F.col("__ts_zone")))
     if path is None:
-        own = fresh_path(spark, "instants")
-        parsed(seen).write.parquet(own)
-        return spark.read.parquet(own)
+        return materialize(parsed(seen), "instants")
     if path_exists(spark, path):
         known = spark.read.parquet(path)
         parsed(seen.select(*keys).join(known.select(*keys), keys, "left_anti")).write.mode("append").parquet(path)
