@@ -20,7 +20,7 @@ are found without loss.
 
 Defined results
 ---------------
-* null or zero area or price, null type: the row has no partner.
+* null, zero, negative or not finite area or price, null type: the row has no partner.
 * null or empty titles share no words; two empty titles are not alike. Titles of any length count whole.
 * repeated rows are partners of each other. Empty tables give empty results.
 * columns other than those named are not read.
@@ -187,7 +187,7 @@ def _cell_task(area_tol: float, price_tol: float, min_share: float, bands: int,
 def near_duplicate_pairs(listing: DataFrame, area_tol: float = 0.02, price_tol: float = 0.06, min_share: float = 0.6, bands: int = BANDS, samples: int = SAMPLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """``seq_a, seq_b`` (seq_a < seq_b): every pair of near-duplicate rows. See the module text."""
     words = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(fold_words(F.coalesce("title", F.lit(""))), " "), lambda w: w != ""), lambda w: F.xxhash64(w))))
-    rows = listing.filter((F.col("area") > 0) & (F.col("price") > 0) & F.col("type").isNotNull()).select(
+    rows = listing.filter((F.col("area") > 0) & (F.col("area") < float("inf")) & (F.col("price") > 0) & F.col("type").isNotNull()).select(
         "seq", F.xxhash64("type").alias("type"), F.col("area").cast("double").alias("area"), F.col("price").cast("double").alias("price"),
         words.alias("words"), F.coalesce(F.xxhash64(F.coalesce(picture_file(F.col("image")), F.lit(""))), F.lit(0)).alias("picture"),
     )
