@@ -13,27 +13,24 @@ Defined results
 * null and empty texts have no tokens and no place in any container (no row).
 * repeated documents are packed as often as they occur; ties go to the smaller doc_id.
 * texts of any length are tokenised whole; empty tables give an empty result; columns other than doc_id and text are not read.
-* documents without any word are packed by size alone.
+* the terms of the index are the tokens themselves.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.functions.text import fold_py
 from plotwright.session import materialize
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CAPACITY = 4096
 #: Items of one shard: bounds the memory of a task.
-SHARD = 4096
+SHARD = 2048
 #: Share of the capacity below which the remaining room is closed by size instead of by likeness.
 ROOM = 0.25
 #: Containers filled less than this are opened and packed once more.
@@ -41,7 +38,6 @@ LOOSE = 0.9
 K1, B = 1.2, 0.75
 # Fixed value: how the byte-level vocabularies cut text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_WORD = re.compile(r"[^\W_]+")
 _ENCODERS: dict[str, object] = {}
 
 
@@ -57,57 +53,64 @@ def encoder(path: str):
 
 
 def _size_task(path: str):
-    """Token count, word hashes with counts, and lexical signature of each document."""
+    """Token count, distinct tokens with counts, and lexical signature of each document."""
 
     def run(batches):
-        enc, hashes = encoder(path), {}
+        enc = encoder(path)
         for b in batches:
             ids, sizes, terms, counts, signs = [], [], [], [], []
             for d, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
                 if not text:
                     continue
-                n = len(enc.encode_ordinary(text))
-                if len(hashes) > 2_000_000:
-                    hashes.clear()
-                words = [hashes.get(w) or hashes.setdefault(w, xxhash.xxh32_intdigest(fold_py(w)) or 1) for w in _WORD.findall(text.lower())]
-                t, k = np.unique(np.array(words, np.uint32), return_counts=True)
+                tokens = enc.encode_to_numpy(text, disallowed_special=())
+                t, k = np.unique(tokens, return_counts=True)
                 ids.append(d)
-                sizes.append(n)
-                terms.append(t.view(np.int32))
+                sizes.append(len(tokens))
+                terms.append(t.astype(np.int32))
                 counts.append(np.minimum(k, 127).astype(np.int8))
-                # The two smallest of the mixed hashes: a MinHash of two samples, so near copies sort together.
-                mixed = np.sort((t * np.uint32(2654435769)) ^ (t >> np.uint32(15)))[:2]
-                signs.append(int(mixed[0]) << 31 | int(mixed[-1]) >> 1 if len(mixed) else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int8())), pa.array([s & 0x7FFFFFFFFFFFFFFF for s in signs], pa.int64())], names=["doc_id", "n_tokens", "terms", "counts", "sign"])
+                # The smallest two of the mixed tokens: a MinHash of two samples, so near copies sort together.
+                mixed = t.astype(np.uint32) * np.uint32(2654435769)
+                mixed = np.partition(mixed ^ (mixed >> np.uint32(15)), min(1, len(t) - 1))[:2]
+                signs.append(int(mixed[0]) << 31 | int(mixed[-1]) >> 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int8())), pa.array([x & 0x7FFFFFFFFFFFFFFF for x in signs], pa.int64())], names=["doc_id", "n_tokens", "terms", "counts", "sign"])
 
     return run
 
 
 class Bm25:
-    """Inverted index of one shard: for each term its documents and their BM25 weights."""
+    """Inverted index of one shard: for each term its documents and their BM25 weights; frequent terms as dense rows."""
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray]) -> None:
-        n = len(terms)
+        n = self.n = len(terms)
         length = np.array([c.sum(dtype=np.int64) for c in counts], float)
-        flat, tf, doc = np.concatenate(terms), np.concatenate(counts).astype(float), np.repeat(np.arange(n), [len(t) for t in terms])
+        sizes = np.array([len(t) for t in terms])
+        flat, tf, doc = np.concatenate(terms), np.concatenate(counts).astype(float), np.repeat(np.arange(n), sizes)
         vocabulary, self.ids = np.unique(flat, return_inverse=True)
         df = np.bincount(self.ids, minlength=len(vocabulary))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[self.ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(length.mean(), 1)))
+        weight = (idf[self.ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(length.mean(), 1)))).astype(np.float32)
+        # A term of more than n / 32 documents fills a row; there are at most 32 times as many as distinct terms in a document on average.
+        self.row = np.full(len(vocabulary), -1)
+        frequent = np.flatnonzero(df * 32 > n)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), n), np.float32)
+        in_row = self.row[self.ids] >= 0
+        self.dense[self.row[self.ids[in_row]], doc[in_row]] = weight[in_row]
         order = np.argsort(self.ids, kind="stable")
-        self.docs, self.weights = doc[order].astype(np.int32), weight[order].astype(np.float32)
-        self.bounds = np.r_[0, np.cumsum(df)]
-        self.of = np.r_[0, np.cumsum([len(t) for t in terms])]
-        self.n = n
+        self.docs, self.weights = doc[order], weight[order]
+        self.bounds, self.of = np.r_[0, np.cumsum(df)], np.r_[0, np.cumsum(sizes)]
 
     def scores(self, seed: int) -> np.ndarray:
-        """Score of every document of the shard for the words of document ``seed``."""
+        """Score of every document of the shard for the terms of document ``seed``."""
         own = self.ids[self.of[seed] : self.of[seed + 1]]
-        starts, ends = self.bounds[own], self.bounds[own + 1]
-        if not len(own):
-            return np.zeros(self.n)
-        at = np.repeat(ends - np.cumsum(ends - starts), ends - starts) + np.arange(int((ends - starts).sum()))
-        return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
+        rows = self.row[own]
+        out = self.dense[rows[rows >= 0]].sum(axis=0)
+        own = own[rows < 0]
+        if len(own):
+            starts, ends = self.bounds[own], self.bounds[own + 1]
+            at = np.repeat(ends - np.cumsum(ends - starts), ends - starts) + np.arange(int((ends - starts).sum()))
+            out = out + np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
+        return out
 
 
 def fill(sizes: np.ndarray, index: Bm25, capacity: int, room: float = ROOM) -> list[list[int]]:
@@ -200,8 +203,9 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     tokens; ``container`` is named after its seed.
     """
     sized = documents.select("doc_id", "text").mapInArrow(_size_task(tokenizer), "doc_id bigint, n_tokens bigint, terms array<int>, counts array<tinyint>, sign bigint")
-    items = sized.filter("n_tokens > 0").withColumn("start_token", F.lit(0).cast("bigint")).withColumn("piece", F.lit(0))
-    shards = max(1, -(-documents.count() // shard))
+    # Written, since range partitioning reads its input twice.
+    items = materialize(sized, "sized").withColumn("start_token", F.lit(0).cast("bigint")).withColumn("piece", F.lit(0))
+    shards = max(1, -(-items.count() // shard))
     placed = items.repartitionByRange(shards, "sign", "doc_id").sortWithinPartitions("sign", "doc_id")
     packed = materialize(placed.mapInArrow(_pack_task(capacity, shard, "c"), _OUT), "packed")
     # Each shard leaves a container or two with much room; those are opened and packed together, by size.
