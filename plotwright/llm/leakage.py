@@ -74,15 +74,15 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def elect_seeds(items: list[tuple[int, np.ndarray]], frequency: dict[int, int], seed: int, window: int) -> dict[int, set[int]]:
-    """n-gram hash -> items: the rarest n-gram of every window of every item (of the whole item if shorter)."""
+    """n-gram hash -> items: the rarest n-gram that occurs at all, of every window of every item (of the whole item if shorter)."""
     seeds: dict[int, set[int]] = defaultdict(set)
     for item, words in items:
         grams = ngram_hashes(words, seed)
         width = max(1, min(len(grams), window - seed + 1))
         for i in range(len(grams) - width + 1):
-            part = grams[i : i + width]
-            best = min(part.tolist(), key=lambda g: (frequency.get(g, 0), g))
-            seeds[best].add(item)
+            part = [g for g in grams[i : i + width].tolist() if frequency.get(g)]
+            if part:
+                seeds[min(part, key=lambda g: (frequency[g], g))].add(item)
     return seeds
 
 

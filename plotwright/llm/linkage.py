@@ -41,8 +41,8 @@ HARD = ("v_street", "v_rooms", "v_date", "v_price")
 class LabelModel:
     """Two hidden classes, conditionally independent blocks of ternary votes, fitted by expectation-maximisation."""
 
-    def __init__(self, n_functions: int, rounds: int = 200, excess: float = 0.02) -> None:
-        self.m, self.rounds, self.excess = n_functions, rounds, excess
+    def __init__(self, n_functions: int, rounds: int = 200, excess: float = 0.02, copies: float = 0.2) -> None:
+        self.m, self.rounds, self.excess, self.copies = n_functions, rounds, excess, copies
         self.blocks = [(j,) for j in range(n_functions)]
 
     def _codes(self, votes: np.ndarray) -> list[np.ndarray]:
@@ -51,8 +51,7 @@ class LabelModel:
 
     def _fit_blocks(self, votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         codes = self._codes(votes)
-        score = votes.sum(axis=1) - 2 * (votes == -1).any(axis=1)
-        q = 1 / (1 + np.exp(-score.astype(float)))
+        q = self._majority(votes)
         for _ in range(self.rounds):
             w = np.stack([counts * (1 - q), counts * q])
             self.prior = np.clip(w.sum(axis=1) / counts.sum(), 1e-6, 1)
@@ -67,18 +66,32 @@ class LabelModel:
                 break
         return q
 
+    def _majority(self, votes: np.ndarray) -> np.ndarray:
+        """Starting point: each block has one say, votes against weigh more."""
+        say = sum(np.sign(votes[:, list(b)].sum(axis=1)) for b in self.blocks)
+        return 1 / (1 + np.exp(-(say - 2.0 * (votes == -1).any(axis=1))))
+
     def fit(self, votes: np.ndarray, counts: np.ndarray) -> "LabelModel":
-        """Fit accuracies; then merge the most dependent functions into joint blocks until none exceed ``excess`` nats."""
+        """Fit accuracies; functions that depend on each other given the class are merged into joint blocks.
+
+        Near copies would draw the hidden class to themselves, so they are merged by their dependence under
+        the majority first; the rest are merged until none exceeds ``excess`` nats under the fitted model.
+        """
         votes, counts = votes.astype(np.int64), counts.astype(float)
-        while True:
-            q = self._fit_blocks(votes, counts)
-            pairs = [(self._dependence(votes, counts, q, a, b), a, b) for a, b in itertools.combinations(range(len(self.blocks)), 2) if len(self.blocks[a]) + len(self.blocks[b]) <= 3]
-            worst = max(pairs, default=(0, 0, 0))
-            if worst[0] <= self.excess:
-                return self
-            _, a, b = worst
-            joint = self.blocks[a] + self.blocks[b]
-            self.blocks = [x for k, x in enumerate(self.blocks) if k not in (a, b)] + [joint]
+        while self._merge(votes, counts, self._majority(votes), self.copies):
+            pass
+        while self._merge(votes, counts, self._fit_blocks(votes, counts), self.excess):
+            pass
+        return self
+
+    def _merge(self, votes: np.ndarray, counts: np.ndarray, q: np.ndarray, limit: float) -> bool:
+        """Join the most dependent pair of blocks if it exceeds ``limit``; joint blocks hold three functions at most."""
+        pairs = [(self._dependence(votes, counts, q, a, b), a, b) for a, b in itertools.combinations(range(len(self.blocks)), 2) if len(self.blocks[a]) + len(self.blocks[b]) <= 3]
+        worst, a, b = max(pairs, default=(0.0, 0, 0))
+        if worst <= limit:
+            return False
+        self.blocks = [x for k, x in enumerate(self.blocks) if k not in (a, b)] + [self.blocks[a] + self.blocks[b]]
+        return True
 
     def _dependence(self, votes, counts, q, a: int, b: int) -> float:
         """Mutual information of two blocks given the class."""
