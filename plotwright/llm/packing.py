@@ -52,6 +52,11 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, kind)))
+
+
 def _size_task(path: str):
     """Token count, distinct tokens with counts, and lexical signature of each document."""
 
@@ -62,17 +67,17 @@ def _size_task(path: str):
             for d, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
                 if not text:
                     continue
-                tokens = enc.encode_to_numpy(text, disallowed_special=())
+                tokens = np.array(enc.encode_ordinary(text), np.int32)
                 t, k = np.unique(tokens, return_counts=True)
                 ids.append(d)
                 sizes.append(len(tokens))
-                terms.append(t.astype(np.int32))
+                terms.append(t)
                 counts.append(np.minimum(k, 127).astype(np.int8))
                 # The smallest two of the mixed tokens: a MinHash of two samples, so near copies sort together.
                 mixed = t.astype(np.uint32) * np.uint32(2654435769)
                 mixed = np.partition(mixed ^ (mixed >> np.uint32(15)), min(1, len(t) - 1))[:2]
                 signs.append(int(mixed[0]) << 31 | int(mixed[-1]) >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int8())), pa.array([x & 0x7FFFFFFFFFFFFFFF for x in signs], pa.int64())], names=["doc_id", "n_tokens", "terms", "counts", "sign"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _lists(terms, np.int32), _lists(counts, np.int8), pa.array([x & 0x7FFFFFFFFFFFFFFF for x in signs], pa.int64())], names=["doc_id", "n_tokens", "terms", "counts", "sign"])
 
     return run
 
