@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwright.session import fresh_path
+from plotwright.session import _fs_path, fresh_path, path_exists
 
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -30,10 +30,13 @@ def run_available(spark: SparkSession, path: str, delay: str = "3650 days") -> D
 
     Every micro-batch appends its changed keys; the newest value of a key is its smallest event.
     """
-    folder, file = path.rsplit("/", 1)
+    fs, p = _fs_path(spark, path)
+    folder, file = (path, "*.parquet") if fs.getFileStatus(p).isDirectory() else path.rsplit("/", 1)
     out, state = fresh_path(spark, "observed"), fresh_path(spark, "observed-state")
-    source = spark.readStream.schema(SCHEMA).option("pathGlobFilter", file).option("recursiveFileLookup", "true")
+    source = spark.readStream.schema(SCHEMA).option("pathGlobFilter", file)
     stream = observe(source.parquet(folder), delay)
     changed = stream.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("append").parquet(out))
     changed.start().awaitTermination()
+    if not path_exists(spark, out):
+        return spark.createDataFrame([], "user_id bigint, day date, event_type string, event_id bigint")
     return spark.read.schema("user_id bigint, day date, event_type string, event_id bigint").parquet(out).groupBy("user_id", "day", "event_type").agg(F.min("event_id").alias("event_id"))
