@@ -11,6 +11,7 @@ from plotwright.config import LIMITS, SOURCE_RANK, UNRANKED
 from plotwright.functions.numbers import area_key
 from plotwright.functions.photos import same_photos
 from plotwright.operators.components import connected_components
+from plotwright.session import materialize
 
 # Fixed value: how developers' advertisements read.
 DEVELOPER_TITLE = r"(?i)deweloper|inwestycj|rynek\s+pierwotn|nowe\s+osiedle|stan\s+deweloperski|etap\s+[ivx0-9]"
@@ -139,7 +140,8 @@ def build_cards(rows: DataFrame, key: str = "cluster") -> DataFrame:
 
 def dedupe(rows: DataFrame, limits=LIMITS) -> DataFrame:
     """Listings to cards: sizes unified across photos, clusters assigned, cards built."""
-    return build_cards(assign_clusters(unify_sizes(rows), limits))
+    unified = materialize(unify_sizes(rows), "unified")  # each stage reads its input several times
+    return build_cards(materialize(assign_clusters(unified, limits), "clustered"))
 
 
 def link_same_size(cards: DataFrame, least: int = 2, most: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.session import discard, materialize
+from plotwright.session import discard, materialize, materialize_with
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
@@ -16,23 +16,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     links = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).filter("v is not null and u is not null")
     vertices = materialize(links.select(F.explode(F.array("v", "u")).alias("v")).distinct(), "vertices")
-    now = materialize(links.filter("v != u").select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct(), "stars")
-    mark = _mark(now)
+    mark = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("v", "u"))}
+    now, before = materialize_with(links.filter("v != u").select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct(), "stars", **mark)
     for _ in range(max_rounds):
         both = now.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("e")).select("e.v", "e.u")
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v != u").distinct()
-        large = materialize(large, "stars")
+        large = materialize(both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v != u").distinct(), "stars")
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
-        following = materialize(small.select("e.v", "e.u").filter("v != u").distinct(), "stars")
+        following, after = materialize_with(small.select("e.v", "e.u").filter("v != u").distinct(), "stars", **mark)
         discard(large)
         discard(now)
-        now, before, mark = following, mark, _mark(following)
-        if mark == before:
+        now = following
+        if after == before:
             return vertices.join(now, "v", "left").select("v", F.coalesce("u", "v").alias("comp"))
+        before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def _mark(t: DataFrame) -> tuple:
-    return tuple(t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first())

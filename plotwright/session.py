@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -73,6 +73,19 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return back
 
 
+def materialize_with(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
+    """:func:`materialize`, and aggregates of the rows taken while they are written, without another pass."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    return table, seen.get
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan with at least one partition per core: small files would else keep an expensive map on one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove a table made by :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_plotwright_path", None)
