@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from plotwright.functions.text import BLANKS
 from plotwright.operators.skew import lookup_join
-from plotwright.session import discard, materialize
+from plotwright.session import discard, materialize, materialize_with
 
 
 def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -36,28 +36,38 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
     pairs = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).filter(F.col("v").isNotNull() & F.col("u").isNotNull())
     both = pairs.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("e"))
     clusters, settled = materialize(both.select("e.v", "e.u").distinct(), "h2m"), []
-    for _ in range(max_rounds):
+    for done in range(max_rounds):
         degree = F.count_if(F.col("u") != F.col("v"))
         # Tables are written so that the joins meet plain exchanges, which adaptive execution can split where a key is hot.
         smallest = materialize(clusters.groupBy("v").agg(F.min("u").alias("m"), degree.alias("deg")).select("v", F.least("v", "m").alias("comp"), "deg"), "h2m-min")
-        leaves = smallest.filter((F.col("v") != F.col("comp")) & (F.col("deg") == 1)).groupBy("comp").agg(F.count(F.lit(1)).alias("deg"))
-        centres = smallest.filter(F.col("v") == F.col("comp")).select("comp", "deg")
-        # By symmetry all leaves of a centre are in its cluster; if they are all of it, the component is a finished star.
-        stars = materialize(centres.join(leaves.unionByName(centres.filter("deg = 0")), ["comp", "deg"], "left_semi").select("comp"), "h2m-stars")
-        flagged = materialize(smallest.join(stars.withColumn("star", F.lit(True)), "comp", "left").select("v", "comp", F.coalesce("star", F.lit(False)).alias("star")), "h2m-flag")
-        settled.append(flagged.filter("star").select("v", "comp"))
-        active = flagged.filter(~F.col("star")).select("v", "comp")
+        active = smallest.select("v", "comp")
+        if done < 3 or done % 2:  # most components are stars after few rounds; later it pays to look every other time
+            flagged = _flag_stars(smallest)
+            settled.append(flagged.filter("star").select("v", "comp"))
+            active = flagged.filter(~F.col("star")).select("v", "comp")
         sent = clusters.join(active, "v").select(F.explode(_messages()).alias("e")).select("e.v", "e.u").filter(F.col("v") != F.col("u"))
-        following = materialize(sent.distinct(), "h2m")
-        for t in (clusters, smallest, stars):
-            discard(t)
+        following, left = materialize_with(sent.distinct(), "h2m", n=F.count(F.lit(1)))
+        discard(clusters)
+        discard(smallest)
         clusters = following
-        if following.isEmpty():
-            discard(following)
+        if not left["n"]:
             return reduce(DataFrame.unionByName, settled)
     raise RuntimeError(f"hash-to-min did not settle in {max_rounds} rounds")
 
 
+def _flag_stars(smallest: DataFrame) -> DataFrame:
+    """``v, comp, star``: whether the vertex is in a component that is a finished star.
+
+    By symmetry all leaves of a centre are in its cluster; if they are all of it, the component is one.
+    """
+    leaves = smallest.filter((F.col("v") != F.col("comp")) & (F.col("deg") == 1)).groupBy("comp").agg(F.count(F.lit(1)).alias("deg"))
+    centres = smallest.filter(F.col("v") == F.col("comp")).select("comp", "deg")
+    stars = materialize(centres.join(leaves.unionByName(centres.filter("deg = 0")), ["comp", "deg"], "left_semi").select("comp", F.lit(True).alias("star")), "h2m-stars")
+    flagged = materialize(smallest.join(stars, "comp", "left").select("v", "comp", F.coalesce("star", F.lit(False)).alias("star")), "h2m-flag")
+    discard(stars)
+    return flagged
+
+
 def _messages() -> Column:
     """What row (v, u) of a cluster with smallest member comp contributes to the next round."""
     v, u, m = F.col("v"), F.col("u"), F.col("comp")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.functions.text import fold_py
-from plotwright.session import materialize
+from plotwright.session import materialize, spread
 
 SEED, WINDOW = 5, 12
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -134,14 +134,32 @@ def _hit_task(grams: np.ndarray, seed: int):
     return run
 
 
-def _align_task(items: dict[int, np.ndarray], seeds: dict[int, set[int]]):
+def _around(spots: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
+    """Merged spans of ``reach`` words to both sides of the spots."""
+    lo, hi = np.maximum(spots - reach, 0), np.minimum(spots + reach, n)
+    cut = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+    return [(int(a[0]), int(b[-1])) for a, b in zip(np.split(lo, cut), np.split(hi, cut))]
+
+
+def _align_task(items: dict[int, np.ndarray], seeds: dict[int, set[int]], seed: int):
+    known = np.array(sorted(seeds), np.uint64)
+
     def run(batches):
         for b in batches:
             out = []
-            for doc, words, hits in zip(b["doc_id"].to_pylist(), b["words"], b["hits"]):
+            for doc, words in zip(b["doc_id"].to_pylist(), b["words"]):
                 w = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                shared = set().union(*(seeds.get(h, ()) for h in hits.values.to_numpy(zero_copy_only=False).view(np.uint64).tolist()))
-                out += [(doc, item, *align(w, items[item]), len(items[item])) for item in sorted(shared)]
+                grams = ngram_hashes(w, seed)
+                at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+                spots = np.flatnonzero(known[at] == grams) if len(known) else []
+                of_item = defaultdict(list)
+                for s in spots:
+                    for item in seeds[int(grams[s])]:
+                        of_item[item].append(s)
+                for item, own in sorted(of_item.items()):
+                    # A passage and its edits lie within twice the item's length around a seed.
+                    parts = [align(w[a:z], items[item]) for a, z in _around(np.array(own), 2 * len(items[item]) + seed, len(w))]
+                    out.append((doc, item, max(p[0] for p in parts), max(p[1] for p in parts), len(items[item])))
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "score", "run", "item_words"])
 
@@ -170,10 +188,10 @@ def _leaks_of(documents: DataFrame, items: DataFrame, seed: int, window: int) ->
     hashes = WordHashes()
     listed = [(r["item_id"], hashes.of(r["text"])) for r in items.select("item_id", "text").collect()]
     grams = np.unique(np.concatenate([ngram_hashes(w, seed) for _, w in listed])) if listed else np.zeros(0, np.uint64)
-    docs = documents.select("doc_id", "text").filter(F.col("text") != "")
+    docs = spread(documents.select("doc_id", "text")).filter(F.col("text") != "")
     hits = materialize(docs.mapInArrow(_hit_task(grams, seed), "doc_id bigint, words array<bigint>, hits array<bigint>"), "leak-hits")
     # Only n-grams of the items are counted: at most as many as the items have words.
     counted = hits.select(F.explode("hits").alias("g")).groupBy("g").count().collect()
     frequency = {r["g"] & 0xFFFFFFFFFFFFFFFF: r["count"] for r in counted}
     seeds = elect_seeds(listed, frequency, seed, window)
-    return hits.mapInArrow(_align_task(dict(listed), seeds), "doc_id bigint, item_id bigint, score bigint, run bigint, item_words bigint")
+    return spread(hits.select("doc_id", "words")).mapInArrow(_align_task(dict(listed), seeds, seed), "doc_id bigint, item_id bigint, score bigint, run bigint, item_words bigint")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.session import materialize
+from plotwright.session import materialize, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CAPACITY = 4096
@@ -207,7 +207,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     ``piece`` and ``start_token`` place the item in its document; ``used`` is the container's number of
     tokens; ``container`` is named after its seed.
     """
-    sized = documents.select("doc_id", "text").mapInArrow(_size_task(tokenizer), "doc_id bigint, n_tokens bigint, terms array<int>, counts array<tinyint>, sign bigint")
+    sized = spread(documents.select("doc_id", "text")).mapInArrow(_size_task(tokenizer), "doc_id bigint, n_tokens bigint, terms array<int>, counts array<tinyint>, sign bigint")
     # Written, since range partitioning reads its input twice.
     items = materialize(sized, "sized").withColumn("start_token", F.lit(0).cast("bigint")).withColumn("piece", F.lit(0))
     shards = max(1, -(-items.count() // shard))

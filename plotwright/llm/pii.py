@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plotwright.functions.text import fold_py
+from plotwright.session import spread
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 
@@ -281,7 +282,7 @@ def find_mentions(documents: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "kind", "start_pos", "end_pos"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, kind string, start_pos bigint, end_pos bigint")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, kind string, start_pos bigint, end_pos bigint")
 
 
 def redact_documents(documents: DataFrame) -> DataFrame:
@@ -291,4 +292,4 @@ def redact_documents(documents: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([redact(t) for t in b["text"].to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, text string")
