@@ -13,6 +13,7 @@ from plotwright.llm.linkage import link_deeds
 from plotwright.llm.near_dup import near_duplicate_pairs
 from plotwright.llm.packing import CAPACITY, pack_documents
 from plotwright.llm.pii import find_mentions, redact_documents
+from plotwright.llm.sql import ORACLE  # noqa: F401 - read by the driver contract
 from plotwright.llm.survivor import judge_values, survivors
 from plotwright.session import table
 
@@ -98,4 +99,3 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_confidence": p6_confidence, "p7_found": p7_found, "p7_values": p7_values, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_redacted": p10_redacted}
-ORACLE: dict[str, str] = {}
