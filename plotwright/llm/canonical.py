@@ -244,7 +244,8 @@ def build_value_dictionary(rows: DataFrame, column: str, reference: DataFrame, r
     for b in range(blocks):
         part = names if blocks == 1 else names.filter(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == b)
         listed = [(r["entry"], r["name"]) for r in part.collect()]  # at most about `block` entries
-        own = values.mapInArrow(_matcher(listed, beside), "value string, n bigint, edits int, entry bigint")
+        # Searching costs more than moving the distinct values, so they are dealt out evenly.
+        own = values.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_matcher(listed, beside), "value string, n bigint, edits int, entry bigint")
         found = own if found is None else found.unionByName(own)
     if blocks > 1:
         found = found.groupBy("value").agg(F.max("n").alias("n"), F.min(F.struct("edits", "entry")).alias("best")).select("value", "n", F.col("best.entry").alias("entry"))

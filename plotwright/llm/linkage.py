@@ -193,22 +193,25 @@ def link_deeds(archive: DataFrame, deeds: DataFrame, towns: DataFrame) -> DataFr
     right = right.withColumn("ab", abin("a")).withColumn("db", F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / span)).withColumnRenamed("town", "town_d").withColumnRenamed("ab", "ab_d").withColumnRenamed("db", "db_d")
     met = (F.col("type") == F.col("kind")) & (F.col("town") == F.col("town_d")) & (F.col("ab") == F.col("ab_d")) & (F.col("db") == F.col("db_d"))
     met = met & (F.abs(F.col("area") - F.col("a")) <= AREA + 1e-9) & F.datediff("d", "delisted").between(-EARLY - MARGIN, LATE + MARGIN)
-    slim = left.hint("merge").join(right.hint("merge"), met).select("archive_id", "deed_id", "area", "a", "rooms", "izb", "price", "c", "delisted", "d", "main", "main_d", "street", "street_d")
-    voted = materialize(_votes(slim).select("archive_id", "deed_id", "street", "street_d", *FUNCTIONS), "votes")
-    patterns = voted.groupBy(*FUNCTIONS).count().collect()  # at most 3 ** len(FUNCTIONS) rows
+    slim = left.hint("merge").join(right.hint("merge"), met).select("archive_id", "deed_id", "area", "a", "rooms", "izb", "price", "c", "delisted", "d", "main", "main_d", (F.col("street") != F.col("street_d")).alias("spelled"))
+    code = sum(((F.col(f) + 1) * 3**k for k, f in enumerate(FUNCTIONS)), F.lit(0)).cast("int")
+    # Candidates are many; each is kept as two ids, its vote pattern as one number, and whether the names differ.
+    voted = materialize(_votes(slim).select("archive_id", "deed_id", code.alias("code"), F.coalesce("spelled", F.lit(False)).alias("spelled")), "votes")
+    patterns = voted.groupBy("code").count().collect()  # at most 3 ** len(FUNCTIONS) rows
     if not patterns:
         return voted.select("archive_id", "deed_id", F.lit(0.0).alias("confidence"), F.lit(False).alias("matched"))
-    votes, counts = np.array([[r[f] for f in FUNCTIONS] for r in patterns]), np.array([r["count"] for r in patterns])
-    confidence = LabelModel(len(FUNCTIONS)).fit(votes, counts).posterior(votes)
-    spark = voted.sparkSession
-    scores = spark.createDataFrame([(*map(int, v), float(p)) for v, p in zip(votes, confidence)], ", ".join(f"{f} int" for f in FUNCTIONS) + ", confidence double")
-    scored = voted.join(F.broadcast(scores), list(FUNCTIONS))
-    clear = sum((F.when(F.col(f) == -1, 1).otherwise(0) for f in HARD[1:]), F.when(F.col(HARD[0]) == -1, 1).otherwise(0)) == 0
-    scored = scored.withColumn("clear", clear)
+    codes = np.array([r["code"] for r in patterns])
+    votes = np.stack([codes // 3**k % 3 - 1 for k in range(len(FUNCTIONS))], axis=1)
+    confidence = LabelModel(len(FUNCTIONS)).fit(votes, np.array([r["count"] for r in patterns])).posterior(votes)
+    clear = (votes[:, [FUNCTIONS.index(f) for f in HARD]] >= 0).all(axis=1)
+    named = votes[:, FUNCTIONS.index("v_street")] == 1
+    scores = voted.sparkSession.createDataFrame([(int(k), float(p), bool(x), bool(n)) for k, p, x, n in zip(codes, confidence, clear, named)], "code int, confidence double, clear boolean, named boolean")
+    scored = voted.join(F.broadcast(scores), "code")
     # Only pairs without a vote against them and with names that differ need the closer look.
-    unsure = F.col("clear") & (F.col("v_street") == 1) & (F.col("street") != F.col("street_d"))
+    unsure = F.col("clear") & F.col("named") & F.col("spelled")
     sure = scored.filter(~unsure).select("archive_id", "deed_id", "confidence", F.col("clear").alias("matched"))
-    looked = scored.filter(unsure).select("archive_id", "deed_id", "confidence", "street", "street_d").mapInArrow(_street_check(given), "archive_id bigint, deed_id bigint, confidence double, matched boolean")
+    names = scored.filter(unsure).join(left.select("archive_id", "street").distinct(), "archive_id").join(right.select("deed_id", "street_d").distinct(), "deed_id")
+    looked = names.select("archive_id", "deed_id", "confidence", "street", "street_d").mapInArrow(_street_check(given), "archive_id bigint, deed_id bigint, confidence double, matched boolean")
     return sure.unionByName(looked)
 
 
