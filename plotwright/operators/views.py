@@ -148,3 +148,29 @@ def price_label(price: Column, price_max: Column) -> Column:
 def last_past_sale(sales: Column) -> Column:
     """The last earlier sale with a price of an array of sales."""
     return F.try_element_at(F.filter(sales, lambda s: (s["kind"] == "past") & (s["price"] > 0)), F.lit(-1))
+
+
+def offer_lines(offers: Column, cheapest_url: Column) -> Column:
+    """Offers of a card with a mark on the cheapest, when there are several at different prices; else null."""
+    known = F.filter(F.transform(offers, lambda o: o["price"]), lambda p: p.isNotNull())
+    differ = F.array_max(known) > F.array_min(known)
+    return F.when(F.size(offers) >= 2, F.transform(offers, lambda o: F.struct(o["source"].alias("source"), o["price"].alias("price"), F.coalesce(differ & (o["url"] == cheapest_url), F.lit(False)).alias("best"))))
+
+
+def history_line(relisted: Column, pct: Column, also_listed: Column, trail: Column, prev_price: Column) -> Column:
+    """What a card says of its past, strongest first: discount of a percent or more, other advertisements, price trail, earlier price."""
+    known = F.coalesce(F.size(also_listed), F.lit(0)) > 0
+    past = F.when(known, F.lit("also_listed")).when(F.coalesce(F.size(trail), F.lit(0)) > 1, F.lit("trail")).when(prev_price.isNotNull(), F.lit("previous"))
+    return F.array_compact(F.array(F.when(relisted, F.lit("relisted")), F.when(pct >= 1, F.lit("discount")), past))
+
+
+def banner(sales: Column, delisted: Column) -> Column:
+    """Price of the last confirmed sale, else the day of the delisting, as text; null for live cards."""
+    sold = F.try_element_at(F.filter(sales, lambda s: (s["kind"] == "sold") & (s["price"] > 0)), F.lit(-1))
+    return F.coalesce(F.concat(F.lit("sold "), sold["price"].cast("string")), F.concat(F.lit("gone "), delisted.cast("string")))
+
+
+def timeline_shown(events: Column, photos: Column, sales: Column) -> Column:
+    """A timeline is worth showing with two events, a photo or a sale."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return (n(events) >= 2) | (n(photos) > 0) | (n(sales) > 0)
