@@ -72,12 +72,12 @@ def _size_task(path: str):
                 ids.append(d)
                 sizes.append(len(tokens))
                 terms.append(t)
-                counts.append(np.minimum(k, 127).astype(np.int8))
+                counts.append(k.astype(np.int32))
                 # The smallest two of the mixed tokens: a MinHash of two samples, so near copies sort together.
                 mixed = t.astype(np.uint32) * np.uint32(2654435769)
                 mixed = np.partition(mixed ^ (mixed >> np.uint32(15)), min(1, len(t) - 1))[:2]
                 signs.append(int(mixed[0]) << 31 | int(mixed[-1]) >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _lists(terms, np.int32), _lists(counts, np.int8), pa.array([x & 0x7FFFFFFFFFFFFFFF for x in signs], pa.int64())], names=["doc_id", "n_tokens", "terms", "counts", "sign"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _lists(terms, np.int32), _lists(counts, np.int32), pa.array([x & 0x7FFFFFFFFFFFFFFF for x in signs], pa.int64())], names=["doc_id", "n_tokens", "terms", "counts", "sign"])
 
     return run
 
@@ -207,7 +207,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     ``piece`` and ``start_token`` place the item in its document; ``used`` is the container's number of
     tokens; ``container`` is named after its seed.
     """
-    sized = spread(documents.select("doc_id", "text")).mapInArrow(_size_task(tokenizer), "doc_id bigint, n_tokens bigint, terms array<int>, counts array<tinyint>, sign bigint")
+    sized = spread(documents.select("doc_id", "text")).mapInArrow(_size_task(tokenizer), "doc_id bigint, n_tokens bigint, terms array<int>, counts array<int>, sign bigint")
     # Written, since range partitioning reads its input twice.
     items = materialize(sized, "sized").withColumn("start_token", F.lit(0).cast("bigint")).withColumn("piece", F.lit(0))
     shards = max(1, -(-items.count() // shard))
@@ -215,7 +215,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     packed = materialize(placed.mapInArrow(_pack_task(capacity, shard, "c"), _OUT), "packed")
     # Each shard leaves a container or two with much room; those are opened and packed together, by size.
     loose = F.col("used") < int(LOOSE * capacity)
-    left = packed.filter(loose).select("doc_id", "n_tokens", F.array().cast("array<int>").alias("terms"), F.array().cast("array<tinyint>").alias("counts"), "start_token", "piece")
+    left = packed.filter(loose).select("doc_id", "n_tokens", F.array().cast("array<int>").alias("terms"), F.array().cast("array<int>").alias("counts"), "start_token", "piece")
     again = max(1, -(-left.count() // shard))
     closed = left.repartitionByRange(again, "doc_id", "start_token").sortWithinPartitions("doc_id", "start_token").mapInArrow(_pack_task(capacity, shard, "r"), _OUT)
     return packed.filter(~loose).unionByName(closed)
