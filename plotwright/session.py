@@ -7,13 +7,17 @@ so a lost executor costs a re-read, not the job.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
@@ -50,6 +54,29 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/plotwright-{app}"
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of all executors, whatever their working folder is.
+
+    Once per application the package is zipped into the shared work folder and handed to Spark.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    here = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, str(Path(here.name) / f.relative_to(here)))
+    path = f"{work_dir(spark)}/{here.name}.zip"
+    fs, p = _fs_path(spark, path)
+    fs.deleteOnExit(p.getParent())
+    out = fs.create(p, True)
+    out.write(packed.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(path)
+
+
 def _fs_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -58,6 +85,7 @@ def _fs_path(spark: SparkSession, path: str):
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the work folder that is not used yet; removed when the session ends."""
+    ship_code(spark)
     root = work_dir(spark)
     fs, p = _fs_path(spark, root)
     fs.deleteOnExit(p)
@@ -82,6 +110,7 @@ def materialize_with(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, di
 
 def spread(df: DataFrame) -> DataFrame:
     """A plain scan with at least one partition per core: small files would else keep an expensive map on one."""
+    ship_code(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
@@ -100,4 +129,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table."""
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -97,3 +97,19 @@ def test_lookup_join_keeps_every_row(spark, hot, monkeypatch):
     right = left.filter("k is not null").groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "upper(k) as up")
     got = lookup_join(left, right, ["k"], "n", ["up"])
     assert as_set(got.select("i", "up")) == {(i, "HOT" if i % 2 else f"K{i}") for i in range(40)}
+
+
+def test_workers_get_the_package(spark, tmp_path):
+    from plotwright.session import ship_code, work_dir
+
+    ship_code(spark)
+    ship_code(spark)  # once per application
+
+    def run(batches):
+        import plotwright.functions.text as t
+
+        for b in batches:
+            yield b.append_column("f", [t.fold_py("Ł")])
+
+    assert [tuple(r) for r in spark.range(1).mapInArrow(run, "id bigint, f string").collect()] == [(0, "l")]
+    assert spark.read.format("binaryFile").load(f"{work_dir(spark)}/plotwright.zip").count() == 1
