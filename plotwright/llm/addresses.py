@@ -30,7 +30,7 @@ from plotwright.llm.canonical import Resolver, allowed_edits, frequent_values, r
 from plotwright.llm.pairs import expand_pairs
 from plotwright.session import materialize
 
-COSINE = 0.3
+COSINE = 0.2
 #: Added to document frequencies, so that the 3-grams of a misspelling do not outweigh the rest of the name.
 RARE = 10
 
