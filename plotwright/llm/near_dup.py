@@ -162,7 +162,7 @@ def _cell_task(area_tol: float, price_tol: float, min_share: float, bands: int,
         for a, b in equal_pairs(picture[shown], shown):
             a, b = close(a, b)
             kept.append(np.minimum(a, b) * n + np.maximum(a, b))
-        likely = []
+        likely, held = [], 0
         for k in range(bands):
             key = mins[ROWS * k]
             for extra in mins[ROWS * k + 1 : ROWS * (k + 1)]:
@@ -171,6 +171,10 @@ def _cell_task(area_tol: float, price_tol: float, min_share: float, bands: int,
                 a, b = close(a, b)
                 m = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= limit
                 likely.append(np.minimum(a, b)[m] * n + np.maximum(a, b)[m])
+                held += len(likely[-1])
+                if held > 4_000_000:  # bands repeat each other's pairs; there are at most block ** 2 different ones
+                    likely = [np.unique(np.concatenate(likely))]
+                    held = 0
         if likely:
             pairs = np.unique(np.concatenate(likely))
             a, b = pairs // n, pairs % n
