@@ -295,6 +295,35 @@ def q_deed_distinct(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "deed").drop("deed_id").dropDuplicates().groupBy("kind", "msc").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lowest"), F.max("c").alias("highest"))
 
 
+_TITLE_STREET = "(?i)(?:^|[ ,|])(?:ul[.]?|ulica|al[.]?|aleja|pl[.]?|plac|os[.]?) *([^,|]+)"
+_NOISE = ", ".join(f"'{w}'" for w in A.STREET_NOISE)
+_WORDS = "list_filter(regexp_split_to_array(trim(regexp_replace(" + FOLD + r", '[^a-z0-9 ]', ' ', 'g')), '\s+'), lambda t: t <> '' AND t NOT IN (" + _NOISE + ") AND NOT regexp_full_match(t, '[0-9]+'))"
+_SHORT, _LONG = "least(length({0}), length({1}))", "greatest(length({0}), length({1}))"
+_COMMON = f"CASE WHEN left({{0}}, {_SHORT}) = left({{1}}, {_SHORT}) THEN {_SHORT} ELSE {_SHORT} - 1 END"
+_EQ = f"({{0}} = {{1}} OR (left({{0}}, {_SHORT} - 1) = left({{1}}, {_SHORT} - 1) AND ({_COMMON}) >= 4 AND {_LONG} - ({_COMMON}) <= 3))"
+_AGREE = f"(len(few) > 0 AND {_EQ.format('few[-1]', 'many[-1]')} AND len(list_filter(few[:-2], lambda t: len(list_filter(many, lambda u: {_EQ.format('t', 'u')})) = 0)) = 0)"
+_CARDS = f"""t AS (SELECT DISTINCT {_TOWN.format("msc")} AS town FROM deed WHERE msc IS NOT NULL AND {_TOWN.format("msc")} <> ''),
+    r AS (SELECT a.*, coalesce(regexp_extract(title, '{_TITLE_STREET}', 1), '') AS street, coalesce(t1.town, t2.town) AS town FROM archive_row a LEFT JOIN t t1 ON {_TOWN.format("a.locality")} = t1.town LEFT JOIN t t2 ON {_TOWN.format("a.district")} = t2.town),
+    c AS (SELECT archive_id, type, area, rooms, first_seen, delisted, d.*, street <> '' AND coalesce(ul, '') <> '' AS told, {_WORDS.format("street")} AS wa, {_WORDS.format("coalesce(ul, '')")} AS wb, count(*) OVER (PARTITION BY archive_id) = 1 AND abs(area - round_even(area, 0)) > 0.01 AS alone
+      FROM r JOIN (SELECT *, {_TOWN.format("msc")} AS town FROM deed) d ON r.town = d.town AND r.type = d.kind WHERE abs(r.area - d.a) <= 0.6::DOUBLE),
+    f AS (SELECT *, CASE WHEN len(wa) <= len(wb) THEN wa ELSE wb END AS few, CASE WHEN len(wa) <= len(wb) THEN wb ELSE wa END AS many FROM c),
+    s AS (SELECT *, CASE WHEN told THEN CASE WHEN {_AGREE} THEN 2 ELSE 0 END WHEN type = 'flat' AND rooms <> izb THEN 0 WHEN alone THEN 1 ELSE 0 END AS score FROM f),
+    w AS (SELECT *, 'past' AS sale FROM s WHERE score > 0 AND (first_seen IS NULL OR d <= first_seen - 1) UNION ALL SELECT *, 'sold' FROM s WHERE score > 0 AND d BETWEEN delisted - 60 AND delisted + 400),
+    b AS (SELECT *, count(*) OVER (PARTITION BY archive_id, sale) AS n FROM (SELECT *, max(score) OVER (PARTITION BY archive_id, sale) AS top FROM w) WHERE score = top)"""
+
+
+@query(f"""WITH {_CARDS} SELECT archive_id, sale AS kind, d, c AS price, CAST(round_even(c / a, 0) AS BIGINT) AS price_m2, score FROM (SELECT *, row_number() OVER (PARTITION BY archive_id, d, c ORDER BY sale) AS k FROM b WHERE (sale = 'sold' AND n = 1) OR (sale = 'past' AND n <= 3)) WHERE k = 1""")
+def q_match_deeds(spark: SparkSession, d: str) -> DataFrame:
+    """Deeds attached to archived properties: scored candidates, the best of each window, unique sales."""
+    none = lambda t: F.lit(None).cast(t)
+    records = table(spark, d, "archive_row").select(
+        F.col("archive_id").alias("record_id"), "type", "area", "locality", "district", F.regexp_extract(F.coalesce("title", F.lit("")), _TITLE_STREET, 1).alias("street"), none("string").alias("nr"), none("string").alias("dzialka_id"),
+        "rooms", none("int").alias("floor_no"), none("double").alias("plot_area"), "first_seen", "delisted",
+    )
+    got = D.match_deeds(records, table(spark, d, "deed"))
+    return got.select(F.col("record_id").alias("archive_id"), "kind", "d", "price", "price_m2", F.col("score").alias("score"))
+
+
 # Scalars
 
 
@@ -303,19 +332,12 @@ def q_fold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "listing").filter("street is not null").select("seq", fold_words(F.col("street")).alias("folded"))
 
 
-_NOISE = ", ".join(f"'{w}'" for w in A.STREET_NOISE)
-_WORDS = "list_filter(regexp_split_to_array(trim(regexp_replace(" + FOLD + r", '[^a-z0-9 ]', ' ', 'g')), '\s+'), lambda t: t <> '' AND t NOT IN (" + _NOISE + ") AND NOT regexp_full_match(t, '[0-9]+'))"
-
-
 @query(f"SELECT seq, array_to_string({_WORDS.format('street')}, ' ') AS words FROM listing WHERE street IS NOT NULL")
 def q_street_words(spark: SparkSession, d: str) -> DataFrame:
     """Telling words of street names."""
     return table(spark, d, "listing").filter("street is not null").select("seq", F.array_join(A.street_words(F.col("street")), " ").alias("words"))
 
 
-_EQ = "({0} = {1} OR (left({0}, least(length({0}), length({1})) - 1) = left({1}, least(length({0}), length({1})) - 1) AND (CASE WHEN left({0}, least(length({0}), length({1}))) = left({1}, least(length({0}), length({1}))) THEN least(length({0}), length({1})) ELSE least(length({0}), length({1})) - 1 END) >= 4 AND greatest(length({0}), length({1})) - (CASE WHEN left({0}, least(length({0}), length({1}))) = left({1}, least(length({0}), length({1}))) THEN least(length({0}), length({1})) ELSE least(length({0}), length({1})) - 1 END) <= 3))"
-
-
 @query(f"""WITH w AS (SELECT DISTINCT left({FOLD.format("ul")}, 4) AS k, ul, {_WORDS.format("ul")} AS ws FROM deed WHERE ul IS NOT NULL), p AS (SELECT x.ul AS a, y.ul AS b, CASE WHEN len(x.ws) <= len(y.ws) THEN x.ws ELSE y.ws END AS few, CASE WHEN len(x.ws) <= len(y.ws) THEN y.ws ELSE x.ws END AS many FROM w x JOIN w y ON x.k = y.k AND x.ul < y.ul WHERE len(x.ws) > 0 AND len(y.ws) > 0)
     SELECT a, b FROM p WHERE {_EQ.format("few[-1]", "many[-1]")} AND len(list_filter(few[:-2], lambda t: len(list_filter(many, lambda u: {_EQ.format("t", "u")})) = 0)) = 0""")
 def q_street_match(spark: SparkSession, d: str) -> DataFrame:
