@@ -19,6 +19,7 @@ from plotwright.operators import history as H
 from plotwright.operators import views as V
 from plotwright.operators.components import connected_components
 from plotwright.session import table
+from plotwright.sources import portals as P
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -462,3 +463,81 @@ def q_stream_observe(spark: SparkSession, d: str) -> DataFrame:
     from plotwright.streaming.observe import run_available
 
     return run_available(spark, f"{d}/events.parquet")
+
+
+# Page sources: pages are made of listing rows and read back
+
+
+def _pages(rows: DataFrame, html) -> DataFrame:
+    return rows.select(html.alias("html"), "type", F.lit(None).cast("string").alias("town"))
+
+
+@query("""SELECT CASE WHEN regexp_matches(url, '/\\d+\\.html') THEN regexp_extract(url, '/(\\d+)\\.html', 1) ELSE url END AS source_id, url, nullif(title, '') AS title, price, area, rooms, nullif(locality, '') AS locality, nullif(street, '') AS street, archived IS TRUE AS archived, image
+    FROM listing WHERE url NOT LIKE '%na-wynajem%' OR url IS NULL""")
+def q_read_json_ld(spark: SparkSession, d: str) -> DataFrame:
+    """Listing rows written as JSON-LD pages with Polish numbers and read by the page source."""
+    rows = table(spark, d, "listing")
+    item = F.struct(F.struct(F.col("street").alias("streetAddress"), F.col("locality").alias("addressLocality")).alias("address"), F.struct(F.replace(F.col("area").cast("string"), F.lit("."), F.lit(",")).alias("value")).alias("floorSize"), F.col("rooms").alias("numberOfRooms"))
+    offer = F.struct(F.when(F.col("archived"), "https://schema.org/SoldOut").otherwise("https://schema.org/InStock").alias("availability"), F.col("price").cast("string").alias("price"), "url", F.col("title").alias("name"), "image", item.alias("itemOffered"))
+    page = F.to_json(F.struct(F.lit("CollectionPage").alias("@type"), F.struct(F.array(F.struct(F.array(offer).alias("offers"))).alias("offers")).alias("mainEntity")))
+    got = P.nieruchomosci_online(_pages(rows, F.concat(F.lit('<html><script type="application/ld+json">{broken</script><script type="application/ld+json">'), page, F.lit("</script></html>"))))
+    return got.select("source_id", "url", "title", "price", "area", "rooms", "locality", "street", "archived", "image")
+
+
+@query("SELECT source_id, url, title, price, area, rooms, CASE WHEN type = 'house' THEN plot_area END AS plot_area, floor, locality, district, NOT coalesce(is_private, true) AS business FROM (SELECT * REPLACE (seq::VARCHAR AS source_id) FROM listing) WHERE price <> 0")
+def q_read_state(spark: SparkSession, d: str) -> DataFrame:
+    """Listing rows written as doubly encoded page states and read by the page source."""
+    rows = table(spark, d, "listing")
+    param = lambda k, v: F.struct(F.lit(k).alias("key"), F.lit("shown").alias("value"), v.cast("string").alias("normalizedValue"))
+    params = F.filter(F.array(param("m", F.col("area")), param("rooms", F.col("rooms")), param("area", F.col("plot_area")), param("floor_select", F.col("floor"))), lambda p: p["normalizedValue"].isNotNull())
+    ad = F.struct(F.col("seq").alias("id"), "url", "title", F.struct(F.struct(F.col("price").alias("value")).alias("regularPrice")).alias("price"), params.alias("params"), F.struct(F.col("locality").alias("cityName"), F.col("district").alias("districtName")).alias("location"), (~F.coalesce("is_private", F.lit(True))).alias("isBusiness"))
+    state = F.to_json(F.struct(F.struct(F.struct(F.array(ad).alias("ads")).alias("listing")).alias("listing")))
+    quoted = F.replace(F.replace(state, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    got = P.olx(_pages(rows, F.concat(F.lit('<script>window.__PRERENDERED_STATE__= "'), quoted, F.lit('";</script>'))))
+    return got.select("source_id", "url", "title", "price", "area", "rooms", "plot_area", "floor", "locality", "district", (~F.col("is_private")).alias("business"))
+
+
+@query("""SELECT source_id, title, price, area, rooms, locality, nullif(street, '') AS street, is_private, market, image FROM (SELECT * REPLACE (seq::VARCHAR AS source_id, lower(nullif(market, '')) AS market) FROM listing) WHERE type IN ('flat', 'house')""")
+def q_read_script(spark: SparkSession, d: str) -> DataFrame:
+    """Listing rows written as script pages and read by the page source."""
+    rows = table(spark, d, "listing")
+    words = F.create_map(*[F.lit(x) for i, w in enumerate(N.NUMERALS, 1) for x in (i, w.upper())])
+    named = lambda c: F.struct(F.nullif(F.col(c), F.lit("")).alias("name"))
+    ad = F.struct(
+        F.col("seq").alias("id"), F.when(F.col("type") == "flat", "FLAT").when(F.col("type") == "house", "HOUSE").otherwise("INVESTMENT").alias("estate"), "title", F.upper("market").alias("market"), F.struct(F.col("price").alias("value")).alias("totalPrice"),
+        F.col("area").alias("areaInSquareMeters"), F.try_element_at(words, F.col("rooms")).alias("roomsNumber"), F.struct(F.struct(F.struct(F.col("locality").alias("name")).alias("city"), named("street").alias("street")).alias("address")).alias("location"),
+        F.col("is_private").alias("isPrivateOwner"), F.array(F.struct(F.col("image").alias("large"))).alias("images"),
+    )
+    page = F.to_json(F.struct(F.struct(F.struct(F.struct(F.struct(F.array(ad).alias("items")).alias("searchAds")).alias("data")).alias("pageProps")).alias("props")))
+    got = P.otodom(_pages(rows, F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), page, F.lit("</script>"))))
+    return got.select("source_id", "title", "price", "area", "rooms", "locality", "street", "is_private", "market", "image")
+
+
+@query("""SELECT seq::VARCHAR AS source_id, 'https://gratka.pl/ob/' || seq AS url, price, area, rooms, 'Miasto' AS locality, nullif(district, '') AS district, '2024-05-06' AS created, CASE WHEN image LIKE 'http%' AND image NOT LIKE '%.svg' AND image NOT LIKE '%nuxt-assets%' THEN image END AS image FROM listing""")
+def q_read_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Listing rows written as pages of marked cards and read by the Arrow-batched parser."""
+    rows = table(spark, d, "listing")
+    mark = lambda m, c: F.concat(F.lit(f'<p data-cy="{m}">'), F.coalesce(c, F.lit("")), F.lit("</p>"))
+    price = F.concat(F.replace(F.format_number("price", 0), F.lit(","), F.lit(" ")), F.lit(" zł"))
+    place = F.concat_ws(", ", F.nullif("district", F.lit("")), F.lit("Miasto"), F.lit("śląskie"))
+    card = F.concat(
+        F.lit('<div data-cy="card"><a data-cy="propertyUrl" href="/ob/'), F.col("seq"), F.lit('">x</a>'), F.coalesce(F.concat(F.lit('<img src="'), "image", F.lit('">')), F.lit("")), mark("propertyCardLocation", place), mark("propertyCardPrice", price),
+        mark("cardPropertyInfoArea", F.concat(F.replace(F.col("area").cast("string"), F.lit("."), F.lit(",")), F.lit(" m²"))), mark("cardPropertyInfoRooms", F.concat(F.col("rooms"), F.lit(" pok."))), mark("descriptionAddedAtDate", F.lit("dodane 2024.05.06")), F.lit("</div>"),
+    )
+    got = P.gratka(_pages(rows, F.concat(F.lit("<html><body>"), card, F.lit("</body></html>"))))
+    return got.select("source_id", "url", "price", "area", "rooms", "locality", "district", "created", "image")
+
+
+@query("SELECT kind, d, c, a, izb, nullif(left(rynek, 1), '') AS rynek, nullif(trim(msc), '') AS msc, nullif(trim(ul), '') AS ul, nullif(trim(nr), '') AS nr, nullif(trim(dz), '') AS dz FROM (SELECT DISTINCT kind, d, c, a, izb, rynek, msc, ul, nr, dz FROM deed WHERE kind = 'flat' AND c <> 0 AND a <> 0 AND d IS NOT NULL)")
+def q_read_register(spark: SparkSession, d: str) -> DataFrame:
+    """Deeds of flats written as register pages and read back as typed deeds."""
+    from plotwright.sources.tables import register_features
+
+    rows = table(spark, d, "deed").filter("kind = 'flat'")
+    tag = lambda n, c: F.coalesce(F.concat(F.lit(f"<ms:{n}>"), F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(f"</ms:{n}>")), F.lit(f"<ms:{n}/>"))
+    address = F.concat(F.lit("MSC:"), F.coalesce("msc", F.lit("")), F.lit(";UL:"), F.coalesce("ul", F.lit("")), F.lit(";NR_PORZ:"), F.coalesce("nr", F.lit("")))
+    xml = F.concat(
+        F.lit('<c><m><ms:lokale gml:id="1"><ms:msGeometry><gml:pos>1 2</gml:pos></ms:msGeometry>'), tag("dok_data", F.concat(F.col("d").cast("string"), F.lit("T00:00:00+01:00"))), tag("tran_rodzaj_trans", F.lit("wolnyRynek")), tag("tran_rodzaj_rynku", F.col("rynek")),
+        tag("lok_cena_brutto", F.col("c")), tag("lok_pow_uzyt", F.col("a")), tag("lok_liczba_izb", F.col("izb")), tag("lok_adres", address), tag("lok_funkcja", F.lit("mieszkalna")), tag("lok_id_lokalu", F.concat("dz", F.lit("_BUD.1"))), F.lit("</ms:lokale></m></c>"),
+    )
+    return D.clean_deeds(register_features(rows.select(xml.alias("xml")), "flat"), "flat").select("kind", "d", "c", "a", "izb", "rynek", "msc", "ul", "nr", "dz").distinct()
