@@ -16,6 +16,7 @@ from plotwright.functions.text import _MARKED, _PLAIN, fold_words
 from plotwright.operators import clusters as C
 from plotwright.operators import deeds as D
 from plotwright.operators import history as H
+from plotwright.operators import state as S
 from plotwright.operators import views as V
 from plotwright.operators.components import connected_components
 from plotwright.session import table
@@ -541,3 +542,44 @@ def q_read_register(spark: SparkSession, d: str) -> DataFrame:
         tag("lok_cena_brutto", F.col("c")), tag("lok_pow_uzyt", F.col("a")), tag("lok_liczba_izb", F.col("izb")), tag("lok_adres", address), tag("lok_funkcja", F.lit("mieszkalna")), tag("lok_id_lokalu", F.concat("dz", F.lit("_BUD.1"))), F.lit("</ms:lokale></m></c>"),
     )
     return D.clean_deeds(register_features(rows.select(xml.alias("xml")), "flat"), "flat").select("kind", "d", "c", "a", "izb", "rynek", "msc", "ul", "nr", "dz").distinct()
+
+
+# State
+
+
+def _records(log: DataFrame) -> DataFrame:
+    """Records with nothing but what their log tells."""
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    kinds = {"rooms": "int", "plot_area": "double", "price": "bigint"}
+    snapshot = [none(c, kinds.get(c, "string")) for c in S.SNAPSHOT]
+    return H.seen_span(log).select("record_id", F.col("record_id").alias("record_ord"), none("type", "string"), none("area", "double"), none("hashes", "array<array<bigint>>"), none("photo_urls", "array<string>"), "first_seen", "last_seen", none("delisted", "date"), F.lit(False).alias("development"), *snapshot)
+
+
+@query("""WITH o AS (SELECT doc_id AS record_id, fetched_at::DATE AS date, md5(text) AS url FROM documents), h AS (SELECT url, first(record_id ORDER BY date NULLS LAST, record_id) AS kept FROM o GROUP BY 1)
+    SELECT kept AS record_id, min(date) AS first_seen, count(DISTINCT coalesce(date, DATE '1900-01-01')) AS sightings FROM o JOIN h USING (url) GROUP BY 1""")
+def q_compact(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as records that are seen under the digest of their text: those of one text merged into the oldest."""
+    log = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.lit(1).cast("bigint").alias("obs_seq"), F.col("fetched_at").cast("date").alias("date"), F.lit(None).cast("bigint").alias("price"), F.md5("text").alias("url"), "source", F.lit(None).cast("string").alias("status"))
+    records, log = S.compact(_records(log), log)
+    return records.select("record_id", "first_seen").join(log.groupBy("record_id").agg(F.count(F.lit(1)).alias("sightings")), "record_id")
+
+
+@query("""WITH o AS (SELECT user_id, ts::DATE AS date, event_id, event_type, CAST(floor(value / 10) AS BIGINT) AS price FROM events), t AS (SELECT max(date) AS today FROM o), l AS (SELECT user_id, first(event_type ORDER BY date DESC, event_id DESC) AS latest FROM o GROUP BY 1)
+    SELECT user_id, true AS relisted, arg_max(price, event_id) FILTER (WHERE price > 0) AS prev_price FROM o JOIN l USING (user_id), t WHERE date < today AND event_type <> latest GROUP BY 1""")
+def q_relisted(spark: SparkSession, d: str) -> DataFrame:
+    """Users seen on an earlier day with another event than their latest, and the last price then."""
+    log = table(spark, d, "events").select(F.col("user_id").alias("record_id"), F.col("event_id").alias("obs_seq"), F.col("ts").cast("date").alias("date"), F.col("event_type").alias("url"), F.floor(F.col("value") / 10).alias("price"))
+    today = log.agg(F.max("date")).first()[0]
+    return H.relisted_before(log, F.lit(today)).withColumnRenamed("record_id", "user_id")
+
+
+@query("""WITH t AS (SELECT max(date) AS today FROM observation), g AS (SELECT DISTINCT url FROM observation WHERE status = 'archived' AND url IS NOT NULL), l AS (SELECT record_id, max(date) AS last_date, first(url ORDER BY date DESC, obs_seq, url) AS last_url FROM observation WHERE date IS NOT NULL GROUP BY 1)
+    SELECT l.record_id, last_date AS delisted FROM l JOIN g ON g.url = l.last_url, t WHERE last_date < today - 7""")
+def q_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Stale records whose last address is known to be gone get the day they were last seen."""
+    log = _log(spark, d)
+    today = log.agg(F.max("date")).first()[0]
+    one = log.groupBy("record_id", "date", "obs_seq").agg(F.min(F.struct(F.col("url").isNull().alias("n"), "url", "source", "price", "status")).alias("r")).select("record_id", "date", "obs_seq", "r.url", "r.source", "r.price", "r.status")
+    gone = log.filter("status = 'archived' and url is not null").select("url", F.lit(True).alias("gone")).distinct()
+    none = spark.createDataFrame([], "url string")
+    return S.sweep(_records(log), one, none, gone, F.lit(today)).filter("delisted is not null").select("record_id", "delisted")
