@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.session import materialize, spread
+from plotwright.session import discard, materialize, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CAPACITY = 4096
@@ -209,10 +209,12 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     """
     sized = spread(documents.select("doc_id", "text")).mapInArrow(_size_task(tokenizer), "doc_id bigint, n_tokens bigint, terms array<int>, counts array<int>, sign bigint")
     # Written, since range partitioning reads its input twice.
-    items = materialize(sized, "sized").withColumn("start_token", F.lit(0).cast("bigint")).withColumn("piece", F.lit(0))
+    written = materialize(sized, "sized")
+    items = written.withColumn("start_token", F.lit(0).cast("bigint")).withColumn("piece", F.lit(0))
     shards = max(1, -(-items.count() // shard))
     placed = items.repartitionByRange(shards, "sign", "doc_id").sortWithinPartitions("sign", "doc_id")
     packed = materialize(placed.mapInArrow(_pack_task(capacity, shard, "c"), _OUT), "packed")
+    discard(written)
     # Each shard leaves a container or two with much room; those are opened and packed together, by size.
     loose = F.col("used") < int(LOOSE * capacity)
     left = packed.filter(loose).select("doc_id", "n_tokens", F.array().cast("array<int>").alias("terms"), F.array().cast("array<int>").alias("counts"), "start_token", "piece")
