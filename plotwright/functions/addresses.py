@@ -29,15 +29,20 @@ def words_agree(a: Column, b: Column) -> Column:
     return (a == b) | F.coalesce((common >= 4) & (long - common <= 3), F.lit(False))
 
 
-def streets_agree(a: Column, b: Column) -> Column:
-    """Whether two street names are one street: last words agree, every other word of the shorter agrees with one of the longer."""
-    wa, wb = street_words(a), street_words(b)
-    few, many = F.when(F.size(wa) <= F.size(wb), wa).otherwise(wb), F.when(F.size(wa) <= F.size(wb), wb).otherwise(wa)
+def word_lists_agree(wa: Column, wb: Column) -> Column:
+    """Whether two lists of telling words name one street: last words agree, every other word of the shorter agrees with one of the longer."""
+    shorter = F.size(wa) <= F.size(wb)
+    few, many = F.when(shorter, wa).otherwise(wb), F.when(shorter, wb).otherwise(wa)
     rest = F.slice(few, F.lit(1), F.greatest(F.size(few) - 1, F.lit(0)))
     told = F.coalesce((F.size(wa) > 0) & (F.size(wb) > 0), F.lit(False))
     return told & words_agree(F.try_element_at(few, F.lit(-1)), F.try_element_at(many, F.lit(-1))) & F.forall(rest, lambda t: F.exists(many, lambda u: words_agree(t, u)))
 
 
+def streets_agree(a: Column, b: Column) -> Column:
+    """:func:`word_lists_agree` for street names; where pairs outnumber names, take the words before the join instead."""
+    return word_lists_agree(street_words(a), street_words(b))
+
+
 def house_number(c: Column) -> Column:
     """A house number reduced to digits, letters and slashes."""
     return F.regexp_replace(F.lower(c), "[^0-9a-z/]", "")

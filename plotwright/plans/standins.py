@@ -344,10 +344,10 @@ def q_street_words(spark: SparkSession, d: str) -> DataFrame:
     SELECT a, b FROM p WHERE {_EQ.format("few[-1]", "many[-1]")} AND len(list_filter(few[:-2], lambda t: len(list_filter(many, lambda u: {_EQ.format("t", "u")})) = 0)) = 0""")
 def q_street_match(spark: SparkSession, d: str) -> DataFrame:
     """Street names of deeds with one beginning that are the same street."""
-    w = table(spark, d, "deed").filter("ul is not null").select("ul", F.left(A.fold(F.col("ul")), F.lit(4)).alias("k")).distinct()
+    w = table(spark, d, "deed").filter("ul is not null").select("ul").distinct().select("ul", F.left(A.fold(F.col("ul")), F.lit(4)).alias("k"), A.street_words(F.col("ul")).alias("ws"))
     x, y = w.alias("x"), w.alias("y")
     met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.ul") < F.col("y.ul")))
-    return met.filter(A.streets_agree(F.col("x.ul"), F.col("y.ul"))).select(F.col("x.ul").alias("a"), F.col("y.ul").alias("b"))
+    return met.filter(A.word_lists_agree(F.col("x.ws"), F.col("y.ws"))).select(F.col("x.ul").alias("a"), F.col("y.ul").alias("b"))
 
 
 @query("SELECT seq, CASE lower(trim(floor)) WHEN 'parter' THEN 0 WHEN 'suterena' THEN -1 WHEN 'poddasze' THEN NULL ELSE TRY_CAST(regexp_extract(lower(trim(floor)), '(-?[0-9]+)', 1) AS INTEGER) END AS floor_no FROM listing WHERE floor IS NOT NULL")
