@@ -31,6 +31,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CAPACITY = 4096
 #: Items of one shard: bounds the memory of a task.
 SHARD = 2048
+#: Range partitions at most: what is sampled for their bounds does not grow with the data. A task cuts its partition into shards as it reads.
+PARTITIONS = 4096
 #: Share of the capacity below which the remaining room is closed by size instead of by likeness.
 ROOM = 0.25
 #: Containers filled less than this are opened and packed once more.
@@ -211,13 +213,13 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     # Written, since range partitioning reads its input twice.
     written = materialize(sized, "sized")
     items = written.withColumn("start_token", F.lit(0).cast("bigint")).withColumn("piece", F.lit(0))
-    shards = max(1, -(-items.count() // shard))
+    shards = max(1, min(PARTITIONS, -(-items.count() // shard)))
     placed = items.repartitionByRange(shards, "sign", "doc_id").sortWithinPartitions("sign", "doc_id")
     packed = materialize(placed.mapInArrow(_pack_task(capacity, shard, "c"), _OUT), "packed")
     discard(written)
     # Each shard leaves a container or two with much room; those are opened and packed together, by size.
     loose = F.col("used") < int(LOOSE * capacity)
     left = packed.filter(loose).select("doc_id", "n_tokens", F.array().cast("array<int>").alias("terms"), F.array().cast("array<int>").alias("counts"), "start_token", "piece")
-    again = max(1, -(-left.count() // shard))
+    again = max(1, min(PARTITIONS, -(-left.count() // shard)))
     closed = left.repartitionByRange(again, "doc_id", "start_token").sortWithinPartitions("doc_id", "start_token").mapInArrow(_pack_task(capacity, shard, "r"), _OUT)
     return packed.filter(~loose).unionByName(closed)

@@ -16,7 +16,8 @@ def docs(spark):
 
 
 @pytest.mark.parametrize("shard", [2048, 25])
-def test_every_token_has_one_place(spark, docs, shard):
+def test_every_token_has_one_place(spark, docs, shard, monkeypatch):
+    monkeypatch.setattr("plotwright.llm.packing.PARTITIONS", 3)
     df = spark.createDataFrame([(i, t, "clash") for i, t in docs.items()], SCHEMA)
     got = pack_documents(df, capacity=128, shard=shard).collect()
     sizes = {i: len(encoder(TOKENIZER).encode_ordinary(t)) for i, t in docs.items() if t}
