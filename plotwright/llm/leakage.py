@@ -6,7 +6,10 @@
    ``window`` consecutive item words elects its rarest n-gram as a seed. So each exact passage of at
    least ``window`` words contains a seed, and common phrases elect nothing that rarer words could.
 3. Documents and items that share a seed are aligned word by word (Smith-Waterman, linear gaps),
-   which scores edited and paraphrased copies, and gives the longest run of equal consecutive words.
+   which gives the longest run of equal consecutive words.
+
+Edited copies need no seed. :func:`find_edited` gives every document and item whose alignment reaches the threshold: pairs are
+left out only by an upper bound of their score (:func:`spans`), and words only where no alignment can pass.
 
 Words are runs of letters and digits; case, diacritics, punctuation and spacing are ignored.
 
@@ -19,6 +22,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -38,6 +42,8 @@ _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words of all test items that one alignment table holds; a larger test set is searched block by block.
 BLOCK_WORDS = 5_000_000
+#: Words and items of one table of :class:`Vocabulary`; cells that an intermediate table of the alignment holds.
+TABLE_WORDS, TABLE_ITEMS, CELLS = 50_000, 1_000, 1 << 20
 
 
 class WordHashes(dict):
@@ -166,20 +172,214 @@ def _align_task(items: dict[int, np.ndarray], seeds: dict[int, set[int]], seed:
     return run
 
 
+class Vocabulary:
+    """Test items as codes of their words, and which item has which word."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
+        self.words, codes = np.unique(np.concatenate([w for _, w in items]), return_inverse=True)
+        ends = np.cumsum([len(w) for _, w in items])
+        self.ids = [i for i, _ in items]
+        self.items = [c.astype(np.int32) for c in np.split(codes, ends[:-1])]
+        self.least = np.array([least_score(len(w)) for _, w in items])
+        self.lowest = int(self.least.min())
+        self.ones = np.ones((max(len(w) for _, w in items), 1), np.int8)
+        self.has = np.zeros((len(self.words), len(items)), np.int8)
+        for k, c in enumerate(self.items):
+            self.has[c, k] = 1
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """Codes of words; -1 for those of no item."""
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1).astype(np.int32)
+
+
+def least_score(n: int) -> int:
+    """Score from which a document counts as an edited copy of an item of ``n`` words."""
+    return max(2 * WINDOW, math.ceil(n * 0.2))
+
+
+def spans(member: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Upper bound of the score, and of the score that an alignment can have before each word, for words at positions ``at``.
+
+    ``member`` (words x items) says which of them the other text has; the words between them it has not. A word
+    scores at most ``MATCH`` if the other text has it, and costs at least one if not, be it mismatch or gap. So no alignment
+    scores more than the best sum of consecutive words, and where the running sum falls to 0 none goes on.
+    """
+    gain = member.astype(np.int32) * (MATCH + 1)
+    after = np.cumsum(gain, axis=0, dtype=np.int32) - (at[:, None].astype(np.int32) + 1)
+    before = after - gain + 1
+    low = np.minimum.accumulate(before, axis=0)
+    return (after - low).max(axis=0), before - low
+
+
+def _kept(at: np.ndarray, carried: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Positions of the stretches of a text of ``n`` words in which an alignment can score ``least``.
+
+    ``at``: the words that the other text has, ``carried``: the bound before each of them. A stretch ends where
+    the bound is back at 0, so nothing reaches from one to the next, and no run does.
+    """
+    starts = np.flatnonzero(carried == 0)
+    high = np.maximum.reduceat(carried, starts) + MATCH >= least
+    ends = np.minimum(at + carried + MATCH, np.append(at[1:] - 1, n - 1))
+    if not high.all():
+        some = np.repeat(high, np.diff(np.append(starts, len(at))))
+        at, ends = at[some], ends[some]
+    sizes = ends - at + 1
+    return np.repeat(at - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def align_many(docs: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`align` of many pairs at once, by anti-diagonals; codes of words, where a document's words may be -1."""
+    scores, runs = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+    order = sorted(range(len(docs)), key=lambda k: (len(docs[k]) + len(items[k]), len(items[k])))
+    at = 0
+    while at < len(order):
+        part = order[at : at + 128]
+        while len(part) > 1 and len(part) * (max(len(docs[k]) for k in part) + 2 * max(len(items[k]) for k in part)) > CELLS:
+            part = part[: len(part) // 2]
+        at += len(part)
+        n, m = max(len(docs[k]) for k in part), max(len(items[k]) for k in part)
+        kind = np.int16 if 2 * min(n, m) < 32_000 else np.int32
+        item = np.full((m, len(part)), -2, np.int32)
+        back = np.full((n + 2 * m, len(part)), -1, np.int32)  # the document backwards, m blank words on both sides
+        for c, k in enumerate(part):
+            item[: len(items[k]), c] = items[k]
+            back[m + n - len(docs[k]) : m + n, c] = docs[k][::-1]
+        # Row 0 of each table is the border before the item's first word.
+        last, last2, now, run, run2, own = (np.zeros((m + 1, len(part)), kind) for _ in range(6))
+        best, longest, gaps, gain = (np.zeros((m, len(part)), kind) for _ in range(4))
+        same = np.zeros((m, len(part)), bool)
+        for t in range(n + m - 1):
+            np.equal(back[m + n - 1 - t : 2 * m + n - 1 - t], item, out=same)
+            np.multiply(same, kind(MATCH - MISMATCH), out=gain)
+            gain += kind(MISMATCH)
+            gain += last2[:-1]
+            np.maximum(last[1:], last[:-1], out=gaps)
+            gaps += kind(GAP)
+            np.maximum(gaps, gain, out=now[1:])
+            np.maximum(now, kind(0), out=now)
+            np.add(run2[:-1], kind(1), out=own[1:])
+            own[1:] *= same
+            np.maximum(best, now[1:], out=best)
+            np.maximum(longest, own[1:], out=longest)
+            last2, last, now, run2, run, own = last, now, last2, run, own, run2
+        scores[part], runs[part] = best.max(axis=0), longest.max(axis=0)
+    return scores, runs
+
+
+class _Pair:
+    """A document and an item that may score enough, by codes, with the words each has of the other and the bounds before these."""
+
+    __slots__ = ("doc", "k", "codes", "at", "carried", "item", "place", "held")
+
+    def __init__(self, *values) -> None:
+        for name, value in zip(self.__slots__, values):
+            setattr(self, name, value)
+
+    def parts(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """What of document and item can hold an alignment that scores ``least``."""
+        return self.codes[_kept(self.at, self.carried, len(self.codes), least)], self.item[_kept(self.place, self.held, len(self.item), least)]
+
+
+def _candidates(v: Vocabulary, doc: int, codes: np.ndarray):
+    """Pairs of a document whose score may reach the item's threshold."""
+    at = np.flatnonzero(codes >= 0)
+    if MATCH * len(at) < v.lowest:
+        return
+    known = codes[at]
+    step = max(1, CELLS // len(v.ids))
+    met = sum(v.has[known[i : i + step]].sum(axis=0, dtype=np.int32) for i in range(0, len(known), step))
+    some = np.flatnonzero(MATCH * met >= v.least)
+    present = np.zeros(len(v.words), bool)
+    present[known] = True
+    step = max(1, CELLS // len(at))
+    for part in (some[i : i + step] for i in range(0, len(some), step)):
+        member = v.has[known][:, part] if len(v.ids) <= step else v.has[np.ix_(known, part)]
+        top, carried = spans(member, at)
+        for c in np.flatnonzero(top >= v.least[part]).tolist():
+            k = int(part[c])
+            place = np.flatnonzero(present[v.items[k]])
+            best, held = spans(v.ones[: len(place)], place)
+            if best[0] >= v.least[k]:
+                mine = np.flatnonzero(member[:, c])
+                yield _Pair(doc, k, codes, at[mine], carried[mine, c], v.items[k], place, held[:, 0])
+
+
+def _scored(v: Vocabulary, pairs: list[_Pair]):
+    """(pair, score, longest run) of the pairs that reach their item's threshold."""
+    parts = _columns(p.parts(v.least[p.k]) for p in pairs)
+    scores, runs = align_many(*parts)
+    good = [k for k, p in enumerate(pairs) if scores[k] >= v.least[p.k]]
+    # A longer run may stand where no alignment scores enough.
+    more = [(k, pairs[k].parts(MATCH * (runs[k] + 1))) for k in good if MATCH * (runs[k] + 1) < v.least[pairs[k].k]]
+    more = [(k, (x, y)) for k, (x, y) in more if (len(x), len(y)) != (len(parts[0][k]), len(parts[1][k]))]
+    _, longer = align_many(*_columns(p for _, p in more))
+    for (k, _), run in zip(more, longer):
+        runs[k] = max(runs[k], run)
+    return [(pairs[k], int(scores[k]), int(runs[k])) for k in good]
+
+
+def _columns(parts) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    parts = list(parts)
+    return [p[0] for p in parts], [p[1] for p in parts]
+
+
+def _edited_task(items: list[tuple[int, np.ndarray]]):
+    def run(batches):
+        tables, part, words = [], [], 0
+        for item in items:
+            if part and (words + len(item[1]) > TABLE_WORDS or len(part) == TABLE_ITEMS):
+                tables.append(Vocabulary(part))
+                part, words = [], 0
+            part.append(item)
+            words += len(item[1])
+        tables += [Vocabulary(part)] if part else []
+        hashes = WordHashes()
+        for b in batches:
+            lists = [hashes.of(t) for t in b["text"].to_pylist()]
+            ids, out = b["doc_id"].to_pylist(), [[] for _ in range(5)]
+            flat, ends = np.concatenate([np.zeros(0, np.uint64), *lists]), np.cumsum([len(x) for x in lists])[:-1]
+            for v in tables:
+                found = [p for d, own in enumerate(np.split(v.codes(flat), ends)) for p in _candidates(v, d, own)] if lists else []
+                for p, score, longest in _scored(v, found):
+                    for column, value in zip(out, (ids[p.doc], v.ids[p.k], score, longest, len(p.item))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "item_id", "score", "run", "item_words"])
+
+    return run
+
+
+def find_edited(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, item_id, score, run, item_words`` for every document and item whose alignment scores at least :func:`least_score`."""
+    return _by_blocks(documents, items, _edited_of)
+
+
+def _edited_of(documents: DataFrame, items: DataFrame) -> DataFrame:
+    hashes = WordHashes()
+    listed = [(r["item_id"], hashes.of(r["text"])) for r in items.select("item_id", "text").collect()]
+    listed = [(i, w) for i, w in listed if MATCH * len(w) >= least_score(len(w))]  # fewer words cannot score enough
+    docs = spread(documents.select("doc_id", "text")).filter(F.col("text") != "")
+    return docs.mapInArrow(_edited_task(listed), "doc_id bigint, item_id bigint, score bigint, run bigint, item_words bigint")
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, seed: int = SEED, window: int = WINDOW) -> DataFrame:
-    """``doc_id, item_id, score, run, item_words`` for every document and item that share a seed.
+    """``doc_id, item_id, score, run, item_words`` for every document and item that share a seed: all that share ``window`` words in a row.
 
     ``score`` is the local alignment score (2 a common word, -1 a differing, missing or added one),
     ``run`` the longest run of equal consecutive words.
     """
     if window < seed:
         raise ValueError("a window must hold at least one seed")
+    return _by_blocks(documents, items, lambda docs, part: _leaks_of(docs, part, seed, window))
+
+
+def _by_blocks(documents: DataFrame, items: DataFrame, search) -> DataFrame:
     sizes = items.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-sizes // (BLOCK_WORDS * 5)))
     found = None
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        own = _leaks_of(documents, part, seed, window)
+        own = search(documents, part)
         found = own if found is None else found.unionByName(own)
     return found
 

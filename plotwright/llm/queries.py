@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plotwright.llm.addresses import same_building_pairs
 from plotwright.llm.canonical import map_to_canonical
 from plotwright.llm.components import ad_groups
-from plotwright.llm.leakage import WINDOW, find_leaks
+from plotwright.llm.leakage import WINDOW, find_edited, find_leaks
 from plotwright.llm.linkage import link_deeds
 from plotwright.llm.near_dup import near_duplicate_pairs
 from plotwright.llm.packing import CAPACITY, pack_documents
@@ -84,7 +84,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain an edited copy of a tenth of a test item or more, with alignment score and longest run."""
-    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    leaks = find_edited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
     return leaks.filter(F.col("score") >= F.greatest(F.lit(2 * WINDOW), F.ceil(F.col("item_words") * 0.2)))
 
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from plotwright.llm.leakage import WordHashes, align, elect_seeds, find_leaks, ngram_hashes
+from plotwright.llm.queries import p9_edited
 from tests.fixtures import as_set
 
 DOCS, ITEMS = "doc_id bigint, text string, item_id string", "item_id bigint, text string"
@@ -63,3 +64,24 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f g", "")], DOCS), spark.createDataFrame([(1, "a b c d e f g h i j k l m")], ITEMS)
     assert find_leaks(docs.limit(0), items).count() == 0
     assert find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_edited_copies_agree_with_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    vocab = [f"słowo{i}" for i in range(300)]
+    common = ["i", "w", "na", "z", "do"]
+    items = [(i, " ".join(rng.choice(common if rng.random() < 0.3 else vocab) for _ in range(60))) for i in range(8)] + [(8, None), (9, "i w na")]
+
+    def edited(i, every, a=0, b=60):
+        return ["inne" if j % every == 2 else w for j, w in enumerate(items[i][1].split()[a:b])]
+
+    noise = lambda n: [rng.choice(common if rng.random() < 0.5 else vocab) for _ in range(n)]
+    texts = [" ".join(noise(rng.randrange(0, 60)) + part + noise(rng.randrange(0, 60))) for i in range(8) for part in (items[i][1].split(), edited(i, 6), edited(i, 7), edited(i, 4), edited(i, 8, 10, 25))]
+    texts += [" ".join(noise(2000) + edited(0, 5, 0, 30) + noise(500) + items[0][1].split()[30:38] + noise(900)), "", None, *(" ".join(noise(200)) for _ in range(5))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{tmp_path}/eval_item.parquet")
+    hashes = WordHashes()
+    want = {(d, i, *align(hashes.of(t), hashes.of(x)), len(hashes.of(x))) for d, t in enumerate(texts) if t for i, x in items if x}
+    want = {w for w in want if w[2] >= 24}
+    assert as_set(p9_edited(spark, str(tmp_path))) == want
+    assert all((5 * i + k, i) in {w[:2] for w in want} for i in range(8) for k in range(4))
