@@ -350,6 +350,17 @@ def q_street_match(spark: SparkSession, d: str) -> DataFrame:
     return met.filter(A.word_lists_agree(F.col("x.ws"), F.col("y.ws"))).select(F.col("x.ul").alias("a"), F.col("y.ul").alias("b"))
 
 
+@query()
+def q_same_streets(spark: SparkSession, d: str) -> DataFrame:
+    """All street names of deeds that are the same street, whatever they begin with (no SQL; :func:`q_street_match` keeps to names with one beginning, as its SQL does)."""
+    w = table(spark, d, "deed").filter("ul is not null").select("ul").distinct().select("ul", A.street_words(F.col("ul")).alias("ws"))
+    # Last words that agree are equal or have their first four letters in common.
+    w = w.filter(F.size("ws") > 0).withColumn("k", F.left(F.element_at("ws", -1), F.lit(4)))
+    x, y = w.alias("x"), w.alias("y")
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.ul") < F.col("y.ul")))
+    return met.filter(A.word_lists_agree(F.col("x.ws"), F.col("y.ws"))).select(F.col("x.ul").alias("a"), F.col("y.ul").alias("b"))
+
+
 @query("SELECT seq, CASE lower(trim(floor)) WHEN 'parter' THEN 0 WHEN 'suterena' THEN -1 WHEN 'poddasze' THEN NULL ELSE TRY_CAST(regexp_extract(lower(trim(floor)), '(-?[0-9]+)', 1) AS INTEGER) END AS floor_no FROM listing WHERE floor IS NOT NULL")
 def q_floor_number(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "listing").filter("floor is not null").select("seq", N.floor_number(F.col("floor")).alias("floor_no"))

@@ -3,7 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from plotwright.functions.addresses import streets_agree
 from plotwright.operators import deeds as D
+from plotwright.plans.standins import QUERIES
 from tests.fixtures import as_set, rows
 
 RECORD = "record_id bigint, type string, area double, locality string, district string, street string, nr string, dzialka_id string, rooms int, floor_no int, plot_area double, first_seen date, delisted date"
@@ -68,3 +70,12 @@ def test_band_join_is_exact(spark):
     assert got.count() == got.distinct().count()
     open_ended = spark.range(1).select(D.within(F.lit(1), F.lit(None), F.lit(2)), D.within(F.lit(3), F.lit(None), F.lit(2)))
     assert tuple(open_ended.first()) == (True, False)
+
+
+def test_same_streets_whatever_they_begin_with(spark, tmp_path):
+    names = ["Krugłoszyckiego", "IDZIEGO KRUGŁOSZYCKIEGO", "T. Kruchowilewicza", "Kruchowilewicza", "prof. Ewarysta Dobrodziżawińskiego", "Dobrodziżawińskiego", "ul. Rynek", "Rynku", "Rynk", "Maja", "3 Maja", "Majowa", "Nad Maja", "ul.", "5", "", None, "Krótka", "Krótkiej", "Krótkie"]
+    rows(spark, DEED, *(SALE | {"ul": u} for u in names)).write.parquet(f"{tmp_path}/deed.parquet")
+    whole = spark.createDataFrame([(u,) for u in set(names) if u is not None], "ul string")
+    want = as_set(whole.alias("x").crossJoin(whole.alias("y")).filter("x.ul < y.ul").filter(streets_agree(F.col("x.ul"), F.col("y.ul"))))
+    assert as_set(QUERIES["q_same_streets"](spark, str(tmp_path))) == want
+    assert {("IDZIEGO KRUGŁOSZYCKIEGO", "Krugłoszyckiego"), ("Kruchowilewicza", "T. Kruchowilewicza"), ("Dobrodziżawińskiego", "prof. Ewarysta Dobrodziżawińskiego"), ("3 Maja", "Maja")} <= want
