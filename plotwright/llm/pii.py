@@ -59,9 +59,10 @@ _ODD = "[" + "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))) +
 _AT_WORD = r"\s*[\[({]\s*(?:at|małpa|malpa|@)\s*[\])}]\s*|(?<=\w) @ (?=\w)|(?<=\w)@ (?=\w)|(?<=\w) @(?=\w)|(?<=[^\W_])\s+(?:małpa|malpa)\s+(?=[\w-]+\s*(?:\.|kropka|dot|[\[(]))|(?<=\w)\s+at\s+(?=[\w-]+(?:\s+dot\s+|\s*[\[({]\s*(?:dot|kropka)))"
 _DOT_WORD = r"\s*[\[({]\s*(?:dot|kropka|\.)\s*[\])}]\s*|(?<=[\w-])\s+(?:kropka|dot)\s+(?=\w)"
 _DISGUISE = re.compile(f"(?P<at>{_AT_WORD})|(?P<dot>{_DOT_WORD})", re.I)
-_DISGUISE_HINT = re.compile(r"@|[mM](?i:a[łl]pa)|[\[({]\s?(?i:dot|at|kropka|\.)")
+# Every disguise of an at sign or dot has one of these words, or one of these signs with what is around it.
+_DISGUISE_WORDS, _DISGUISE_SIGNS = ("dot", "kropka", "małpa", "malpa"), (re.compile(r"[ \[({]@|@ |@\s*[\])}]"), re.compile(r"[\[({]\s*(?:at|\.)\s*[\])}]"))
 _SPELLED = re.compile(r"\b(?:(?:" + "|".join(DIGIT_WORDS) + r")\b[\s,-]*){6,}", re.I)
-_DIGIT_HINTS = (" jeden", " dwa ", " trzy", " cztery", " one ", " two ", " three", " four", " eins", " zwei", " drei", " vier", " siedem", " osiem", " seven", " eight", " sieben", " acht ")
+_SPELLED_LEAST = 6  # words of _SPELLED
 _OTHER_SCRIPT = re.compile("[" + chr(0x370) + "-" + chr(0x52F) + "]")
 _ODD_RE = re.compile(_ODD)
 
@@ -99,7 +100,18 @@ class Plain:
 
 
 def _spelled_digits(m: re.Match) -> str:
-    return "".join(DIGIT_WORDS[w] for w in re.findall(r"\w+", m.group().lower()))
+    return "".join(DIGIT_WORDS[w] for w in re.findall(r"\w+", _caseless(m.group())))
+
+
+def _caseless(text: str) -> str:
+    """Lower case, with long s and dotted and dotless i as the patterns take them."""
+    return text.lower() if text.isascii() else text.upper().lower().replace(chr(0x307), "")
+
+
+def may_be_disguised(low: str) -> bool:
+    """Whether a text, made caseless, can hold a disguised at sign or dot."""
+    at, sign = _DISGUISE_SIGNS
+    return any(w in low for w in _DISGUISE_WORDS) or "@" in low and at.search(low) is not None or sign.search(low) is not None
 
 
 def transduce(text: str) -> Plain:
@@ -115,22 +127,15 @@ def transduce(text: str) -> Plain:
                 if _OTHER_SCRIPT.search(w) and re.search("[A-Za-z]", w):
                     edits += [(m.start() + i, m.start() + i + 1, LOOKALIKES[c]) for i, c in enumerate(w) if c in LOOKALIKES]
             p.rewrite(edits)
-    low = p.text.lower()
-    if sum(w in low for w in _DIGIT_HINTS) >= 2:
+    low = _caseless(p.text)
+    if sum(map(low.count, DIGIT_WORDS)) >= _SPELLED_LEAST:
         edits = []
         for m in _SPELLED.finditer(p.text):
             tail = len(m.group()) - len(m.group().rstrip(" ,-\t\n" + chr(0xA0)))
             edits.append((m.start(), m.end() - tail, _spelled_digits(m)))
         p.rewrite(edits)
-    edits, done = [], 0
-    if " dot " in low or "kropka" in low:
-        edits = [(m.start(), m.end(), "@" if m.group("at") else ".") for m in _DISGUISE.finditer(p.text)]
-    for hint in () if edits else _DISGUISE_HINT.finditer(p.text):
-        m = _DISGUISE.search(p.text, max(done, hint.start() - 3), min(len(p.text), hint.end() + 40))
-        if m and m.start() <= hint.end():
-            edits.append((m.start(), m.end(), "@" if m.group("at") else "."))
-            done = m.end()
-    p.rewrite(edits)
+    if may_be_disguised(low):
+        p.rewrite([(m.start(), m.end(), "@" if m.group("at") else ".") for m in _DISGUISE.finditer(p.text)])
     return p
 
 

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from plotwright.llm.pii import find_mentions, mentions, redact, redact_documents, transduce
+from plotwright.llm.pii import _DISGUISE, _SPELLED, DIGIT_WORDS, _caseless, find_mentions, may_be_disguised, mentions, redact, redact_documents, transduce
 from tests.fixtures import as_set
 
 NB = chr(0xA0)
@@ -53,3 +55,26 @@ def test_documents(spark):
     assert as_set(find_mentions(df).select("doc_id", "kind", "start_pos")) == {(1, "phone", 4), (2, "phone", 4), (5, "email", 120_000)}
     assert as_set(redact_documents(df).filter("doc_id < 5")) == {(1, "tel [PHONE]"), (2, "tel [PHONE]"), (3, ""), (4, None)}
     assert find_mentions(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,want", [
+    ("tel: pięć zero sześć dziewięć zero pięć sześć pięć zero", [("phone", "pięć zero sześć dziewięć zero pięć sześć pięć zero")]),
+    ("tel jeden\ndwa\ntrzy\npięć\npięć\nzero\nzero\nsześć\nsześć", [("phone", "jeden\ndwa\ntrzy\npięć\npięć\nzero\nzero\nsześć\nsześć")]),
+    ("call five zero six nine zero five sıx five Nİne", [("phone", "five zero six nine zero five sıx five Nİne")]),
+    ("jan at firma [dot] pl", [("email", "jan at firma [dot] pl")]),
+    ("jan   at\tfirma\tdot\npl", [("email", "jan   at\tfirma\tdot\npl")]),
+    ("jan     [at] firma.pl, iga[   małpa ]firma.pl, ewa(  @ )firma ( . ) pl", [("email", "jan     [at] firma.pl"), ("email", "iga[   małpa ]firma.pl"), ("email", "ewa(  @ )firma ( . ) pl")]),
+])
+def test_disguises_of_any_wording(text, want):
+    assert [(k, text[a:b]) for a, b, k in mentions(text)] == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_gates_lose_no_disguise(seed):
+    rng = random.Random(seed)
+    bits = ["@", " ", "  ", "[", "]", "(", ")", "at", "dot", "kropka", "małpa", ".", "firma", "jan", "\t", "AT", "Dot", "MAŁPA"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 12)))
+        assert not _DISGUISE.search(text) or may_be_disguised(_caseless(text)), text
+        text = "".join(rng.choice([" ", ", ", "-", "\n", ""]) + rng.choice(list(DIGIT_WORDS)) for _ in range(8))
+        assert not _SPELLED.search(text) or transduce(text).text != text, text
