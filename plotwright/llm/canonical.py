@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from plotwright.functions.text import BLANKS, fold_py
 from plotwright.operators.skew import lookup_join
-from plotwright.session import materialize
+from plotwright.session import materialize, ship_code
 
 # Qualifying words of town names, which may be shortened to an initial.
 QUALIFIERS = ("nowa", "nowe", "nowy", "stara", "stare", "stary", "gorna", "gorne", "gorny", "dolna", "dolne", "dolny", "mala", "male", "maly", "wielka", "wielkie", "wielki")
@@ -215,13 +215,16 @@ class Resolver:
         name = self.names[entry].lower()
         return sum(a != b for a, b in zip(text, name)) + abs(len(text) - len(name))
 
+    def readings(self, value: str) -> tuple[tuple[int, int], tuple[int, int], list[str]]:
+        """(edits, entry) of the value's names, the same of names marked as municipalities, and what must be known districts for these to count."""
+        parts = segments(value)
+        best = lambda outer: min((h for h in (self.name(w, b) for w, b, o in parts if o == outer) if h[1]), key=lambda h: h[0], default=(99, 0))
+        return best(False), best(True), [b for _, b, outer in parts if not outer]
+
     def value(self, value: str) -> tuple[int, int]:
         """(edits, entry) of a whole value. A name marked as a municipality counts only if nothing but known districts stands beside it."""
-        parts = segments(value)
-        hits = [h for h in (self.name(w, b) for w, b, outer in parts if not outer) if h[1]]
-        if not hits and all(outer or b in self.beside for _, b, outer in parts):
-            hits = [h for h in (self.name(w, b) for w, b, outer in parts if outer) if h[1]]
-        return min(hits, key=lambda h: h[0], default=(99, 0))
+        own, outer, others = self.readings(value)
+        return outer if not own[1] and all(b in self.beside for b in others) else own
 
 
 def frequent_values(rows: DataFrame, column: str, share: float = 1 / 500) -> list[str]:
@@ -234,8 +237,22 @@ def frequent_values(rows: DataFrame, column: str, share: float = 1 / 500) -> lis
         counts.unpersist()
 
 
-def build_value_dictionary(rows: DataFrame, column: str, reference: DataFrame, ref_id: str, ref_name: str, beside: list[str] = (), block: int = BLOCK) -> DataFrame:
-    """``value, entry, n``: each distinct non-blank value of ``column`` that is not exactly a name, with its entry or 0."""
+def district_segments(rows: DataFrame, column: str) -> DataFrame:
+    """``segment``: every distinct name of the values of ``column``, as :func:`segments` reads them."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([s for v in b["value"].to_pylist() for _, s, _ in segments(v)], pa.string())], names=["segment"])
+
+    ship_code(rows.sparkSession)
+    return rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().mapInArrow(run, "segment string").distinct()
+
+
+def build_value_dictionary(rows: DataFrame, column: str, reference: DataFrame, ref_id: str, ref_name: str, beside: list[str] | DataFrame = (), block: int = BLOCK) -> DataFrame:
+    """``value, entry, n``: each distinct non-blank value of ``column`` that is not exactly a name, with its entry or 0.
+
+    ``beside``: values, or a table of :func:`district_segments`, that may stand beside a municipality.
+    """
     values = rows.filter(F.regexp_replace(column, f"[{BLANKS}]+", "") != "").groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     names = reference.filter(F.col(ref_name).isNotNull()).select(F.col(ref_id).alias("entry"), F.col(ref_name).alias("name"))
     blocks = max(1, -(-names.count() // block))
@@ -245,19 +262,29 @@ def build_value_dictionary(rows: DataFrame, column: str, reference: DataFrame, r
         part = names if blocks == 1 else names.filter(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == b)
         listed = [(r["entry"], r["name"]) for r in part.collect()]  # at most about `block` entries
         # Searching costs more than moving the distinct values, so they are dealt out evenly.
-        own = values.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_matcher(listed, beside), "value string, n bigint, edits int, entry bigint")
+        own = values.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_matcher(listed), f"value string, n bigint, {', '.join(f'{c} struct<edits: int, entry: bigint>' for c in ('own', 'outer'))}, others array<string>")
         found = own if found is None else found.unionByName(own)
     if blocks > 1:
-        found = found.groupBy("value").agg(F.max("n").alias("n"), F.min(F.struct("edits", "entry")).alias("best")).select("value", "n", F.col("best.entry").alias("entry"))
-    return materialize(found.select("value", "entry", "n"), "canonical")
+        found = found.groupBy("value").agg(F.max("n").alias("n"), F.min("own").alias("own"), F.min("outer").alias("outer"), F.first("others").alias("others"))
+    found = materialize(found, "readings")
+    # Few values name their town only as a municipality; what stands beside it is looked up among all districts.
+    doubtful = (F.col("own.entry") == 0) & (F.col("outer.entry") != 0)
+    if not isinstance(beside, DataFrame):
+        beside = found.sparkSession.createDataFrame([(s,) for s in {s for v in beside for _, s, _ in segments(v)}], "segment string")
+    unknown = found.filter(doubtful).select("value", F.explode("others").alias("segment")).join(beside, "segment", "left_anti").select("value").distinct().withColumn("unknown", F.lit(True))
+    judged = found.filter(doubtful).join(unknown, "value", "left").select("value", F.when(F.col("unknown"), F.lit(0)).otherwise(F.col("outer.entry")).cast("bigint").alias("entry"), "n")
+    return materialize(found.filter(~doubtful).select("value", F.col("own.entry").alias("entry"), "n").unionByName(judged), "canonical")
+
 
+def _matcher(listed: list[tuple[int, str]]):
+    kind = pa.struct([("edits", pa.int32()), ("entry", pa.int64())])
 
-def _matcher(listed: list[tuple[int, str]], beside: list[str] = ()):
     def run(batches):
-        resolver = Resolver(listed, beside)
+        resolver = Resolver(listed)
         for b in batches:
-            hits = [resolver.value(v) for v in b["value"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["value"], b["n"], pa.array([h[0] for h in hits], pa.int32()), pa.array([h[1] for h in hits], pa.int64())], names=["value", "n", "edits", "entry"])
+            hits = [resolver.readings(v) for v in b["value"].to_pylist()]
+            pairs = [pa.array([{"edits": h[k][0], "entry": h[k][1]} for h in hits], kind) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b["value"], b["n"], *pairs, pa.array([h[2] for h in hits], pa.list_(pa.string()))], names=["value", "n", "own", "outer", "others"])
 
     return run
 
@@ -265,9 +292,9 @@ def _matcher(listed: list[tuple[int, str]], beside: list[str] = ()):
 def map_to_canonical(rows: DataFrame, column: str, reference: DataFrame, ref_id: str = "loc_id", ref_name: str = "name", beside: str | None = None) -> DataFrame:
     """``rows`` whose ``column`` is neither blank nor exactly a name, with the entry meant in ``ref_id`` (0: none).
 
-    ``beside`` names a column (districts) whose frequent values may stand beside the name.
+    ``beside`` names a column (districts) whose values may stand beside the name, however rare they are.
     """
-    d = build_value_dictionary(rows, column, reference, ref_id, ref_name, frequent_values(rows, beside) if beside else ())
+    d = build_value_dictionary(rows, column, reference, ref_id, ref_name, district_segments(rows, beside) if beside else ())
     keyed = rows.filter(F.col(column).isNotNull()).withColumn("__value", F.col(column))
     d = d.select(F.col("value").alias("__value"), F.col("entry").alias("__entry"), F.col("n").alias("__n"))
     return lookup_join(keyed, d, ["__value"], "__n", ["__entry"]).withColumn(ref_id, F.col("__entry")).drop("__value", "__entry")

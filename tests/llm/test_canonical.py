@@ -66,3 +66,12 @@ def test_long_reference_lists_are_searched_in_blocks(spark):
     whole = cn.build_value_dictionary(df, "locality", ref(spark), "loc_id", "name", ["Osada"])
     parts = cn.build_value_dictionary(df, "locality", ref(spark), "loc_id", "name", ["Osada"], block=2)
     assert as_set(whole.select("value", "entry")) == as_set(parts.select("value", "entry"))
+
+
+def test_rare_districts_are_known(spark):
+    many = [{"locality": "Tłunybrowa", "district": "Osada"}] * 1500
+    df = listing(spark, *many, {"locality": "gm. Prupatyń, Zakątek Dolny", "district": "Zakątek Dolny"}, {"locality": "Rzadka / gm. Prupatyń", "district": None}, {"locality": "Nieznana, gm. Prupatyń", "district": "Osada"}, {"locality": None, "district": "rzadka"})
+    for block in (cn.BLOCK, 2):
+        d = cn.build_value_dictionary(df, "locality", ref(spark), "loc_id", "name", cn.district_segments(df, "district"), block)
+        assert as_set(d.select("value", "entry")) == {("gm. Prupatyń, Zakątek Dolny", 6), ("Rzadka / gm. Prupatyń", 6), ("Nieznana, gm. Prupatyń", 0)}
+    assert as_set(cn.map_to_canonical(df, "locality", ref(spark), beside="district").select("locality", "loc_id")) == as_set(d.select("value", "entry"))
