@@ -6,8 +6,8 @@ quality model judges true: each source has a sensitivity (share of true values i
 specificity (share of false values it withholds) per field; expectation-maximisation alternates
 between the probability of each claimed value and the sources' qualities. Several values of one
 field can be true. Claims are reduced to patterns (field, sources that state the value, sources that
-take part in the group without stating it); with few sources the patterns are few, and the model is
-fitted on their counts.
+take part in the group without stating it); the model is fitted on their counts, and every source has
+qualities of its own.
 
 Defined results
 ---------------
@@ -30,10 +30,10 @@ from plotwright.operators.timestamps import normalize_instants
 from plotwright.session import materialize
 
 FILLED = ("title", "area", "rooms", "floor", "locality", "district", "street", "agency", "image")
-JUDGED = ("rooms", "floor", "locality", "district", "street", "agency")
+JUDGED = ("price", "area", "title", "image", "rooms", "floor", "locality", "district", "street", "agency")
 LAST_RANK = 2**31 - 1
-#: Distinct sources up to which vote patterns stay few; more sources share the quality of "other".
-MAX_SOURCES = 12
+#: Patterns up to which their probabilities are broadcast.
+MAX_BROADCAST = 100_000
 
 
 def _pairs(dup_group: DataFrame) -> DataFrame:
@@ -84,18 +84,25 @@ class TwoSidedTruth:
 
     def fit(self, states: np.ndarray, takes_part: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Probability that each pattern's value is true; ``states`` and ``takes_part`` are patterns x sources of 0/1."""
-        silent = takes_part - states
-        q = (states.sum(1) + 0.5) / (takes_part.sum(1) + 1)
-        self.sensitivity, self.specificity = np.full(states.shape[1], 0.8), np.full(states.shape[1], 0.9)
+        return self.fit_pairs(np.nonzero(states), np.nonzero(takes_part), counts, states.shape[1])
+
+    def fit_pairs(self, states: tuple[np.ndarray, np.ndarray], takes_part: tuple[np.ndarray, np.ndarray], counts: np.ndarray, sources: int) -> np.ndarray:
+        """:func:`fit` for (patterns, sources) of the ones only: a pattern has few of many sources."""
+        by_pattern = lambda at, x: np.bincount(at[0], x[at[1]], len(counts))
+        by_source = lambda at, x: np.bincount(at[1], x[at[0]], sources)
+        ones = np.ones(sources)
+        q = (by_pattern(states, ones) + 0.5) / (by_pattern(takes_part, ones) + 1)
+        self.sensitivity, self.specificity = np.full(sources, 0.8), np.full(sources, 0.9)
         for _ in range(self.rounds):
-            unseen_true = np.minimum(np.exp(takes_part @ np.log(1 - self.sensitivity)), 0.95)
-            unseen_false = np.minimum(np.exp(takes_part @ np.log(self.specificity)), 0.95)
+            unseen_true = np.minimum(np.exp(by_pattern(takes_part, np.log(1 - self.sensitivity))), 0.95)
+            unseen_false = np.minimum(np.exp(by_pattern(takes_part, np.log(self.specificity))), 0.95)
             w, v = counts * q, counts * (1 - q)
             all_true, all_false = w / (1 - unseen_true), v / (1 - unseen_false)
-            self.sensitivity = (w @ states + 8) / (all_true @ takes_part + 10)
-            self.specificity = (v @ silent + (all_false * unseen_false) @ takes_part + 9) / (all_false @ takes_part + 10)
+            self.sensitivity = (by_source(states, w) + 8) / (by_source(takes_part, all_true) + 10)
+            self.specificity = (by_source(takes_part, v + all_false * unseen_false) - by_source(states, v) + 9) / (by_source(takes_part, all_false) + 10)
             self.prior = float(np.clip(w.sum() / counts.sum(), 0.01, 0.99))
-            odds = np.log(self.prior / (1 - self.prior)) + states @ np.log(self.sensitivity / (1 - self.specificity)) + silent @ np.log((1 - self.sensitivity) / self.specificity)
+            stated, silent = np.log(self.sensitivity / (1 - self.specificity)), np.log((1 - self.sensitivity) / self.specificity)
+            odds = np.log(self.prior / (1 - self.prior)) + by_pattern(states, stated - silent) + by_pattern(takes_part, silent)
             odds += np.log((1 - unseen_false) / (1 - unseen_true))
             new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
             if np.abs(new - q).max() < 1e-9:
@@ -104,26 +111,35 @@ class TwoSidedTruth:
         return q
 
 
+def _claimed(c: str) -> Column:
+    """The value that a field claims, as text; null or blank if none. Numbers as they are, a price only above 0; pictures as they are; other texts folded."""
+    x = F.col(c).cast("string")
+    if c == "price":
+        return F.when(F.col(c) > 0, x)
+    if c in ("area", "image"):
+        return F.regexp_replace(x, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    return fold_words(x)
+
+
 def judge_values(dup_group: DataFrame, listing: DataFrame, cut: float = 0.5) -> DataFrame:
     """``group_id, field, value, n_sources, probability, kept``: every claimed value of a group's fields with its probability."""
     m = listing.select("seq", "source", *JUDGED).join(_pairs(dup_group), "seq")
     source = F.coalesce("source", F.lit(""))
-    claims = m.select("group_id", source.alias("source"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), fold_words(F.col(c).cast("string")).alias("value")) for c in JUDGED])).alias("c")).select("group_id", "source", "c.field", "c.value").filter("value != ''").distinct()
+    claims = m.select("group_id", source.alias("source"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), _claimed(c).alias("value")) for c in JUDGED])).alias("c")).select("group_id", "source", "c.field", "c.value").filter("value != ''").distinct()
     claims = materialize(claims, "claims")
-    known = [r["source"] for r in claims.groupBy("source").count().orderBy(F.desc("count"), "source").limit(MAX_SOURCES).collect()]
-    slot = F.coalesce(*[F.when(F.col("source") == s, i) for i, s in enumerate(known)], F.lit(len(known)))
-    bits = F.bit_or(F.expr("shiftleft(1L, slot)"))
-    slotted = claims.withColumn("slot", slot)
-    stated = slotted.groupBy("group_id", "field", "value").agg(bits.alias("states"), F.count(F.lit(1)).alias("n_sources"))
-    part = slotted.groupBy("group_id", "field").agg(bits.alias("part"))
+    sources = F.array_sort(F.collect_set("source"))
+    stated = claims.groupBy("group_id", "field", "value").agg(sources.alias("states"), F.count(F.lit(1)).alias("n_sources"))
+    part = claims.groupBy("group_id", "field").agg(sources.alias("part"))
     seen = materialize(stated.join(part, ["group_id", "field"]), "stated")
-    patterns = seen.groupBy("field", "states", "part").count().collect()  # bounded by fields x 3 ** sources taking part
+    patterns = seen.groupBy("field", "states", "part").count().collect()  # few where groups have few sources: at most fields x 3 ** sources
     spark, rows = seen.sparkSession, []
+    slots = {s: i for i, s in enumerate(sorted({s for r in patterns for s in r["part"]}))}
     for field in JUDGED:
         own = [r for r in patterns if r["field"] == field]
         if own:
-            spread = lambda k: np.array([[r[k] >> i & 1 for i in range(len(known) + 1)] for r in own], float)  # noqa: E731, B023
-            p = TwoSidedTruth().fit(spread("states"), spread("part"), np.array([r["count"] for r in own], float))
+            pairs = lambda k: tuple(np.array([(i, slots[s]) for i, r in enumerate(own) for s in r[k]], int).T)  # noqa: E731, B023
+            p = TwoSidedTruth().fit_pairs(pairs("states"), pairs("part"), np.array([r["count"] for r in own], float), len(slots))
             rows += [(field, r["states"], r["part"], float(x)) for r, x in zip(own, p)]
-    scores = spark.createDataFrame(rows, "field string, states bigint, part bigint, probability double")
-    return seen.join(F.broadcast(scores), ["field", "states", "part"]).select("group_id", "field", "value", "n_sources", "probability", (F.col("probability") >= cut).alias("kept"))
+    scores = spark.createDataFrame(rows, "field string, states array<string>, part array<string>, probability double")
+    scores = F.broadcast(scores) if len(rows) <= MAX_BROADCAST else scores
+    return seen.join(scores, ["field", "states", "part"]).select("group_id", "field", "value", "n_sources", "probability", (F.col("probability") >= cut).alias("kept"))

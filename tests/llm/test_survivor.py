@@ -63,3 +63,21 @@ def test_several_values_may_be_true(spark):
     groups = group(spark, *((g, g * 6 + i + 1) for g in range(6) for i in range(6)))
     got = {(r["group_id"], r["value"]): r["kept"] for r in judge_values(groups, ads).collect()}
     assert all(got[g, "x"] and got[g, "y"] for g in range(6)) and len(got) == 18
+
+
+def test_prices_areas_titles_and_pictures_are_judged(spark):
+    one = {"area": 50.5, "title": "Dom, ogród", "image": "http://x/A.jpg"}
+    ads = listing(spark, *(one | {"source": s, "price": p, **more} for s, p, more in (("a", 100, {}), ("b", 100, {"title": "DOM OGROD"}), ("c", 0, {"image": "http://x/a.jpg"}), ("d", None, {"image": " ", "area": None}), ("e", 120, {}))))
+    got = {(r["field"], r["value"]): r["n_sources"] for r in judge_values(group(spark, *((1, k) for k in range(1, 6))), ads).collect()}
+    assert got == {("price", "100"): 2, ("price", "120"): 1, ("area", "50.5"): 4, ("title", "dom ogrod"): 5, ("image", "http://x/A.jpg"): 3, ("image", "http://x/a.jpg"): 1}
+
+
+def test_every_source_has_its_own_quality(spark):
+    # Sixteen sources; those from the thirteenth on claim least, and two of them that agree are two votes.
+    large = [("s%02d" % k, v) for k in range(13) for v in ("x", "y")]
+    small = [("s13", "pair"), ("s14", "pair"), ("s15", "single")]
+    ads = listing(spark, *({"source": s, "agency": v} for _ in range(10) for s, v in large + small))
+    n = len(large + small)
+    groups = group(spark, *((2 * g + (i >= len(large)), g * n + i + 1) for g in range(10) for i in range(n)))
+    p = {r["value"]: r["probability"] for r in judge_values(groups, ads).filter("group_id in (4, 5)").collect()}
+    assert p["x"] > 0.9 and p["pair"] > p["single"], p
