@@ -139,7 +139,6 @@ def transduce(text: str) -> Plain:
     return p
 
 
-_LOCAL = re.compile(r"\w(?:[\w.+-]*\w)?$|\w$")
 _DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 # Patterns start with a character class and look behind it, which lets the matcher skip ahead.
 _RUN = re.compile("[+(0-9][0-9+ ()./" + chr(0xA0) + "-]{8,}")
@@ -229,6 +228,20 @@ def _pesel(digits: str) -> bool:
     return 1 <= month <= 12 and 1 <= day <= 31 and (weighted + int(digits[10])) % 10 == 0
 
 
+def _local_part(t: str, at: int) -> int | None:
+    """Where the local part of an address before the at sign at ``at`` begins, however long it is."""
+    end = at - (t[max(0, at - 1) : at] == "\n")
+    is_word = lambda c: c.isalnum() or c == "_"
+    if end == 0 or not is_word(t[end - 1]):
+        return None
+    start = end
+    while start and (is_word(t[start - 1]) or t[start - 1] in ".+-"):
+        start -= 1
+    while not is_word(t[start]):
+        start += 1
+    return start
+
+
 def mentions(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every mention in a text, in order, without overlaps."""
     if not text:
@@ -241,9 +254,9 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
 
     at = t.find("@")
     while at >= 0:
-        local, domain = _LOCAL.search(t, max(0, at - 80), at), _DOMAIN.match(t, at + 1)
-        if local and domain:
-            found.append((local.start(), domain.end(), "email"))
+        local, domain = _local_part(t, at), _DOMAIN.match(t, at + 1)
+        if local is not None and domain:
+            found.append((local, domain.end(), "email"))
         at = t.find("@", at + 1)
     runs = [(m.start(), m.end()) for m in _RUN.finditer(t)]
     for a, b in runs:

@@ -78,3 +78,10 @@ def test_gates_lose_no_disguise(seed):
         assert not _DISGUISE.search(text) or may_be_disguised(_caseless(text)), text
         text = "".join(rng.choice([" ", ", ", "-", "\n", ""]) + rng.choice(list(DIGIT_WORDS)) for _ in range(8))
         assert not _SPELLED.search(text) or transduce(text).text != text, text
+
+
+@pytest.mark.parametrize("local", ["a" * 81, "k" * 300 + "+" + "oferta.nr-" * 2000 + "7", "x" + "." * 90 + "y"])
+def test_long_local_parts(local):
+    text = f"Napisz: .+-{local}@firma.example teraz"
+    assert [(k, text[a:b]) for a, b, k in mentions(text)] == [("email", f"{local}@firma.example")]
+    assert redact(text) == "Napisz: .+-[EMAIL] teraz"
