@@ -2,11 +2,12 @@
 
 Each row's street, locality and district are read into town, street name and house number,
 whatever field they stand in. Rows with the same reading form one class. The street name of a
-class is a vector of character 3-grams weighted by inverse document frequency over distinct names; given names
-(words that go with many different names) carry no weight. An inverted index over (town, house number, 3-gram) holds only each
-vector's prefix in the order rarest first: as many 3-grams as needed so that what is left cannot
-reach the cosine threshold alone. Candidates are verified by cosine, then by the
-edits between the names, agreement of given names or initials, and town.
+class is a vector of character 2-grams weighted by inverse document frequency over distinct names; given names
+and the like (:func:`main_words`) carry no weight. An inverted index over (town, house number, 2-gram) holds only each
+vector's prefix in the order rarest first: as many 2-grams as needed so that what is left cannot
+reach the cosine threshold alone (somewhat over half of them). Towns outside the list may hold typos; they are indexed by
+2-grams of their own. Candidates are verified by cosine, then by the edits between the names, agreement of given names or
+initials, and town.
 
 Defined results
 ---------------
@@ -22,17 +23,24 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.functions.text import BLANKS, fold_py
-from plotwright.llm.canonical import Resolver, allowed_edits, frequent_values, repair, segments
+from plotwright.llm.canonical import Resolver, allowed_edits, district_segments, repair, segments
 from plotwright.llm.pairs import expand_pairs
+from plotwright.operators.skew import lookup_join
 from plotwright.session import materialize
 
-COSINE = 0.2
-#: Added to document frequencies, so that the 3-grams of a misspelling do not outweigh the rest of the name.
-RARE = 10
+#: Cosine that two names must reach: at most, and for names of no letters with its gain per letter; an edit spoils more of a short name.
+COSINE, SHORT, LETTER = 0.52, 0.3, 0.02
+#: Characters of an n-gram.
+GRAM = 2
+#: Number and share of all names added to document frequencies, so that the n-grams of a misspelling do not outweigh the rest of the name.
+RARE, SMOOTH = 10, 0.05
+#: Official towns at most: the list goes to every task.
+TOWNS = 200_000
+FIELDS = ("street", "locality", "district")
 
 # Words for kinds of streets.
 STREET_TYPES = ("ul", "ulica", "ulicy", "al", "aleja", "aleje", "alei", "pl", "plac", "placu", "os", "osiedle", "osiedlu", "rondo", "rynek", "skwer", "bulwar", "trakt", "szosa")
@@ -104,15 +112,14 @@ def near(a: str, b: str, k: int) -> bool:
 class AddressReader:
     """Reads town, street name and house number out of three free fields."""
 
-    def __init__(self, towns: list[tuple[int, str]], districts: list[str]) -> None:
-        self.towns = Resolver(towns, districts)
-        self.beside = self.towns.beside
+    def __init__(self, towns: list[tuple[int, str]]) -> None:
+        self.towns = Resolver(towns)
 
-    def read(self, street: str | None, locality: str | None, district: str | None) -> tuple[str, str, str] | None:
-        """(town key, house number, street words) or None. Known towns are ``#id``, others their folded text."""
+    def read(self, street: str | None, locality: str | None, district: str | None, beside=frozenset()) -> tuple[str, str, str] | None:
+        """(town key, house number, street words) or None. Known towns are ``#id``, others their folded text; ``beside`` holds names of districts."""
         town, other, name, number = 0, "", [], ""
         if locality and locality.strip():
-            town = self.towns.value(locality)[1]
+            town = self.towns.value(locality, beside)
         spare = []
         for field, text in (("street", street), ("locality", locality), ("district", district)):
             for part in self._parts(text):
@@ -124,7 +131,7 @@ class AddressReader:
                         continue
                     plain = " ".join(words)
                     if not typed and not n:
-                        if plain in self.beside:
+                        if plain in beside:
                             continue
                         hit = self.towns.name(part, plain)[1]
                         if hit:
@@ -138,15 +145,20 @@ class AddressReader:
                         name, number = words, number or n
                     else:
                         spare.append(plain)
-                elif not town:
-                    bare = [b for _, b, outer in segments(part) if b not in self.beside]
-                    other = other or (bare[0] if bare else "")
+                elif not town and not other:
+                    other = next((b for _, b, outer in segments(part) if b not in beside), "")
         if not town and not other and spare:
             other = spare[0]
         if not name or not number or not (town or other):
             return None
         return (f"#{town}" if town else other), number, " ".join(name)
 
+    def asks(self, *fields: str | None) -> list[str]:
+        """All names of which :meth:`read` may want to know whether they are districts."""
+        parts = [p for text in fields for p in self._parts(text)]
+        names = {" ".join(read_street(p)[0]) for p in parts} | {b for p in parts for _, b, _ in segments(p)} | {b for text in fields for _, b, _ in segments(text or "")}
+        return sorted(names - {""})
+
     def _parts(self, text: str | None) -> list[str]:
         if not text:
             return []
@@ -154,17 +166,49 @@ class AddressReader:
         return [p for p in (x.strip() for x in re.split(r"[,;()|]| - ", t)) if re.search("[a-z0-9]", p)]
 
 
-def _reader_task(towns, districts):
+class _Asked:
+    """Stands for the names of districts while these are not known; tells whether one was asked for."""
+
+    def __init__(self) -> None:
+        self.asked = False
+
+    def __contains__(self, name: str) -> bool:
+        self.asked = True
+        return False
+
+
+def _first_reading(towns):
+    """Readings of rows, or, where they depend on what is a district, the names to look up."""
+
     def run(batches):
-        reader, cache = AddressReader(towns, districts), {}
+        reader, cache = AddressReader(towns), {}
         for b in batches:
             keep, out = [], []
-            for i, key in enumerate(zip(*(b[c].to_pylist() for c in ("street", "locality", "district")))):
-                hit = cache.get(key, 0)
-                if hit == 0:
+            for i, key in enumerate(zip(*(b[c].to_pylist() for c in FIELDS))):
+                hit = cache.get(key)
+                if hit is None:
                     if len(cache) > 200_000:
                         cache.clear()
-                    hit = cache[key] = reader.read(*key)
+                    beside = _Asked()
+                    got = reader.read(*key, beside)
+                    hit = cache[key] = (None, None, None, reader.asks(*key)) if beside.asked else (*(got or ("", "", "")), None)
+                if hit[3] is not None or hit[0]:
+                    keep.append(i)
+                    out.append(hit)
+            cols = list(zip(*out)) or [()] * 4
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b["seq"].take(at), *(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.string())), *(b[c].take(at) for c in FIELDS)], names=["seq", "town", "number", "name", "asks", *FIELDS])
+
+    return run
+
+
+def _second_reading(towns):
+    def run(batches):
+        reader = AddressReader(towns)
+        for b in batches:
+            keep, out = [], []
+            for i, (known, *key) in enumerate(zip(*(b[c].to_pylist() for c in ("known", *FIELDS)))):
+                hit = reader.read(*key, frozenset(known or ()))
                 if hit:
                     keep.append(i)
                     out.append(hit)
@@ -174,10 +218,57 @@ def _reader_task(towns, districts):
     return run
 
 
-def grams(name: str, given: frozenset[str]) -> list[str]:
-    """Distinct 3-grams of the words that are not given names or initials (of all words if nothing else is left)."""
-    words = [w for w in name.split() if len(w) > 1 and w not in given or w.isdigit()] or name.split()
-    return sorted({f"^{w}$"[i : i + 3] for w in words for i in range(max(1, len(w)))})
+def read_addresses(listing: DataFrame, towns: DataFrame) -> DataFrame:
+    """``seq, town, number, name`` of the rows that state street, house number and town. Any value of ``district``, however rare, is a district."""
+    listed = town_list(towns)
+    some_digit = F.concat_ws(" ", *FIELDS).rlike("[0-9]")
+    stated = listing.filter(some_digit).select("seq", *FIELDS)
+    first = materialize(stated.mapInArrow(_first_reading(listed), "seq bigint, town string, number string, name string, asks array<string>, street string, locality string, district string"), "read")
+    doubtful = first.filter("asks is not null")
+    known = doubtful.select("seq", F.explode("asks").alias("segment")).join(district_segments(listing, "district"), "segment", "left_semi").groupBy("seq").agg(F.collect_set("segment").alias("known"))
+    second = doubtful.select("seq", *FIELDS).join(known, "seq", "left").mapInArrow(_second_reading(listed), "seq bigint, town string, number string, name string")
+    return first.filter("asks is null").select("seq", "town", "number", "name").unionByName(second)
+
+
+def town_list(towns: DataFrame) -> list[tuple[int, str]]:
+    """A list of official towns, counted before it is collected."""
+    named = towns.filter(F.col("name").isNotNull()).select("loc_id", "name")
+    if named.count() > TOWNS:
+        raise ValueError(f"a list of official towns has a bounded size; this one has more than {TOWNS:,} entries")
+    return [(r["loc_id"], r["name"]) for r in named.collect()]
+
+
+def main_words(names: DataFrame) -> DataFrame:
+    """``name, main`` of distinct street names: the words that tell the street.
+
+    A word that more names of several words begin with than end with is a given name or the like, and does not tell;
+    neither does an initial. A name of nothing else keeps the word that leads other names least. The majority of
+    two counts has no threshold, so it means the same in tables of any size.
+    """
+    words = F.split("name", " ")
+    places = names.filter(F.size(words) > 1).select(F.explode(F.array(F.struct(F.get(words, F.lit(0)).alias("w"), F.lit(1).alias("first")), F.struct(F.element_at(words, -1).alias("w"), F.lit(-1).alias("first")))).alias("p")).select("p.w", "p.first")
+    leading = places.groupBy("w").agg(F.sum("first").alias("lead")).filter(F.col("lead") > 0)
+    each = names.select("name", F.posexplode(words).alias("at", "w"))
+    counted = leading.join(each.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "w")
+    led = lookup_join(each, counted, ["w"], "n", ["lead"]).groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("at", "lead"))).alias("leads"))
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.coalesce(F.try_element_at("leads", i), F.lit(0)).alias("lead")))
+    long = F.filter(placed, lambda p: p["w"].rlike("^[0-9]") | (F.length(p["w"]) > 1))
+    least = F.array_min(F.transform(long, lambda p: p["lead"]))
+    telling = F.transform(F.filter(long, lambda p: p["w"].rlike("^[0-9]") | (p["lead"] == least)), lambda p: p["w"])
+    return names.join(led, "name", "left").select("name", F.array_join(F.when(F.size(telling) > 0, telling).otherwise(words), " ").alias("main"))
+
+
+def grams(main: str, n: int = GRAM) -> list[str]:
+    """Distinct character n-grams of words, with marks at their ends."""
+    return sorted({f"^{w}$"[i : i + n] for w in main.split() for i in range(max(1, len(w) + 3 - n))})
+
+
+def gram_weights(names: DataFrame) -> dict[str, float]:
+    """Inverse document frequencies of the n-grams of ``names`` (``main``): at most 38 ** GRAM entries, over a-z, 0-9 and the two marks."""
+    total = max(1, names.count())
+    each = F.transform(F.split("main", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) + 3 - GRAM, F.lit(1))), lambda i: F.substr(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(GRAM))))
+    seen = names.select(F.explode(F.array_distinct(F.flatten(each))).alias("g")).groupBy("g").count()
+    return {r["g"]: math.log(1 + total / (r["count"] + RARE + SMOOTH * total)) for r in seen.collect()}
 
 
 def _weights(names: list[str], idf: dict[str, float]) -> dict[str, float]:
@@ -197,20 +288,43 @@ def prefix(vector: dict[str, float], threshold: float) -> list[str]:
     return out
 
 
-def _index_task(idf, given, threshold):
+def town_grams(town: str, idf: dict[str, float]) -> list[str]:
+    """Index terms of a town outside the list: towns within the edits that :func:`allowed_edits` grants share one.
+
+    An edit, swaps included, spoils at most GRAM + 1 n-grams, so the first ``(GRAM + 1) * edits + 1`` in a common
+    order, rarest first, of two such towns have one in common.
+    """
+    order = sorted(grams(town), key=lambda g: (-idf.get(g, 99.0), g))
+    return order[: (GRAM + 1) * allowed_edits(len(town)) + 1]
+
+
+def least_cosine(main: str, threshold: float = COSINE) -> float:
+    """Cosine that a name asks of another; a pair must reach what both ask."""
+    return min(threshold, SHORT + LETTER * len(main))
+
+
+def index_terms(main: str, idf: dict[str, float], threshold: float = COSINE) -> list[str]:
+    """The n-grams under which a name is indexed: two names that share none do not reach the cosine they ask."""
+    return prefix(_weights(grams(main), idf), least_cosine(main, threshold))
+
+
+def _index_task(idf, threshold):
     def run(batches):
         for b in batches:
-            lists = [prefix(_weights(grams(n, given), idf), threshold) for n in b["name"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["id"], b["town"], b["number"], pa.array(lists, pa.list_(pa.string()))], names=["id", "town", "number", "grams"])
+            lists = [index_terms(m, idf, threshold) for m in b["main"].to_pylist()]
+            places = [[t] if t[0] == "#" else town_grams(t, idf) for t in b["town"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["id"], b["number"], pa.array(lists, pa.list_(pa.string())), pa.array(places, pa.list_(pa.string()))], names=["id", "number", "grams", "places"])
 
     return run
 
 
-def same_street(a: str, b: str, given: frozenset[str]) -> bool:
+def cosine(a: dict[str, float], b: dict[str, float]) -> float:
+    return sum(w * b[g] for g, w in a.items() if g in b)
+
+
+def same_street(a: str, b: str, main_a: str, main_b: str) -> bool:
     """Whether two street names are one: main words within few edits, given names or initials not in conflict."""
-    x, y = a.split(), b.split()
-    main = lambda ws: [w for w in ws if (len(w) > 1 and w not in given) or w.isdigit()] or ws
-    mx, my = main(x), main(y)
+    x, y, mx, my = a.split(), b.split(), main_a.split(), main_b.split()
     if len(mx) > len(my):
         x, y, mx, my = y, x, my, mx
     left = list(my)
@@ -221,25 +335,24 @@ def same_street(a: str, b: str, given: frozenset[str]) -> bool:
         left.remove(hit)
     if any(w.isdigit() for w in left):
         return False
-    gx, gy = [w for w in x if w not in mx] , [w for w in y if w not in my]
-    rest = gy + left
-    for g in gx:
-        if rest and not any(g[0] == h[0] and (len(g) == 1 or len(h) == 1 or near(g, h, 2)) or near(g, h, 2) and len(g) > 3 for h in rest):
-            return False
-    return True
+    return not given_conflict([w for w in x if w not in mx], [w for w in y if w not in my] + left)
+
 
+def given_conflict(gx: list[str], rest: list[str]) -> bool:
+    """Whether a given name or initial of one name contradicts all the other name has beside its main words."""
+    agree = lambda g, h: g[0] == h[0] and (len(g) == 1 or len(h) == 1 or near(g, h, 2)) or near(g, h, 2) and len(g) > 3
+    return any(rest and not any(agree(g, h) for h in rest) for g in gx)
 
-def _verify_task(idf, given, threshold):
+
+def _verify_task(idf, threshold):
     def same_town(a: str, b: str) -> bool:
         return a == b or (a[0] != "#" and b[0] != "#" and near(a, b, allowed_edits(min(len(a), len(b)))))
 
     def run(batches):
         for b in batches:
             keep = []
-            for i, (na, nb, ta, tb) in enumerate(zip(*(b[c].to_pylist() for c in ("name_a", "name_b", "town_a", "town_b")))):
-                va, vb = _weights(grams(na, given), idf), _weights(grams(nb, given), idf)
-                cosine = sum(w * vb[g] for g, w in va.items() if g in vb)
-                if cosine >= threshold and same_town(ta, tb) and same_street(na, nb, given):
+            for i, (na, nb, ma, mb, ta, tb) in enumerate(zip(*(b[c].to_pylist() for c in ("name_a", "name_b", "main_a", "main_b", "town_a", "town_b")))):
+                if cosine(_weights(grams(ma), idf), _weights(grams(mb), idf)) >= max(least_cosine(ma, threshold), least_cosine(mb, threshold)) and same_town(ta, tb) and same_street(na, nb, ma, mb):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b["a"].take(at), b["b"].take(at)], names=["a", "b"])
@@ -247,38 +360,33 @@ def _verify_task(idf, given, threshold):
     return run
 
 
-def given_names(names: DataFrame, share: float = 1 / 500, partners: int = 10) -> frozenset[str]:
-    """Words in more than ``share`` of the distinct names of several words, so a bounded number, with many partners."""
-    several = names.filter(F.size("words") > 1)
-    total = several.count()
-    counts = several.select(F.explode("words").alias("w")).filter((F.length("w") > 1) & ~F.col("w").rlike("^[0-9]")).groupBy("w").count()
-    return frozenset(r["w"] for r in counts.filter(F.col("count") > max(partners, share * total)).collect())
+def address_keys() -> Column:
+    """Key of the inverted index for one house number, town (or n-gram of an unlisted town) and n-gram of the street."""
+    return F.xxhash64("number", "place", "g")
 
 
-def same_building_pairs(listing: DataFrame, towns: DataFrame, threshold: float = COSINE) -> DataFrame:
-    """``seq_a, seq_b`` (seq_a < seq_b): rows that state the same building. ``towns`` has ``loc_id, name``; see the module text."""
-    listed = [(r["loc_id"], r["name"]) for r in towns.filter(F.col("name").isNotNull()).select("loc_id", "name").collect()]
-    if len(listed) > 200_000:
-        raise ValueError("a list of official towns has a bounded size; this one has more than 200,000 entries")
-    districts = frequent_values(listing, "district")
-    some_digit = F.concat_ws(" ", "street", "locality", "district").rlike("[0-9]")
-    stated = listing.filter(some_digit).select("seq", "street", "locality", "district")
-    rows = materialize(stated.mapInArrow(_reader_task(listed, districts), "seq bigint, town string, number string, name string"), "stated")
+def same_building_classes(listing: DataFrame, towns: DataFrame, threshold: float = COSINE) -> tuple[DataFrame, DataFrame]:
+    """(links, members): ``a, b`` of classes of rows with one reading that state the same building, and ``id, seq`` of the classes of several rows.
+
+    A class of one row has the row's seq as its id. No pair within a class is written.
+    """
+    rows = materialize(read_addresses(listing, towns), "stated")
     traits = ["town", "number", "name"]
-    classes = materialize(rows.groupBy(*traits).agg(F.min("seq").alias("id"), F.count(F.lit(1)).alias("n")), "addresses")
-    names = materialize(classes.select("name").distinct().select("name", F.split("name", " ").alias("words")), "names")
-    given = given_names(names)
-    # Character 3-grams over a-z, 0-9 and the two marks: at most 38^3 entries.
-    total = max(1, names.count())
-    seen = names.select(F.explode(F.flatten(F.transform("words", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substr(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(3)))))).alias("g")).groupBy("g").count()
-    idf = {r["g"]: math.log(1 + total / (r["count"] + RARE)) for r in seen.collect()}
-    # Names of towns outside the list may hold typos, so they do not split the index.
-    index = classes.select("id", "town", "number", "name").mapInArrow(_index_task(idf, given, threshold), "id bigint, town string, number string, grams array<string>")
-    keyed = index.select("id", "town", "number", F.explode("grams").alias("g")).select("id", F.xxhash64(F.when(F.col("town").startswith("#"), F.col("town")), "number", "g").alias("key"))
+    grouped = rows.groupBy(*traits).agg(F.min("seq").alias("id"), F.count(F.lit(1)).alias("n"))
+    names = materialize(main_words(rows.select("name").distinct()), "names")
+    idf = gram_weights(names)
+    classes = materialize(grouped.join(names, "name"), "addresses")
+    index = classes.select("id", "town", "number", "main").mapInArrow(_index_task(idf, threshold), "id bigint, number string, grams array<string>, places array<string>")
+    keyed = index.select("id", "number", "grams", F.explode("places").alias("place")).select("id", "number", "place", F.explode("grams").alias("g")).select("id", address_keys().alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
     # The planner cannot estimate exploded rows; neither side may be broadcast.
     met = x.hint("merge").join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    side = lambda s: classes.select(F.col("id").alias(s), F.col("name").alias(f"name_{s}"), F.col("town").alias(f"town_{s}"))
-    near_classes = met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify_task(idf, given, threshold), "a bigint, b bigint")
-    twins = materialize(rows.join(classes.filter("n > 1").select(*traits, "id"), traits).select("id", "seq"), "twins")
-    return expand_pairs(near_classes, twins)
+    side = lambda s: classes.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("name", "main", "town")])
+    links = met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify_task(idf, threshold), "a bigint, b bigint")
+    members = materialize(rows.join(classes.filter("n > 1").select(*traits, "id"), traits).select("id", "seq"), "twins")
+    return links, members
+
+
+def same_building_pairs(listing: DataFrame, towns: DataFrame, threshold: float = COSINE) -> DataFrame:
+    """``seq_a, seq_b`` (seq_a < seq_b): rows that state the same building. ``towns`` has ``loc_id, name``; see the module text."""
+    return expand_pairs(*same_building_classes(listing, towns, threshold))

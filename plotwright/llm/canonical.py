@@ -21,7 +21,7 @@ import re
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.functions.text import BLANKS, fold_py
@@ -190,51 +190,46 @@ def segments(value: str) -> list[tuple[str, str, bool]]:
 
 
 class Resolver:
-    """Finds the reference entry a value stands for; ``0`` if none. ``beside``: names that stand beside an entry, such as districts."""
+    """Finds the reference entry a value stands for; ``0`` if none."""
 
-    def __init__(self, names: list[tuple[int, str]], beside: list[str] = ()) -> None:
+    def __init__(self, names: list[tuple[int, str]]) -> None:
         self.trie, self.names, self.cache = Trie(), dict(names), {}
-        self.beside = {s for b in beside for _, s, _ in segments(b)}
         for entry, name in names:
             for alias in aliases(name):
                 self.trie.add(alias, entry)
 
-    def name(self, whole: str, bare: str) -> tuple[int, int]:
-        """(edits, entry) of one segment; entry 0 if no entry is near enough."""
-        hit = self.cache.get((whole, bare))
-        if hit is None:
-            near = {x: 0 for x in self.trie.exact(whole) or self.trie.exact(bare)} or self.trie.search(bare, allowed_edits(len(bare)))
-            best = min(near.values(), default=99)
-            hit = min(((d, self._spelling(whole, x) if len(near) > 1 else 0, x) for x, d in near.items() if d == best), default=(99, 0, 0))
-            hit = self.cache[(whole, bare)] = (hit[0], hit[2])
+    def hit(self, whole: str, bare: str) -> tuple[int, int, int, int]:
+        """(way, edits, spelling, entry) of one segment, the smallest of all entries near enough; entry 0 if there is none.
+
+        ``way``: 0 the whole segment is an entry, 1 it is one without what stands beside it, 2 found by search. The
+        smallest of parts of the reference list is the smallest of the whole list.
+        """
+        found = self.cache.get((whole, bare))
+        if found is None:
+            for way, near in enumerate((self.trie.exact(whole), self.trie.exact(bare), None)):
+                near = self.trie.search(bare, allowed_edits(len(bare))) if near is None else dict.fromkeys(near, 0)
+                if near:
+                    break
+            found = self.cache[(whole, bare)] = min(((way, d, self._spelling(whole, x), x) for x, d in near.items()), default=(9, 99, 0, 0))
             if len(self.cache) > 500_000:
                 self.cache.clear()
-        return hit
+        return found
+
+    def name(self, whole: str, bare: str) -> tuple[int, int]:
+        """(edits, entry) of one segment."""
+        _, edits, _, entry = self.hit(whole, bare)
+        return edits, entry
 
     def _spelling(self, text: str, entry: int) -> int:
         name = self.names[entry].lower()
         return sum(a != b for a, b in zip(text, name)) + abs(len(text) - len(name))
 
-    def readings(self, value: str) -> tuple[tuple[int, int], tuple[int, int], list[str]]:
-        """(edits, entry) of the value's names, the same of names marked as municipalities, and what must be known districts for these to count."""
+    def value(self, value: str, beside) -> int:
+        """Entry of a whole value. A name marked as a municipality counts only if nothing but names in ``beside`` (districts) stands with it."""
         parts = segments(value)
-        best = lambda outer: min((h for h in (self.name(w, b) for w, b, o in parts if o == outer) if h[1]), key=lambda h: h[0], default=(99, 0))
-        return best(False), best(True), [b for _, b, outer in parts if not outer]
-
-    def value(self, value: str) -> tuple[int, int]:
-        """(edits, entry) of a whole value. A name marked as a municipality counts only if nothing but known districts stands beside it."""
-        own, outer, others = self.readings(value)
-        return outer if not own[1] and all(b in self.beside for b in others) else own
-
-
-def frequent_values(rows: DataFrame, column: str, share: float = 1 / 500) -> list[str]:
-    """Values that hold more than ``share`` of the non-null values of ``column``: at most ``1 / share`` whatever the data."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).count().persist()
-    try:
-        total = counts.agg(F.sum("count")).first()[0] or 0
-        return [r[0] for r in counts.filter(F.col("count") > share * total).select(column).collect()]
-    finally:
-        counts.unpersist()
+        best = lambda outer: min((h for h in (self.name(w, b) for w, b, o in parts if o == outer) if h[1]), key=lambda h: h[0], default=(99, 0))[1]
+        own, outer = best(False), best(True)
+        return outer if not own and outer and all(b in beside for _, b, o in parts if not o) else own
 
 
 def district_segments(rows: DataFrame, column: str) -> DataFrame:
@@ -248,43 +243,65 @@ def district_segments(rows: DataFrame, column: str) -> DataFrame:
     return rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().mapInArrow(run, "segment string").distinct()
 
 
-def build_value_dictionary(rows: DataFrame, column: str, reference: DataFrame, ref_id: str, ref_name: str, beside: list[str] | DataFrame = (), block: int = BLOCK) -> DataFrame:
-    """``value, entry, n``: each distinct non-blank value of ``column`` that is not exactly a name, with its entry or 0.
+def reference_names(reference: DataFrame, ref_id: str, ref_name: str) -> DataFrame:
+    """``entry, name`` of a reference list."""
+    return reference.filter(F.col(ref_name).isNotNull()).select(F.col(ref_id).alias("entry"), F.col(ref_name).alias("name"))
 
-    ``beside``: values, or a table of :func:`district_segments`, that may stand beside a municipality.
+
+def resolve_values(values: DataFrame, names: DataFrame, districts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``value, n, entry, other`` of ``values`` (``value, n``): the entry of ``names`` meant or 0, and if 0 the first name in the value that is no district.
+
+    A reference list of more than ``block`` names is searched block by block. Blocks return the best hit of every
+    segment; the value is judged once, after the hits are brought together, so blocks change no answer.
     """
-    values = rows.filter(F.regexp_replace(column, f"[{BLANKS}]+", "") != "").groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    names = reference.filter(F.col(ref_name).isNotNull()).select(F.col(ref_id).alias("entry"), F.col(ref_name).alias("name"))
     blocks = max(1, -(-names.count() // block))
-    values = values.join(F.broadcast(names.select(F.col("name").alias("value"))) if blocks == 1 else names.select(F.col("name").alias("value")), "value", "left_anti")
     found = None
     for b in range(blocks):
         part = names if blocks == 1 else names.filter(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == b)
         listed = [(r["entry"], r["name"]) for r in part.collect()]  # at most about `block` entries
         # Searching costs more than moving the distinct values, so they are dealt out evenly.
-        own = values.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_matcher(listed), f"value string, n bigint, {', '.join(f'{c} struct<edits: int, entry: bigint>' for c in ('own', 'outer'))}, others array<string>")
+        own = values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_matcher(listed), "value string, n bigint, hits array<struct<way: int, edits: int, spelling: int, entry: bigint>>, parts array<string>, outer array<boolean>")
         found = own if found is None else found.unionByName(own)
     if blocks > 1:
-        found = found.groupBy("value").agg(F.max("n").alias("n"), F.min("own").alias("own"), F.min("outer").alias("outer"), F.first("others").alias("others"))
-    found = materialize(found, "readings")
-    # Few values name their town only as a municipality; what stands beside it is looked up among all districts.
-    doubtful = (F.col("own.entry") == 0) & (F.col("outer.entry") != 0)
+        found = found.groupBy("value").agg(F.max("n").alias("n"), F.collect_list("hits").alias("lists"), F.max("parts").alias("parts"), F.max("outer").alias("outer"))
+        found = found.withColumn("hits", F.transform(F.get("lists", F.lit(0)), lambda h, i: F.array_min(F.transform("lists", lambda one: F.get(one, i)))))
+
+    def best(outer: bool) -> Column:
+        placed = F.transform("hits", lambda h, i: F.struct(h["edits"].alias("edits"), i.alias("at"), h["entry"].alias("entry"), F.get("outer", i).alias("outer")))
+        return F.coalesce(F.array_min(F.filter(placed, lambda h: (h["entry"] != 0) & (h["outer"] == F.lit(outer))))["entry"], F.lit(0))
+
+    others = F.filter("parts", lambda p, i: ~F.get("outer", i))
+    found = materialize(found.select("value", "n", best(False).alias("own"), best(True).alias("outer_entry"), others.alias("others")), "readings")
+    sure = found.filter("own != 0").select("value", "n", F.col("own").alias("entry"), F.lit(None).cast("string").alias("other"))
+    # Few values have no name of their own; what they have is looked up among all districts.
+    open_ = found.filter("own = 0")
+    unknown = open_.select("value", F.posexplode("others").alias("at", "segment")).join(districts, "segment", "left_anti").groupBy("value").agg(F.min(F.struct("at", "segment"))["segment"].alias("other"))
+    judged = open_.join(unknown, "value", "left").select("value", "n", F.when(F.col("other").isNull(), F.col("outer_entry")).otherwise(F.lit(0)).cast("bigint").alias("entry"), "other")
+    return sure.unionByName(judged)
+
+
+def build_value_dictionary(rows: DataFrame, column: str, reference: DataFrame, ref_id: str, ref_name: str, beside: list[str] | DataFrame = (), block: int = BLOCK) -> DataFrame:
+    """``value, entry, n``: each distinct non-blank value of ``column`` that is not exactly a name, with its entry or 0.
+
+    ``beside``: values, or a table of :func:`district_segments`, that may stand beside a municipality.
+    """
+    values = rows.filter(F.regexp_replace(column, f"[{BLANKS}]+", "") != "").groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    names = reference_names(reference, ref_id, ref_name)
+    values = values.join(names.select(F.col("name").alias("value")), "value", "left_anti")
     if not isinstance(beside, DataFrame):
-        beside = found.sparkSession.createDataFrame([(s,) for s in {s for v in beside for _, s, _ in segments(v)}], "segment string")
-    unknown = found.filter(doubtful).select("value", F.explode("others").alias("segment")).join(beside, "segment", "left_anti").select("value").distinct().withColumn("unknown", F.lit(True))
-    judged = found.filter(doubtful).join(unknown, "value", "left").select("value", F.when(F.col("unknown"), F.lit(0)).otherwise(F.col("outer.entry")).cast("bigint").alias("entry"), "n")
-    return materialize(found.filter(~doubtful).select("value", F.col("own.entry").alias("entry"), "n").unionByName(judged), "canonical")
+        beside = rows.sparkSession.createDataFrame([(s,) for s in {s for v in beside for _, s, _ in segments(v)}], "segment string")
+    return materialize(resolve_values(values, names, beside, block).select("value", "entry", "n"), "canonical")
 
 
 def _matcher(listed: list[tuple[int, str]]):
-    kind = pa.struct([("edits", pa.int32()), ("entry", pa.int64())])
+    kind = pa.list_(pa.struct([("way", pa.int32()), ("edits", pa.int32()), ("spelling", pa.int32()), ("entry", pa.int64())]))
 
     def run(batches):
         resolver = Resolver(listed)
         for b in batches:
-            hits = [resolver.readings(v) for v in b["value"].to_pylist()]
-            pairs = [pa.array([{"edits": h[k][0], "entry": h[k][1]} for h in hits], kind) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b["value"], b["n"], *pairs, pa.array([h[2] for h in hits], pa.list_(pa.string()))], names=["value", "n", "own", "outer", "others"])
+            parts = [segments(v) for v in b["value"].to_pylist()]
+            hits = [[dict(zip(("way", "edits", "spelling", "entry"), resolver.hit(w, s))) for w, s, _ in p] for p in parts]
+            yield pa.RecordBatch.from_arrays([b["value"], b["n"], pa.array(hits, kind), pa.array([[s for _, s, _ in p] for p in parts], pa.list_(pa.string())), pa.array([[o for _, _, o in p] for p in parts], pa.list_(pa.bool_()))], names=["value", "n", "hits", "parts", "outer"])
 
     return run
 

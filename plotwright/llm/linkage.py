@@ -1,18 +1,23 @@
 """Entities matched across sources without keys: votes of matching functions under a label model.
 
-Archived properties and notarial deeds share no key. Both are read into kind, official town,
-street, area, rooms, price and date; candidate pairs agree in kind and town and lie in
-neighbouring area bins. Matching functions vote for, against or not at all on each candidate. A
-generative model with a hidden match variable learns from the vote patterns alone how often each
-function votes each way for matches and for others; functions whose votes depend on each other
-beyond that are merged into one joint function, so that a fact counted twice does not inflate the
-confidence. The patterns number at most 3 ** functions, so the model is fitted on their counts.
-The posterior of a pattern is the confidence of its pairs. Pairs against which a function with a
-hard limit votes are no matches; street names that only nearly agree are compared once more.
+Archived properties and notarial deeds share no key. Both are read into kind, official town, street, area,
+rooms, price and date. Blocking joins bring together only pairs that keep the exact limits (kind and town,
+area, rooms and price where known, days around the delisting): pairs whose sides both name a street share, beside
+these, an n-gram of it (the prefix-filtered index of :mod:`addresses`); pairs of which a side names none share an area bin and a
+price band, so candidates grow with the matches and not with the square of a town. Matching functions vote for,
+against or not at all on each candidate. A generative model with a hidden match variable learns
+from the vote patterns alone how often each function votes each way for matches and for others; functions whose votes
+depend on each other beyond that are merged into joint functions, so that a fact counted twice does not inflate the
+confidence. The patterns number at most 3 ** functions, so the model is fitted on their counts over all candidates.
+The posterior of a pattern is the confidence of its pairs and decides them; among the pairs it takes, names of streets
+that are spelled differently are checked once more word by word.
+
+The hidden variable is "keeps all stated limits": a limit on what one side does not tell (the street) holds, so
+``v_street`` votes for such a pair and ``v_named`` has no opinion, which leaves it a lower confidence.
 
 Defined results
 ---------------
-* null type, town, area, delisted or deed date: no pair. Unknown street, rooms or price: that function abstains.
+* null type, town, area, delisted or deed date: no pair. Unknown street, rooms or price: that limit holds.
 * empty or very long titles: read whole; a title without a street type names no street.
 * repeated rows pair separately; empty tables give an empty result.
 """
@@ -27,22 +32,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.functions.text import fold_py
-from plotwright.llm.addresses import AddressReader, given_names, read_street, same_street
-from plotwright.llm.canonical import frequent_values, segments
+from plotwright.llm.addresses import _weights, cosine, given_conflict, gram_weights, grams, index_terms, least_cosine, main_words, read_street, same_street
+from plotwright.llm.canonical import district_segments, reference_names, resolve_values
+from plotwright.operators.skew import lookup_join
 from plotwright.session import materialize
 
 AREA, EARLY, LATE, PRICE = 0.6, 60, 400, 0.12
-#: Days around the sale window within which pairs still serve as examples of non-matches.
-MARGIN = 200
-FUNCTIONS = ("v_street", "v_area", "v_rooms", "v_date", "v_price", "v_close")
-HARD = ("v_street", "v_rooms", "v_date", "v_price")
+#: Cosine of two street names from which the n-grams speak for one street.
+ALIKE = 0.75
+FUNCTIONS = ("v_street", "v_grams", "v_given", "v_named", "v_area", "v_rooms", "v_price", "v_date")
+#: Posterior from which a pair is a match.
+CUT = 0.5
 
 
 class LabelModel:
     """Two hidden classes, conditionally independent blocks of ternary votes, fitted by expectation-maximisation."""
 
-    def __init__(self, n_functions: int, rounds: int = 200, excess: float = 0.02, copies: float = 0.2) -> None:
-        self.m, self.rounds, self.excess, self.copies = n_functions, rounds, excess, copies
+    def __init__(self, n_functions: int, rounds: int = 200, excess: float = 0.02, copies: float = 0.2, widest: int = 3) -> None:
+        self.m, self.rounds, self.excess, self.copies, self.widest = n_functions, rounds, excess, copies, widest
         self.blocks = [(j,) for j in range(n_functions)]
 
     def _codes(self, votes: np.ndarray) -> list[np.ndarray]:
@@ -85,7 +92,7 @@ class LabelModel:
         return self
 
     def _merge(self, votes: np.ndarray, counts: np.ndarray, q: np.ndarray, limit: float) -> bool:
-        """Join the most dependent pair of blocks if it exceeds ``limit``; joint blocks hold three functions at most."""
+        """Join the most dependent pair of blocks if it exceeds ``limit``. Joint blocks hold ``widest`` functions at most: two hidden classes are not told apart by fewer than three blocks."""
         pairs = [(self._dependence(votes, counts, q, a, b), a, b) for a, b in itertools.combinations(range(len(self.blocks)), 2) if len(self.blocks[a]) + len(self.blocks[b]) <= 3]
         worst, a, b = max(pairs, default=(0.0, 0, 0))
         if worst <= limit:
@@ -124,101 +131,134 @@ def street_in_title(title: str | None) -> str:
     return ""
 
 
-def _reader(towns, districts, kind: str):
-    """Reads (town, street) of archived rows (``kind`` archive) or deeds; other columns pass."""
+def _streets(kind: str):
+    """Adds ``street``, the words of the street an archived row's title or a deed names, or null, in place of ``named``."""
 
     def run(batches):
-        reader, town_of = AddressReader(towns, districts), {}
         for b in batches:
-            town, street = [], []
-            texts = b["place"].to_pylist()
-            for place, name in zip(texts, b["named"].to_pylist()):
-                if place not in town_of:
-                    if len(town_of) > 200_000:
-                        town_of.clear()
-                    hit = reader.towns.value(place)[1] if place else 0
-                    bare = [s for _, s, outer in segments(place or "") if s not in reader.beside and not outer]
-                    town_of[place] = f"#{hit}" if hit else (bare[0] if bare else None)
-                town.append(town_of[place])
-                street.append(street_in_title(name) if kind == "archive" else " ".join(read_street(fold_py(name or ""))[0]))
-            cols = [c for c in b.schema.names if c not in ("place", "named")]
-            yield pa.RecordBatch.from_arrays([b[c] for c in cols] + [pa.array(town, pa.string()), pa.array(street, pa.string())], names=cols + ["town", "street"])
+            read = street_in_title if kind == "archive" else lambda name: " ".join(read_street(fold_py(name or ""))[0])
+            street = [read(x) or None for x in b["named"].to_pylist()]
+            cols = [c for c in b.schema.names if c != "named"]
+            yield pa.RecordBatch.from_arrays([b[c] for c in cols] + [pa.array(street, pa.string())], names=[*cols, "street"])
 
     return run
 
 
-def _main_words(given: list[str]) -> Column:
-    words = F.split("street", " ")
-    main = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(given) | w.rlike("^[0-9]+$")) if given else words
-    return F.when(F.col("street") != "", F.array_join(F.when(F.size(main) > 0, main).otherwise(words), " "))
+def _index_names(idf: dict[str, float]):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["name"], b["main"], b["n"], pa.array([index_terms(m, idf) for m in b["main"].to_pylist()], pa.list_(pa.string()))], names=["name", "main", "n", "grams"])
+
+    return run
+
 
+def _street_votes(idf: dict[str, float]):
+    """Votes on the street names of candidates, and whether the exact check takes them."""
+
+    def run(batches):
+        seen: dict[tuple, tuple] = {}
+        for b in batches:
+            out = []
+            for key in zip(*(b[c].to_pylist() for c in ("street", "street_d", "main", "main_d"))):
+                hit = seen.get(key)
+                if hit is None:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    hit = seen[key] = street_vote(*key, idf)
+                out.append(hit)
+            cols = list(zip(*out)) or [()] * 5
+            keep = [c for c in b.schema.names if c not in ("street", "street_d", "main", "main_d")]
+            yield pa.RecordBatch.from_arrays([b[c] for c in keep] + [pa.array(c, pa.int32()) for c in cols[:4]] + [pa.array(cols[4], pa.bool_())], names=[*keep, *FUNCTIONS[:4], "exact"])
+
+    return run
 
-def _votes(c: DataFrame) -> DataFrame:
-    """Votes of the matching functions: 1 for, -1 against, 0 no opinion."""
-    vote = lambda known, yes: F.when(known, F.when(yes, 1).otherwise(-1)).otherwise(0).cast("int")
-    apart = F.abs(F.col("area") - F.col("a"))
-    days = F.datediff("d", "delisted")
-    both_streets = F.col("main").isNotNull() & F.col("main_d").isNotNull()
-    slack = F.when(F.least(F.length("main"), F.length("main_d")) < 6, 1).otherwise(4)
-    alike = (F.col("main") == F.col("main_d")) | (F.levenshtein("main", "main_d") <= slack) | F.col("main").contains(F.col("main_d")) | F.col("main_d").contains(F.col("main"))
-    off = F.abs(F.col("c") - F.col("price")) / F.col("price")
+
+def street_vote(street: str | None, street_d: str | None, main: str | None, main_d: str | None, idf: dict[str, float]) -> tuple[int, int, int, int, bool]:
+    """(v_street, v_grams, v_given, v_named, exact check) of two street names, null where not named."""
+    if not street or not street_d:
+        return 1, 0, 0, 0, True
+    words = same_street(main, main_d, main, main_d)
+    near = cosine(_weights(grams(main), idf), _weights(grams(main_d), idf))
+    gx, gy = ([w for w in s.split() if w not in m.split()] for s, m in ((street, main), (street_d, main_d)))
+    given = 0 if not gx or not gy else -1 if given_conflict(gx, gy) else 1
+    return 1 if words else -1, 1 if near >= ALIKE else -1 if near < max(least_cosine(main), least_cosine(main_d)) else 0, given, 1 if words else 0, same_street(street, street_d, main, main_d)
+
+
+def _numeric_votes() -> dict[str, Column]:
+    """Votes on measures within the limits: 1 for, 0 no opinion."""
+    says = lambda yes: F.when(yes, 1).otherwise(0).cast("int")
+    whole = (F.col("area") == F.bround("area")) & (F.bround("a") == F.col("area"))
+    return {
+        "v_area": says((F.abs(F.col("area") - F.col("a")) <= 0.05) | whole),
+        "v_rooms": says(F.col("rooms") == F.col("izb")),
+        "v_price": says((F.col("price") > 0) & (F.abs(F.col("c") - F.col("price")) <= 0.05 * F.col("price"))),
+        "v_date": says(F.datediff("d", "delisted").between(-30, 180)),
+    }
+
+
+def _within_limits() -> Column:
+    """The exact limits, as far as both sides tell; kind and town are keys."""
     priced = (F.col("price") > 0) & F.col("c").isNotNull()
-    return c.withColumns({
-        "v_street": vote(both_streets, alike),
-        "v_area": F.when((apart <= 0.05) | (F.col("area") == F.bround("area")) & (F.bround("a") == F.col("area")), 1).otherwise(0).cast("int"),
-        "v_rooms": vote(F.col("rooms").isNotNull() & F.col("izb").isNotNull(), F.col("rooms") == F.col("izb")),
-        "v_date": vote(F.lit(True), days.between(-EARLY, LATE)),
-        "v_price": vote(priced, F.abs(F.col("c") - F.col("price")) <= PRICE * F.col("price") + 1e-9),
-        "v_close": F.when(priced & (off <= 0.05), 1).otherwise(0).cast("int"),
-    })
-
-
-def link_deeds(archive: DataFrame, deeds: DataFrame, towns: DataFrame) -> DataFrame:
-    """``archive_id, deed_id, confidence, matched``: candidate pairs with the model's posterior and the verdict after the hard limits."""
-    listed = [(r["loc_id"], r["name"]) for r in towns.filter(F.col("name").isNotNull()).select("loc_id", "name").collect()]
-    if len(listed) > 200_000:
-        raise ValueError("a list of official towns has a bounded size; this one has more than 200,000 entries")
-    districts = frequent_values(archive, "district")
-    left = archive.filter(F.col("type").isNotNull() & F.col("area").isNotNull() & F.col("delisted").isNotNull()).select("archive_id", "type", "area", "rooms", F.col("price").cast("double").alias("price"), "delisted", F.col("locality").alias("place"), F.col("title").alias("named"))
-    right = deeds.filter(F.col("kind").isNotNull() & F.col("a").isNotNull() & F.col("d").isNotNull()).select("deed_id", "kind", "a", "izb", F.col("c").cast("double").alias("c"), "d", F.col("msc").alias("place"), F.col("ul").alias("named"))
-    left = materialize(left.mapInArrow(_reader(listed, districts, "archive"), "archive_id bigint, type string, area double, rooms int, price double, delisted date, town string, street string").filter("town is not null"), "archive")
-    right = materialize(right.mapInArrow(_reader(listed, districts, "deed"), "deed_id bigint, kind string, a double, izb int, c double, d date, town string, street string").filter("town is not null"), "deeds")
-    given = given_names(left.select("street").unionByName(right.select("street")).filter("street != ''").distinct().select(F.split("street", " ").alias("words")))
-    left, right = left.withColumn("main", _main_words(sorted(given))), right.withColumn("main_d", _main_words(sorted(given))).withColumnRenamed("street", "street_d")
-    # Area bins and date bins cut a town with a third of all rows into parts; the neighbours of a bin are sent along.
-    span = EARLY + LATE + 2 * MARGIN
-    abin = lambda c: F.floor(F.col(c) / AREA)
-    lo = F.datediff("delisted", F.lit("1970-01-01").cast("date")) - EARLY - MARGIN
-    left = left.withColumn("ab", F.explode(F.array(*[abin("area") + k for k in (-1, 0, 1)]))).withColumn("db", F.explode(F.array(F.floor(lo / span), F.floor(lo / span) + 1)))
-    right = right.withColumn("ab", abin("a")).withColumn("db", F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / span)).withColumnRenamed("town", "town_d").withColumnRenamed("ab", "ab_d").withColumnRenamed("db", "db_d")
-    met = (F.col("type") == F.col("kind")) & (F.col("town") == F.col("town_d")) & (F.col("ab") == F.col("ab_d")) & (F.col("db") == F.col("db_d"))
-    met = met & (F.abs(F.col("area") - F.col("a")) <= AREA + 1e-9) & F.datediff("d", "delisted").between(-EARLY - MARGIN, LATE + MARGIN)
-    slim = left.hint("merge").join(right.hint("merge"), met).select("archive_id", "deed_id", "area", "a", "rooms", "izb", "price", "c", "delisted", "d", "main", "main_d", (F.col("street") != F.col("street_d")).alias("spelled"))
+    rooms = F.col("rooms").isNull() | F.col("izb").isNull() | (F.col("rooms") == F.col("izb"))
+    price = ~F.coalesce(priced, F.lit(False)) | (F.abs(F.col("c") - F.col("price")) <= PRICE * F.col("price") + 1e-9)
+    return (F.abs(F.col("area") - F.col("a")) <= AREA + 1e-9) & F.datediff("d", "delisted").between(-EARLY, LATE) & rooms & price
+
+
+def _blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Candidates: pairs within the limits whose streets share an index term, or of which a side names no street."""
+    wide = 1e-6  # for rounding; a bin is a little wider than the span of a row, so the span meets two bins at most
+    width, band = 2 * AREA + 4 * wide, float(np.log((1 + PRICE) / (1 - PRICE))) + wide
+    bins = F.array_distinct(F.array(F.floor((F.col("area") - AREA - wide) / width), F.floor((F.col("area") + AREA + wide) / width)))
+    left, right = left.withColumn("bin", F.explode(bins)), right.withColumn("bin", F.floor(F.col("a") / width))
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.type") == F.col("y.kind")) & (F.col("x.town") == F.col("y.town_d")) & _within_limits()
+    out = ["archive_id", "deed_id", "area", "a", "rooms", "izb", "price", "c", "delisted", "d", "street", "street_d", "main", "main_d"]
+
+    def join(x: DataFrame, y: DataFrame, *keys: str) -> DataFrame:
+        hashed = lambda kind, town: F.xxhash64(kind, town, "bin", *keys).alias("key")
+        x, y = x.select(*[c for c in x.columns if c not in keys], hashed("type", "town")).drop("grams", "bin"), y.select(*[c for c in y.columns if c not in keys], hashed("kind", "town_d")).drop("grams_d", "bin")
+        return x.alias("x").hint("merge").join(y.alias("y").hint("merge"), met).select(*out)
+
+    named = join(left.filter("street is not null").withColumn("g", F.explode("grams")), right.filter("street_d is not null").withColumn("g", F.explode("grams_d")), "g").dropDuplicates(["archive_id", "deed_id"])
+    # Price bands; a price that is not known meets all (band 0 of a band number of its own), a deed without price meets all.
+    any_price, no_price = F.lit(-1_000_000).cast("bigint"), F.lit(-1_000_001).cast("bigint")
+    near = lambda k: F.floor(F.log(F.col("price") * k) / band)
+    bands = F.when(F.col("price") > 0, F.array_distinct(F.array(near(1 - PRICE - 1e-9), near(1 + PRICE + 1e-9), no_price))).otherwise(F.array(any_price))
+    bands_d = F.array_compact(F.array(F.when(F.col("c").isNull(), no_price).otherwise(F.floor(F.log(F.when(F.col("c") > 0, F.col("c"))) / band)), any_price))
+    # Sides without a street meet all others (part 0), those with one only sides without (part 1).
+    parts = left.withColumn("part", F.when(F.col("street").isNull(), 0).otherwise(1)).withColumn("band", F.explode(bands))
+    parts_d = right.withColumn("part", F.explode(F.when(F.col("street_d").isNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("band", F.explode(bands_d))
+    return named.unionByName(join(parts, parts_d, "part", "band"))
+
+
+def link_deeds(archive: DataFrame, deeds: DataFrame, towns: DataFrame, cut: float = CUT) -> DataFrame:
+    """``archive_id, deed_id, confidence, matched``: candidate pairs with the model's posterior, and whether it and the exact check of the streets take them."""
+    left = archive.filter(F.col("type").isNotNull() & F.col("area").isNotNull() & F.col("delisted").isNotNull() & F.col("locality").isNotNull()).select("archive_id", "type", "area", "rooms", F.col("price").cast("double").alias("price"), "delisted", F.col("locality").alias("place"), F.col("title").alias("named"))
+    right = deeds.filter(F.col("kind").isNotNull() & F.col("a").isNotNull() & F.col("d").isNotNull() & F.col("msc").isNotNull()).select("deed_id", "kind", "a", "izb", F.col("c").cast("double").alias("c"), "d", F.col("msc").alias("place"), F.col("ul").alias("named"))
+    places = left.select("place").unionByName(right.select("place")).groupBy(F.col("place").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    resolved = resolve_values(places, reference_names(towns, "loc_id", "name"), district_segments(archive, "district"))
+    town_of = materialize(resolved.select(F.col("value").alias("place"), "n", F.when(F.col("entry") != 0, F.concat(F.lit("#"), "entry")).otherwise(F.col("other")).alias("town")).filter("town is not null"), "places")
+    left = lookup_join(materialize(left.mapInArrow(_streets("archive"), "archive_id bigint, type string, area double, rooms int, price double, delisted date, place string, street string"), "archive"), town_of, ["place"], "n", ["town"]).drop("place")
+    right = lookup_join(materialize(right.mapInArrow(_streets("deed"), "deed_id bigint, kind string, a double, izb int, c double, d date, place string, street string"), "deeds"), town_of, ["place"], "n", ["town"]).drop("place")
+    counted = left.select("street").unionByName(right.select("street")).filter("street is not null").groupBy(F.col("street").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(counted, "streets")
+    names = materialize(main_words(counted.select("name")).join(counted, "name"), "names")
+    idf = gram_weights(names)
+    index = materialize(names.mapInArrow(_index_names(idf), "name string, main string, n bigint, grams array<string>").withColumnRenamed("name", "street"), "index")
+
+    def indexed(side: DataFrame) -> DataFrame:
+        bare = side.filter("street is null").withColumns({"main": F.lit(None).cast("string"), "grams": F.lit(None).cast("array<string>")})
+        return lookup_join(side.filter("street is not null"), index, ["street"], "n", ["main", "grams"]).unionByName(bare)
+
+    met = _blocks(indexed(left), indexed(right).withColumnsRenamed({c: f"{c}_d" for c in ("street", "town", "main", "grams")}))
+    numbers = met.select("archive_id", "deed_id", "street", "street_d", "main", "main_d", *[c.alias(n) for n, c in _numeric_votes().items()])
+    votes = numbers.mapInArrow(_street_votes(idf), f"archive_id bigint, deed_id bigint, {', '.join(f'{f} int' for f in (*FUNCTIONS[4:], *FUNCTIONS[:4]))}, exact boolean")
     code = sum(((F.col(f) + 1) * 3**k for k, f in enumerate(FUNCTIONS)), F.lit(0)).cast("int")
-    # Candidates are many; each is kept as two ids, its vote pattern as one number, and whether the names differ.
-    voted = materialize(_votes(slim).select("archive_id", "deed_id", code.alias("code"), F.coalesce("spelled", F.lit(False)).alias("spelled")), "votes")
+    voted = materialize(votes.select("archive_id", "deed_id", code.alias("code"), "exact"), "votes")
     patterns = voted.groupBy("code").count().collect()  # at most 3 ** len(FUNCTIONS) rows
     if not patterns:
         return voted.select("archive_id", "deed_id", F.lit(0.0).alias("confidence"), F.lit(False).alias("matched"))
     codes = np.array([r["code"] for r in patterns])
-    votes = np.stack([codes // 3**k % 3 - 1 for k in range(len(FUNCTIONS))], axis=1)
-    confidence = LabelModel(len(FUNCTIONS)).fit(votes, np.array([r["count"] for r in patterns])).posterior(votes)
-    clear = (votes[:, [FUNCTIONS.index(f) for f in HARD]] >= 0).all(axis=1)
-    named = votes[:, FUNCTIONS.index("v_street")] == 1
-    scores = voted.sparkSession.createDataFrame([(int(k), float(p), bool(x), bool(n)) for k, p, x, n in zip(codes, confidence, clear, named)], "code int, confidence double, clear boolean, named boolean")
-    scored = voted.join(F.broadcast(scores), "code")
-    # Only pairs without a vote against them and with names that differ need the closer look.
-    unsure = F.col("clear") & F.col("named") & F.col("spelled")
-    sure = scored.filter(~unsure).select("archive_id", "deed_id", "confidence", F.col("clear").alias("matched"))
-    names = scored.filter(unsure).join(left.select("archive_id", "street").distinct(), "archive_id").join(right.select("deed_id", "street_d").distinct(), "deed_id")
-    looked = names.select("archive_id", "deed_id", "confidence", "street", "street_d").mapInArrow(_street_check(given), "archive_id bigint, deed_id bigint, confidence double, matched boolean")
-    return sure.unionByName(looked)
-
-
-def _street_check(given):
-    def run(batches):
-        for b in batches:
-            ok = [same_street(s, d, given) for s, d in zip(b["street"].to_pylist(), b["street_d"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["archive_id"], b["deed_id"], b["confidence"], pa.array(ok, pa.bool_())], names=["archive_id", "deed_id", "confidence", "matched"])
-
-    return run
+    pattern = np.stack([codes // 3**k % 3 - 1 for k in range(len(FUNCTIONS))], axis=1)
+    confidence = LabelModel(len(FUNCTIONS)).fit(pattern, np.array([r["count"] for r in patterns])).posterior(pattern)
+    scores = voted.sparkSession.createDataFrame([(int(k), float(p)) for k, p in zip(codes, confidence)], "code int, confidence double")
+    return voted.join(F.broadcast(scores), "code").select("archive_id", "deed_id", "confidence", ((F.col("confidence") >= cut) & F.col("exact")).alias("matched"))

@@ -68,6 +68,16 @@ def test_long_reference_lists_are_searched_in_blocks(spark):
     assert as_set(whole.select("value", "entry")) == as_set(parts.select("value", "entry"))
 
 
+def test_blocks_keep_reading_order_spelling_and_municipalities(spark):
+    # Two entries that fall into different blocks; the answer is that of the whole list.
+    names = [(5, "Huta Dolna"), (1, "Prupatyń")]
+    values = ("Huta Dolna, Prupatyń", "Huta Dolna, gm. Prupatyń", "huta dolna (prupatyn)", "Hutta Dolna, Prupatyn", "gm. Prupatyń, Nieznana")
+    df = listing(spark, *({"locality": v} for v in values))
+    for block in (cn.BLOCK, 1):
+        d = cn.build_value_dictionary(df, "locality", ref(spark, names), "loc_id", "name", [], block)
+        assert {r["value"]: r["entry"] for r in d.collect()} == {values[0]: 5, values[1]: 5, values[2]: 5, values[3]: 1, values[4]: 0}, block
+
+
 def test_rare_districts_are_known(spark):
     many = [{"locality": "Tłunybrowa", "district": "Osada"}] * 1500
     df = listing(spark, *many, {"locality": "gm. Prupatyń, Zakątek Dolny", "district": "Zakątek Dolny"}, {"locality": "Rzadka / gm. Prupatyń", "district": None}, {"locality": "Nieznana, gm. Prupatyń", "district": "Osada"}, {"locality": None, "district": "rzadka"})

@@ -50,5 +50,34 @@ def test_rules(spark):
     assert got.filter("confidence < 0 or confidence > 1 or confidence is null").count() == 0
 
 
+def test_limits_decide_at_the_edges_of_bins_and_bands(spark):
+    rng = np.random.default_rng(5)
+    flat = {"type": "flat", "locality": "Prupatyń", "delisted": D(2024, 6, 1)}
+    arch = [flat | {"archive_id": i + 1, "area": float(rng.integers(300, 420)) / 10, "title": t, "rooms": r, "price": p} for i, (t, r, p) in enumerate((t, r, p) for t in ("Dom, ul. Polna", "Dom") for r in (None, 2) for p in (None, 0, 100_000, 250_000) for _ in range(6))]
+    deeds = [{"deed_id": j + 1, "kind": "flat", "msc": "Prupatyń", "d": D(2024, 7, 1), "a": float(rng.integers(2940, 4260)) / 100, "ul": u, "izb": z, "c": c} for j, (u, z, c) in enumerate((u, z, c) for u in ("POLNA", None, "Zzyzxowa") for z in (None, 2, 3) for c in (None, 88_000, 95_000, 112_000, 112_100, 260_000) for _ in range(4))]
+    want = {
+        (x["archive_id"], y["deed_id"])
+        for x in arch
+        for y in deeds
+        if abs(x["area"] - y["a"]) <= 0.6 + 1e-9
+        and (x["rooms"] is None or y["izb"] is None or x["rooms"] == y["izb"])
+        and (not x["price"] or y["c"] is None or abs(x["price"] - y["c"]) <= 0.12 * x["price"])
+        and (x["title"] == "Dom" or y["ul"] != "Zzyzxowa")
+    }
+    got = link_deeds(rows(spark, ARCHIVE, *arch), rows(spark, DEED, *deeds), towns(spark)).filter("matched").select("archive_id", "deed_id")
+    assert got.count() == len(want) and as_set(got) == want
+
+
+def test_candidates_do_not_grow_with_a_town(spark):
+    # Other properties of one town and area, on other streets: no candidates, however many there are.
+    street = lambda i: "".join(chr(97 + (i * k) % 26) for k in (1, 3, 5, 7, 11, 17, 19))
+    for n in (12, 24):
+        arch = [{"archive_id": i, "type": "flat", "area": 50.0, "locality": "Prupatyń", "title": f"Dom, ul. {street(i)}", "price": 100_000, "delisted": D(2024, 6, 1)} for i in range(n)]
+        deeds = [{"deed_id": i, "kind": "flat", "area": 50.0, "msc": "Prupatyń", "d": D(2024, 7, 1), "a": 50.0, "ul": street(i), "c": 100_000} for i in range(n)]
+        got = link_deeds(rows(spark, ARCHIVE, *arch), rows(spark, DEED, *deeds), towns(spark))
+        assert as_set(got.filter("matched").select("archive_id", "deed_id")) == {(i, i) for i in range(n)}
+        assert got.count() < 6 * n
+
+
 def test_empty(spark):
     assert link_deeds(rows(spark, ARCHIVE), rows(spark, DEED), towns(spark)).count() == 0
