@@ -10,7 +10,7 @@ BLANKS = r"\s" + "".join(map(chr, (0xA0, *range(0x2000, 0x200C), 0x202F, 0x3000,
 
 # Letters with diacritics and the plain letters they fold to.
 _MARKED = "ąćęłńóśźżáàâãäåăçčďđéèêëěíìîïĺľňñòôõöőøŕřšşťțúùûüůűýÿž"
-_PLAIN = "acelnoszzaaaaaaaccddeeeeeiiiillnnoooooorrssttuuuuuuyyz".replace(" ", "o")
+_PLAIN = "acelnoszzaaaaaaaccddeeeeeiiiillnnoooooorrssttuuuuuuyyz"
 
 
 def squeeze(c: Column) -> Column:

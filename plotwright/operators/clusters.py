@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from plotwright.config import LIMITS, SOURCE_RANK, UNRANKED
 from plotwright.functions.numbers import area_key
-from plotwright.functions.photos import same_photos
-from plotwright.operators.components import connected_components
+from plotwright.functions.photos import LIMBS
+from plotwright.operators.photo_join import photo_groups, photo_links
 from plotwright.session import materialize
 
 # Fixed value: how developers' advertisements read.
@@ -52,23 +52,49 @@ def has_hashes(c: str = "phashes") -> Column:
     return F.coalesce(F.size(c) > 0, F.lit(False))
 
 
+def _galleries(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(galleries, members): ``id, block, hashes`` of the different galleries of each block of rows equal in ``keys`` (null equals null), and ``id, seq`` of the rows that have them.
+
+    Repeated scans show the same pictures; equal galleries are compared once.
+    """
+    block = F.concat_ws("/", *[F.coalesce(F.replace(F.col(k).cast("string"), F.lit("/"), F.lit("//")), F.lit("/-")) for k in keys])
+    shown = rows.filter(has_hashes()).select("seq", "phashes", block.alias("block"))
+    keyed = materialize(shown.withColumn("k", F.struct(F.xxhash64("block", "phashes").alias("h"), F.xxhash64("phashes", "block").alias("g"))), "galleries")
+    reps = keyed.groupBy("k").agg(F.min("seq").alias("id"))
+    members = materialize(keyed.select("k", "seq").join(reps, "k").select("id", "seq"), "members")
+    return keyed.join(members.filter("id = seq").select("seq"), "seq", "left_semi").select(F.col("seq").alias("id"), "block", F.col("phashes").alias("hashes")), members
+
+
 def photo_pairs(rows: DataFrame, keys: list[str], threshold: int = LIMITS.photo_bits) -> DataFrame:
-    """``a, b`` (a < b): rows equal in ``keys`` (null equals null) with a photo in common. One shuffle on the keys; the photo test is the join's residual."""
-    x = rows.filter(has_hashes()).select(F.col("seq").alias("a"), F.col("phashes").alias("pa"), *[F.col(k).alias(f"x_{k}") for k in keys])
-    y = rows.filter(has_hashes()).select(F.col("seq").alias("b"), F.col("phashes").alias("pb"), *[F.col(k).alias(f"y_{k}") for k in keys])
-    equal = reduce(Column.__and__, [F.col(f"x_{k}").eqNullSafe(F.col(f"y_{k}")) for k in keys])
-    return x.join(y, equal & (F.col("a") < F.col("b")) & same_photos(F.col("pa"), F.col("pb"), threshold)).select("a", "b")
+    """``a, b`` (a < b): rows equal in ``keys`` (null equals null) with a photo in common, out of the links of :func:`photo_links`."""
+    galleries, members = _galleries(rows, keys)
+    links = photo_links(galleries, None, threshold)
+    named = lambda c: members.select(F.col("id").alias(f"id_{c}"), F.col("seq").alias(c))
+    across = links.toDF("id_a", "id_b").join(named("a"), "id_a").join(named("b"), "id_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # A gallery meets itself if it has a photo at all: any that is whole.
+    whole = galleries.filter(F.exists("hashes", lambda h: (F.size(h) == LIMBS) & F.forall(h, lambda x: x.isNotNull()))).select(F.col("id").alias("id_a"))
+    same = named("a").join(whole, "id_a", "left_semi").join(named("b").withColumnRenamed("id_b", "id_a"), "id_a").filter("a < b").select("a", "b")
+    return across.unionByName(same)
+
+
+def photo_components(rows: DataFrame, keys: list[str], threshold: int = LIMITS.photo_bits) -> DataFrame:
+    """``v, comp``: every row equal in ``keys`` to, and linked by photos with, another row, with the smallest seq of its group. No pairs are written."""
+    galleries, members = _galleries(rows, keys)
+    groups = photo_groups(galleries, threshold)
+    several = members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit(True).alias("several"))
+    placed = members.join(groups.withColumnRenamed("v", "id"), "id", "left").join(several, "id", "left")
+    return placed.filter("comp is not null or several").select(F.col("seq").alias("v"), F.coalesce("comp", "id").alias("comp"))
 
 
 def unify_sizes(rows: DataFrame) -> DataFrame:
     """Rows of one town and price that share photos but differ in size take the size of the best-ranked of them."""
     keyed = rows.withColumn("u_town", F.lower(F.trim("locality")))
     use = keyed.filter(has_hashes() & ~is_developer(F.col("market"), F.col("title")) & (F.col("u_town") != "") & (F.coalesce("price", F.lit(0)) != 0))
-    groups = connected_components(photo_pairs(use, ["type", "u_town", "price"]))
+    groups = photo_components(use, ["type", "u_town", "price"])
     members = keyed.join(groups.withColumnRenamed("v", "seq"), "seq")
-    best = members.groupBy("comp").agg(F.min_by(F.struct("area", "rooms"), offer_rank()).alias("best"), F.countDistinct(F.struct(area_key(F.col("area")), F.when(F.col("type") != "house", F.col("rooms")))).alias("sizes"), F.count_if(F.col("area").isNotNull()).alias("known"))
-    chosen = groups.join(best.filter("sizes > 1 and known > 1"), "comp").select(F.col("v").alias("seq"), "best")
-    new_rooms = F.when(F.col("best").isNotNull() & (F.col("type") != "house"), F.col("best.rooms")).otherwise(F.col("rooms"))
+    best = members.groupBy("comp").agg(F.min_by(F.struct("area", "rooms"), offer_rank()).alias("best"), F.countDistinct(area_key(F.col("area"))).alias("sizes"))
+    chosen = groups.join(best.filter("sizes > 1"), "comp").select(F.col("v").alias("seq"), "best")
+    new_rooms = F.when(F.col("best").isNotNull() & (F.col("type") == "flat"), F.col("best.rooms")).otherwise(F.col("rooms"))
     return rows.join(chosen, "seq", "left").withColumns({"area": F.when(F.col("best").isNotNull(), F.col("best.area")).otherwise(F.col("area")), "rooms": new_rooms}).select(*rows.columns)
 
 
@@ -92,7 +118,7 @@ def split_by_price(rows: DataFrame, keys: list[str], price: str = "price", sprea
 
 def developer_flags(rows: DataFrame, keys: list[str], ads: int = LIMITS.developer_ads) -> DataFrame:
     """``keys, developer``: groups with a developer's advertisement or with ``ads`` advertisements of one source."""
-    by_source = rows.groupBy(*keys, "source").agg(F.countDistinct("source_id").alias("n"), F.bool_or(is_developer(F.col("market"), F.col("title"))).alias("d"))
+    by_source = rows.groupBy(*keys, "source").agg(F.countDistinct(F.struct("source_id")).alias("n"), F.bool_or(is_developer(F.col("market"), F.col("title"))).alias("d"))
     return by_source.groupBy(*keys).agg((F.bool_or("d") | (F.max("n") >= ads)).alias("developer"))
 
 
@@ -107,7 +133,7 @@ def assign_clusters(rows: DataFrame, limits=LIMITS) -> DataFrame:
     equal = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in KEY])
     keyed = keyed.join(seen.select(*[F.col(k).alias(f"h_{k}") for k in KEY], "hashed"), equal).drop(*[f"h_{k}" for k in KEY])
     photo = keyed.filter("hashed = 1")
-    comps = connected_components(photo_pairs(photo, KEY, limits.photo_bits)).withColumnRenamed("v", "seq")
+    comps = photo_components(photo, KEY, limits.photo_bits).withColumnRenamed("v", "seq")
     photo = photo.join(comps, "seq", "left").withColumn("base", F.concat(F.lit("p"), F.coalesce("comp", "seq"))).drop("comp")
     flags = developer_flags(photo, ["base"], limits.developer_ads)
     photo = photo.join(flags, "base").drop("hashed")
@@ -156,7 +182,7 @@ def link_same_size(cards: DataFrame, least: int = 2, most: int = 3) -> DataFrame
     small = sizes.filter(F.col("n").between(least, most)).select(*[F.col(k).alias(f"g_{k}") for k in keys])
     equal = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys])
     linked = use.join(small, equal)
-    groups = linked.groupBy(*[F.col(k).alias(f"o_{k}") for k in keys]).agg(F.collect_list(F.struct("price", "url", "source", "seq")).alias("group"))
+    groups = linked.groupBy(*[F.col(k).alias(f"o_{k}") for k in keys]).agg(F.collect_set(F.struct("price", "url", "source")).alias("group"))
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in keys])
     others = F.array_sort(F.filter("group", lambda g: ~g["url"].eqNullSafe(F.col("url"))))
     return linked.join(groups, same).withColumn("also_listed", others).withColumn("prev_price", F.array_min(F.transform("also_listed", lambda g: g["price"]))).withColumn("relisted", F.lit(True)).select("seq", "url", "also_listed", "prev_price", "relisted")

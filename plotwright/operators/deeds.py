@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plotwright.config import LIMITS
 from plotwright.functions.addresses import numbers_agree, parcel_of_unit, plain, register_field, streets_agree
 from plotwright.functions.numbers import half_even, has_decimals, price_per_m2, truncated_int
+from plotwright.session import materialize
 
 FREE_MARKET, DWELLING = "wolnyRynek", "mieszkalna"
 
@@ -48,12 +49,15 @@ def band_candidates(left: DataFrame, right: DataFrame, keys: list[tuple[str, str
     return probe.join(held, on).drop("__bin", "__rbin")
 
 
-def town_of_record(records: DataFrame, deeds: DataFrame) -> DataFrame:
-    """``records`` with ``town``: the folded locality if deeds know it as a town, else the district if they know that."""
-    known = deeds.select(plain(F.col("msc")).alias("t")).filter("t != ''").distinct()
-    a, b = known.select(F.col("t").alias("ta")), known.select(F.col("t").alias("tb"))
+def town_of_record(records: DataFrame, deeds: DataFrame, by_kind: bool = False) -> DataFrame:
+    """``records`` with ``town``: the folded locality if deeds (``by_kind``: of the record's kind) know it as a town, else the district if they know that."""
+    kind = ["kind"] if by_kind else []
+    known = deeds.select(plain(F.col("msc")).alias("t"), *kind).filter("t != ''").distinct()
+    a, b = (known.select(F.col("t").alias(f"t{x}"), *[F.col(k).alias(f"k{x}") for k in kind]) for x in "ab")
     r = records.withColumns({"__l": plain(F.col("locality")), "__d": plain(F.col("district"))})
-    return r.join(a, F.col("__l") == F.col("ta"), "left").join(b, F.col("__d") == F.col("tb"), "left").withColumn("town", F.coalesce("ta", "tb")).drop("__l", "__d", "ta", "tb")
+    same = lambda x: F.col("type") == F.col(f"k{x}") if by_kind else F.lit(True)
+    met = r.join(a, (F.col("__l") == F.col("ta")) & same("a"), "left").join(b, (F.col("__d") == F.col("tb")) & same("b"), "left")
+    return met.withColumn("town", F.coalesce("ta", "tb")).drop("__l", "__d", "ta", "tb", "ka", "kb")
 
 
 def within(d: Column, low: Column, high: Column) -> Column:
@@ -95,32 +99,76 @@ def deed_score(unique: Column) -> Column:
     )
 
 
-def match_deeds(records: DataFrame, deeds: DataFrame, tolerance: float = LIMITS.area_tolerance) -> DataFrame:
-    """``record_id, kind, d, price, price_m2, score``: the deeds attached to records.
+#: What a match rests on: by score.
+CONFIDENCE = {2: "high", 1: "medium"}
+# Market codes of the register.
+MARKETS = {"p": "primary", "w": "secondary"}
+
+
+def _matchable(records: DataFrame) -> DataFrame:
+    """Records that deeds can be attributed to: no developments, whose pictures do not show one dwelling."""
+    out = records.filter(F.col("type").isin("flat", "house"))
+    return out.filter(~F.coalesce("development", F.lit(False))) if "development" in records.columns else out
 
-    A sale needs exactly one best deed in its window; earlier sales at most three; a deed in both windows counts as earlier.
+
+def deed_candidates(records: DataFrame, deeds: DataFrame, tolerance: float = LIMITS.area_tolerance) -> DataFrame:
+    """Records side by side with the deeds of their kind and town within the area tolerance.
+
+    A record whose house number or parcel is known also meets the deeds without area that name a street: those are
+    judged by street and number alone.
     """
-    left = town_of_record(records, deeds).filter("town is not null")
+    left = town_of_record(records, deeds, by_kind=True).filter("town is not null and area is not null")
     right = deeds.withColumn("deed_town", plain(F.col("msc"))).withColumnsRenamed({"kind": "deed_kind", "nr": "deed_nr"})
-    c = band_candidates(left, right, [("town", "deed_town"), ("type", "deed_kind")], ("area", "a"), tolerance)
-    total = Window.partitionBy("record_id")
-    scored = c.withColumn("unique", F.count(F.lit(1)).over(total) == 1).withColumn("score", deed_score(F.col("unique"))).filter("score > 0")
-    sale = scored.withColumn("sale", F.explode(sale_windows(F.col("d"), F.col("first_seen"), F.col("delisted"))))
-    by = Window.partitionBy("record_id", "sale")
-    best = sale.withColumn("top", F.max("score").over(by)).filter("score = top").withColumn("n", F.count(F.lit(1)).over(by))
-    kept = best.filter(((F.col("sale") == "sold") & (F.col("n") == 1)) | ((F.col("sale") == "past") & (F.col("n") <= 3)))
-    one = Window.partitionBy("record_id", "d", "c").orderBy("sale")
-    return kept.withColumn("k", F.row_number().over(one)).filter("k = 1").select("record_id", F.col("sale").alias("kind"), "d", F.col("c").alias("price"), price_per_m2(F.col("c"), F.col("a")).alias("price_m2"), "score")
+    keys = [("town", "deed_town"), ("type", "deed_kind")]
+    met = band_candidates(left, right, keys, ("area", "a"), tolerance)
+    pinned = left.filter((F.coalesce("nr", F.lit("")) != "") | (F.coalesce("dzialka_id", F.lit("")) != ""))
+    on = (F.col("town") == F.col("deed_town")) & (F.col("type") == F.col("deed_kind"))
+    return met.unionByName(pinned.join(right.filter("a is null and coalesce(ul, '') != ''"), on))
+
+
+def match_deeds(records: DataFrame, deeds: DataFrame, tolerance: float = LIMITS.area_tolerance) -> DataFrame:
+    """``record_id, kind, d, price, price_m2, score, confidence, market, addr, dz``: the deeds attached to records.
+
+    A sale needs exactly one best deed in its window; earlier sales at most three; a deed in both windows counts as
+    earlier. Developments have none. Counts and best scores are aggregates joined back, so no record's candidates are
+    gathered in a task; only the deeds kept, four at most, are ranked.
+    """
+    c = deed_candidates(_matchable(records), deeds, tolerance)
+    several = c.groupBy("record_id").agg(F.count(F.lit(1)).alias("__n"))
+    scored = c.join(several, "record_id").withColumn("score", deed_score(F.col("__n") == 1)).filter("score > 0").select("record_id", "d", "c", "a", "score", "rynek", "ul", "deed_nr", "dz", "first_seen", "delisted")
+    sale = materialize(scored.withColumn("sale", F.explode(sale_windows(F.col("d"), F.col("first_seen"), F.col("delisted")))), "sales")
+    best = sale.groupBy("record_id", "sale").agg(F.max("score").alias("top"), F.count_if(F.col("score") == 2).alias("sure"), F.count(F.lit(1)).alias("all"))
+    n = F.when(F.col("top") == 2, F.col("sure")).otherwise(F.col("all"))
+    clear = best.filter(((F.col("sale") == "sold") & (n == 1)) | ((F.col("sale") == "past") & (n <= 3))).select("record_id", "sale", F.col("top").alias("score"))
+    kept = sale.join(clear, ["record_id", "sale", "score"])
+    one = Window.partitionBy("record_id", "d", "c").orderBy("sale", "dz", "ul", "deed_nr")
+    label = lambda known, c: F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), c)
+    return kept.withColumn("k", F.row_number().over(one)).filter("k = 1").select(
+        "record_id", F.col("sale").alias("kind"), "d", F.col("c").alias("price"), price_per_m2(F.col("c"), F.col("a")).alias("price_m2"), "score",
+        label(CONFIDENCE, F.col("score")).alias("confidence"), label(MARKETS, F.col("rynek")).alias("market"), F.nullif(F.concat_ws(" ", F.nullif("ul", F.lit("")), F.nullif("deed_nr", F.lit(""))), F.lit("")).alias("addr"), "dz",
+    )
 
 
 def match_funnel(records: DataFrame, deeds: DataFrame, tolerance: float = LIMITS.area_tolerance) -> DataFrame:
-    """``stage, n``: how far each record came: no_location, no_candidates, rejected or matched; the stages exclude each other."""
-    located = town_of_record(records, deeds)
-    right = deeds.withColumn("deed_town", plain(F.col("msc"))).withColumnRenamed("kind", "deed_kind").select("deed_town", "deed_kind", "a")
-    met = band_candidates(located.filter("town is not null").select("record_id", "town", "type", "area"), right, [("town", "deed_town"), ("type", "deed_kind")], ("area", "a"), tolerance).select("record_id").distinct().withColumn("met", F.lit(True))
+    """``stage, n``: how far each record came: no_location (neither locality nor district), no_candidates, rejected or matched; the stages exclude each other."""
+    records = _matchable(records)
+    met = deed_candidates(records, deeds, tolerance).select("record_id").distinct().withColumn("met", F.lit(True))
     done = match_deeds(records, deeds, tolerance).select("record_id").distinct().withColumn("done", F.lit(True))
-    stage = F.when(F.col("town").isNull(), "no_location").when(F.col("met").isNull(), "no_candidates").when(F.col("done").isNull(), "rejected").otherwise("matched")
-    return located.join(met, "record_id", "left").join(done, "record_id", "left").groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+    blank = (F.coalesce(plain(F.col("locality")), F.lit("")) == "") & (F.coalesce(plain(F.col("district")), F.lit("")) == "")
+    stage = F.when(F.col("met").isNull() & blank, "no_location").when(F.col("met").isNull(), "no_candidates").when(F.col("done").isNull(), "rejected").otherwise("matched")
+    return records.join(met, "record_id", "left").join(done, "record_id", "left").groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def report(deeds: DataFrame, town: str, kind: str, area: float | None = None, street: str | None = None, number: str | None = None, rooms: int | None = None, floor: int | None = None, plot_area: float | None = None, dzialka_id: str | None = None, tolerance: float = LIMITS.area_tolerance) -> DataFrame:
+    """The deeds :func:`search_deeds` finds for a property, each with ``score`` and a ``line`` that says what was sold and how sure it is."""
+    found = search_deeds(deeds, town, area, tolerance, street, number, kind).withColumnRenamed("nr", "deed_nr")
+    alone = found.limit(2).count() == 1
+    given = {"type": (kind, "string"), "area": (area, "double"), "street": (street, "string"), "nr": (number, "string"), "rooms": (rooms, "int"), "floor_no": (floor, "int"), "plot_area": (plot_area, "double"), "dzialka_id": (dzialka_id, "string")}
+    asked = found.withColumns({k: F.lit(v).cast(t) for k, (v, t) in given.items()}).withColumn("score", deed_score(F.lit(alone)))
+    text = lambda c, unit="": F.when(F.col(c).isNotNull(), F.concat(F.col(c).cast("string"), F.lit(unit)))
+    mark = F.when(F.col("score") == 2, "high").when(F.col("score") == 1, "medium").otherwise("-")
+    line = F.concat_ws("  ", mark, F.col("d").cast("string"), text("c", " zł"), text("a", " m2"), text("izb", " rooms"), text("kond", " storey"), text("grunt", " m2 plot"), F.nullif(F.concat_ws(" ", "ul", "deed_nr"), F.lit("")), F.col("dz"))
+    return asked.select("d", "c", "a", "ul", F.col("deed_nr").alias("nr"), "dz", "score", line.alias("line")).orderBy("d", "c", "ul", "nr")
 
 
 def search_deeds(deeds: DataFrame, town: str, area: float | None = None, tolerance: float = LIMITS.area_tolerance, street: str | None = None, number: str | None = None, kind: str | None = None) -> DataFrame:

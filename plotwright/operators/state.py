@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from plotwright.config import LIMITS
 from plotwright.functions.addresses import numbers_agree, plain
 from plotwright.functions.numbers import area_bucket
-from plotwright.functions.photos import same_photos
 from plotwright.operators.components import connected_components
 from plotwright.operators.history import append_observations, first_sightings, last_sighting, match_by_photo, match_cards, ordered_union, url_index
+from plotwright.operators.photo_join import photo_links
 from plotwright.session import materialize
 
 SNAPSHOT = ("title", "image", "locality", "district", "street", "rooms", "floor", "plot_area", "url", "source", "price")
@@ -29,10 +29,12 @@ def group_new_cards(cards: DataFrame, threshold: int = LIMITS.photo_bits) -> Dat
     """``seq, head``: cards without a record that belong to one new record, by address or by a photo within one square metre."""
     urls = cards.filter("url is not null").select("url", "seq")
     by_url = urls.join(urls.groupBy("url").agg(F.min("seq").alias("head")), "url").filter("seq != head").select(F.col("head").alias("a"), F.col("seq").alias("b"))
-    use = cards.filter(~F.coalesce("development", F.lit(False)) & (F.coalesce(F.size("phashes"), F.lit(0)) > 0)).select("seq", "type", "phashes", area_bucket(F.col("area")).alias("bucket"))
-    x = use.select(F.col("seq").alias("a"), F.col("type").alias("ta"), F.col("phashes").alias("pa"), F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("ba"))
-    y = use.select(F.col("seq").alias("b"), F.col("type").alias("tb"), F.col("phashes").alias("pb"), F.col("bucket").alias("bb"))
-    by_photo = x.join(y, (F.col("ta") == F.col("tb")) & (F.col("ba") == F.col("bb")) & (F.col("a") < F.col("b")) & same_photos(F.col("pa"), F.col("pb"), threshold)).select("a", "b")
+    use = cards.filter(~F.coalesce("development", F.lit(False)) & F.col("type").isNotNull()).select("seq", "type", "phashes", area_bucket(F.col("area")).alias("bucket")).filter("bucket is not null")
+    # A pair at most one bucket apart meets once in the bucket of both or, as (lower, upper), in the lower one.
+    block = lambda d: F.concat_ws("/", "type", (F.col("bucket") + d).cast("string")).alias("block")
+    held = use.select(F.col("seq").alias("id"), block(0), F.col("phashes").alias("hashes"))
+    upper = use.select(F.col("seq").alias("id"), block(-1), F.col("phashes").alias("hashes"))
+    by_photo = photo_links(held, None, threshold).unionByName(photo_links(held, upper, threshold))
     groups = connected_components(by_url.unionByName(by_photo)).select(F.col("v").alias("seq"), F.col("comp").alias("head"))
     return cards.select("seq").join(groups, "seq", "left").select("seq", F.coalesce("head", "seq").alias("head"))
 
@@ -112,9 +114,13 @@ def compact(records: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apply_overrides(records: DataFrame, log: DataFrame, overrides: DataFrame) -> DataFrame:
-    """``records`` with pinned values by address: known fields only, nulls change nothing, unknown addresses are ignored."""
+    """``records`` with pinned values by address: known fields only, nulls change nothing, unknown addresses are ignored.
+
+    Of several pins of one record the last counts, field by field: by ``pin_seq`` where ``overrides`` has it, else by address.
+    """
     fields = [c for c in OVERRIDABLE if c in overrides.columns]
-    hit = overrides.join(url_index(log), "url").groupBy("record_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("url"))).alias(f"o_{c}") for c in fields]).withColumn("manual", F.lit(True))
+    order = F.struct("pin_seq", "url") if "pin_seq" in overrides.columns else F.col("url")
+    hit = overrides.withColumn("__o", order).join(url_index(log), "url").groupBy("record_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__o"))).alias(f"o_{c}") for c in fields]).withColumn("manual", F.lit(True))
     base = records.drop("manual")
     return base.join(hit, "record_id", "left").select(*[F.coalesce(f"o_{c}", c).cast(dict(records.dtypes)[c]).alias(c) if c in fields else F.col(c) for c in base.columns], *[F.col(f"o_{c}").alias(c) for c in fields if c not in base.columns], F.coalesce("manual", F.lit(False)).alias("manual"))
 

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotwright.functions.numbers import haversine_km
+
 CHOICES = {"type": ("all", "house", "flat"), "owner": ("all", "private", "agency"), "history": ("all", "relisted", "rcn", "dropped", "sold", "sold_rcn"), "market": ("all", "primary", "secondary"), "sort": ("newest", "discount", "price_asc", "price_desc", "ppm_asc", "area_desc")}
 _WIRE = {"min_price": "minPrice", "max_price": "maxPrice", "min_area": "minArea", "max_area": "maxArea", "min_rooms": "minRooms"}
+_NUMBER = re.compile(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)")
 
 
 @dataclass(frozen=True)
@@ -58,40 +63,71 @@ class CardQuery:
         return CardQuery(sort=self.sort) if name is None else replace(self, **{name: getattr(CardQuery(), name)})
 
     def number(self, name: str) -> float | None:
-        try:
-            x = float(getattr(self, name))
-        except (TypeError, ValueError):
-            return None
-        return x if x == x and abs(x) != float("inf") else None
+        """The number a field begins with ("12 tys" is 12), or None."""
+        given = getattr(self, name)
+        begins = None if given is None or isinstance(given, bool) else _NUMBER.match(str(given))
+        x = float(begins.group(1)) if begins else None
+        return x if x is not None and abs(x) != float("inf") else None
+
+    @property
+    def in_archive(self) -> bool:
+        """Whether the visitor looks at properties that left the market."""
+        return self.history in ("sold", "sold_rcn")
+
+
+def city(locality: Column, city_of: dict[str, str]) -> Column:
+    """A locality, or the city of which it is a district; null if blank."""
+    named = F.when(locality != "", locality)
+    if not city_of:
+        return named
+    known = F.create_map(*[F.lit(x) for kv in city_of.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, named), named)
+
 
+def with_distance(cards: DataFrame, places: DataFrame, home: tuple[float, float], city_of: dict[str, str] | None = None) -> DataFrame:
+    """``cards`` with ``distance_km`` from ``home`` (latitude, longitude) by the coordinates of their town (``places``: town, lat, lon); null if unknown."""
+    p = places.dropDuplicates(["town"]).select(F.col("town").alias("__town"), haversine_km(F.lit(home[0]), F.lit(home[1]), F.col("lat"), F.col("lon")).alias("distance_km"))
+    return cards.withColumn("__at", city(F.col("locality"), city_of or {})).join(p, F.col("__at") == F.col("__town"), "left").drop("__at", "__town")
 
-def matches(query: CardQuery, columns: list[str]) -> Column:
-    """The conjunction a query stands for, over the columns a table has; simple comparisons reach the scan."""
+
+def matches(query: CardQuery, columns: list[str], city_of: dict[str, str] | None = None) -> Column:
+    """The conjunction a query stands for, over the columns a table has; simple comparisons reach the scan.
+
+    A filter on a column that the table lacks raises. Only ``development`` may be absent (then no card is one), and
+    ``sources``, for which ``source`` stands in. In the archive the owner is not asked for.
+    """
     has, out = set(columns), F.lit(True)
-    c = F.col
+
+    def c(name: str) -> Column:
+        if name not in has:
+            raise ValueError(f"the query filters by {name}, which the table does not have")
+        return F.col(name)
+
     if query.type != "all":
         out = out & (c("type") == query.type)
     if query.source != "all":
         out = out & (F.array_contains("sources", query.source) if "sources" in has else c("source") == query.source)
-    if query.owner != "all" and "is_private" in has:
-        out = out & (c("is_private") if query.owner == "private" else ~F.coalesce(c("is_private"), F.lit(False)))
+    if query.owner != "all" and not query.in_archive:
+        out = out & c("is_private").eqNullSafe(F.lit(query.owner == "private"))
     if query.market != "all":
         dev = F.coalesce(c("development"), F.lit(False)) if "development" in has else F.lit(False)
         out = out & (dev if query.market == "primary" else ~dev)
+    if query.history == "sold_rcn":
+        out = out & c("sold").isNotNull()
     if query.history == "relisted":
         out = out & F.coalesce(c("relisted"), F.lit(False))
     if query.history == "rcn":
-        out = out & F.coalesce(F.size("sales") > 0, F.lit(False))
+        out = out & F.coalesce(F.size(c("sales")) > 0, F.lit(False))
     if query.history == "dropped":
         out = out & price_dropped(c("price_history"))
     if query.localities:
-        out = out & c("locality").isin(*query.localities)
+        out = out & city(c("locality"), city_of or {}).isin(*query.localities)
     for name, column, op in (("min_price", "price", "ge"), ("max_price", "price", "le"), ("min_area", "area", "ge"), ("max_area", "area", "le"), ("min_rooms", "rooms", "ge"), ("distance", "distance_km", "le")):
         x = query.number(name)
-        if x is not None and column in has:
+        if x is not None:
             out = out & (c(column) >= x if op == "ge" else c(column) <= x)
     if query.q.strip():
-        texts = [x for x in ("title", "locality", "district", "street", "agency") if x in has]
+        texts = [F.coalesce(c(x), F.lit("")) for x in ("title", "locality", "district")]
         out = out & F.contains(F.lower(F.concat_ws(" ", *texts)), F.lit(query.q.strip().lower()))
     return F.coalesce(out, F.lit(False))
 
@@ -109,27 +145,48 @@ def discount(price: Column, highest: Column, floor: int = 10_000) -> tuple[Colum
     return F.when((price >= floor) & (base > 0), off / base * 100).otherwise(F.lit(0.0)), F.coalesce(off, F.lit(0))
 
 
-def ordered(cards: DataFrame, sort: str = "newest") -> DataFrame:
-    """One of the six orders; missing values last, ties by seq."""
+def discount_percent(columns: list[str]) -> Column:
+    """Percent a card's price is below the highest known of it: of its trail, the price before and the highest offer, as far as the table has them."""
+    has, prices = set(columns), [F.col("price")]
+    if "price_history" in has:
+        prices.append(F.array_max("price_history"))
+    prices += [F.col(c) for c in ("prev_price", "price_max") if c in has]
+    return discount(F.col("price"), F.greatest(*prices) if len(prices) > 1 else prices[0])[0]
+
+
+def ordered(cards: DataFrame, sort: str = "newest", archive: bool = False) -> DataFrame:
+    """One of the six orders; missing values last, ties by seq (in the archive by url). Newest in the archive is latest delisted."""
+    has = set(cards.columns)
+    latest = lambda c: F.desc_nulls_last(F.nullif(F.col(c).cast("string"), F.lit("")))
     order = {
-        "newest": F.desc_nulls_last("created"), "discount": F.desc_nulls_last("discount_pct"), "price_asc": F.asc_nulls_last("price"),
-        "price_desc": F.desc_nulls_last("price"), "ppm_asc": F.asc_nulls_last("price_per_m2"), "area_desc": F.desc_nulls_last("area"),
+        "newest": lambda: latest("delisted" if archive else "created"), "discount": lambda: F.desc_nulls_last("discount_pct") if "discount_pct" in has else F.desc_nulls_last(discount_percent(cards.columns)),
+        "price_asc": lambda: F.asc_nulls_last("price"), "price_desc": lambda: F.desc_nulls_last("price"), "ppm_asc": lambda: F.asc_nulls_last("price_per_m2"), "area_desc": lambda: F.desc_nulls_last("area"),
     }
-    return cards.orderBy(order[sort], "seq")
+    return cards.orderBy(order[sort](), *[c for c in ("seq", "archive_id", "record_id", "url") if c in has][:1])
 
 
 def page(cards: DataFrame, number: int, size: int = 60) -> DataFrame:
     return cards.offset(number * size).limit(size)
 
 
-def run_query(cards: DataFrame, query: CardQuery) -> DataFrame:
-    return ordered(cards.filter(matches(query, cards.columns)), query.sort)
+def run_query(cards: DataFrame, query: CardQuery, archive: DataFrame | Callable[[], DataFrame] | None = None, city_of: dict[str, str] | None = None) -> DataFrame:
+    """The cards, or archived properties, a query asks for, in its order. ``archive`` may be a function: it is called only by queries that look there."""
+    pool = cards
+    if query.in_archive:
+        if archive is None:
+            raise ValueError("a query for sold properties needs the archive")
+        pool = archive() if callable(archive) else archive
+    return ordered(pool.filter(matches(query, pool.columns, city_of)), query.sort, query.in_archive)
+
 
+def facets(cards: DataFrame, column: str, city_of: dict[str, str] | None = None, collation: str | None = None) -> DataFrame:
+    """``value, n``: how many cards each value of a column has, most first, then by value in the order of ``collation``; arrays count each element.
 
-def facets(cards: DataFrame, column: str) -> DataFrame:
-    """``value, n``: how many cards each value of a column has, most first; arrays count each element."""
-    value = F.explode(column) if dict(cards.dtypes)[column].startswith("array") else F.col(column)
-    return cards.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
+    With ``city_of`` a district counts for its city.
+    """
+    value = F.explode(column) if dict(cards.dtypes)[column].startswith("array") else city(F.col(column), city_of) if city_of is not None else F.col(column)
+    tie = F.collate(F.col("value"), collation) if collation else F.col("value")
+    return cards.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), tie)
 
 
 def summary(listing: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ what is expected give no rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from plotwright.functions.addresses import district_of_place, dotted_date, town_of_place
 from plotwright.functions.numbers import price_before_unit, rooms_from_word, to_float, to_int
+from plotwright.session import materialize
 from plotwright.sources.schemas import LISTING, names
 
 # Last parts of schema.org availabilities of closed offers.
@@ -129,16 +131,22 @@ class _Cards(HTMLParser):
                 self.card["texts"][mark].append(data.strip())
 
 
+#: Pictures of a card that may show the property, best first: (wants the gallery mark, where the address stands).
+_PICTURE_RULES = ((True, "src"), (True, "srcset"), (False, "src"))
+
+
 def _card_image(images: list[tuple[bool, str, str]]) -> str | None:
-    usable = lambda src: src.startswith("http") and not src.endswith(".svg")
-    marked = [i for i in images if i[0]] or [i for i in images if usable(i[1]) and "nuxt-assets" not in i[1]]
-    if not marked:
-        return None
-    _, src, srcset = marked[0]
-    if usable(src):
-        return src
-    first = srcset.split()[0] if srcset.split() else ""
-    return first if first.startswith("http") else None
+    """Address of a card's picture: of the first marked picture, or, where none is marked, of the first that is no icon."""
+    marked = [i for i in images if i[0]]
+    for wants_mark, where in _PICTURE_RULES:
+        if wants_mark != bool(marked):
+            continue
+        for is_marked, src, srcset in marked[:1] or images:
+            address = src if where == "src" else (srcset.split() or [""])[0]
+            icon = where == "src" and address.endswith(".svg") or not is_marked and "nuxt-assets" in address
+            if address.startswith("http") and not icon:
+                return address
+    return None
 
 
 # The marks that carry a card's texts.
@@ -189,25 +197,34 @@ def morizon(pages: DataFrame, base: str = "https://www.morizon.pl", cities: tupl
 SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {"otodom": otodom, "olx": olx, "gratka": gratka, "morizon": morizon, "nieruchomosci-online": nieruchomosci_online}
 
 
-def scan(pages: dict[str, DataFrame], sources: dict[str, Callable] = SOURCES) -> tuple[DataFrame, dict[str, str]]:
-    """All rows of all sources with ``ordinal`` (keep-first by address within source and type), and the sources that failed.
+#: Sources whose pages repeat advertisements within a scan; the first of an address is kept.
+REPEATING = ("gratka", "morizon", "nieruchomosci-online")
+
+
+def scan(pages: dict[str, DataFrame], sources: dict[str, Callable] = SOURCES, repeating: tuple[str, ...] = REPEATING) -> tuple[DataFrame, dict[str, str]]:
+    """All rows of all sources with ``ordinal`` (their order in the scan; ``repeating`` sources keep the first of an address and type), and the sources that failed.
 
-    A source that cannot be planned is reported and left out; with none left this raises.
+    Every source is read and written to the work folder by itself, so one that fails, in planning or on a bad page, is
+    reported and left out; with none left this raises.
     """
     parts, failed = [], {}
     for name, page in pages.items():
         try:
-            parts.append(sources[name](page))
+            parts.append(materialize(sources[name](page).withColumn("ordinal", F.monotonically_increasing_id()), f"scan-{name}"))
         except Exception as error:  # noqa: BLE001 - one broken portal must not stop the others
             failed[name] = str(error).splitlines()[0]
     if not parts:
         raise ValueError(f"no source could be read: {failed}")
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p, allowMissingColumns=True)
-    numbered = rows.withColumn("ordinal", F.monotonically_increasing_id())
-    first = numbered.filter("url is not null").groupBy("source", "type", "url").agg(F.min("ordinal").alias("ordinal")).select("ordinal")
-    return numbered.join(first, "ordinal", "left_semi").unionByName(numbered.filter("url is null")), failed
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return distinct_in_scan(rows, repeating), failed
+
+
+def distinct_in_scan(rows: DataFrame, repeating: tuple[str, ...] = REPEATING) -> DataFrame:
+    """``rows`` without later repetitions (by ``ordinal``) of an address within a repeating source and type; rows without address stay."""
+    again = F.col("source").isin(*repeating) & F.col("url").isNotNull()
+    first = rows.filter(again).groupBy("source", "type", "url").agg(F.min("ordinal").alias("ordinal"))
+    kept = rows.filter(again).alias("r").join(first.alias("f"), (F.col("r.source") == F.col("f.source")) & F.col("r.type").eqNullSafe(F.col("f.type")) & (F.col("r.url") == F.col("f.url")) & (F.col("r.ordinal") == F.col("f.ordinal")), "left_semi")
+    return rows.filter(~F.coalesce(again, F.lit(False))).unionByName(kept)
 
 
 def split_archived(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -216,14 +233,28 @@ def split_archived(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~gone), rows.filter(gone)
 
 
+# Where portals keep the pictures of an advertisement.
+PICTURE_FILES = {
+    "olx": r'https://[a-z]+\.apollo\.olxcdn\.com:?\d*/v1/files/[^"\\\s]+',
+    "gratka": r'https://thumbs\.cdngr\.pl/thumb/[^"\s]+?\.jpg',
+    "nieruchomosci-online": r'https://i\.st-nieruchomosci-online\.pl/[^"\s]+?\.(?:jpg|jpeg|webp)',
+}
+# Words in addresses of pictures that show no property.
+NO_PROPERTY = "(?i)contact|logo|avatar|agent|baner|stopka|ikona|placeholder"
+_AD = "struct<props:struct<pageProps:struct<ad:struct<images:array<struct<large:string,medium:string>>>>>>"
+
+
 def gallery(source: Column, html: Column, most: int = 5) -> Column:
     """First distinct picture addresses of a stored advertisement page, by portal."""
-    found = lambda pattern: F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)))
-    next_data = F.from_json(F.regexp_extract(html, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1), "struct<props:struct<pageProps:struct<ad:struct<images:array<struct<large:string,medium:string>>>>>>")
-    images = F.transform(next_data["props"]["pageProps"]["ad"]["images"], lambda i: F.coalesce(F.nullif(i["large"], F.lit("")), i["medium"]))
-    files = found(r'https://[a-z]+\.apollo\.olxcdn\.com:?\d*/v1/files/[^"\\\s]+')
+    found = {name: F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))) for name, pattern in PICTURE_FILES.items()}
     file_id = lambda u: F.regexp_extract(u, r"/files/([^/]+)", 1)
-    one_per_file = F.filter(files, lambda u, i: F.array_position(F.transform(files, file_id), file_id(u)) == i + 1)
-    plain = F.filter(found(r'https://i\.st-nieruchomosci-online\.pl/[^"\s]+?\.(?:jpg|jpeg|webp)'), lambda u: ~u.rlike("(?i)contact|logo|avatar|agent|baner|stopka|ikona|placeholder"))
-    out = F.when(source == "otodom", F.array_distinct(images)).when(source == "olx", one_per_file).when(source == "gratka", found(r'https://thumbs\.cdngr\.pl/thumb/[^"\s]+?\.jpg')).when(source == "nieruchomosci-online", plain)
+    listed = F.from_json(F.regexp_extract(html, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1), _AD)["props"]["pageProps"]["ad"]["images"]
+    found["otodom"] = F.array_distinct(F.transform(listed, lambda i: F.coalesce(F.nullif(i["large"], F.lit("")), i["medium"])))
+    # Sizes of one file are one picture.
+    files = found["olx"]
+    found["olx"] = F.filter(files, lambda u, i: F.array_position(F.transform(files, file_id), file_id(u)) == i + 1)
+    found["nieruchomosci-online"] = F.filter(found["nieruchomosci-online"], lambda u: ~u.rlike(NO_PROPERTY))
+    out = F.lit(None).cast("array<string>")
+    for name, urls in found.items():
+        out = F.when(source == name, urls).otherwise(out)
     return F.slice(F.coalesce(F.filter(out, lambda u: u.isNotNull() & (u != "")), F.array().cast("array<string>")), 1, most)

@@ -25,17 +25,22 @@ def register_features(pages: DataFrame, kind: str, tag: str | None = None) -> Da
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
-    """A table, or an empty one of its schema when it does not exist yet."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).format(form).load(path)
-
-
-def write_version(df: DataFrame, root: str) -> str:
+    """A table, or an empty one of its schema when it does not exist yet or cannot be read."""
+    if path_exists(spark, path):
+        found = spark.read.schema(schema).format(form).load(path)
+        try:
+            found.limit(1).count()
+            return found
+        except Exception:  # noqa: BLE001 - whatever is wrong with the files, there is no state to go on from
+            pass
+    return spark.createDataFrame([], schema)
+
+
+def write_version(df: DataFrame, root: str, form: str = "parquet") -> str:
     """Write a new version of a table beside the old ones, then point to it; readers never see half a table."""
     spark = df.sparkSession
     name = f"v-{dt.datetime.now(dt.UTC):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(f"{root}/{name}")
+    df.write.format(form).save(f"{root}/{name}")
     fs, pointer = _fs_path(spark, f"{root}/_current.{name}")
     out = fs.create(pointer, True)
     out.writeBytes(name)
@@ -69,18 +74,38 @@ def refresh(spark: SparkSession, root: str, fetch, today: dt.date, days: int = 7
         return old
 
 
-def publish(cards: DataFrame, archive: DataFrame, path: str) -> None:
-    """Live cards newest first without hashes, the archive, and a one-row summary."""
-    cards.drop("phashes").orderBy(F.desc_nulls_last("created"), "seq").write.mode("overwrite").json(f"{path}/listings")
-    archive.write.mode("overwrite").json(f"{path}/archive")
-    by = lambda c: F.map_from_entries(F.collect_list(F.struct(c, "n")))
-    sources = cards.groupBy("source").count().select(F.col("source"), F.col("count").alias("n")).agg(by("source").alias("by_source"))
-    types = cards.groupBy("type").count().select(F.col("type"), F.col("count").alias("n")).agg(by("type").alias("by_type"))
-    cards.agg(F.count(F.lit(1)).alias("properties")).join(sources).join(types).write.mode("overwrite").json(f"{path}/meta")
+def run_summary(cards: DataFrame, archive: DataFrame, raw: DataFrame, funnel: DataFrame | None = None, errors: dict[str, str] | None = None) -> DataFrame:
+    """One row that sums up a run: cards, raw rows, both by source and type, relisted, archived, confirmed sales, the match funnel and what failed.
+
+    Rows without source or type count under ``unknown``. Only counts reach the driver, one row per source, type and stage.
+    """
+    spark = cards.sparkSession
+    counts = lambda df, c: {r[0]: r[1] for r in df.groupBy(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown")).alias("k")).count().collect()}
+    by_source, by_type = counts(raw, "source"), counts(cards, "type")
+    relisted = cards.agg(F.count_if(F.coalesce("relisted", F.lit(False)))).first()[0] if "relisted" in cards.columns else 0
+    gone = archive.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sold").isNotNull()).alias("sold")).first()
+    stages = {} if funnel is None else {r["stage"]: r["n"] for r in funnel.collect()}
+    row = (sum(by_type.values()), sum(by_source.values()), by_source, by_type, relisted, gone["n"], gone["sold"], stages, dict(errors or {}))
+    return spark.createDataFrame([row], "count bigint, raw bigint, by_source map<string,bigint>, by_type map<string,bigint>, relisted bigint, archive bigint, sold_confirmed bigint, funnel map<string,bigint>, errors map<string,string>")
+
+
+def publish(cards: DataFrame, archive: DataFrame, path: str, raw: DataFrame | None = None, funnel: DataFrame | None = None, errors: dict[str, str] | None = None) -> dict[str, str]:
+    """Live cards newest first without hashes, the archive, and the run's summary, each as a new version; the paths written.
+
+    ``raw``: the listing rows of the run, the cards where it is not given.
+    """
+    live = cards.drop("phashes").orderBy(F.desc_nulls_last("created"), "seq")
+    parts = {"listings": live, "archive": archive, "meta": run_summary(cards, archive, cards if raw is None else raw, funnel, errors)}
+    return {name: write_version(df, f"{path}/{name}", "json") for name, df in parts.items()}
 
 
 def pin(overrides: DataFrame, new: DataFrame) -> DataFrame:
-    """Overrides by address with the known fields of ``new`` put in place of the old; null fields change nothing."""
+    """Overrides by address with the known fields of ``new`` put in place of the old; null fields change nothing.
+
+    Of repeated addresses in ``new`` the last known value of each field counts: by ``pin_seq`` where it has it, else the largest.
+    """
     fields = [c for c in overrides.columns if c != "url"]
-    o, n = overrides.select("url", *[F.col(f).alias(f"o_{f}") for f in fields]), new.select("url", *[F.col(f).alias(f"n_{f}") for f in fields])
+    order = lambda f: F.col("pin_seq") if "pin_seq" in new.columns else F.col(f)
+    n = new.filter("url is not null").groupBy("url").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), order(f))).alias(f"n_{f}") for f in fields])
+    o = overrides.select("url", *[F.col(f).alias(f"o_{f}") for f in fields])
     return o.join(n, "url", "full").select("url", *[F.coalesce(f"n_{f}", f"o_{f}").alias(f) for f in fields])
