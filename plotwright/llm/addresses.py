@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,10 +33,22 @@ from plotwright.llm.pairs import expand_pairs
 from plotwright.operators.skew import lookup_join
 from plotwright.session import materialize
 
-#: Cosine that two names must reach: at most, and for names of no letters with its gain per letter; an edit spoils more of a short name.
-COSINE, SHORT, LETTER = 0.52, 0.3, 0.02
-#: Characters of an n-gram.
-GRAM = 2
+
+
+class Grams(NamedTuple):
+    """Characters of an n-gram, and the cosine that two names must reach: at most, and for names of no letters with its gain per letter (an edit spoils more of a short name)."""
+
+    n: int
+    most: float
+    short: float
+    letter: float
+
+    def least(self, main: str) -> float:
+        """Cosine that a name asks of another; a pair must reach what both ask."""
+        return min(self.most, self.short + self.letter * len(main))
+
+
+GRAMS = Grams(2, 0.52, 0.3, 0.02)
 #: Number and share of all names added to document frequencies, so that the n-grams of a misspelling do not outweigh the rest of the name.
 RARE, SMOOTH = 10, 0.05
 #: Official towns at most: the list goes to every task.
@@ -258,15 +271,15 @@ def main_words(names: DataFrame) -> DataFrame:
     return names.join(led, "name", "left").select("name", F.array_join(F.when(F.size(telling) > 0, telling).otherwise(words), " ").alias("main"))
 
 
-def grams(main: str, n: int = GRAM) -> list[str]:
+def grams(main: str, n: int = GRAMS.n) -> list[str]:
     """Distinct character n-grams of words, with marks at their ends."""
     return sorted({f"^{w}$"[i : i + n] for w in main.split() for i in range(max(1, len(w) + 3 - n))})
 
 
-def gram_weights(names: DataFrame) -> dict[str, float]:
-    """Inverse document frequencies of the n-grams of ``names`` (``main``): at most 38 ** GRAM entries, over a-z, 0-9 and the two marks."""
+def gram_weights(names: DataFrame, n: int = GRAMS.n) -> dict[str, float]:
+    """Inverse document frequencies of the n-grams of ``names`` (``main``): at most 38 ** n entries, over a-z, 0-9 and the two marks."""
     total = max(1, names.count())
-    each = F.transform(F.split("main", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) + 3 - GRAM, F.lit(1))), lambda i: F.substr(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(GRAM))))
+    each = F.transform(F.split("main", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) + 3 - n, F.lit(1))), lambda i: F.substr(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(n))))
     seen = names.select(F.explode(F.array_distinct(F.flatten(each))).alias("g")).groupBy("g").count()
     return {r["g"]: math.log(1 + total / (r["count"] + RARE + SMOOTH * total)) for r in seen.collect()}
 
@@ -291,37 +304,53 @@ def prefix(vector: dict[str, float], threshold: float) -> list[str]:
 def town_grams(town: str, idf: dict[str, float]) -> list[str]:
     """Index terms of a town outside the list: towns within the edits that :func:`allowed_edits` grants share one.
 
-    An edit, swaps included, spoils at most GRAM + 1 n-grams, so the first ``(GRAM + 1) * edits + 1`` in a common
+    An edit, swaps included, spoils at most n + 1 n-grams, so the first ``(n + 1) * edits + 1`` in a common
     order, rarest first, of two such towns have one in common.
     """
     order = sorted(grams(town), key=lambda g: (-idf.get(g, 99.0), g))
-    return order[: (GRAM + 1) * allowed_edits(len(town)) + 1]
+    return order[: (GRAMS.n + 1) * allowed_edits(len(town)) + 1]
 
 
-def least_cosine(main: str, threshold: float = COSINE) -> float:
-    """Cosine that a name asks of another; a pair must reach what both ask."""
-    return min(threshold, SHORT + LETTER * len(main))
+class Vectors:
+    """Unit vectors of street names over their n-grams, kept per name."""
 
+    def __init__(self, idf: dict[str, float], kind: Grams = GRAMS) -> None:
+        self.idf, self.kind, self.held = idf, kind, {}
 
-def index_terms(main: str, idf: dict[str, float], threshold: float = COSINE) -> list[str]:
-    """The n-grams under which a name is indexed: two names that share none do not reach the cosine they ask."""
-    return prefix(_weights(grams(main), idf), least_cosine(main, threshold))
+    def of(self, main: str) -> dict[str, float]:
+        v = self.held.get(main)
+        if v is None:
+            if len(self.held) > 100_000:
+                self.held.clear()
+            v = self.held[main] = _weights(grams(main, self.kind.n), self.idf)
+        return v
 
+    def terms(self, main: str) -> list[str]:
+        """The n-grams under which a name is indexed: two names that share none do not reach the cosine they ask."""
+        return prefix(self.of(main), self.kind.least(main))
 
-def _index_task(idf, threshold):
+    def cosine(self, a: str, b: str) -> float:
+        x, y = self.of(a), self.of(b)
+        if len(x) > len(y):
+            x, y = y, x
+        return sum(w * y[g] for g, w in x.items() if g in y)
+
+    def alike(self, a: str, b: str) -> bool:
+        """Whether two names reach the cosine that both ask."""
+        return a == b or self.cosine(a, b) >= max(self.kind.least(a), self.kind.least(b))
+
+
+def _index_task(idf, kind):
     def run(batches):
+        vectors = Vectors(idf, kind)
         for b in batches:
-            lists = [index_terms(m, idf, threshold) for m in b["main"].to_pylist()]
+            lists = [vectors.terms(m) for m in b["main"].to_pylist()]
             places = [[t] if t[0] == "#" else town_grams(t, idf) for t in b["town"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["id"], b["number"], pa.array(lists, pa.list_(pa.string())), pa.array(places, pa.list_(pa.string()))], names=["id", "number", "grams", "places"])
 
     return run
 
 
-def cosine(a: dict[str, float], b: dict[str, float]) -> float:
-    return sum(w * b[g] for g, w in a.items() if g in b)
-
-
 def same_street(a: str, b: str, main_a: str, main_b: str) -> bool:
     """Whether two street names are one: main words within few edits, given names or initials not in conflict."""
     x, y, mx, my = a.split(), b.split(), main_a.split(), main_b.split()
@@ -344,15 +373,16 @@ def given_conflict(gx: list[str], rest: list[str]) -> bool:
     return any(rest and not any(agree(g, h) for h in rest) for g in gx)
 
 
-def _verify_task(idf, threshold):
+def _verify_task(idf, kind):
     def same_town(a: str, b: str) -> bool:
         return a == b or (a[0] != "#" and b[0] != "#" and near(a, b, allowed_edits(min(len(a), len(b)))))
 
     def run(batches):
+        vectors = Vectors(idf, kind)
         for b in batches:
             keep = []
             for i, (na, nb, ma, mb, ta, tb) in enumerate(zip(*(b[c].to_pylist() for c in ("name_a", "name_b", "main_a", "main_b", "town_a", "town_b")))):
-                if cosine(_weights(grams(ma), idf), _weights(grams(mb), idf)) >= max(least_cosine(ma, threshold), least_cosine(mb, threshold)) and same_town(ta, tb) and same_street(na, nb, ma, mb):
+                if vectors.alike(ma, mb) and same_town(ta, tb) and same_street(na, nb, ma, mb):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b["a"].take(at), b["b"].take(at)], names=["a", "b"])
@@ -365,7 +395,7 @@ def address_keys() -> Column:
     return F.xxhash64("number", "place", "g")
 
 
-def same_building_classes(listing: DataFrame, towns: DataFrame, threshold: float = COSINE) -> tuple[DataFrame, DataFrame]:
+def same_building_classes(listing: DataFrame, towns: DataFrame, kind: Grams = GRAMS) -> tuple[DataFrame, DataFrame]:
     """(links, members): ``a, b`` of classes of rows with one reading that state the same building, and ``id, seq`` of the classes of several rows.
 
     A class of one row has the row's seq as its id. No pair within a class is written.
@@ -374,19 +404,19 @@ def same_building_classes(listing: DataFrame, towns: DataFrame, threshold: float
     traits = ["town", "number", "name"]
     grouped = rows.groupBy(*traits).agg(F.min("seq").alias("id"), F.count(F.lit(1)).alias("n"))
     names = materialize(main_words(rows.select("name").distinct()), "names")
-    idf = gram_weights(names)
+    idf = gram_weights(names, kind.n)
     classes = materialize(grouped.join(names, "name"), "addresses")
-    index = classes.select("id", "town", "number", "main").mapInArrow(_index_task(idf, threshold), "id bigint, number string, grams array<string>, places array<string>")
+    index = classes.select("id", "town", "number", "main").mapInArrow(_index_task(idf, kind), "id bigint, number string, grams array<string>, places array<string>")
     keyed = index.select("id", "number", "grams", F.explode("places").alias("place")).select("id", "number", "place", F.explode("grams").alias("g")).select("id", address_keys().alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
     # The planner cannot estimate exploded rows; neither side may be broadcast.
     met = x.hint("merge").join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     side = lambda s: classes.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("name", "main", "town")])
-    links = met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify_task(idf, threshold), "a bigint, b bigint")
+    links = met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify_task(idf, kind), "a bigint, b bigint")
     members = materialize(rows.join(classes.filter("n > 1").select(*traits, "id"), traits).select("id", "seq"), "twins")
     return links, members
 
 
-def same_building_pairs(listing: DataFrame, towns: DataFrame, threshold: float = COSINE) -> DataFrame:
+def same_building_pairs(listing: DataFrame, towns: DataFrame, kind: Grams = GRAMS) -> DataFrame:
     """``seq_a, seq_b`` (seq_a < seq_b): rows that state the same building. ``towns`` has ``loc_id, name``; see the module text."""
-    return expand_pairs(*same_building_classes(listing, towns, threshold))
+    return expand_pairs(*same_building_classes(listing, towns, kind))

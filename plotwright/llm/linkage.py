@@ -3,8 +3,8 @@
 Archived properties and notarial deeds share no key. Both are read into kind, official town, street, area,
 rooms, price and date. Blocking joins bring together only pairs that keep the exact limits (kind and town,
 area, rooms and price where known, days around the delisting): pairs whose sides both name a street share, beside
-these, an n-gram of it (the prefix-filtered index of :mod:`addresses`); pairs of which a side names none share an area bin and a
-price band, so candidates grow with the matches and not with the square of a town. Matching functions vote for,
+these, an n-gram of it (the prefix-filtered index of :mod:`addresses`) and reach its cosine; pairs of which a side names none share an
+area bin and a price band, so candidates grow with the matches and not with the square of a town. Matching functions vote for,
 against or not at all on each candidate. A generative model with a hidden match variable learns
 from the vote patterns alone how often each function votes each way for matches and for others; functions whose votes
 depend on each other beyond that are merged into joint functions, so that a fact counted twice does not inflate the
@@ -32,14 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.functions.text import fold_py
-from plotwright.llm.addresses import _weights, cosine, given_conflict, gram_weights, grams, index_terms, least_cosine, main_words, read_street, same_street
+from plotwright.llm.addresses import Grams, Vectors, given_conflict, gram_weights, main_words, read_street, same_street
 from plotwright.llm.canonical import district_segments, reference_names, resolve_values
 from plotwright.operators.skew import lookup_join
 from plotwright.session import materialize
 
 AREA, EARLY, LATE, PRICE = 0.6, 60, 400, 0.12
+#: Index terms of street names: here 3-grams, which few names share by chance.
+GRAMS = Grams(3, 0.36, 0.1, 0.02)
 #: Cosine of two street names from which the n-grams speak for one street.
-ALIKE = 0.75
+ALIKE = 0.6
 FUNCTIONS = ("v_street", "v_grams", "v_given", "v_named", "v_area", "v_rooms", "v_price", "v_date")
 #: Posterior from which a pair is a match.
 CUT = 0.5
@@ -146,42 +148,48 @@ def _streets(kind: str):
 
 def _index_names(idf: dict[str, float]):
     def run(batches):
+        vectors = Vectors(idf, GRAMS)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["name"], b["main"], b["n"], pa.array([index_terms(m, idf) for m in b["main"].to_pylist()], pa.list_(pa.string()))], names=["name", "main", "n", "grams"])
+            yield pa.RecordBatch.from_arrays([b["name"], b["main"], b["n"], pa.array([vectors.terms(m) for m in b["main"].to_pylist()], pa.list_(pa.string()))], names=["name", "main", "n", "grams"])
 
     return run
 
 
 def _street_votes(idf: dict[str, float]):
-    """Votes on the street names of candidates, and whether the exact check takes them."""
+    """Votes on the street names of pairs, and whether the exact check takes them; pairs whose names are not alike are no candidates."""
 
     def run(batches):
-        seen: dict[tuple, tuple] = {}
+        vectors, seen = Vectors(idf, GRAMS), {}
         for b in batches:
-            out = []
-            for key in zip(*(b[c].to_pylist() for c in ("street", "street_d", "main", "main_d"))):
+            keep, out = [], []
+            for i, key in enumerate(zip(*(b[c].to_pylist() for c in ("street", "street_d", "main", "main_d")))):
                 hit = seen.get(key)
                 if hit is None:
                     if len(seen) > 200_000:
                         seen.clear()
-                    hit = seen[key] = street_vote(*key, idf)
-                out.append(hit)
-            cols = list(zip(*out)) or [()] * 5
-            keep = [c for c in b.schema.names if c not in ("street", "street_d", "main", "main_d")]
-            yield pa.RecordBatch.from_arrays([b[c] for c in keep] + [pa.array(c, pa.int32()) for c in cols[:4]] + [pa.array(cols[4], pa.bool_())], names=[*keep, *FUNCTIONS[:4], "exact"])
+                    hit = seen[key] = street_vote(*key, vectors) or ()
+                if hit:
+                    keep.append(i)
+                    out.append(hit)
+            cols, at = list(zip(*out)) or [()] * 5, pa.array(keep, pa.int64())
+            rest = [c for c in b.schema.names if c not in ("street", "street_d", "main", "main_d")]
+            yield pa.RecordBatch.from_arrays([b[c].take(at) for c in rest] + [pa.array(c, pa.int32()) for c in cols[:4]] + [pa.array(cols[4], pa.bool_())], names=[*rest, *FUNCTIONS[:4], "exact"])
 
     return run
 
 
-def street_vote(street: str | None, street_d: str | None, main: str | None, main_d: str | None, idf: dict[str, float]) -> tuple[int, int, int, int, bool]:
-    """(v_street, v_grams, v_given, v_named, exact check) of two street names, null where not named."""
+def street_vote(street: str | None, street_d: str | None, main: str | None, main_d: str | None, vectors: Vectors) -> tuple[int, int, int, int, bool] | None:
+    """(v_street, v_grams, v_given, v_named, exact check) of two street names, null where not named; None if they are not alike."""
     if not street or not street_d:
         return 1, 0, 0, 0, True
+    if street == street_d:
+        return 1, 1, int(street != main), 1, True
+    if not vectors.alike(main, main_d):
+        return None
     words = same_street(main, main_d, main, main_d)
-    near = cosine(_weights(grams(main), idf), _weights(grams(main_d), idf))
     gx, gy = ([w for w in s.split() if w not in m.split()] for s, m in ((street, main), (street_d, main_d)))
     given = 0 if not gx or not gy else -1 if given_conflict(gx, gy) else 1
-    return 1 if words else -1, 1 if near >= ALIKE else -1 if near < max(least_cosine(main), least_cosine(main_d)) else 0, given, 1 if words else 0, same_street(street, street_d, main, main_d)
+    return 1 if words else -1, 1 if vectors.cosine(main, main_d) >= ALIKE else 0, given, 1 if words else 0, same_street(street, street_d, main, main_d)
 
 
 def _numeric_votes() -> dict[str, Column]:
@@ -242,7 +250,7 @@ def link_deeds(archive: DataFrame, deeds: DataFrame, towns: DataFrame, cut: floa
     counted = left.select("street").unionByName(right.select("street")).filter("street is not null").groupBy(F.col("street").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     counted = materialize(counted, "streets")
     names = materialize(main_words(counted.select("name")).join(counted, "name"), "names")
-    idf = gram_weights(names)
+    idf = gram_weights(names, GRAMS.n)
     index = materialize(names.mapInArrow(_index_names(idf), "name string, main string, n bigint, grams array<string>").withColumnRenamed("name", "street"), "index")
 
     def indexed(side: DataFrame) -> DataFrame:

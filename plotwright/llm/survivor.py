@@ -6,8 +6,8 @@ quality model judges true: each source has a sensitivity (share of true values i
 specificity (share of false values it withholds) per field; expectation-maximisation alternates
 between the probability of each claimed value and the sources' qualities. Several values of one
 field can be true. Claims are reduced to patterns (field, sources that state the value, sources that
-take part in the group without stating it); the model is fitted on their counts, and every source has
-qualities of its own.
+take part in the group without stating it); the model is fitted on their counts by sums per source, and every source
+has qualities of its own, however many there are.
 
 Defined results
 ---------------
@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,10 @@ from plotwright.session import materialize
 FILLED = ("title", "area", "rooms", "floor", "locality", "district", "street", "agency", "image")
 JUDGED = ("price", "area", "title", "image", "rooms", "floor", "locality", "district", "street", "agency")
 LAST_RANK = 2**31 - 1
-#: Patterns up to which their probabilities are broadcast.
-MAX_BROADCAST = 100_000
+#: Patterns that the driver fetches at most; more stay where they are, and rounds are jobs over them.
+LOCAL_PATTERNS = 50_000
+#: Sources at most: their qualities are held on the driver and sent to the tasks.
+SOURCES = 100_000
 
 
 def _pairs(dup_group: DataFrame) -> DataFrame:
@@ -77,38 +80,133 @@ class TwoSidedTruth:
 
     A value that no source states leaves no pattern, so patterns count as drawn from the stated ones
     and the unseen values are added back in expectation; else sources would look less silent than they are.
+    A round needs of the patterns only sums per source, so patterns may lie in any number of parts (:meth:`sums`).
     """
 
-    def __init__(self, rounds: int = 300, prior: float = 0.5) -> None:
-        self.rounds, self.prior = rounds, prior
+    #: Sums of a round: over stated patterns, over those taken part in, of true and false and of unseen values.
+    SUMS = ("said_true", "said_false", "part_true", "part_all_false", "part_silent")
 
-    def fit(self, states: np.ndarray, takes_part: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Probability that each pattern's value is true; ``states`` and ``takes_part`` are patterns x sources of 0/1."""
-        return self.fit_pairs(np.nonzero(states), np.nonzero(takes_part), counts, states.shape[1])
-
-    def fit_pairs(self, states: tuple[np.ndarray, np.ndarray], takes_part: tuple[np.ndarray, np.ndarray], counts: np.ndarray, sources: int) -> np.ndarray:
-        """:func:`fit` for (patterns, sources) of the ones only: a pattern has few of many sources."""
-        by_pattern = lambda at, x: np.bincount(at[0], x[at[1]], len(counts))
-        by_source = lambda at, x: np.bincount(at[1], x[at[0]], sources)
-        ones = np.ones(sources)
-        q = (by_pattern(states, ones) + 0.5) / (by_pattern(takes_part, ones) + 1)
+    def __init__(self, sources: int, rounds: int = 300, prior: float = 0.5, settled: float = 1e-7) -> None:
+        self.rounds, self.prior, self.settled = rounds, prior, settled
         self.sensitivity, self.specificity = np.full(sources, 0.8), np.full(sources, 0.9)
+        self.first = True
+
+    def probability(self, states: tuple[np.ndarray, np.ndarray], part: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+        """Probability that each pattern's value is true; ``states`` and ``part`` are (pattern, source) of the ones of two 0/1 tables."""
+        by_pattern = lambda at, x: np.bincount(at[0], x[at[1]], n)
+        if self.first:
+            ones = np.ones(len(self.sensitivity))
+            return (by_pattern(states, ones) + 0.5) / (by_pattern(part, ones) + 1)
+        true, false = self._unseen(part, n)
+        stated, silent = np.log(self.sensitivity / (1 - self.specificity)), np.log((1 - self.sensitivity) / self.specificity)
+        odds = np.log(self.prior / (1 - self.prior)) + by_pattern(states, stated - silent) + by_pattern(part, silent) + np.log((1 - false) / (1 - true))
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+    def _unseen(self, part, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probability that no source that takes part states a value, if it is true and if it is false."""
+        product = lambda x: np.minimum(np.exp(np.bincount(part[0], np.log(x)[part[1]], n)), 0.95)
+        return product(1 - self.sensitivity), product(self.specificity)
+
+    def sums(self, states, part, counts: np.ndarray) -> np.ndarray:
+        """SUMS x sources, with the number of true and of all values as one more column."""
+        n, k = len(counts), len(self.sensitivity)
+        q = self.probability(states, part, n)
+        true, false = self._unseen(part, n)
+        w, v = counts * q, counts * (1 - q)
+        by_source = lambda at, x: np.bincount(at[1], x[at[0]], k)
+        all_false = v / (1 - false)
+        rows = [by_source(states, w), by_source(states, v), by_source(part, w / (1 - true)), by_source(part, all_false), by_source(part, v + all_false * false)]
+        out = np.zeros((len(self.SUMS), k + 1))
+        out[:, :k] = rows
+        out[0, k], out[1, k] = w.sum(), counts.sum()
+        return out
+
+    def step(self, total: np.ndarray) -> bool:
+        """New qualities out of the sums over all patterns; whether they have settled."""
+        said_true, said_false, part_true, part_all_false, part_silent = total[:, :-1]
+        sensitivity = (said_true + 8) / (part_true + 10)
+        specificity = (part_silent - said_false + 9) / (part_all_false + 10)
+        prior = float(np.clip(total[0, -1] / max(total[1, -1], 1e-9), 0.01, 0.99))
+        moved = max(np.abs(sensitivity - self.sensitivity).max(), np.abs(specificity - self.specificity).max(), abs(prior - self.prior))
+        done = not self.first and moved < self.settled
+        self.sensitivity, self.specificity, self.prior, self.first = sensitivity, specificity, prior, False
+        return done
+
+    def fit(self, states: np.ndarray, takes_part: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Probability of each pattern after fitting; ``states`` and ``takes_part`` are patterns x sources of 0/1."""
+        s, p = np.nonzero(states), np.nonzero(takes_part)
         for _ in range(self.rounds):
-            unseen_true = np.minimum(np.exp(by_pattern(takes_part, np.log(1 - self.sensitivity))), 0.95)
-            unseen_false = np.minimum(np.exp(by_pattern(takes_part, np.log(self.specificity))), 0.95)
-            w, v = counts * q, counts * (1 - q)
-            all_true, all_false = w / (1 - unseen_true), v / (1 - unseen_false)
-            self.sensitivity = (by_source(states, w) + 8) / (by_source(takes_part, all_true) + 10)
-            self.specificity = (by_source(takes_part, v + all_false * unseen_false) - by_source(states, v) + 9) / (by_source(takes_part, all_false) + 10)
-            self.prior = float(np.clip(w.sum() / counts.sum(), 0.01, 0.99))
-            stated, silent = np.log(self.sensitivity / (1 - self.specificity)), np.log((1 - self.sensitivity) / self.specificity)
-            odds = np.log(self.prior / (1 - self.prior)) + by_pattern(states, stated - silent) + by_pattern(takes_part, silent)
-            odds += np.log((1 - unseen_false) / (1 - unseen_true))
-            new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-            if np.abs(new - q).max() < 1e-9:
-                return new
-            q = new
-        return q
+            if self.step(self.sums(s, p, counts)):
+                break
+        return self.probability(s, p, len(counts))
+
+
+def _ones(lists, slots: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of the entries of a column of lists."""
+    return tuple(np.array([(i, slots[s]) for i, row in enumerate(lists) for s in row], np.int64).reshape(-1, 2).T)
+
+
+def _field_batches(batch, slots):
+    """(field, positions, states, part) of the rows of a batch of patterns."""
+    fields = np.array(batch["field"].to_pylist(), object)
+    for f in sorted(set(fields)):
+        at = np.flatnonzero(fields == f)
+        rows = batch.take(pa.array(at))
+        yield f, at, _ones(rows["states"].to_pylist(), slots), _ones(rows["part"].to_pylist(), slots)
+
+
+def _sum_task(models: dict[str, TwoSidedTruth], slots: dict[str, int]):
+    """One row per field of the sums of a task's patterns."""
+
+    def run(batches):
+        total = {}
+        for b in batches:
+            counts = b["count"].to_numpy().astype(float)
+            for f, at, states, part in (x for x in _field_batches(b, slots) if x[0] in models):
+                total[f] = total.get(f, 0) + models[f].sums(states, part, counts[at])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.ravel() for x in total.values()], pa.list_(pa.float64()))], names=["field", "sums"])
+
+    return run
+
+
+def _probability_task(models: dict[str, TwoSidedTruth], slots: dict[str, int]):
+    def run(batches):
+        for b in batches:
+            p = np.zeros(b.num_rows)
+            for f, at, states, part in _field_batches(b, slots):
+                p[at] = models[f].probability(states, part, len(at))
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != "count"), pa.array(p)], names=[*(c for c in b.schema.names if c != "count"), "probability"])
+
+    return run
+
+
+def fit_sources(patterns: DataFrame, rounds: int = 300, local: int = LOCAL_PATTERNS) -> tuple[dict[str, TwoSidedTruth], dict[str, int]]:
+    """A fitted model for each field of ``patterns`` (``field, states, part, count``), and the slots of the sources.
+
+    Every round adds up sums per source in the tasks that hold the patterns and sends only these to the driver. Up to
+    ``local`` patterns are fetched once instead; the arithmetic is the same.
+    """
+    names = patterns.select(F.explode("part").alias("s")).distinct()
+    if names.count() > SOURCES:
+        raise ValueError(f"the qualities of at most {SOURCES:,} sources are kept on the driver")
+    slots = {s: i for i, s in enumerate(sorted(r["s"] for r in names.collect()))}
+    fields = [r["field"] for r in patterns.select("field").distinct().collect()]
+    models = {f: TwoSidedTruth(len(slots)) for f in fields}
+    held = patterns.toArrow().combine_chunks().to_batches() if patterns.count() <= local else None
+    open_ = set(fields)
+    for _ in range(rounds):
+        current = {f: models[f] for f in open_}
+        if held is not None:
+            parts = [(f, np.array(x)) for b in _sum_task(current, slots)(held) for f, x in zip(b["field"].to_pylist(), b["sums"].to_pylist())]
+        else:
+            parts = [(r["field"], np.array(r["sums"])) for r in patterns.filter(F.col("field").isin(*open_)).mapInArrow(_sum_task(current, slots), "field string, sums array<double>").collect()]
+        total: dict[str, np.ndarray] = {}
+        for f, x in parts:
+            total[f] = total.get(f, 0) + x.reshape(len(TwoSidedTruth.SUMS), -1)
+        open_ -= {f for f in list(open_) if models[f].step(total[f])}
+        if not open_:
+            break
+    return models, slots
 
 
 def _claimed(c: str) -> Column:
@@ -121,7 +219,7 @@ def _claimed(c: str) -> Column:
     return fold_words(x)
 
 
-def judge_values(dup_group: DataFrame, listing: DataFrame, cut: float = 0.5) -> DataFrame:
+def judge_values(dup_group: DataFrame, listing: DataFrame, cut: float = 0.5, local: int = LOCAL_PATTERNS) -> DataFrame:
     """``group_id, field, value, n_sources, probability, kept``: every claimed value of a group's fields with its probability."""
     m = listing.select("seq", "source", *JUDGED).join(_pairs(dup_group), "seq")
     source = F.coalesce("source", F.lit(""))
@@ -131,15 +229,7 @@ def judge_values(dup_group: DataFrame, listing: DataFrame, cut: float = 0.5) ->
     stated = claims.groupBy("group_id", "field", "value").agg(sources.alias("states"), F.count(F.lit(1)).alias("n_sources"))
     part = claims.groupBy("group_id", "field").agg(sources.alias("part"))
     seen = materialize(stated.join(part, ["group_id", "field"]), "stated")
-    patterns = seen.groupBy("field", "states", "part").count().collect()  # few where groups have few sources: at most fields x 3 ** sources
-    spark, rows = seen.sparkSession, []
-    slots = {s: i for i, s in enumerate(sorted({s for r in patterns for s in r["part"]}))}
-    for field in JUDGED:
-        own = [r for r in patterns if r["field"] == field]
-        if own:
-            pairs = lambda k: tuple(np.array([(i, slots[s]) for i, r in enumerate(own) for s in r[k]], int).T)  # noqa: E731, B023
-            p = TwoSidedTruth().fit_pairs(pairs("states"), pairs("part"), np.array([r["count"] for r in own], float), len(slots))
-            rows += [(field, r["states"], r["part"], float(x)) for r, x in zip(own, p)]
-    scores = spark.createDataFrame(rows, "field string, states array<string>, part array<string>, probability double")
-    scores = F.broadcast(scores) if len(rows) <= MAX_BROADCAST else scores
-    return seen.join(scores, ["field", "states", "part"]).select("group_id", "field", "value", "n_sources", "probability", (F.col("probability") >= cut).alias("kept"))
+    patterns = materialize(seen.groupBy("field", "states", "part").count(), "patterns")
+    models, slots = fit_sources(patterns, local=local)
+    judged = seen.mapInArrow(_probability_task(models, slots), "group_id bigint, field string, value string, states array<string>, n_sources bigint, part array<string>, probability double")
+    return judged.select("group_id", "field", "value", "n_sources", "probability", (F.col("probability") >= cut).alias("kept"))

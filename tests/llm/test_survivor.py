@@ -52,7 +52,7 @@ def test_two_sided_quality_is_learned():
     states = np.where(true[:, None], rng.random((30_000, 3)) < sens, rng.random((30_000, 3)) >= spec).astype(float)
     seen = states.any(1)
     patterns, at, counts = np.unique(states[seen], axis=0, return_inverse=True, return_counts=True)
-    p = TwoSidedTruth().fit(patterns, np.ones_like(patterns), counts.astype(float))
+    p = TwoSidedTruth(3).fit(patterns, np.ones_like(patterns), counts.astype(float))
     odds = np.log(0.4 / 0.6) + patterns @ np.log(sens / (1 - spec)) + (1 - patterns) @ np.log((1 - sens) / spec)
     right = lambda keep: (keep[at] == true[seen]).mean()
     assert right(p >= 0.5) > right(odds >= 0) - 0.03  # as good as with the true qualities
@@ -81,3 +81,27 @@ def test_every_source_has_its_own_quality(spark):
     groups = group(spark, *((2 * g + (i >= len(large)), g * n + i + 1) for g in range(10) for i in range(n)))
     p = {r["value"]: r["probability"] for r in judge_values(groups, ads).filter("group_id in (4, 5)").collect()}
     assert p["x"] > 0.9 and p["pair"] > p["single"], p
+
+
+def test_planted_sources_are_told_apart_and_parts_give_the_same_answer(spark):
+    # Four sources that state a group's true agency nine, eight, seven and five times of ten, else another.
+    rng = np.random.default_rng(11)
+    honest = {"a": 0.9, "b": 0.8, "c": 0.7, "d": 0.5}
+    ads, members = [], []
+    for g in range(150):
+        for s, share in honest.items():
+            ads.append({"source": s, "agency": f"True {g}" if rng.random() < share else f"Wrong {rng.integers(3)}"})
+            members.append((g, len(ads)))
+    df, groups = listing(spark, *ads), group(spark, *members)
+    whole = {(r["group_id"], r["value"]): r["probability"] for r in judge_values(groups, df).filter("field = 'agency'").collect()}
+    parts = {(r["group_id"], r["value"]): r["probability"] for r in judge_values(groups, df, local=0).filter("field = 'agency'").collect()}
+    assert whole.keys() == parts.keys() and max(abs(whole[k] - parts[k]) for k in whole) < 1e-6
+    best = {g: max((k for k in whole if k[0] == g), key=lambda k: (whole[k], k[1]))[1] for g in range(150)}
+    votes = {g: {} for g in range(150)}
+    for (g, i), ad in zip(members, ads):
+        votes[g][ad["agency"]] = votes[g].get(ad["agency"], 0) + 1
+    # A majority that is not alone is right in half of the cases.
+    top = {g: [x for x, n in v.items() if n == max(v.values())] for g, v in votes.items()}
+    majority = sum(f"True {g}" in t for g, t in top.items() if len(t) == 1) + sum(f"True {g}" in t for g, t in top.items() if len(t) > 1) / 2
+    right = sum(best[g] == f"true {g}" for g in best)
+    assert right >= majority and right > 135, (right, majority)
