@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from plotwright.functions.text import fold_words
 from plotwright.llm.pairs import expand_pairs
-from plotwright.session import materialize
+from plotwright.session import materialize, spread
 
 SAMPLES, BITS, BANDS, ROWS = 128, 512, 16, 2
-#: Classes of one block; a task holds at most two blocks.
+#: Classes of a cell that are compared in one task.
 BLOCK = 4096
 #: Cell widths tried, in tolerances, widest first: wide cells copy fewer rows, narrow ones compare fewer.
 CELLS = (8, 4, 2, 1)
@@ -128,33 +128,61 @@ def _shared(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarr
     return out
 
 
+def band_key(mins: np.ndarray, k: int) -> np.ndarray:
+    """Key of band ``k`` of each set."""
+    key = mins[ROWS * k]
+    for extra in mins[ROWS * k + 1 : ROWS * (k + 1)]:
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + extra
+    return key
+
+
+def _minhashes(column, sketcher: OddSketcher):
+    """(words of all rows, starts, ends, rows with words, MinHash samples of these) of a column of word lists."""
+    listed = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
+    offsets = listed.offsets.to_numpy()
+    words = listed.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    starts, ends = offsets[:-1], offsets[1:]
+    full = np.flatnonzero(ends > starts)
+    return words, starts, ends, full, sketcher.minhash(words[offsets[0] : offsets[-1]], starts[full] - offsets[0])
+
+
+def _sketch_task(bands: int, samples: int, bits: int):
+    """Band keys and odd sketch of each class, in place of its words; null for a class without words."""
+
+    def run(batches):
+        sketcher = OddSketcher(samples, bits)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, _, _, full, mins = _minhashes(b["words"], sketcher)
+            keys, sketch = [None] * b.num_rows, [None] * b.num_rows
+            rows, held = np.stack([band_key(mins, k) for k in range(bands)], axis=1).view(np.int64), sketcher.sketch(mins).view(np.int64)
+            for j, i in enumerate(full):
+                keys[i], sketch[i] = rows[j], held[j]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("id", "type", "area", "price", "picture")), pa.array(keys, longs), pa.array(sketch, longs)], names=["id", "type", "area", "price", "picture", "keys", "sketch"])
+
+    return run
+
+
 def _cell_task(area_tol: float, price_tol: float, min_share: float, bands: int, samples: int, bits: int):
-    """The pairs of close classes among the rows of one cell, or of one pair of its blocks."""
+    """The pairs of close classes among the rows of one cell."""
     sketcher, limit = OddSketcher(samples, bits), sketch_limit(min_share, samples, bits)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         ids, area, price = (t[c].to_numpy() for c in ("id", "area", "price"))
-        copy, block, picture = t["copy"].to_numpy(), t["block"].to_numpy(), t["picture"].to_numpy(zero_copy_only=False)
-        listed = t["words"].combine_chunks()
-        listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
-        offsets = listed.offsets.to_numpy()
-        words = listed.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        starts, ends = offsets[:-1], offsets[1:]
-        full = np.flatnonzero(ends > starts)
-        used = words[offsets[0] : offsets[-1]]
-        mins = sketcher.minhash(used, starts[full] - offsets[0])
+        copy, picture = t["copy"].to_numpy(), t["picture"].to_numpy(zero_copy_only=False)
+        words, starts, ends, full, mins = _minhashes(t["words"], sketcher)
         sketch = np.zeros((len(ids), bits // 64), np.uint64)
         sketch[full] = sketcher.sketch(mins)
-        across = bool(t["across"][0].as_py())
 
         def close(a, b):
             m = (copy[a] & copy[b]) == 0  # both copied in one direction: the pair also meets in the lower cell
             m &= np.abs(area[a] - area[b]) <= area_tol * np.maximum(area[a], area[b]) + 1e-9
             m &= np.abs(price[a] - price[b]) <= price_tol * np.maximum(price[a], price[b]) + 1e-9
-            if across:
-                m &= block[a] != block[b]
             return a[m], b[m]
 
         kept, n = [], len(ids)
@@ -164,10 +192,7 @@ def _cell_task(area_tol: float, price_tol: float, min_share: float, bands: int,
             kept.append(np.minimum(a, b) * n + np.maximum(a, b))
         likely, held = [], 0
         for k in range(bands):
-            key = mins[ROWS * k]
-            for extra in mins[ROWS * k + 1 : ROWS * (k + 1)]:
-                key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + extra
-            for a, b in equal_pairs(key, full):
+            for a, b in equal_pairs(band_key(mins, k), full):
                 a, b = close(a, b)
                 m = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= limit
                 likely.append(np.minimum(a, b)[m] * n + np.maximum(a, b)[m])
@@ -188,8 +213,8 @@ def _cell_task(area_tol: float, price_tol: float, min_share: float, bands: int,
     return run
 
 
-def near_duplicate_pairs(listing: DataFrame, area_tol: float = 0.02, price_tol: float = 0.06, min_share: float = 0.6, bands: int = BANDS, samples: int = SAMPLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """``seq_a, seq_b`` (seq_a < seq_b): every pair of near-duplicate rows. See the module text."""
+def near_duplicate_classes(listing: DataFrame, area_tol: float = 0.02, price_tol: float = 0.06, min_share: float = 0.6, bands: int = BANDS, samples: int = SAMPLES, bits: int = BITS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(links, members): ``a, b`` of near-duplicate classes of equal rows, and ``id, seq`` of the classes of several rows. No pair within a class is written."""
     words = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(fold_words(F.coalesce("title", F.lit(""))), " "), lambda w: w != ""), lambda w: F.xxhash64(w))))
     rows = listing.filter((F.col("area") > 0) & (F.col("area") < float("inf")) & (F.col("price") > 0) & F.col("type").isNotNull()).select(
         "seq", F.xxhash64("type").alias("type"), F.col("area").cast("double").alias("area"), F.col("price").cast("double").alias("price"),
@@ -200,9 +225,14 @@ def near_duplicate_pairs(listing: DataFrame, area_tol: float = 0.02, price_tol:
     rows = materialize(rows.withColumn("k", F.struct(F.xxhash64("type", "area", "price", "words", "picture").alias("h"), F.xxhash64("picture", "words", "price", "area", "type").alias("g"))), "rows")
     reps = materialize(rows.groupBy("k").agg(F.min("seq").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
     classes = rows.join(reps.select(F.col("id").alias("seq")), "seq", "left_semi").withColumnRenamed("seq", "id").drop("k")
-    near = _close_classes(classes, area_tol, price_tol, min_share, bands, samples, bits, block)
-    twins = materialize(rows.select("k", "seq").join(reps.filter("n > 1").select("k", "id"), "k").select("id", "seq"), "twins")
-    return expand_pairs(near, twins)
+    links = _close_classes(classes, area_tol, price_tol, min_share, bands, samples, bits, block)
+    members = materialize(rows.select("k", "seq").join(reps.filter("n > 1").select("k", "id"), "k").select("id", "seq"), "twins")
+    return links, members
+
+
+def near_duplicate_pairs(listing: DataFrame, area_tol: float = 0.02, price_tol: float = 0.06, min_share: float = 0.6, bands: int = BANDS, samples: int = SAMPLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+    """``seq_a, seq_b`` (seq_a < seq_b): every pair of near-duplicate rows. See the module text."""
+    return expand_pairs(*near_duplicate_classes(listing, area_tol, price_tol, min_share, bands, samples, bits, block))
 
 
 def _close_classes(classes: DataFrame, area_tol: float, price_tol: float, min_share: float, bands: int, samples: int, bits: int, block: int) -> DataFrame:
@@ -210,10 +240,11 @@ def _close_classes(classes: DataFrame, area_tol: float, price_tol: float, min_sh
     fine = [F.floor(F.log(c) / s).alias(f"{c}_step") for c, s in steps.items()]
     # One row per occupied step of log area and log price: bounded by the range of the values, not by the number of rows.
     fullest = materialize(classes.select("type", *fine).groupBy("type", "area_step", "price_step").count(), "steps")
-    width = CELLS[-1]
+    width, most = CELLS[-1], 0
     for w in CELLS:
         cells = fullest.groupBy("type", F.floor(F.col("area_step") / w).alias("a"), F.floor(F.col("price_step") / w).alias("p")).agg(F.sum("count").alias("n"))
-        if (cells.agg(F.max("n")).first()[0] or 0) <= block:
+        most = cells.agg(F.max("n")).first()[0] or 0
+        if most <= block:
             width = w
             break
 
@@ -222,14 +253,30 @@ def _close_classes(classes: DataFrame, area_tol: float, price_tol: float, min_sh
         near_edge = at - F.floor(at) > 1 - 1 / width
         return F.when(near_edge, F.array(F.struct(F.floor(at).alias("cell"), F.lit(0).alias("copy")), F.struct((F.floor(at) + 1).alias("cell"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.floor(at).alias("cell"), F.lit(0).alias("copy"))))
 
-    sent = classes.withColumn("pa", F.explode(place("area"))).withColumn("pp", F.explode(place("price"))).select("id", "type", "area", "price", "words", "picture", F.col("pa.cell").alias("ca"), F.col("pp.cell").alias("cp"), (F.col("pa.copy") + 2 * F.col("pp.copy")).cast("int").alias("copy"))
+    def placed(rows: DataFrame, *carried: str) -> DataFrame:
+        return rows.withColumn("pa", F.explode(place("area"))).withColumn("pp", F.explode(place("price"))).select("id", "type", "area", "price", "picture", *carried, F.col("pa.cell").alias("ca"), F.col("pp.cell").alias("cp"), (F.col("pa.copy") + 2 * F.col("pp.copy")).cast("int").alias("copy"))
+
     cell = ["type", "ca", "cp"]
-    crowded = materialize(sent.groupBy(*cell).count().filter(F.col("count") > block).select(*cell, F.ceil(F.col("count") / block).cast("int").alias("blocks")), "crowded")
-    blocked = sent.join(crowded, cell, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int"))
-    tasks = (
-        blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        .withColumn("task", F.least("block", "other") * F.coalesce("blocks", F.lit(1)) + F.greatest("block", "other"))
-        .withColumn("across", F.col("block") != F.col("other"))
-        .drop("blocks", "other")
-    )
-    return tasks.groupBy(*cell, "task").applyInArrow(_cell_task(area_tol, price_tol, min_share, bands, samples, bits), "a bigint, b bigint")
+    sent = placed(classes, "words")
+    crowded = materialize(placed(classes).groupBy(*cell).count().filter(F.col("count") > block).select(*cell), "crowded")
+    some = not crowded.isEmpty()
+    found = (sent.join(crowded, cell, "left_anti") if some else sent).groupBy(*cell).applyInArrow(_cell_task(area_tol, price_tol, min_share, bands, samples, bits), "a bigint, b bigint")
+    if not some:
+        return found
+    # Crowded cells: classes meet by (cell, band) or (cell, picture).
+    in_crowd = placed(classes).join(crowded, cell, "left_semi").select("id").distinct()
+    sketched = materialize(spread(classes.join(in_crowd, "id", "left_semi")).mapInArrow(_sketch_task(bands, samples, bits), "id bigint, type bigint, area double, price double, picture bigint, keys array<bigint>, sketch array<bigint>"), "sketches")
+    crowd = placed(sketched, "keys", "sketch").join(crowded, cell, "left_semi")
+    terms = F.concat(F.transform(F.coalesce("keys", F.array().cast("array<bigint>")), lambda k, i: F.xxhash64(*cell, i, k)), F.when(F.col("picture") != 0, F.array(F.xxhash64(*cell, F.lit("picture"), "picture"))).otherwise(F.array().cast("array<bigint>")))
+    keyed = crowd.select("id", "area", "price", "copy", "picture", "sketch", F.explode(terms).alias("key"))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    differ = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(bits // 64)), F.lit(0))
+    alike = lambda c, tol: F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= tol * F.greatest(f"x.{c}", f"y.{c}") + 1e-9
+    seen = (F.col("x.picture") != 0) & (F.col("x.picture") == F.col("y.picture"))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.copy").bitwiseAND(F.col("y.copy")) == 0) & alike("area", area_tol) & alike("price", price_tol)
+    met = x.hint("merge").join(y.hint("merge"), near & (seen | (differ <= sketch_limit(min_share, samples, bits)))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), seen.alias("seen"))
+    pairs = materialize(met.groupBy("a", "b").agg(F.bool_or("seen").alias("seen")), "crowd-pairs")
+    told = lambda c: classes.select(F.col("id").alias(c), F.col("words").alias(f"w_{c}"))
+    common = F.size(F.array_intersect("w_a", "w_b"))
+    worded = pairs.filter("not seen").join(told("a"), "a").join(told("b"), "b").filter(common >= min_share * (F.size("w_a") + F.size("w_b") - common) - 1e-9)
+    return found.unionByName(pairs.filter("seen").select("a", "b")).unionByName(worded.select("a", "b"))

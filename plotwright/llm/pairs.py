@@ -21,3 +21,14 @@ def expand_pairs(near: DataFrame, twins: DataFrame) -> DataFrame:
 def _expand(pairs: DataFrame, twins: DataFrame, side: str) -> DataFrame:
     t = twins.select(F.col("id").alias(side), F.col("seq").alias("__seq"))
     return pairs.join(t, side, "left").withColumn(side, F.coalesce("__seq", side)).drop("__seq")
+
+
+def class_rows(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``seq, class_id, n_links``: every row that has a partner, with the class of equal rows it is in and the number of other classes that this one is linked to.
+
+    The arguments are those of :func:`expand_pairs`; nothing is multiplied, so a class may hold a third of all rows.
+    """
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    several = members.select("id", "seq").join(ends, "id", "left")
+    single = ends.join(members.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("seq"), "n_links")
+    return several.unionByName(single).select("seq", F.col("id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

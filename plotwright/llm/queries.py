@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwright.llm.addresses import same_building_pairs
+from plotwright.llm.addresses import same_building_classes, same_building_pairs
 from plotwright.llm.canonical import map_to_canonical
 from plotwright.llm.components import ad_groups
 from plotwright.llm.leakage import WINDOW, find_edited, find_leaks
 from plotwright.llm.linkage import link_deeds
-from plotwright.llm.near_dup import near_duplicate_pairs
+from plotwright.llm.near_dup import near_duplicate_classes, near_duplicate_pairs
 from plotwright.llm.packing import CAPACITY, pack_documents
+from plotwright.llm.pairs import class_rows
 from plotwright.llm.pii import find_mentions, redact_documents
 from plotwright.llm.sql import ORACLE  # noqa: F401 - read by the driver contract
 from plotwright.llm.survivor import judge_values, survivors
@@ -29,6 +30,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "listing").select("seq", "type", "area", "price", "title", "image"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same links without expansion: rows with a partner, their class of equal rows and its number of links."""
+    return class_rows(*near_duplicate_classes(table(spark, sf_dir, "listing").select("seq", "type", "area", "price", "title", "image")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Freely typed towns with the entry of locality_ref they stand for, or 0."""
     listing = table(spark, sf_dir, "listing").select("seq", "locality", "district")
@@ -41,6 +47,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_building_pairs(listing, table(spark, sf_dir, "locality_ref"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same links without expansion: rows with a partner, their class of equal readings and its number of links."""
+    listing = table(spark, sf_dir, "listing").select("seq", "street", "locality", "district")
+    return class_rows(*same_building_classes(listing, table(spark, sf_dir, "locality_ref")))
+
+
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_deeds(table(spark, sf_dir, "archive_row"), table(spark, sf_dir, "deed"), table(spark, sf_dir, "locality_ref"))
 
@@ -98,4 +110,4 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_confidence": p6_confidence, "p7_found": p7_found, "p7_values": p7_values, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_classes, p4_found, p5_found, p5_classes, p6_found, p6_confidence, p7_found, p7_values, p8_pack, p8_fill, p9_found, p9_edited, p10_found, p10_redacted)}

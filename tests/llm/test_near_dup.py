@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import plotwright.llm.near_dup as nd
+from plotwright.llm.pairs import class_rows
 from tests.fixtures import as_set, listing
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -38,7 +39,7 @@ def sample(n, seed):
     return out
 
 
-@pytest.mark.parametrize("block", [nd.BLOCK, 25])
+@pytest.mark.parametrize("block", [nd.BLOCK, 25, 1])
 def test_all_close_pairs(spark, block):
     rs = sample(300, 3)
     got = nd.near_duplicate_pairs(listing(spark, *rs), block=block)
@@ -53,6 +54,14 @@ def test_repeated_rows_long_titles_and_empty_table(spark):
     assert nd.near_duplicate_pairs(listing(spark)).count() == 0
 
 
+def test_classes_without_expansion(spark):
+    base = {"type": "flat", "area": 50.0, "price": 100_000, "title": "dom ogród taras garaż piwnica"}
+    df = listing(spark, *[base] * 50, base | {"area": 50.5}, base | {"title": "inne słowa"}, base | {"title": "inny napis"})
+    links, members = nd.near_duplicate_classes(df)
+    assert as_set(links) == {(1, 51)} and members.count() == 50
+    assert as_set(class_rows(links, members)) == {(k, 1, 1) for k in range(1, 51)} | {(51, 51, 1)}
+
+
 def test_picture_files(spark):
     same = ["https://n.example/photos/6ba2d5d3861ea1.jpg", "https://n.example/foto/6ba2d5d3861ea1-1.jpeg#main", "https://n.example/thumbs/640x480/6ba2d5d3861ea1.jpg", "https://m.example/v1/files/6ba2d5d3861ea1/image;s=1000x750", "http://cdn4.n.example/6b/a2/6BA2D5D3861EA1.JPG", "https://m.example/6ba2d5d3861ea1_xl.webp?sig=84"]
     none = ["https://s.example/static/placeholder.webp", "https://s.example/assets/brak-zdjecia.png", "https://s.example/no-photo_320x240.jpg", "", None]
