@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwright.config import LIMITS
-from plotwright.functions.addresses import numbers_agree, parcel_of_unit, plain, register_field, streets_agree
+from plotwright.functions.addresses import parcel_of_unit, plain, register_field, streets_agree
 from plotwright.functions.numbers import half_even, has_decimals, price_per_m2, truncated_int
 from plotwright.session import materialize
 
@@ -91,7 +91,7 @@ def deed_score(unique: Column) -> Column:
     house = F.when(plots & (F.abs(plot - deed_plot) <= 0.1 * F.greatest(plot, deed_plot)), 1).when(~plots & alone, 1).otherwise(0)
     return (
         F.when(parcels & same_parcel, 2)
-        .when(streets & same_street & numbers, F.when(numbers_agree(F.col("nr"), F.col("deed_nr")), 2).otherwise(0))
+        .when(streets & same_street & numbers, F.when(plain(F.col("nr")) == plain(F.col("deed_nr")), 2).otherwise(0))
         .when(streets & same_street, F.when(F.col("a").isNull(), 0).otherwise(2))
         .when(streets | parcels | F.col("a").isNull(), 0)
         .when(F.col("type") == "flat", flat)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.operators.components import connected_components
+from plotwright.operators.components import connected_components, smallest_linked
 from plotwright.session import ship_code
 
 #: Galleries of one tile.
@@ -50,22 +50,6 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(photos, np.int64).reshape(-1, LIMBS).view(np.uint64), np.array(owner, np.int64)
 
 
-def smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of ``n`` vertices the smallest one it is linked to, directly or not."""
-    low = np.arange(n)
-    while True:
-        least = np.minimum(low[a], low[b])
-        new = low.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        np.minimum.at(new, low[a], least)
-        np.minimum.at(new, low[b], least)
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def _tile_task(threshold: int, stars: bool):
     """Pairs (a, b) of the tiles in a task; sides are 0, 1, or 2 for rows that are on both (a < b then).
 

@@ -118,12 +118,6 @@ def q_cards(spark: SparkSession, d: str) -> DataFrame:
     return cards.select("cluster", "seq", *C.DISPLAY, "price", "price_max", "created", "url", "price_per_m2", F.size("offers").cast("bigint").alias("n_offers"))
 
 
-@query()
-def q_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Listings to property cards, the whole way."""
-    return C.dedupe(table(spark, d, "listing")).select("cluster", "seq", "type", "area", "rooms", "price", "price_max", "sources", F.size("offers").cast("bigint").alias("n_offers"), "development")
-
-
 @query("""WITH g AS (SELECT *, CAST(round_even(p_retailprice * 100, 0) AS BIGINT) AS cents FROM part), s AS (SELECT p_type, p_size, p_brand, count(DISTINCT p_name) n FROM g GROUP BY ALL HAVING count(DISTINCT p_name) BETWEEN 2 AND 3)
     SELECT g.p_partkey, s.n, (SELECT min(o.cents) FROM g o WHERE o.p_type = g.p_type AND o.p_size = g.p_size AND o.p_brand = g.p_brand AND o.p_name <> g.p_name) AS other_price FROM g JOIN s USING (p_type, p_size, p_brand)""")
 def q_same_size_link(spark: SparkSession, d: str) -> DataFrame:
@@ -405,7 +399,7 @@ def q_place_parts(spark: SparkSession, d: str) -> DataFrame:
 # Serving
 
 
-@query("""SELECT seq, price, area FROM listing WHERE type = 'flat' AND is_private IS TRUE AND price >= 200000 AND price <= 600000 AND rooms >= 2 AND lower(concat_ws(' ', title, locality, district, street, agency)) LIKE '%taras%'""")
+@query("""SELECT seq, price, area FROM listing WHERE type = 'flat' AND is_private IS TRUE AND price >= 200000 AND price <= 600000 AND rooms >= 2 AND contains(lower(coalesce(title, '') || ' ' || coalesce(locality, '') || ' ' || coalesce(district, '')), 'taras')""")
 def q_filter_cards(spark: SparkSession, d: str) -> DataFrame:
     """Private flats of a price range with a word in their texts."""
     q = V.CardQuery(type="flat", owner="private", min_price=200000, max_price="600000", min_rooms=2, q="Taras")

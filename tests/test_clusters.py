@@ -1,8 +1,11 @@
 import random
 
+import pytest
+
 from plotwright.functions.photos import limbs_of_decimal
 from plotwright.operators import clusters as C
 from plotwright.operators.components import connected_components
+from plotwright.operators.photo_join import photo_groups, photo_links
 from tests.fixtures import as_set, listing
 
 H1, H2, FAR = limbs_of_decimal(3), limbs_of_decimal(5), limbs_of_decimal(2**64 - 1)
@@ -75,7 +78,8 @@ def test_components_and_splits_on_random_input(spark):
     for a, b in edges:
         ra, rb = find(a), find(b)
         parent[max(ra, rb)] = min(ra, rb)
-    assert as_set(connected_components(spark.createDataFrame(edges, "a bigint, b bigint"))) == {(x, find(x)) for x in list(parent)}
+    for small in (0, 10**6):  # by rounds, in one task
+        assert as_set(connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), small=small)) == {(x, find(x)) for x in list(parent)}
     rows = [(i, rng.choice("xyz"), rng.choice([None, *[float(rng.randrange(100, 400)) for _ in range(6)]])) for i in range(200)]
     got = {r["i"]: r["part"] for r in C.split_by_price(spark.createDataFrame(rows, "i int, k string, p double"), ["k"], "p").collect()}
     for k in "xyz":
@@ -91,3 +95,44 @@ def test_components_and_splits_on_random_input(spark):
 
 def test_empty(spark):
     assert C.dedupe(listing(spark)).count() == 0
+
+
+def photos(rng, n):
+    """Galleries of few different pictures with few bits changed, some broken."""
+    base = [[rng.getrandbits(63) for _ in range(4)] for _ in range(6)]
+    flip = lambda h, k: [x ^ sum(1 << b for b in rng.sample(range(63), k)) for x in h]
+    return [rng.choice([None, [], [[1, 2]], [None], *[[flip(rng.choice(base), rng.choice([0, 5, 10, 11])) for _ in range(rng.randrange(1, 3))] for _ in range(6)]]) for _ in range(n)]
+
+
+def same(a, b):
+    whole = lambda g: [h for h in g or () if h and len(h) == 4]
+    return any(sum((x ^ y).bit_count() for x, y in zip(g, h)) <= 40 for g in whole(a) for h in whole(b))
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_photo_joins_find_every_pair(spark, block):
+    rng = random.Random(8)
+    left = [(i, rng.choice("ab"), g) for i, g in enumerate(photos(rng, 60))]
+    right = [(i, rng.choice("abc"), g) for i, g in enumerate(photos(random.Random(9), 40))] + [(99 + i, b, g) for i, b, g in left[:10]]
+    schema = "id bigint, block string, hashes array<array<bigint>>"
+    x, y = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    own = photo_links(x, None, 40, block)
+    want = {(a[0], b[0]) for a in left for b in left if a[0] < b[0] and a[1] == b[1] and same(a[2], b[2])}
+    assert as_set(own) == want and own.count() == len(want) and want
+    met = photo_links(x, y, 40, block)
+    between = {(a[0], b[0]) for a in left for b in right if a[1] == b[1] and same(a[2], b[2])}
+    assert as_set(met) == between and met.count() == len(between)
+    assert as_set(photo_groups(x, 40, block)) == as_set(connected_components(own))
+
+
+def test_equal_galleries_are_one_class(spark):
+    g, h = [[1, 2, 3, 4]], [[1, 2, 3, 5]]
+    df = listing(spark, *[{"type": "flat", "phashes": g}] * 40, {"type": "flat", "phashes": h}, {"type": "house", "phashes": g}, {"type": "flat", "phashes": [[1]]}, {"type": "flat", "phashes": [[1]]})
+    assert C.photo_pairs(df, ["type"]).count() == 41 * 40 // 2
+    assert as_set(C.photo_components(df, ["type"]).filter("v <= 42")) == {(k, 1) for k in range(1, 42)}
+
+
+def test_sizes_are_unified_by_area_only(spark):
+    row = {"type": "flat", "locality": "T", "price": 5, "phashes": [[1, 2, 3, 4]]}
+    df = listing(spark, row | {"area": 50.0, "rooms": 2, "source": "gratka"}, row | {"area": 50.0, "rooms": 3, "source": "otodom"}, row | {"area": 60.0, "rooms": 3, "price": 6}, row | {"area": 70.0, "rooms": 4, "price": 6, "source": "otodom"})
+    assert as_set(C.unify_sizes(df).select("seq", "area", "rooms")) == {(1, 50.0, 2), (2, 50.0, 3), (3, 70.0, 4), (4, 70.0, 4)}

@@ -22,7 +22,7 @@ def matched(spark, record, *deeds):
 
 def test_streets_numbers_and_parcels(spark):
     assert matched(spark, {}, {}) == [("sold", "2024-07-10", 2)]
-    assert matched(spark, {"nr": "3a"}, {"nr": "3 A"}) == [("sold", "2024-07-10", 2)]
+    assert matched(spark, {"nr": "3a"}, {"nr": "3A"}) == [("sold", "2024-07-10", 2)]
     assert matched(spark, {"nr": "3"}, {"nr": "4"}) == []
     assert matched(spark, {}, {"ul": "Długa"}) == []
     assert matched(spark, {"dzialka_id": "1_4.5"}, {"dz": "1_4.5", "ul": "Długa"}) == [("sold", "2024-07-10", 2)]
@@ -54,13 +54,25 @@ def test_windows_and_ambiguity(spark):
 
 
 def test_funnel_and_search(spark):
-    records = rows(spark, RECORD, REC, REC | {"record_id": 2, "locality": "X"}, REC | {"record_id": 3, "area": None}, REC | {"record_id": 4, "street": "Długa"})
+    records = rows(spark, RECORD, REC, REC | {"record_id": 2, "locality": "X"}, REC | {"record_id": 3, "area": None}, REC | {"record_id": 4, "street": "Długa"}, REC | {"record_id": 5, "locality": " ", "district": None})
     deeds = rows(spark, DEED, SALE, SALE | {"kind": "house", "d": dt.date(2023, 1, 1)})
-    assert as_set(D.match_funnel(records, deeds)) == {("matched", 1), ("no_location", 1), ("no_candidates", 1), ("rejected", 1)}
+    assert as_set(D.match_funnel(records, deeds)) == {("matched", 1), ("no_location", 1), ("no_candidates", 2), ("rejected", 1)}
     assert [str(r["d"]) for r in D.search_deeds(deeds, "miasto", 39.0, street="krótkiej").collect()] in ([], ["2023-01-01", "2024-07-10"])
     assert D.search_deeds(deeds, "Miasto", 39.0, kind="flat").count() == 1 and D.search_deeds(deeds, "Miasto", 50.0).count() == 0
 
 
+def test_pinned_deeds_developments_and_provenance(spark):
+    pinned = {"nr": "3", "street": "Krótka"}
+    assert matched(spark, pinned, {"a": None, "nr": "3"}) == [("sold", "2024-07-10", 2)]
+    assert matched(spark, pinned, {"a": None, "nr": "4"}) == [] and matched(spark, {}, {"a": None, "nr": "3"}) == []
+    assert matched(spark, {"dzialka_id": "7"}, {"a": None, "dz": "7", "ul": "Inna"}) == [("sold", "2024-07-10", 2)]
+    new = rows(spark, RECORD + ", development boolean", REC | {"development": True}, REC | {"record_id": 2, "development": None})
+    got = D.match_deeds(new, rows(spark, DEED, SALE | {"nr": "3", "rynek": "w", "dz": "1_2"})).collect()
+    assert [(r["record_id"], r["confidence"], r["market"], r["addr"], r["dz"]) for r in got] == [(2, "high", "secondary", "Krótka 3", "1_2")]
+    line = D.report(rows(spark, DEED, SALE | {"nr": "3"}), "Miasto", "flat", 39.4, "Krótka", "3").first()
+    assert line["score"] == 2 and line["line"].startswith("high  2024-07-10  400000 zł  39.4 m2") and line["line"].endswith("Krótka 3")
+
+
 def test_band_join_is_exact(spark):
     rng = random.Random(3)
     side = lambda n: [(i, rng.choice("ab"), rng.choice([None, *[rng.uniform(-50, 50) for _ in range(9)]])) for i in range(n)]

@@ -75,3 +75,41 @@ def test_stale_and_gone(spark):
     df = rows(spark, page, {"status": 404}, {"status": 200, "redirected": True, "final_url": "https://x/oferty/", "body": ""}, {"status": 500}, {}, {"status": 200, "redirected": False, "body": "Oferta archiwalna"}, {"status": 200, "redirected": False, "body": "taras"})
     got = [r[0] for r in df.select(H.gone(F.col("status"), F.col("redirected"), F.col("final_url"), F.col("body"), "(?i)archiwaln", "/oferty/?$")).collect()]
     assert got == [True, True, None, None, True, False]
+
+
+def test_trails_carry_prices_over_chunks(spark):
+    # Enough sightings for several chunks of one record, with unknown prices in between.
+    import random
+
+    rng = random.Random(6)
+    log = [(1, i, dt.date(2020, 1, 1) + dt.timedelta(i // 3), rng.choice([None, 1, 2]), rng.choice("ab"), "s", rng.choice([None, None, "archived"])) for i in range(2600)]
+    df = spark.createDataFrame(log, OBSERVATION)
+    want, last = [], "none"
+    for _, i, _, p, *_ in log:
+        if p != last:
+            want.append(i)
+        last = p
+    assert sorted(r["obs_seq"] for r in H.price_trail(df).collect()) == want
+    changes, known = [], {}
+    for _, i, _, p, u, _, status in log:
+        if status != "archived" and p is not None:
+            if known.get(u, p) != p:
+                changes.append((i, known[u]))
+            known[u] = p
+    assert sorted((r["obs_seq"], r["before"]) for r in H.url_price_changes(df).collect()) == changes
+    capped = sorted((r["n"], r["date"]) for r in H.timelines(H.timeline_events(df)).collect())
+    assert len(capped) == 24 and [n for n, _ in capped[:2]] == [1, 2] and capped == sorted(capped, key=lambda x: x[1])
+
+
+def test_archive_cards(spark):
+    schema = "record_id bigint, type string, area double, title string, image string, locality string, district string, rooms int, url string, source string, price bigint, first_seen date, last_seen date, delisted date, development boolean, photo_urls array<string>"
+    day = dt.date(2024, 5, 1)
+    records = rows(spark, schema, {"record_id": 1, "delisted": day, "price": 7, "photo_urls": [str(k) for k in range(12)]}, {"record_id": 2, "delisted": day, "url": "own", "source": "o", "price": 8, "development": False}, {"record_id": 3, "delisted": None}, {"record_id": 4, "delisted": day, "development": True})
+    log = rows(spark, OBSERVATION, {"record_id": 1, "obs_seq": 1, "date": day, "price": 0, "url": "u", "source": "s"}, {"record_id": 2, "obs_seq": 1, "date": day, "price": 5, "url": "v", "source": "t"})
+    sales = rows(spark, "record_id bigint, sale_seq bigint, date date, price bigint, kind string", {"record_id": 2, "sale_seq": 1, "date": day, "price": 4, "kind": "sold"}, {"record_id": 2, "sale_seq": 2, "date": day, "price": 3, "kind": "past"})
+    got = {r["record_id"]: r for r in H.archive(records, log, sales).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1]["price"], got[1]["url"], got[1]["source"], got[1]["sold"], len(got[1]["photo_urls"])) == (7, "u", "s", None, 8)
+    assert (got[2]["price"], got[2]["url"], got[2]["source"], got[2]["sold"]["price"]) == (5, "own", "o", 4)
+    assert [e["kind"] for e in got[2]["timeline"]] == ["sale_past", "listed", "delisted", "sale"] or sorted(e["kind"] for e in got[2]["timeline"]) == ["delisted", "listed", "sale", "sale_past"]
+    assert H.archive(records, log).count() == 2

@@ -60,6 +60,9 @@ def test_scan_unites_sources_and_survives_a_broken_one(spark):
     html = CARD.format(id=1) + CARD.format(id=1) + CARD.format(id=2)
     got, failed = P.scan({"gratka": pages(spark, html), "bad": pages(spark, "")}, {"gratka": P.gratka, "bad": broken})
     assert got.count() == 2 and set(failed) == {"bad"} and set(names(LISTING)) < set(got.columns)
+    late = lambda p: P.gratka(p).withColumn("price", F.raise_error(F.lit("bad page")).cast("bigint"))
+    got, failed = P.scan({"gratka": pages(spark, html), "late": pages(spark, html)}, {"gratka": P.gratka, "late": late})
+    assert got.count() == 2 and set(failed) == {"late"}
     with pytest.raises(ValueError):
         P.scan({"bad": pages(spark, "")}, {"bad": broken})
 
@@ -99,3 +102,24 @@ def test_versions_snapshots_and_overrides(spark, tmp_path):
     old = rows(spark, OVERRIDE, {"url": "a", "street": "s", "rooms": 2})
     new = rows(spark, OVERRIDE, {"url": "a", "rooms": 3}, {"url": "b", "nr": "1"})
     assert as_set(T.pin(old, new).select("url", "street", "rooms", "nr")) == {("a", "s", 3, None), ("b", None, None, "1")}
+
+
+def test_published_runs(spark, tmp_path):
+    cards = spark.createDataFrame([(1, None, "flat", "2024-01", None, True), (2, "olx", None, "2024-02", [[1]], None)], "seq bigint, source string, type string, created string, phashes array<array<bigint>>, relisted boolean")
+    gone = spark.createDataFrame([(1, "x"), (2, None)], "record_id bigint, sold string")
+    funnel = spark.createDataFrame([("matched", 3)], "stage string, n bigint")
+    for _ in range(2):  # versions stand side by side
+        paths = T.publish(cards, gone, f"file://{tmp_path}/out", cards.unionByName(cards), funnel, {"olx": "late"})
+    assert [r["seq"] for r in spark.read.json(paths["listings"]).collect()] == [2, 1] and spark.read.json(paths["archive"]).count() == 2
+    row = spark.read.json(paths["meta"]).first()
+    assert (row["count"], row["raw"], row["relisted"], row["archive"], row["sold_confirmed"]) == (2, 4, 1, 2, 1)
+    assert row["by_source"].asDict() == {"olx": 2, "unknown": 2} and row["by_type"].asDict() == {"flat": 1, "unknown": 1} and row["funnel"]["matched"] == 3 and row["errors"]["olx"] == "late"
+    assert T.run_summary(cards.limit(0), gone.limit(0), cards.limit(0)).first()["count"] == 0
+
+
+def test_unreadable_state_is_empty_and_repeated_pins_count_once(spark, tmp_path):
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_bytes(b"no parquet at all")
+    assert T.read_or_empty(spark, f"file://{tmp_path}/broken", "a int").count() == 0
+    new = rows(spark, OVERRIDE, {"url": "a", "rooms": 3}, {"url": "a", "rooms": 4, "nr": "7"}, {"url": None, "rooms": 1})
+    assert as_set(T.pin(rows(spark, OVERRIDE), new).select("url", "rooms", "nr")) == {("a", 4, "7")}

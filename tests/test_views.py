@@ -1,10 +1,13 @@
+import datetime as dt
+
+import pytest
 from pyspark.sql import functions as F
 
 from plotwright.operators import views as V
 from plotwright.streaming.observe import SCHEMA, distinct_sightings, observe, run_available
 from tests.fixtures import as_set, rows
 
-CARD = "seq bigint, type string, price bigint, area double, rooms int, locality string, title string, created string, sources array<string>, is_private boolean, relisted boolean, development boolean, price_history array<bigint>, distance_km bigint, price_per_m2 double, discount_pct double, sales array<struct<kind:string,price:bigint>>"
+CARD = "seq bigint, type string, price bigint, area double, rooms int, locality string, district string, title string, created string, sources array<string>, is_private boolean, relisted boolean, development boolean, price_history array<bigint>, distance_km bigint, price_per_m2 double, discount_pct double, sales array<struct<kind:string,price:bigint>>"
 
 
 def cards(spark):
@@ -22,12 +25,32 @@ def hits(spark, **q):
 
 def test_filters_and_orders(spark):
     assert hits(spark) == [3, 1, 2] and hits(spark, sort="price_asc") == [1, 3, 2] and hits(spark, sort="area_desc") == [3, 1, 2]
-    assert hits(spark, type="house") == [2] and hits(spark, source="y") == [3, 2] and hits(spark, owner="private") == [1] and hits(spark, owner="agency") == [3, 2]
+    assert hits(spark, type="house") == [2] and hits(spark, source="y") == [3, 2] and hits(spark, owner="private") == [1] and hits(spark, owner="agency") == [3]
     assert hits(spark, market="primary") == [2] and hits(spark, history="relisted") == [2] and hits(spark, history="dropped") == [1] and hits(spark, history="rcn") == [1]
     assert hits(spark, localities=("A",)) == [3, 1] and hits(spark, min_rooms=1) == [1] and hits(spark, distance=10) == [1] and hits(spark, max_price="400") == [1]
     assert hits(spark, min_price="abc") == [3, 1, 2] and hits(spark, q=" TARAS ") == [1]
 
 
+def test_archive_towns_numbers_and_missing_columns(spark):
+    gone = rows(spark, "archive_id bigint, type string, price bigint, locality string, delisted date, sold string", {"archive_id": 1, "type": "flat", "price": 5, "delisted": dt.date(2024, 1, 1)}, {"archive_id": 2, "type": "flat", "price": 9, "delisted": dt.date(2024, 2, 1), "sold": "x"}, {"archive_id": 3, "type": "house", "delisted": None})
+    read = []
+    ids = lambda **q: [r["archive_id"] for r in V.run_query(cards(spark), V.CardQuery(**q), lambda: read.append(1) or gone).collect()]
+    assert hits(spark) == [3, 1, 2] and not read
+    assert ids(history="sold") == [2, 1, 3] and ids(history="sold_rcn") == [2] and read
+    assert ids(history="sold", owner="private", sort="price_asc") == [1, 2, 3] and ids(history="sold", market="primary") == []
+    with pytest.raises(ValueError):
+        V.run_query(cards(spark), V.CardQuery(history="sold"))
+    with pytest.raises(ValueError):
+        V.run_query(cards(spark).drop("rooms"), V.CardQuery(min_rooms=2))
+    assert [V.CardQuery(min_price=x).number("min_price") for x in ("12 tys", " 1e3", "-4.5x", "abc", "", None, float("inf"), ".5", True)] == [12, 1000, -4.5, None, None, None, None, 0.5, None]
+    assert [r["seq"] for r in V.run_query(cards(spark), V.CardQuery(localities=("B",)), city_of={"A": "B"}).collect()] == [3, 1, 2]
+    places = rows(spark, "town string, lat double, lon double", {"town": "B", "lat": 50.0, "lon": 19.0}, {"town": "B", "lat": 50.0, "lon": 19.0}, {"town": "A", "lat": 51.0, "lon": 19.0})
+    far = V.with_distance(cards(spark).drop("distance_km"), places, (50.0, 19.0))
+    assert {r["seq"]: r["distance_km"] for r in far.collect()} == {1: 111, 2: 0, 3: 111}
+    named = rows(spark, "locality string", {"locality": "Żory"}, {"locality": "Łódź"}, {"locality": "Lublin"}, {"locality": ""}, {"locality": "Zabrze"})
+    assert [r["value"] for r in V.facets(named, "locality", {}, "pl").collect()] == ["Lublin", "Łódź", "Zabrze", "Żory"]
+
+
 def test_queries_travel_as_json():
     q = V.CardQuery(type="flat", min_price="10", localities=("A", "B"), sort="price_asc")
     assert V.CardQuery.from_json(q.to_json()) == q
