@@ -6,7 +6,8 @@ form the next clusters. The process ends when the clusters are stars: the smalle
 a component holds the component, every other vertex holds only that smallest vertex.
 
 Clusters are kept as rows (v, u), never as collected sets, so that a component with a third
-of all vertices is spread over all tasks. Each round is written to the shared folder.
+of all vertices is spread over all tasks. Each round is written to the shared folder. When at most
+``LAST_ROWS`` rows are left, the remaining rounds run in one task, on arrays: a job per round would cost more than its rows.
 
 Defined results
 ---------------
@@ -18,15 +19,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.functions.text import BLANKS
 from plotwright.operators.skew import lookup_join
-from plotwright.session import discard, materialize, materialize_with
+from plotwright.session import discard, materialize, materialize_with, ship_code
 
+#: Rows of clusters that one task finishes.
+LAST_ROWS = 200_000
 
-def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
+
+def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200, last_rows: int = LAST_ROWS) -> DataFrame:
     """``v, comp``: each vertex of ``edges`` with the smallest vertex it is linked to.
 
     ``a`` and ``b`` are columns of one orderable type. Components that have become stars leave
@@ -35,8 +42,11 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
     """
     pairs = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).filter(F.col("v").isNotNull() & F.col("u").isNotNull())
     both = pairs.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("e"))
-    clusters, settled = materialize(both.select("e.v", "e.u").distinct(), "h2m"), []
+    clusters, left = materialize_with(both.select("e.v", "e.u").distinct(), "h2m", n=F.count(F.lit(1)))
+    settled = []
     for done in range(max_rounds):
+        if left["n"] <= last_rows or not left["n"]:
+            return reduce(DataFrame.unionByName, [*settled, _finish(clusters)])
         degree = F.count_if(F.col("u") != F.col("v"))
         # Tables are written so that the joins meet plain exchanges, which adaptive execution can split where a key is hot.
         smallest = materialize(clusters.groupBy("v").agg(F.min("u").alias("m"), degree.alias("deg")).select("v", F.least("v", "m").alias("comp"), "deg"), "h2m-min")
@@ -50,11 +60,41 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
         discard(clusters)
         discard(smallest)
         clusters = following
-        if not left["n"]:
-            return reduce(DataFrame.unionByName, settled)
     raise RuntimeError(f"hash-to-min did not settle in {max_rounds} rounds")
 
 
+def _finish(clusters: DataFrame) -> DataFrame:
+    """``v, comp`` of a small table of clusters: the same rounds in one task."""
+
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
+        names = pc.unique(pa.chunked_array([*t["v"].chunks, *t["u"].chunks]))
+        names = names.take(pc.sort_indices(names))
+        n = len(names)
+        v, u = (pc.index_in(t[c], names).to_numpy().astype(np.int64) for c in ("v", "u"))
+        rows = np.unique(v * n + u)
+        while True:
+            v, u = rows // n, rows % n
+            m = np.arange(n)
+            np.minimum.at(m, v, u)
+            m, x = m[v], np.where(m[v] == v, u, v)
+            sent = np.concatenate([m * n + u, u * n + m, m * n + x, x * n + m])
+            following = np.unique(sent[sent // n != sent % n])
+            if len(following) == len(rows) and (following == rows).all():
+                break
+            rows = following
+        comp = np.arange(n)
+        np.minimum.at(comp, rows // n, rows % n)
+        yield pa.RecordBatch.from_arrays([names, names.take(pa.array(comp))], names=["v", "comp"])
+
+    ship_code(clusters.sparkSession)
+    kind = clusters.schema["v"].dataType.simpleString()
+    return clusters.repartition(1).mapInArrow(run, f"v {kind}, comp {kind}")
+
+
 def _flag_stars(smallest: DataFrame) -> DataFrame:
     """``v, comp, star``: whether the vertex is in a component that is a finished star.
 

@@ -24,17 +24,26 @@ def test_chain_star_loops_and_repeats(spark):
     star = [(500, i) for i in range(501, 540)]
     edges = chain + star + [(7, 7), (9, 8), (8, 9), (9, 8)]
     df = spark.createDataFrame(edges + [(None, 3), (4, None)], "a bigint, b bigint")
-    assert as_set(hash_to_min(df)) == closure(edges)
+    for last_rows in (0, 60, 10**6):  # rounds as jobs, both, in one task
+        assert as_set(hash_to_min(df, last_rows=last_rows)) == closure(edges)
+
+
+def test_names_of_any_orderable_type(spark):
+    df = spark.createDataFrame([(b"b", b"a"), (b"c", b"b"), (b"x", b"y")], "a binary, b binary")
+    for last_rows in (0, 100):
+        assert {(bytes(r["v"]), bytes(r["comp"])) for r in hash_to_min(df, last_rows=last_rows).collect()} == {(b"a", b"a"), (b"b", b"a"), (b"c", b"a"), (b"x", b"x"), (b"y", b"x")}
 
 
 def test_random_graphs(spark):
     rng = random.Random(5)
     edges = [(base + rng.randrange(40), base + rng.randrange(40)) for base in range(0, 1000, 50) for _ in range(rng.randrange(5, 45))]
-    assert as_set(hash_to_min(spark.createDataFrame(edges, "a bigint, b bigint"))) == closure(edges)
+    for last_rows in (0, 10**6):
+        assert as_set(hash_to_min(spark.createDataFrame(edges, "a bigint, b bigint"), last_rows=last_rows)) == closure(edges)
 
 
 def test_no_edges(spark):
-    assert hash_to_min(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    for last_rows in (-1, 10):
+        assert hash_to_min(spark.createDataFrame([], "a bigint, b bigint"), last_rows=last_rows).count() == 0
 
 
 def test_urls_differ_only_in_dress(spark):
