@@ -224,7 +224,8 @@ def near_duplicate_classes(listing: DataFrame, area_tol: float = 0.02, price_tol
     rows = rows.withColumn("picture", F.when(F.col("picture") == stand_in, F.lit(0)).otherwise(F.col("picture"))).filter((F.size("words") > 0) | (F.col("picture") != 0))
     rows = materialize(rows.withColumn("k", F.struct(F.xxhash64("type", "area", "price", "words", "picture").alias("h"), F.xxhash64("picture", "words", "price", "area", "type").alias("g"))), "rows")
     reps = materialize(rows.groupBy("k").agg(F.min("seq").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
-    classes = rows.join(reps.select(F.col("id").alias("seq")), "seq", "left_semi").withColumnRenamed("seq", "id").drop("k")
+    # Read several times; without the table each reading would join again.
+    classes = materialize(rows.join(reps.select(F.col("id").alias("seq")), "seq", "left_semi").withColumnRenamed("seq", "id").drop("k"), "near-classes")
     links = _close_classes(classes, area_tol, price_tol, min_share, bands, samples, bits, block)
     members = materialize(rows.select("k", "seq").join(reps.filter("n > 1").select("k", "id"), "k").select("id", "seq"), "twins")
     return links, members
