@@ -19,9 +19,11 @@ Defined results
 from __future__ import annotations
 
 import base64
+import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ def encoder(path: str):
     if path not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
+        # A machine without the file takes the one that the driver sent along.
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _ENCODERS[path] = tiktoken.Encoding("pack", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
@@ -209,6 +212,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     ``piece`` and ``start_token`` place the item in its document; ``used`` is the container's number of
     tokens; ``container`` is named after its seed.
     """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
     sized = spread(documents.select("doc_id", "text")).mapInArrow(_size_task(tokenizer), "doc_id bigint, n_tokens bigint, terms array<int>, counts array<int>, sign bigint")
     # Written, since range partitioning reads its input twice.
     written = materialize(sized, "sized")

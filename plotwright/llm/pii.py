@@ -20,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from calendar import monthrange
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,7 +53,20 @@ Tomasz Tymon Urszula Wacław Waldemar Wanda Weronika Wiesław Wiktor Wiktoria Wi
 Zenon Zofia Zuzanna Zygmunt Żaneta
 """.split()
 
-_U = "A-ZĄĆĘŁŃÓŚŹŻÄÖÜ"
+# Given names in the nominative (English, German, Ukrainian usage, also in Cyrillic).
+OTHER_GIVEN_NAMES = """
+Alice Andrew Angela Brian Carol Charles Christine Christopher David Deborah Dennis Donna Elizabeth Emily Emma Eric Frank George Hannah Heather Helen Henry Jack Jacob James Janet Jason
+Jennifer Jessica John Jonathan Joseph Joshua Karen Kathleen Kevin Kimberly Laura Linda Lisa Margaret Mark Mary Matthew Melissa Michael Michelle Nancy Nicholas Nicole Oliver Olivia Patricia Patrick
+Paul Peter Rachel Rebecca Richard Ronald Ruth Ryan Samuel Sarah Scott Sharon Sophia Stephen Steven Susan Thomas Timothy Victoria William
+Andreas Birgit Christian Dieter Florian Friedrich Gisela Günter Hans Heike Heinz Helga Horst Ingrid Jens Johannes Jürgen Karin Katja Klaus Lukas Manfred Markus Matthias Monika Petra
+Sabine Stefanie Susanne Tobias Ursula Uwe Wolfgang
+Andriy Bohdan Dmytro Halyna Iryna Ivan Kateryna Larysa Liudmyla Maksym Mykhailo Mykola Nadiia Oksana Oleh Oleksandr Olena Petro Serhii Svitlana Taras Tetiana Vasyl Viktor Volodymyr Yulia Yurii
+Андрій Богдан Василь Віктор Володимир Галина Дмитро Іван Ірина Катерина Людмила Максим Марія Микола Михайло Надія Наталія Оксана Олег Олександр Олена Ольга Петро Світлана Сергій Тарас Тетяна Юлія Юрій
+""".split()
+# Words after which a name stands, in folded form.
+NAME_CUES = ("kontakt", "contact", "call", "ask for", "mr", "mrs", "ms", "herr", "herrn", "frau", "pan", "pani", "panem", "pania", "agent", "agentka", "doradca", "opiekun", "ansprechpartner", "ansprechpartnerin", "agentem", "wlasciciel", "wlascicielka", "seller", "owner", "eigentumer", "eigentumerin", "makler", "maklerin")
+
+_U = "A-ZĄĆĘŁŃÓŚŹŻÄÖÜА-ЯІЇЄҐ"
 _W = r"[^\W\d_]"
 _GAP = "[ \t" + chr(0xA0) + "]"
 _ODD = "[" + "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))) + chr(0xFF01) + "-" + chr(0xFF5E) + "]"
@@ -186,7 +200,9 @@ def _forms(name: str) -> set[str]:
     return {n, s + "a", s + "owi", s + "em", s + "iem", s + "u", s + "ie"}
 
 
-GIVEN = {f for n in GIVEN_NAMES for f in _forms(n)}
+GIVEN = {f for n in GIVEN_NAMES for f in _forms(n)} | {fold_py(n) for n in OTHER_GIVEN_NAMES}
+_CUE = re.compile(r"(?<!\w)(?:" + "|".join(sorted(NAME_CUES, key=len, reverse=True)) + rf")(?:\.|:|,)?{_GAP}{{1,2}}(?:[–-]{_GAP})?$")
+_NAME_END = re.compile(r"(?:sk|ck|dzk|zk)(?:i|a|iego|iej|im|iemu|a)$|(?:czyk|wicz|enko|chuk|shyn|mann|bauer|meier|maier|schmidt|son|smith|er|man|ez|ak|ek|ik|uk|yk)(?:a|iem|em|owi)?$")
 # Capitalised words that stand before names or begin sentences.
 NOT_SURNAMES = {
     "kontakt", "contact", "seller", "pelnomocnik", "wlascicielem", "wlasciciel", "opiekun", "zapraszam", "prosze", "ask", "mail", "tel", "telefon", "pan", "pani", "panem", "pania", "agent", "doradca", "klucze", "adres", "lokal",
@@ -194,6 +210,16 @@ NOT_SURNAMES = {
 }
 
 
+def _unlisted(text: str, first: tuple, second: tuple, joined: bool) -> bool:
+    """Whether two words read as a given name outside the lists and a surname, by what stands before them."""
+    if not joined or second[2][-1] == "." or len(second[2]) < 4:
+        return False
+    words = fold_py(first[2]), fold_py(second[2])
+    if any(w in NOT_SURNAMES or w in NAME_CUES for w in words) or not _NAME_END.search(words[1]):
+        return False
+    return _CUE.search(fold_py(text[max(0, first[0] - 24) : first[0]])) is not None
+
+
 def _persons(text: str) -> list[tuple[int, int]]:
     caps = [(m.start(), m.end(), m.group()) for m in _CAP.finditer(text)]
     joined = lambda x, y: re.fullmatch(f"{_GAP}{{1,3}}", text[x[1] : y[0]]) is not None or x[2].endswith(".") and x[1] == y[0]
@@ -204,6 +230,10 @@ def _persons(text: str) -> list[tuple[int, int]]:
         start, end, word = caps[i]
         initial = word[-1] == "."
         if not (given[i] or initial) or _PATRON.search(text, max(0, start - 60), start):
+            # A given name that no list has: two capitalised words after a word that announces a person, the second like a surname.
+            if not (given[i] or initial) and i + 1 < n and _unlisted(text, caps[i], caps[i + 1], joined(caps[i], caps[i + 1])):
+                out.append((start, caps[i + 1][1]))
+                i += 1
             i += 1
             continue
         j = i
@@ -222,10 +252,16 @@ def _persons(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: Centuries by what is added to the month.
+_CENTURIES = {0: 1900, 20: 2000, 40: 2100, 60: 2200, 80: 1800}
+
+
 def _pesel(digits: str) -> bool:
-    month, day = int(digits[2:4]) % 20, int(digits[4:6])
+    """Whether eleven digits hold a day that exists and the right check digit."""
+    shift = int(digits[2:4]) // 20 * 20
+    year, month, day = _CENTURIES[shift] + int(digits[:2]), int(digits[2:4]) - shift, int(digits[4:6])
     weighted = sum(int(d) * w for d, w in zip(digits, (1, 3, 7, 9, 1, 3, 7, 9, 1, 3)))
-    return 1 <= month <= 12 and 1 <= day <= 31 and (weighted + int(digits[10])) % 10 == 0
+    return 1 <= month <= 12 and 1 <= day <= monthrange(year, month)[1] and (weighted + int(digits[10])) % 10 == 0
 
 
 def _local_part(t: str, at: int) -> int | None:

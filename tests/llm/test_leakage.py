@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from plotwright.llm.leakage import WordHashes, align, elect_seeds, find_leaks, ngram_hashes
+from plotwright.llm.leakage import WordHashes, align, elect_seeds, find_edited, find_leaks, ngram_hashes
 from plotwright.llm.queries import p9_edited
 from tests.fixtures import as_set
 
@@ -85,3 +86,18 @@ def test_edited_copies_agree_with_brute_force(spark, tmp_path):
     want = {w for w in want if w[2] >= 24}
     assert as_set(p9_edited(spark, str(tmp_path))) == want
     assert all((5 * i + k, i) in {w[:2] for w in want} for i in range(8) for k in range(4))
+
+
+@pytest.mark.parametrize("every", [3, 5, 8])
+def test_planted_copies_with_words_exchanged_are_found(spark, every):
+    # One word in three, five or eight exchanged, beside an exact copy of the same item in the corpus.
+    rng = random.Random(every)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    items = [[word() for _ in range(60)] for _ in range(8)]
+    noise = lambda n: [word() for _ in range(n)]
+    changed = lambda it: [word() if k % every == 0 else w for k, w in enumerate(it)]
+    docs = [noise(40) + changed(it) + noise(40) for it in items] + [noise(10) + it for it in items] + [noise(100) for _ in range(10)]
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id bigint, text string")
+    e = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    got = as_set(find_edited(d, e).select("doc_id", "item_id"))
+    assert got == {(i, i) for i in range(8)} | {(i + 8, i) for i in range(8)}

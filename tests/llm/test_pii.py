@@ -85,3 +85,22 @@ def test_long_local_parts(local):
     text = f"Napisz: .+-{local}@firma.example teraz"
     assert [(k, text[a:b]) for a, b, k in mentions(text)] == [("email", f"{local}@firma.example")]
     assert redact(text) == "Napisz: .+-[EMAIL] teraz"
+
+
+def test_names_of_several_languages_and_outside_the_lists():
+    found = lambda t: [t[a:b] for a, b, k in mentions(t) if k == "person"]
+    for name in ("John Smith", "Oksana Kowalenko", "Hans Müller", "Emily Clark", "Оксана Коваленко"):
+        assert found(f"Wieczorem {name} pokaże dom") == [name]
+    # Given names that no list has: announced by what stands before them.
+    assert found("Kontakt: Brajan Nowak, po 18") == ["Brajan Nowak"] and found("pan Dżastin Kowalski") == ["Dżastin Kowalski"] and found("Frau Dagny Schmidt ruft an") == ["Dagny Schmidt"]
+    for text in ("Das Haus liegt ruhig", "Kontakt Nowe Osady", "Ortsteil Stare Miasto", "ul. Emily Clark", "Contact us"):
+        assert found(text) == [], text
+
+
+def test_identity_numbers_need_a_day_that_exists():
+    def number(ten):
+        return ten + str(-sum(int(d) * k for d, k in zip(ten, (1, 3, 7, 9, 1, 3, 7, 9, 1, 3))) % 10)
+
+    kinds = lambda ten: [k for _, _, k in mentions(f"PESEL {number(ten)}")]
+    assert kinds("9002281234") == ["id_number"] and kinds("0022291234") == ["id_number"]  # 2000 was a leap year
+    assert kinds("9002311234") == [] and kinds("0102291234") == [] and kinds("9013011234") == []
