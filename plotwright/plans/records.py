@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotwright.functions import addresses as A
+from plotwright.functions import photos
 from plotwright.operators import clusters as C
 from plotwright.operators import deeds as D
 from plotwright.operators import history as H
 from plotwright.operators import state as S
+from plotwright.operators import views as V
 from plotwright.plans import standins as Q
 from plotwright.session import table
 from plotwright.sources import portals as P
@@ -284,3 +287,103 @@ def q_run_summary(spark: SparkSession, d: str) -> DataFrame:
     one = lambda name, c: F.struct(F.lit(name).alias("what"), F.col(c).alias("n"))
     named = lambda prefix, c: F.transform(F.map_entries(c), lambda e: F.struct(F.concat(F.lit(prefix), e["key"]).alias("what"), e["value"].alias("n")))
     return row.select(F.explode(F.concat(F.array(one("raw", "raw"), one("cards", "count"), one("relisted", "relisted"), one("archive", "archive"), one("sold", "sold_confirmed")), named("source ", "by_source"), named("type ", "by_type"))).alias("r")).select("r.what", "r.n")
+
+
+# Scalars and small operators, over whole tables
+
+
+@query("""SELECT seq, CASE WHEN s IN (404, 410) THEN true WHEN seq % 3 = 0 AND url LIKE '%/' THEN true WHEN s <> 200 OR s IS NULL THEN NULL ELSE contains(coalesce(title, ''), 'Dom') END AS gone
+    FROM (SELECT *, CASE seq % 5 WHEN 0 THEN 404 WHEN 1 THEN 200 WHEN 2 THEN 500 WHEN 3 THEN NULL ELSE 200 END AS s FROM listing)""")
+def q_gone(spark: SparkSession, d: str) -> DataFrame:
+    """What fetched pages say of their advertisements: gone, there, or nothing."""
+    rows = table(spark, d, "listing")
+    status = F.when(F.col("seq") % 5 == 0, 404).when(F.col("seq") % 5 == 2, 500).when(F.col("seq") % 5 != 3, 200)
+    return rows.select("seq", H.gone(status, F.col("seq") % 3 == 0, F.col("url"), F.coalesce("title", F.lit("")), "Dom", "/$").alias("gone"))
+
+
+_HOUSE = "regexp_replace(lower(nr), '[^0-9a-z/]', '', 'g')"
+
+
+@query(f"""WITH k AS (SELECT deed_id, {_F('msc')} AS town, {_F('ul')} AS street, {_HOUSE} AS house FROM deed) SELECT x.deed_id AS a, y.deed_id AS b FROM k x JOIN k y USING (town, street, house) WHERE x.deed_id < y.deed_id AND house <> ''""")
+def q_numbers_agree(spark: SparkSession, d: str) -> DataFrame:
+    """Deeds of one town and street whose house numbers agree."""
+    deeds = table(spark, d, "deed").select("deed_id", A.plain(F.col("msc")).alias("town"), A.plain(F.col("ul")).alias("street"), "nr")
+    x, y = deeds.alias("x"), deeds.alias("y")
+    met = x.join(y, (F.col("x.town") == F.col("y.town")) & (F.col("x.street") == F.col("y.street")) & (F.col("x.deed_id") < F.col("y.deed_id")) & A.numbers_agree(F.col("x.nr"), F.col("y.nr")))
+    return met.select(F.col("x.deed_id").alias("a"), F.col("y.deed_id").alias("b"))
+
+
+@query("SELECT seq, CASE WHEN locality IN ('Tlunybrowa', 'TŁUNYBROWA') THEN 'Tłunybrowa' ELSE locality END AS town FROM listing")
+def q_merged_town(spark: SparkSession, d: str) -> DataFrame:
+    """Districts given as towns taken for their city."""
+    return table(spark, d, "listing").select("seq", A.merged_town(F.col("locality"), ["Tlunybrowa", "TŁUNYBROWA"], "Tłunybrowa").alias("town"))
+
+
+@query("""WITH p AS (SELECT vec_id, list_transform(range(0, 272), lambda i: CAST(floor((embedding[(i * 7) % 64 + 1] + 2) * 10) AS INT)) AS g FROM embeddings)
+    SELECT vec_id, list_sum(list_transform(range(0, 256), lambda i: CASE WHEN g[(i // 16) * 17 + i % 16 + 1] < g[(i // 16) * 17 + i % 16 + 2] THEN 1 ELSE 0 END))::BIGINT AS ones FROM p""")
+def q_difference_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Bits set in the difference hashes of grey pictures made of embeddings."""
+    grey = F.transform(F.sequence(F.lit(0), F.lit(271)), lambda i: F.floor((F.get("embedding", (i * 7) % 64) + 2) * 10).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", F.get(F.transform(F.array(grey), lambda g: F.aggregate(F.transform(photos.difference_hash(g), lambda x: F.bit_count(x)), F.lit(0), lambda a, x: a + x)), F.lit(0)).cast("bigint").alias("ones"))
+
+
+@query("""SELECT archive_id, CASE WHEN len(timeline) >= 2 THEN len(timeline) ELSE 0 END::BIGINT AS lines, coalesce(CASE WHEN len(timeline) >= 2 THEN len(list_filter(timeline, lambda e: e.url = url AND hi > lo)) END, 0)::BIGINT AS best
+    FROM (SELECT *, list_max(list_transform(timeline, lambda e: e.price)) AS hi, list_min(list_transform(timeline, lambda e: e.price)) AS lo FROM archive_row)""")
+def q_offer_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Events of archived properties shown as a list of offers, the property's own address marked as the best."""
+    lines = V.offer_lines(F.col("timeline"), F.col("url"))
+    shown = F.coalesce(lines, F.array().cast("array<struct<source:string,price:bigint,best:boolean>>"))
+    return table(spark, d, "archive_row").select("archive_id", F.size(shown).cast("bigint").alias("lines"), F.size(F.filter(shown, lambda o: o["best"])).cast("bigint").alias("best"))
+
+
+@query("""SELECT archive_id, concat_ws(',', CASE WHEN rooms > 2 THEN 'relisted' END, CASE WHEN area - 50 >= 1 THEN 'discount' END, CASE WHEN len(photo_urls) > 0 THEN 'also_listed' WHEN len(timeline) > 1 THEN 'trail' WHEN price IS NOT NULL THEN 'previous' END) AS line FROM archive_row""")
+def q_history_line(spark: SparkSession, d: str) -> DataFrame:
+    """What cards say of their past, strongest first."""
+    c = F.col
+    return table(spark, d, "archive_row").select("archive_id", F.array_join(V.history_line(c("rooms") > 2, c("area") - 50, c("photo_urls"), c("timeline"), c("price")), ",").alias("line"))
+
+
+@query("SELECT archive_id, list_filter(timeline, lambda e: e.kind = 'listed' AND e.price > 0)[-1].price AS price FROM archive_row")
+def q_last_past_sale(spark: SparkSession, d: str) -> DataFrame:
+    """The last priced listing of archived properties, taken as their last earlier sale."""
+    sales = F.transform("timeline", lambda e: F.struct(F.when(e["kind"] == "listed", "past").otherwise(e["kind"]).alias("kind"), e["price"].alias("price")))
+    return table(spark, d, "archive_row").select("archive_id", V.last_past_sale(sales)["price"].alias("price"))
+
+
+@query("""WITH o AS (SELECT url, min(street) AS street, min(rooms) AS rooms FROM listing WHERE url IS NOT NULL GROUP BY url), n AS (SELECT url, max('N' || obs_seq) AS nr, max((obs_seq % 7)::INT) FILTER (WHERE obs_seq % 2 = 0) AS rooms FROM observation WHERE url IS NOT NULL GROUP BY url)
+    SELECT url, street, nr, coalesce(n.rooms, o.rooms) AS rooms FROM o FULL JOIN n USING (url)""")
+def q_pin(spark: SparkSession, d: str) -> DataFrame:
+    """Details learned of addresses pinned over those known: known fields replace, unknown ones change nothing."""
+    old = table(spark, d, "listing").filter("url is not null").groupBy("url").agg(F.min("street").alias("street"), F.min("rooms").alias("rooms")).withColumn("nr", F.lit(None).cast("string"))
+    new = table(spark, d, "observation").select("url", F.lit(None).cast("string").alias("street"), F.concat(F.lit("N"), "obs_seq").alias("nr"), F.when(F.col("obs_seq") % 2 == 0, (F.col("obs_seq") % 7).cast("int")).alias("rooms"))
+    return T.pin(old, new).select("url", "street", "nr", "rooms")
+
+
+@query("""WITH c AS (SELECT url, first(phashes ORDER BY seq) AS h FROM listing WHERE url IS NOT NULL AND len(phashes) > 0 GROUP BY url)
+    SELECT seq, coalesce(len(h), -1)::BIGINT AS hashes, url IS NOT NULL AND h IS NULL AS missed FROM listing LEFT JOIN c USING (url)""")
+def q_attach_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes attached to advertisements from a cache of those known by address, and the addresses still to be hashed."""
+    rows = table(spark, d, "listing")
+    cache = rows.filter("url is not null and size(phashes) > 0").groupBy("url").agg(F.min_by("phashes", "seq").alias("hashes")).withColumn("urls", F.lit(None).cast("array<string>"))
+    found, missed = S.attach_hashes(rows, cache)
+    missed = missed.select("url", F.lit(True).alias("missed")).distinct()
+    return found.join(missed, "url", "left").select("seq", F.coalesce(F.size("phashes"), F.lit(-1)).cast("bigint").alias("hashes"), F.coalesce("missed", F.lit(False)).alias("missed"))
+
+
+@query("""SELECT record_id, count(*) AS n FROM (SELECT record_id, url, min(obs_seq) AS first_seq, row_number() OVER (PARTITION BY record_id ORDER BY min(obs_seq), url NULLS FIRST) AS k FROM observation GROUP BY record_id, url) WHERE k <= 2 GROUP BY 1""")
+def q_ordered_union(spark: SparkSession, d: str) -> DataFrame:
+    """The first two addresses a record was seen under: a capped union, old ones first."""
+    log = table(spark, d, "observation")
+    first = log.groupBy("record_id", "url").agg(F.min("obs_seq").alias("o")).groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "url"))), lambda s: F.coalesce(s["url"], F.lit(""))).alias("urls"))
+    return first.select("record_id", F.size(H.ordered_union(F.slice("urls", 1, 1), F.col("urls"), 2)).cast("bigint").alias("n"))
+
+
+@query("SELECT seq, source, n FROM (SELECT seq, 'gratka' AS source, least(5, coalesce(len(photo_urls), 0))::BIGINT AS n FROM listing UNION ALL SELECT seq, 'otodom', least(5, len(list_distinct(photo_urls)))::BIGINT FROM listing WHERE photo_urls IS NOT NULL)")
+def q_gallery(spark: SparkSession, d: str) -> DataFrame:
+    """Picture addresses read back out of advertisement pages of two portals."""
+    rows = table(spark, d, "listing").select("seq", "photo_urls")
+    numbered = F.transform(F.coalesce("photo_urls", F.array().cast("array<string>")), lambda u, i: F.concat(F.lit('<img src="https://thumbs.cdngr.pl/thumb/'), i, F.lit('.jpg">')))
+    one = rows.select("seq", F.lit("gratka").alias("source"), F.array_join(numbered, "").alias("html"))
+    images = F.to_json(F.struct(F.struct(F.struct(F.struct(F.transform("photo_urls", lambda u: F.struct(u.alias("large"))).alias("images")).alias("ad")).alias("pageProps")).alias("props")))
+    two = rows.filter("photo_urls is not null").select("seq", F.lit("otodom").alias("source"), F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), images, F.lit("</script>")).alias("html"))
+    return one.unionByName(two).select("seq", "source", F.size(P.gallery(F.col("source"), F.col("html"))).cast("bigint").alias("n"))
