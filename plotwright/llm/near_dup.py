@@ -40,6 +40,8 @@ from plotwright.session import materialize, spread
 SAMPLES, BITS, BANDS, ROWS = 128, 512, 16, 2
 #: Classes of a cell that are compared in one task.
 BLOCK = 4096
+#: Times ``BLOCK`` that a cell may hold with the copies of its neighbours' classes; a fuller one is crowded.
+CROWD = 4
 #: Cell widths tried, in tolerances, widest first: wide cells copy fewer rows, narrow ones compare fewer.
 CELLS = (8, 4, 2, 1)
 
@@ -259,7 +261,7 @@ def _close_classes(classes: DataFrame, area_tol: float, price_tol: float, min_sh
 
     cell = ["type", "ca", "cp"]
     sent = placed(classes, "words")
-    crowded = materialize(placed(classes).groupBy(*cell).count().filter(F.col("count") > block).select(*cell), "crowded")
+    crowded = materialize(placed(classes).groupBy(*cell).count().filter(F.col("count") > CROWD * block).select(*cell), "crowded")
     some = not crowded.isEmpty()
     found = (sent.join(crowded, cell, "left_anti") if some else sent).groupBy(*cell).applyInArrow(_cell_task(area_tol, price_tol, min_share, bands, samples, bits), "a bigint, b bigint")
     if not some:
