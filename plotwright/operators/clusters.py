@@ -57,7 +57,8 @@ def _galleries(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
     Repeated scans show the same pictures; equal galleries are compared once.
     """
-    block = F.concat_ws("/", *[F.coalesce(F.replace(F.col(k).cast("string"), F.lit("/"), F.lit("//")), F.lit("/-")) for k in keys])
+    # Unambiguous: a slash in a value is followed by an s, one for null by a dash, one between values by a comma.
+    block = F.concat_ws("/,", *[F.coalesce(F.replace(F.col(k).cast("string"), F.lit("/"), F.lit("/s")), F.lit("/-")) for k in keys])
     shown = rows.filter(has_hashes()).select("seq", "phashes", block.alias("block"))
     keyed = materialize(shown.withColumn("k", F.struct(F.xxhash64("block", "phashes").alias("h"), F.xxhash64("phashes", "block").alias("g"))), "galleries")
     reps = keyed.groupBy("k").agg(F.min("seq").alias("id"))

@@ -152,3 +152,17 @@ def locate(rows: DataFrame, places: DataFrame) -> DataFrame:
     keyed = rows.withColumns({"k_town": plain(F.col("locality")), "k_street": plain(F.col("street"))})
     met = keyed.join(p, (F.col("k_town") == F.col("p_town")) & (F.col("k_street") == F.col("p_street")) & numbers_agree(F.col("nr"), F.col("p_number")), "left")
     return met.withColumnsRenamed({"p_x": "x", "p_y": "y"}).drop("k_town", "k_street", "p_town", "p_street", "p_number")
+
+
+def parcels_at(points: DataFrame, parcels: DataFrame, cell: float) -> DataFrame:
+    """``points`` (``x, y``) with ``parcel_id`` of the smallest-named parcel (``parcel_id, x0, y0, x1, y1``, edges included) they lie in, or null.
+
+    Both go to the cells of a grid of width ``cell``, about the size of a parcel, so the lookup is an equi-join.
+    """
+    at = lambda c: F.floor(F.col(c) / F.lit(float(cell)))
+    whole = parcels.filter("x0 <= x1 and y0 <= y1")
+    held = whole.withColumn("__px", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("__py", F.explode(F.sequence(at("y0"), at("y1")))).select("parcel_id", "x0", "y0", "x1", "y1", "__px", "__py")
+    asked = points.drop("parcel_id").withColumn("__point", F.monotonically_increasing_id())
+    asked = materialize(asked, "points")  # numbered once
+    met = asked.select("__point", "x", "y", at("x").alias("__cx"), at("y").alias("__cy")).join(held, (F.col("__cx") == F.col("__px")) & (F.col("__cy") == F.col("__py")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    return asked.join(met.groupBy("__point").agg(F.min("parcel_id").alias("parcel_id")), "__point", "left").drop("__point")

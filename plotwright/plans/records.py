@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -301,16 +303,14 @@ def q_gone(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seq", H.gone(status, F.col("seq") % 3 == 0, F.col("url"), F.coalesce("title", F.lit("")), "Dom", "/$").alias("gone"))
 
 
-_HOUSE = "regexp_replace(lower(nr), '[^0-9a-z/]', '', 'g')"
+_HOUSE = "regexp_replace(lower({}), '[^0-9a-z/]', '', 'g')"
 
 
-@query(f"""WITH k AS (SELECT deed_id, {_F('msc')} AS town, {_F('ul')} AS street, {_HOUSE} AS house FROM deed) SELECT x.deed_id AS a, y.deed_id AS b FROM k x JOIN k y USING (town, street, house) WHERE x.deed_id < y.deed_id AND house <> ''""")
+@query(f"""SELECT deed_id, coalesce({_HOUSE.format('nr')} = {_HOUSE.format("' ' || upper(nr) || '.'")} AND {_HOUSE.format('nr')} <> '', false) AS same, coalesce({_HOUSE.format('nr')} = {_HOUSE.format("replace(nr, 'A', '')")} AND {_HOUSE.format('nr')} <> '', false) AS bare FROM deed""")
 def q_numbers_agree(spark: SparkSession, d: str) -> DataFrame:
-    """Deeds of one town and street whose house numbers agree."""
-    deeds = table(spark, d, "deed").select("deed_id", A.plain(F.col("msc")).alias("town"), A.plain(F.col("ul")).alias("street"), "nr")
-    x, y = deeds.alias("x"), deeds.alias("y")
-    met = x.join(y, (F.col("x.town") == F.col("y.town")) & (F.col("x.street") == F.col("y.street")) & (F.col("x.deed_id") < F.col("y.deed_id")) & A.numbers_agree(F.col("x.nr"), F.col("y.nr")))
-    return met.select(F.col("x.deed_id").alias("a"), F.col("y.deed_id").alias("b"))
+    """House numbers against themselves in other dress, and without their letter A."""
+    nr = F.col("nr")
+    return table(spark, d, "deed").select("deed_id", A.numbers_agree(nr, F.concat(F.lit(" "), F.upper(nr), F.lit("."))).alias("same"), A.numbers_agree(nr, F.replace(nr, F.lit("A"), F.lit(""))).alias("bare"))
 
 
 @query("SELECT seq, CASE WHEN locality IN ('Tlunybrowa', 'TŁUNYBROWA') THEN 'Tłunybrowa' ELSE locality END AS town FROM listing")
@@ -387,3 +387,18 @@ def q_gallery(spark: SparkSession, d: str) -> DataFrame:
     images = F.to_json(F.struct(F.struct(F.struct(F.struct(F.transform("photo_urls", lambda u: F.struct(u.alias("large"))).alias("images")).alias("ad")).alias("pageProps")).alias("props")))
     two = rows.filter("photo_urls is not null").select("seq", F.lit("otodom").alias("source"), F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), images, F.lit("</script>")).alias("html"))
     return one.unionByName(two).select("seq", "source", F.size(P.gallery(F.col("source"), F.col("html"))).cast("bigint").alias("n"))
+
+
+@query("SELECT deed_id, d, a FROM deed WHERE kind = 'flat' AND msc = 'Tłunybrowa' AND d >= DATE '2024-01-01' AND a BETWEEN 40 AND 70")
+def q_register_table(spark: SparkSession, d: str) -> DataFrame:
+    """Deeds of one kind, town, time and size, read with conditions and columns in the scan."""
+    return T.register_table(spark, f"{d}/deed.parquet", "flat", "Tłunybrowa", dt.date(2024, 1, 1), (40, 70), columns=("deed_id", "d", "a"))
+
+
+@query("""SELECT c_custkey, (SELECT min(s_suppkey) FROM supplier WHERE c_acctbal BETWEEN s_acctbal AND s_acctbal + 300 AND c_custkey % 1000 BETWEEN s_suppkey * 7 % 1000 AND s_suppkey * 7 % 1000 + 60) AS parcel_id FROM customer""")
+def q_parcels_at(spark: SparkSession, d: str) -> DataFrame:
+    """The parcel each point lies in: points made of customers, parcels of suppliers."""
+    points = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 1000).cast("double").alias("y"))
+    y0 = (F.col("s_suppkey") * 7 % 1000).cast("double")
+    parcels = table(spark, d, "supplier").select(F.col("s_suppkey").alias("parcel_id"), F.col("s_acctbal").alias("x0"), y0.alias("y0"), (F.col("s_acctbal") + 300).alias("x1"), (y0 + 60).alias("y1"))
+    return S.parcels_at(points, parcels, 200.0).select("c_custkey", "parcel_id")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotwright.functions.numbers import in_box
 from plotwright.session import _fs_path, path_exists
 from plotwright.sources.schemas import FLAT_DEED, HOUSE_DEED
 
@@ -24,6 +25,25 @@ def register_features(pages: DataFrame, kind: str, tag: str | None = None) -> Da
     return pages.select(F.explode(member).alias("m")).select(F.from_xml(bare, schema, {"rowTag": tag}).alias("r")).select("r.*")
 
 
+def register_table(spark: SparkSession, path: str, kind: str | None = None, town: str | None = None, since: dt.date | None = None, areas: tuple[float, float] | None = None, box: tuple[float, float, float] | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """A stored register of deeds, read no further than asked: every condition is a plain comparison that reaches the scan, as do the columns.
+
+    ``town`` as the register writes it; ``box``: x, y and half the width of a square around a point (columns ``x, y``).
+    """
+    rows = spark.read.parquet(path)
+    if kind is not None:
+        rows = rows.filter(F.col("kind") == kind)
+    if town is not None:
+        rows = rows.filter(F.col("msc") == town)
+    if since is not None:
+        rows = rows.filter(F.col("d") >= F.lit(since))
+    if areas is not None:
+        rows = rows.filter((F.col("a") >= float(areas[0])) & (F.col("a") <= float(areas[1])))
+    if box is not None:
+        rows = rows.filter(in_box(F.col("x"), F.col("y"), *box))
+    return rows.select(*columns) if columns else rows
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
     """A table, or an empty one of its schema when it does not exist yet or cannot be read."""
     if path_exists(spark, path):

@@ -132,6 +132,12 @@ def test_equal_galleries_are_one_class(spark):
     assert as_set(C.photo_components(df, ["type"]).filter("v <= 42")) == {(k, 1) for k in range(1, 42)}
 
 
+def test_blocks_of_several_keys_are_not_confused(spark):
+    g = [[1, 2, 3, 4]]
+    df = listing(spark, *({"agency": a, "market": b, "phashes": g} for a, b in (("a/", "b"), ("a", "/b"), ("a", None), ("a", "-"), (None, None), (None, None), ("a/", "b"))))
+    assert as_set(C.photo_pairs(df, ["agency", "market"])) == {(1, 7), (5, 6)}
+
+
 def test_sizes_are_unified_by_area_only(spark):
     row = {"type": "flat", "locality": "T", "price": 5, "phashes": [[1, 2, 3, 4]]}
     df = listing(spark, row | {"area": 50.0, "rooms": 2, "source": "gratka"}, row | {"area": 50.0, "rooms": 3, "source": "otodom"}, row | {"area": 60.0, "rooms": 3, "price": 6}, row | {"area": 70.0, "rooms": 4, "price": 6, "source": "otodom"})

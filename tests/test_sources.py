@@ -123,3 +123,13 @@ def test_unreadable_state_is_empty_and_repeated_pins_count_once(spark, tmp_path)
     assert T.read_or_empty(spark, f"file://{tmp_path}/broken", "a int").count() == 0
     new = rows(spark, OVERRIDE, {"url": "a", "rooms": 3}, {"url": "a", "rooms": 4, "nr": "7"}, {"url": None, "rooms": 1})
     assert as_set(T.pin(rows(spark, OVERRIDE), new).select("url", "rooms", "nr")) == {("a", 4, "7")}
+
+
+def test_conditions_and_columns_reach_the_scan(spark, tmp_path):
+    schema = "kind string, msc string, d date, a double, x double, y double, extra string"
+    rows(spark, schema, {"kind": "flat", "msc": "T", "d": dt.date(2024, 2, 1), "a": 50.0, "x": 1.0, "y": 1.0}, {"kind": "flat", "msc": "T", "a": 50.0, "x": 9.0, "y": 1.0}, {}).write.parquet(f"{tmp_path}/deeds")
+    got = T.register_table(spark, f"{tmp_path}/deeds", "flat", "T", dt.date(2024, 1, 1), (40, 60), (0, 0, 2), ("a",))
+    assert [r["a"] for r in got.collect()] == [50.0] and T.register_table(spark, f"{tmp_path}/deeds").count() == 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "extra" not in plan and "IsNotNull(kind)" in pushed and "ReadSchema" in pushed
