@@ -18,6 +18,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"[{BLANKS}]+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without blanks of any kind at the ends."""
+    return F.regexp_replace(c, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+
+
 def fold(c: Column) -> Column:
     """Lower case without diacritics; other characters stay."""
     return F.translate(F.lower(c), _MARKED, _PLAIN)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plotwright.config import LIMITS, SOURCE_RANK, UNRANKED
 from plotwright.functions.numbers import area_key
 from plotwright.functions.photos import LIMBS
+from plotwright.functions.text import strip
 from plotwright.operators.photo_join import photo_groups, photo_links
 from plotwright.session import materialize
 
@@ -89,7 +90,7 @@ def photo_components(rows: DataFrame, keys: list[str], threshold: int = LIMITS.p
 
 def unify_sizes(rows: DataFrame) -> DataFrame:
     """Rows of one town and price that share photos but differ in size take the size of the best-ranked of them."""
-    keyed = rows.withColumn("u_town", F.lower(F.trim("locality")))
+    keyed = rows.withColumn("u_town", F.lower(strip(F.col("locality"))))
     use = keyed.filter(has_hashes() & ~is_developer(F.col("market"), F.col("title")) & (F.col("u_town") != "") & (F.coalesce("price", F.lit(0)) != 0))
     groups = photo_components(use, ["type", "u_town", "price"])
     members = keyed.join(groups.withColumnRenamed("v", "seq"), "seq")
@@ -175,7 +176,7 @@ def link_same_size(cards: DataFrame, least: int = 2, most: int = 3) -> DataFrame
     """Cards with ``also_listed``, ``prev_price`` and ``relisted`` where two or three addresses share size and street (or town)."""
     keyed = cards.withColumns({
         "l_area": area_key(F.col("area")), "l_rooms": F.col("rooms"),
-        "l_where": F.lower(F.trim(F.coalesce(F.nullif("street", F.lit("")), F.col("locality")))),
+        "l_where": F.lower(strip(F.coalesce(F.nullif("street", F.lit("")), F.col("locality")))),
     })
     use = keyed.filter(~F.col("development") & F.col("l_area").isNotNull() & (F.col("l_where") != ""))
     keys = ["type", "l_area", "l_rooms", "l_where"]
