@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwright.config import LIMITS
-from plotwright.functions.addresses import parcel_of_unit, plain, register_field, streets_agree
+from plotwright.functions.addresses import parcel_of_unit, plain, register_field, street_words, streets_agree, word_lists_agree
 from plotwright.functions.numbers import half_even, has_decimals, price_per_m2, truncated_int
 from plotwright.session import materialize
 
 FREE_MARKET, DWELLING = "wolnyRynek", "mieszkalna"
+#: Share of the larger plot by which two plots of one house may differ.
+PLOT_SHARE = 0.1
 
 
 def clean_deeds(raw: DataFrame, kind: str) -> DataFrame:
@@ -88,7 +93,7 @@ def deed_score(unique: Column) -> Column:
     plot, deed_plot = F.coalesce("plot_area", F.lit(0.0)), F.coalesce("grunt", F.lit(0.0))
     plots = (plot != 0) & (deed_plot != 0)
     flat = F.when((rooms_known & ~rooms_ok) | (floor_known & ~floor_ok), 0).when((hits == 2) | alone, 1).otherwise(0)
-    house = F.when(plots & (F.abs(plot - deed_plot) <= 0.1 * F.greatest(plot, deed_plot)), 1).when(~plots & alone, 1).otherwise(0)
+    house = F.when(plots & (F.abs(plot - deed_plot) <= PLOT_SHARE * F.greatest(plot, deed_plot)), 1).when(~plots & alone, 1).otherwise(0)
     return (
         F.when(parcels & same_parcel, 2)
         .when(streets & same_street & numbers, F.when(plain(F.col("nr")) == plain(F.col("deed_nr")), 2).otherwise(0))
@@ -126,22 +131,110 @@ def deed_candidates(records: DataFrame, deeds: DataFrame, tolerance: float = LIM
     return met.unionByName(pinned.join(right.filter("a is null and coalesce(ul, '') != ''"), on))
 
 
+def _known(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+
+
+def _bins(value: Column, reach: float) -> Column:
+    """Bins of width ``2 * reach`` that values at most ``reach`` away can be in: two at most, or three at an edge."""
+    return F.sequence(F.floor((value - F.lit(reach + 1e-6)) / F.lit(2.0 * reach)), F.floor((value + F.lit(reach + 1e-6)) / F.lit(2.0 * reach)))
+
+
+def _bin(value: Column, reach: float) -> Column:
+    return F.floor(value / F.lit(2.0 * reach))
+
+
+def _sides(records: DataFrame, deeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records with a town and an area, and deeds, with what :func:`deed_score` compares read once; equal deeds are one row with their number ``n``. Null where a detail is not told."""
+
+    def told(df: DataFrame, side: str, street: str, number: str, parcel: str) -> DataFrame:
+        words = F.when(_known(street), street_words(F.col(street)))
+        out = df.withColumns({f"{side}_words": words, f"{side}_nr": F.when(_known(number), plain(F.col(number))), f"{side}_dz": F.when(_known(parcel), plain(F.col(parcel)))})
+        # Last words that agree are equal or begin with the same four letters.
+        return out.withColumn(f"{side}_begin", F.left(F.try_element_at(f"{side}_words", F.lit(-1)), F.lit(4)))
+
+    left = town_of_record(records, deeds, by_kind=True).filter("town is not null and area is not null")
+    left = left.select("record_id", "type", "town", "area", "street", "nr", "dzialka_id", "rooms", "floor_no", F.coalesce("plot_area", F.lit(0.0)).alias("plot"), "first_seen", "delisted")
+    right = deeds.select(plain(F.col("msc")).alias("town"), F.col("kind").alias("type"), "d", "c", "a", "izb", "kond", F.coalesce("grunt", F.lit(0.0)).alias("grunt"), "rynek", "ul", F.col("nr").alias("deed_nr"), "dz").filter("town != ''")
+    right = right.groupBy(*right.columns).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(told(left, "r", "street", "nr", "dzialka_id").drop("street", "nr", "dzialka_id"), "records"), materialize(told(right, "d", "ul", "deed_nr", "dz"), "deeds")
+
+
+_PINNED, _UNMEASURED = "r_nr is not null or r_dz is not null", "a is null and coalesce(ul, '') != ''"
+
+
+def _candidate_counts(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
+    """``record_id, several, sole``: records with candidates, whether there are several, and the area of the only one (null where it has none).
+
+    No candidate is listed: of the deeds of one bin of areas only the two smallest and two largest areas are asked. A bin is
+    half a tolerance wide, so either all of it is within a record's band or one of its ends tells none, one or several.
+    """
+    key, bin_of = ["town", "type"], lambda c: F.floor(F.col(c) / F.lit(tolerance / 2))
+    areas = right.filter("a is not null").groupBy(*key, "a").agg(F.sum("n").alias("n")).withColumn("bin", bin_of("a"))
+    within_bin = Window.partitionBy(*key, "bin")
+    ends = [areas.withColumn("k", F.row_number().over(within_bin.orderBy(o))).filter("k <= 2").drop("k") for o in (F.asc("a"), F.desc("a"))]
+    ends = ends[0].unionByName(ends[1]).distinct()
+    asked = left.select(*key, "area").distinct().withColumn("bin", F.explode(F.sequence(bin_of("area") - 3, bin_of("area") + 3)))
+    near = asked.join(ends, [*key, "bin"]).filter(F.abs(F.col("area") - F.col("a")) <= F.lit(float(tolerance)))
+    near = near.groupBy(*key, "area").agg(F.sum("n").alias("n"), F.min("a").alias("sole"))
+    unmeasured = right.filter(_UNMEASURED).groupBy(*key).agg(F.sum("n").alias("m"))
+    met = left.select("record_id", *key, "area", F.expr(_PINNED).alias("pinned")).join(near, [*key, "area"], "left").join(unmeasured, key, "left")
+    met = met.withColumn("n", F.coalesce("n", F.lit(0)) + F.when(F.col("pinned"), F.coalesce("m", F.lit(0))).otherwise(0)).filter("n > 0")
+    return met.groupBy("record_id").agg((F.sum("n") > 1).alias("several"), F.min("sole").alias("sole")).filter("record_id is not null")
+
+
+def _scored(left: DataFrame, right: DataFrame, counts: DataFrame, tolerance: float) -> DataFrame:
+    """The candidates that :func:`deed_score` does not reject, each once, with their score: every rule of it is a join on what that rule wants equal or near."""
+    key, band = ["town", "type"], F.abs(F.col("area") - F.col("a")) <= F.lit(float(tolerance))
+    probe = left.withColumn("bin", F.explode(_bins(F.col("area"), tolerance)))
+    measured, unmeasured = right.filter("a is not null").withColumn("bin", _bin(F.col("a"), tolerance)), right.filter(_UNMEASURED)
+    meet = lambda r, d, what, *also: r.withColumn("x", F.col(f"r_{what}")).join(d.withColumn("x", F.col(f"d_{what}")), [*key, *also, "x"])
+    or_unknown = lambda c: F.coalesce(c, F.lit(True))
+    same_parcel = F.coalesce(F.col("r_dz") == F.col("d_dz"), F.lit(False))
+    same_street = ~same_parcel & word_lists_agree(F.col("r_words"), F.col("d_words"))
+    # Neither streets nor parcels can be compared.
+    silent = (F.col("r_words").isNull() | F.col("d_words").isNull()) & (F.col("r_dz").isNull() | F.col("d_dz").isNull())
+    # Numbers agree or one is unknown: each such pair has one key in common.
+    numbered = lambda df, side, known, unknown: df.withColumn("number", F.explode(F.when(F.col(f"{side}_nr").isNotNull(), F.array(F.concat(F.lit("="), f"{side}_nr"), F.lit(known))).otherwise(unknown)))
+    asked, listed = numbered(probe, "r", "none", F.array(F.lit("any"))), numbered(measured, "d", "any", F.array(F.lit("none"), F.lit("any")))
+    floors = probe.filter("type = 'flat'").withColumn("kond", F.explode(F.array(F.col("floor_no"), F.col("floor_no") + 1)))
+    apart = -math.log(1 - PLOT_SHARE)
+    plots = probe.filter("type != 'flat' and plot > 0").withColumn("plot_bin", F.explode(_bins(F.log("plot"), apart)))
+    alike = F.abs(F.col("plot") - F.col("grunt")) <= PLOT_SHARE * F.greatest("plot", "grunt")
+    sole = counts.filter("not several and sole is not null").select("record_id", F.col("sole").alias("a"))
+    both = F.col("rooms").isNotNull() & F.col("izb").isNotNull() & F.col("floor_no").isNotNull() & F.col("kond").isNotNull()
+    not_against = or_unknown(F.col("rooms") == F.col("izb")) & or_unknown((F.col("kond") == F.col("floor_no")) | (F.col("kond") == F.col("floor_no") + 1))
+    met = [
+        (2, meet(left, right, "dz").filter(band | F.expr(_UNMEASURED))),
+        (2, meet(asked, listed, "begin", "bin", "number").filter(band & same_street)),
+        (2, meet(left, unmeasured, "nr").filter((F.col("r_begin") == F.col("d_begin")) & same_street)),
+        (1, floors.join(measured.withColumn("rooms", F.col("izb")), [*key, "bin", "rooms", "kond"]).filter(band & silent)),
+        (1, plots.join(measured.filter("grunt > 0").withColumn("plot_bin", _bin(F.log("grunt"), apart)), [*key, "bin", "plot_bin"]).filter(band & silent & alike)),
+        (1, left.filter(has_decimals(F.col("area"))).join(sole, "record_id").join(right, [*key, "a"]).filter(band & silent & F.when(F.col("type") == "flat", not_against & ~both).otherwise(F.expr("plot = 0 or grunt = 0")))),
+    ]
+    return reduce(DataFrame.unionByName, [m.select("record_id", "d", "c", "a", F.lit(score).alias("score"), "rynek", "ul", "deed_nr", "dz", "n", "first_seen", "delisted") for score, m in met])
+
+
 def match_deeds(records: DataFrame, deeds: DataFrame, tolerance: float = LIMITS.area_tolerance) -> DataFrame:
     """``record_id, kind, d, price, price_m2, score, confidence, market, addr, dz``: the deeds attached to records.
 
     A sale needs exactly one best deed in its window; earlier sales at most three; a deed in both windows counts as
-    earlier. Developments have none. Counts and best scores are aggregates joined back, so no record's candidates are
+    earlier. Developments have none. The candidates are those of :func:`deed_candidates`, but only what scores is joined
+    and the others are counted; counts and best scores are aggregates joined back, so no record's candidates are
     gathered in a task; only the deeds kept, four at most, are ranked.
     """
-    c = deed_candidates(_matchable(records), deeds, tolerance)
-    several = c.groupBy("record_id").agg(F.count(F.lit(1)).alias("__n"))
-    scored = c.join(several, "record_id").withColumn("score", deed_score(F.col("__n") == 1)).filter("score > 0").select("record_id", "d", "c", "a", "score", "rynek", "ul", "deed_nr", "dz", "first_seen", "delisted")
-    sale = materialize(scored.withColumn("sale", F.explode(sale_windows(F.col("d"), F.col("first_seen"), F.col("delisted")))), "sales")
-    best = sale.groupBy("record_id", "sale").agg(F.max("score").alias("top"), F.count_if(F.col("score") == 2).alias("sure"), F.count(F.lit(1)).alias("all"))
+    left, right = _sides(_matchable(records), deeds)
+    return _attached(left, right, _candidate_counts(left, right, tolerance), tolerance)
+
+
+def _attached(left: DataFrame, right: DataFrame, counts: DataFrame, tolerance: float) -> DataFrame:
+    scored = _scored(left, right, counts, tolerance)
+    sale = materialize(scored.withColumn("sale", F.explode(sale_windows(F.col("d"), F.col("first_seen"), F.col("delisted")))).drop("first_seen", "delisted"), "sales")
+    best = sale.groupBy("record_id", "sale").agg(F.max("score").alias("top"), F.sum(F.when(F.col("score") == 2, F.col("n")).otherwise(0)).alias("sure"), F.sum("n").alias("all"))
     n = F.when(F.col("top") == 2, F.col("sure")).otherwise(F.col("all"))
     clear = best.filter(((F.col("sale") == "sold") & (n == 1)) | ((F.col("sale") == "past") & (n <= 3))).select("record_id", "sale", F.col("top").alias("score"))
     kept = sale.join(clear, ["record_id", "sale", "score"])
-    one = Window.partitionBy("record_id", "d", "c").orderBy("sale", "dz", "ul", "deed_nr")
+    one = Window.partitionBy("record_id", "d", "c").orderBy("sale", "dz", "ul", "deed_nr", "a", "rynek")
     label = lambda known, c: F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), c)
     return kept.withColumn("k", F.row_number().over(one)).filter("k = 1").select(
         "record_id", F.col("sale").alias("kind"), "d", F.col("c").alias("price"), price_per_m2(F.col("c"), F.col("a")).alias("price_m2"), "score",

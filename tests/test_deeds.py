@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -91,3 +92,33 @@ def test_same_streets_whatever_they_begin_with(spark, tmp_path):
     want = as_set(whole.alias("x").crossJoin(whole.alias("y")).filter("x.ul < y.ul").filter(streets_agree(F.col("x.ul"), F.col("y.ul"))))
     assert as_set(QUERIES["q_same_streets"](spark, str(tmp_path))) == want
     assert {("IDZIEGO KRUGŁOSZYCKIEGO", "Krugłoszyckiego"), ("Kruchowilewicza", "T. Kruchowilewicza"), ("Dobrodziżawińskiego", "prof. Ewarysta Dobrodziżawińskiego"), ("3 Maja", "Maja")} <= want
+
+
+def test_scores_by_rule_are_those_of_all_candidates(spark):
+    rng = random.Random(5)
+    pick = lambda *v: rng.choice(v)
+    area = lambda: pick(None, 30.0, 30.6, 31.2, 30.3, 36.01, 40.0, *[round(rng.uniform(29, 90), 2) for _ in range(12)])
+    street = lambda: pick(None, None, "", "Krótka", "ul. Krótkiej", "Nowa", "3 Maja", "Maja", "Jana Krótkiego", "--")
+    shared = lambda: {"street": street(), "ul": street(), "nr": pick(None, "", "3", "3A", "3a", "4"), "dz": pick(None, None, "1_4.5", "1-4-5", "7")}
+    rec = [shared() | {"record_id": i + (i == 7), "type": pick("flat", "house"), "area": area(), "locality": pick("A", "B", "C", ""), "district": pick(None, "B"), "rooms": pick(None, 1, 2), "floor_no": pick(None, 0, 1), "plot_area": pick(None, 0.0, 900.0, 1000.0), "first_seen": pick(None, DAY), "delisted": pick(None, DAY)} for i in range(250)]
+    sold = [shared() | {"kind": pick("flat", "house"), "a": area(), "msc": pick("a", "b", "D", " "), "izb": pick(None, 1, 2), "kond": pick(None, 1, 2), "grunt": pick(None, 0.0, 900.0, 990.0, 1000.0, 1100.0), "d": DAY, "c": pick(1, 2)} for _ in range(250)]
+    sold += sold[:40]
+    records, deeds = rows(spark, RECORD, *[r | {"dzialka_id": r["dz"]} for r in rec]), rows(spark, DEED, *sold)
+    c = D.deed_candidates(records, deeds)
+    n = c.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("only"))
+    names = ["record_id", "d", "c", "a", "score", "rynek", "ul", "deed_nr", "dz"]
+    want = c.join(n.select("record_id", "n"), "record_id").withColumn("score", D.deed_score(F.col("n") == 1)).filter("score > 0").select(names)
+    left, right = D._sides(records, deeds)
+    counts = D._candidate_counts(left, right, 0.6)
+    assert {(r["record_id"], r["several"], None if r["several"] else r["sole"]) for r in counts.collect()} == {(r["record_id"], r["n"] > 1, r["only"] if r["n"] == 1 else None) for r in n.collect()}
+    got = D._scored(left, right, counts, 0.6).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(names)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and {r[0] for r in got.select("score").distinct().collect()} == {1, 2}
+
+
+def test_a_crowded_band_is_not_paired_out(spark):
+    one = {"type": "flat", "area": 39.4, "locality": "Miasto", "first_seen": DAY}
+    records = spark.range(20_000).select(*[F.lit(v).alias(k) for k, v in one.items()], F.col("id").alias("record_id"), F.concat(F.lit("Aleja "), F.chr(97 + F.col("id") % 26), F.lit("ulna")).alias("street"), F.col("id").cast("string").alias("nr"), *[F.lit(None).cast(t).alias(k) for k, t in (("district", "string"), ("dzialka_id", "string"), ("rooms", "int"), ("floor_no", "int"), ("plot_area", "double"), ("delisted", "date"))])
+    deeds = records.select(F.col("type").alias("kind"), F.date_sub("first_seen", 90).alias("d"), F.lit(400_000).cast("bigint").alias("c"), F.lit(39.4).alias("a"), *[F.lit(None).cast(t).alias(k) for k, t in (("izb", "int"), ("kond", "int"), ("grunt", "double"), ("rynek", "string"), ("dz", "string"))], F.col("locality").alias("msc"), F.col("street").alias("ul"), "nr")
+    counted = time.time()
+    assert D.match_deeds(records, deeds).count() == 20_000  # 400 million pairs of equal area
+    assert time.time() - counted < 120
