@@ -245,8 +245,10 @@ def _attached(left: DataFrame, right: DataFrame, counts: DataFrame, tolerance: f
 def match_funnel(records: DataFrame, deeds: DataFrame, tolerance: float = LIMITS.area_tolerance) -> DataFrame:
     """``stage, n``: how far each record came: no_location (neither locality nor district), no_candidates, rejected or matched; the stages exclude each other."""
     records = _matchable(records)
-    met = deed_candidates(records, deeds, tolerance).select("record_id").distinct().withColumn("met", F.lit(True))
-    done = match_deeds(records, deeds, tolerance).select("record_id").distinct().withColumn("done", F.lit(True))
+    left, right = _sides(records, deeds)
+    counts = materialize(_candidate_counts(left, right, tolerance), "counts")
+    met = counts.select("record_id", F.lit(True).alias("met"))
+    done = _attached(left, right, counts, tolerance).select("record_id").distinct().withColumn("done", F.lit(True))
     blank = (F.coalesce(plain(F.col("locality")), F.lit("")) == "") & (F.coalesce(plain(F.col("district")), F.lit("")) == "")
     stage = F.when(F.col("met").isNull() & blank, "no_location").when(F.col("met").isNull(), "no_candidates").when(F.col("done").isNull(), "rejected").otherwise("matched")
     return records.join(met, "record_id", "left").join(done, "record_id", "left").groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))

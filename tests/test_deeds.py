@@ -122,3 +122,12 @@ def test_a_crowded_band_is_not_paired_out(spark):
     counted = time.time()
     assert D.match_deeds(records, deeds).count() == 20_000  # 400 million pairs of equal area
     assert time.time() - counted < 120
+
+
+def test_funnel_counts_candidates_without_pairs(spark):
+    few = {"type": "flat", "locality": "Miasto", "district": None, "street": None}
+    records = spark.range(30_000).select(F.col("id").alias("record_id"), *[F.lit(v).cast("string").alias(k) for k, v in few.items()], F.when(F.col("id") < 5, 90.0).otherwise(40.0).alias("area"), *[F.lit(None).cast(t).alias(k) for k, t in (("nr", "string"), ("dzialka_id", "string"), ("rooms", "int"), ("floor_no", "int"), ("plot_area", "double"), ("first_seen", "date"), ("delisted", "date"))])
+    deeds = rows(spark, DEED, SALE | {"ul": None, "a": 39.4}).withColumn("c", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(30_000).cast("bigint")))).withColumn("a", F.lit(40.0))
+    began = time.time()
+    assert as_set(D.match_funnel(records, deeds)) == {("no_candidates", 5), ("rejected", 29_995)}  # 900 million candidates
+    assert time.time() - began < 120
