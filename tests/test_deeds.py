@@ -131,3 +131,12 @@ def test_funnel_counts_candidates_without_pairs(spark):
     began = time.time()
     assert as_set(D.match_funnel(records, deeds)) == {("no_candidates", 5), ("rejected", 29_995)}  # 900 million candidates
     assert time.time() - began < 120
+
+
+def test_archived_records_with_rooms_only_are_not_paired_out(spark):
+    """As q_match_deeds reads them: no number, parcel or storey, and mostly no street."""
+    records = spark.range(20_000).select(F.col("id").alias("record_id"), *[F.lit(v).cast("string").alias(k) for k, v in (("type", "flat"), ("locality", "Miasto"), ("district", None), ("street", ""), ("nr", None), ("dzialka_id", None))], F.when(F.col("id") == 0, 70.3).otherwise(40.3).alias("area"), F.lit(2).alias("rooms"), F.lit(None).cast("int").alias("floor_no"), F.lit(None).cast("double").alias("plot_area"), F.lit(DAY).alias("first_seen"), F.lit(None).cast("date").alias("delisted"))
+    deeds = rows(spark, DEED, SALE | {"d": dt.date(2024, 1, 1), "izb": 2}).withColumn("c", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(20_000).cast("bigint")))).withColumn("a", F.when(F.col("c") == 7, 70.25).otherwise(40.5))
+    began = time.time()
+    assert [(r["record_id"], r["kind"], r["price"], r["score"]) for r in D.match_deeds(records, deeds).collect()] == [(0, "past", 7, 1)]
+    assert time.time() - began < 120
