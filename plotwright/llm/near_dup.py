@@ -5,8 +5,8 @@
 2. Classes are sent to the cells of a grid over type, log area and log price. A class near the
    upper edge of its cell also goes to the next one, so no pair that is close enough in area and
    price is separated; a pair that meets twice is taken in the lower cell only. The grid gets
-   finer as the fullest cell grows, and a cell that still exceeds ``BLOCK`` classes is cut into blocks
-   whose pairs are separate tasks: no task ever holds more than two blocks.
+   finer as the fullest cell grows. A cell of the finest grid is one task up to ``CROWD * BLOCK`` classes,
+   which it holds with their band keys; in fuller ones classes meet by (cell, band key), which sends each class once for each key.
 3. In a task, each class gets ``samples`` MinHash values of its title words; groups of ``ROWS``
    values are bands, and classes that share a band (or the picture file) are candidates.
 4. All samples are folded into an odd sketch: sample i toggles one of ``bits`` parity bits.
@@ -38,10 +38,12 @@ from plotwright.llm.pairs import expand_pairs
 from plotwright.session import materialize, spread
 
 SAMPLES, BITS, BANDS, ROWS = 128, 512, 16, 2
-#: Classes of a cell that are compared in one task.
+#: Classes of the fullest cell up to which wider cells are taken.
 BLOCK = 4096
 #: Times ``BLOCK`` that a cell may hold with the copies of its neighbours' classes; a fuller one is crowded.
-CROWD = 4
+CROWD = 64
+#: Sets whose MinHash samples, and pairs of one key, that a task holds at a time.
+SETS, PAIRS = 16_384, 500_000
 #: Cell widths tried, in tolerances, widest first: wide cells copy fewer rows, narrow ones compare fewer.
 CELLS = (8, 4, 2, 1)
 
@@ -138,15 +140,22 @@ def band_key(mins: np.ndarray, k: int) -> np.ndarray:
     return key
 
 
-def _minhashes(column, sketcher: OddSketcher):
-    """(words of all rows, starts, ends, rows with words, MinHash samples of these) of a column of word lists."""
+def _signatures(column, sketcher: OddSketcher, bands: int):
+    """(words of all rows, starts, ends, rows with words, bands x these: band keys, their odd sketches) of a column of word lists."""
     listed = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
     offsets = listed.offsets.to_numpy()
     words = listed.values.to_numpy(zero_copy_only=False).view(np.uint64)
     starts, ends = offsets[:-1], offsets[1:]
     full = np.flatnonzero(ends > starts)
-    return words, starts, ends, full, sketcher.minhash(words[offsets[0] : offsets[-1]], starts[full] - offsets[0])
+    keys, sketch = np.empty((bands, len(full)), np.uint64), np.empty((len(full), sketcher.bits // 64), np.uint64)
+    for at in range(0, len(full), SETS):  # the samples of all sets would take more room than the sets
+        part = full[at : at + SETS]
+        mins = sketcher.minhash(words[starts[part[0]] : ends[part[-1]]], starts[part] - starts[part[0]])
+        sketch[at : at + SETS] = sketcher.sketch(mins)
+        for k in range(bands):
+            keys[k, at : at + SETS] = band_key(mins, k)
+    return words, starts, ends, full, keys, sketch
 
 
 def _sketch_task(bands: int, samples: int, bits: int):
@@ -157,9 +166,9 @@ def _sketch_task(bands: int, samples: int, bits: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            _, _, _, full, mins = _minhashes(b["words"], sketcher)
+            _, _, _, full, banded, sketched = _signatures(b["words"], sketcher, bands)
             keys, sketch = [None] * b.num_rows, [None] * b.num_rows
-            rows, held = np.stack([band_key(mins, k) for k in range(bands)], axis=1).view(np.int64), sketcher.sketch(mins).view(np.int64)
+            rows, held = np.ascontiguousarray(banded.T).view(np.int64), sketched.view(np.int64)
             for j, i in enumerate(full):
                 keys[i], sketch[i] = rows[j], held[j]
             longs = pa.list_(pa.int64())
@@ -177,9 +186,9 @@ def _cell_task(area_tol: float, price_tol: float, min_share: float, bands: int,
         t = t.combine_chunks()
         ids, area, price = (t[c].to_numpy() for c in ("id", "area", "price"))
         copy, picture = t["copy"].to_numpy(), t["picture"].to_numpy(zero_copy_only=False)
-        words, starts, ends, full, mins = _minhashes(t["words"], sketcher)
+        words, starts, ends, full, keys, sketched = _signatures(t["words"], sketcher, bands)
         sketch = np.zeros((len(ids), bits // 64), np.uint64)
-        sketch[full] = sketcher.sketch(mins)
+        sketch[full] = sketched
 
         def close(a, b):
             m = (copy[a] & copy[b]) == 0  # both copied in one direction: the pair also meets in the lower cell
@@ -189,12 +198,12 @@ def _cell_task(area_tol: float, price_tol: float, min_share: float, bands: int,
 
         kept, n = [], len(ids)
         shown = np.flatnonzero(picture != 0)
-        for a, b in equal_pairs(picture[shown], shown):
+        for a, b in equal_pairs(picture[shown], shown, PAIRS):
             a, b = close(a, b)
             kept.append(np.minimum(a, b) * n + np.maximum(a, b))
         likely, held = [], 0
         for k in range(bands):
-            for a, b in equal_pairs(band_key(mins, k), full):
+            for a, b in equal_pairs(keys[k], full, PAIRS):
                 a, b = close(a, b)
                 m = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= limit
                 likely.append(np.minimum(a, b)[m] * n + np.maximum(a, b)[m])

@@ -90,3 +90,21 @@ def test_equal_pairs_in_parts():
     keys, at = np.array([5, 1, 5, 5, 2, 1]), np.arange(6)
     got = {tuple(sorted(p)) for a, b in nd.equal_pairs(keys, at, limit=1) for p in zip(a.tolist(), b.tolist())}
     assert got == {(0, 2), (0, 3), (2, 3), (1, 5)}
+
+
+@pytest.mark.parametrize("crowd", [1, 64])
+def test_crowded_cells_by_key_and_in_a_task(spark, monkeypatch, crowd):
+    monkeypatch.setattr(nd, "CROWD", crowd)
+    rng = random.Random(9)
+    rs = [r | {"area": 50.0 + r["seq"] % 3, "price": 300_000 + 1_000 * (r["seq"] % 30), "type": "flat"} for r in sample(300, 9)]
+    rs += [dict(rng.choice(rs), seq=300 + k, title=" ".join(rng.sample(WORDS, 6))) for k in range(1, 60)]
+    assert as_set(nd.near_duplicate_pairs(listing(spark, *rs), block=4)) == brute(rs)
+
+
+def test_a_full_cell_sends_no_class_once_a_key(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(nd, "materialize", lambda df, name="table", keep=nd.materialize: made.append(name) or keep(df, name))
+    n = 6_000  # more than 16,384 with the copies of a cell of the finest grid
+    df = listing(spark).sparkSession.range(1, n + 1).selectExpr("id AS seq", "'flat' AS type", "50.0D AS area", "300000L AS price", "concat_ws(' ', transform(sequence(0, 7), i -> concat('w', (id - id % 3) * 10 + i + if(i = 0, id % 3, 0)))) AS title", "CAST(NULL AS string) AS image")
+    assert as_set(nd.near_duplicate_pairs(df)) == {(a, b) for a in range(1, n + 1) for b in (a + 1, a + 2) if a // 3 == b // 3 and b <= n}
+    assert "sketches" not in made
