@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from plotwright.config import LIMITS
@@ -144,20 +144,34 @@ def _bin(value: Column, reach: float) -> Column:
     return F.floor(value / F.lit(2.0 * reach))
 
 
+def _told(left: DataFrame) -> Row:
+    """How many of the records tell a ``parcel``, a house ``number``, rooms and ``storey`` of a flat, the ``plot`` of a house."""
+    flat, house = "type = 'flat' and rooms is not null and floor_no is not null", "type != 'flat' and plot > 0"
+    return left.agg(F.count("r_dz").alias("parcel"), F.count("r_nr").alias("number"), F.count_if(F.expr(flat)).alias("storey"), F.count_if(F.expr(house)).alias("plot")).first()
+
+
 def _sides(records: DataFrame, deeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records with a town and an area, and deeds, with what :func:`deed_score` compares read once; equal deeds are one row with their number ``n``. Null where a detail is not told."""
+    """Records with a town and an area, and deeds, with what :func:`deed_score` compares read once; equal deeds are one row with their number ``n``.
+
+    Null where a detail is not told; numbers and parcels of deeds are also null if no record tells one to compare them with.
+    """
 
-    def told(df: DataFrame, side: str, street: str, number: str, parcel: str) -> DataFrame:
-        words = F.when(_known(street), street_words(F.col(street)))
-        out = df.withColumns({f"{side}_words": words, f"{side}_nr": F.when(_known(number), plain(F.col(number))), f"{side}_dz": F.when(_known(parcel), plain(F.col(parcel)))})
+    def read(df: DataFrame, side: str, street: str, number: str | None, parcel: str | None) -> DataFrame:
+        words, told = F.when(_known(street), street_words(F.col(street))), lambda c: F.when(_known(c), plain(F.col(c))) if c else F.lit(None).cast("string")
+        out = df.withColumns({f"{side}_words": words, f"{side}_nr": told(number), f"{side}_dz": told(parcel)})
         # Last words that agree are equal or begin with the same four letters.
         return out.withColumn(f"{side}_begin", F.left(F.try_element_at(f"{side}_words", F.lit(-1)), F.lit(4)))
 
-    left = town_of_record(records, deeds, by_kind=True).filter("town is not null and area is not null")
+    # Written, or the towns would be folded for each deed, not for each spelling.
+    spelled = materialize(deeds.select("msc", "kind").distinct(), "towns")
+    left = town_of_record(records, spelled, by_kind=True).filter("town is not null and area is not null")
     left = left.select("record_id", "type", "town", "area", "street", "nr", "dzialka_id", "rooms", "floor_no", F.coalesce("plot_area", F.lit(0.0)).alias("plot"), "first_seen", "delisted")
-    right = deeds.select(plain(F.col("msc")).alias("town"), F.col("kind").alias("type"), "d", "c", "a", "izb", "kond", F.coalesce("grunt", F.lit(0.0)).alias("grunt"), "rynek", "ul", F.col("nr").alias("deed_nr"), "dz").filter("town != ''")
+    left = materialize(read(left, "r", "street", "nr", "dzialka_id").drop("street", "nr", "dzialka_id"), "records")
+    told = _told(left)
+    # Deeds without a town stay: a filter would fold every town once more, and no record meets them.
+    right = deeds.select(plain(F.col("msc")).alias("town"), F.col("kind").alias("type"), "d", "c", "a", "izb", "kond", F.coalesce("grunt", F.lit(0.0)).alias("grunt"), "rynek", "ul", F.col("nr").alias("deed_nr"), "dz")
     right = right.groupBy(*right.columns).agg(F.count(F.lit(1)).alias("n"))
-    return materialize(told(left, "r", "street", "nr", "dzialka_id").drop("street", "nr", "dzialka_id"), "records"), materialize(told(right, "d", "ul", "deed_nr", "dz"), "deeds")
+    return left, materialize(read(right, "d", "ul", "deed_nr" if told["number"] else None, "dz" if told["parcel"] else None), "deeds")
 
 
 _PINNED, _UNMEASURED = "r_nr is not null or r_dz is not null", "a is null and coalesce(ul, '') != ''"
@@ -170,10 +184,9 @@ def _candidate_counts(left: DataFrame, right: DataFrame, tolerance: float) -> Da
     half a tolerance wide, so either all of it is within a record's band or one of its ends tells none, one or several.
     """
     key, bin_of = ["town", "type"], lambda c: F.floor(F.col(c) / F.lit(tolerance / 2))
-    areas = right.filter("a is not null").groupBy(*key, "a").agg(F.sum("n").alias("n")).withColumn("bin", bin_of("a"))
+    areas = right.filter("a is not null").select(*key, "a", "n", bin_of("a").alias("bin")).repartition(*key, "bin").groupBy(*key, "bin", "a").agg(F.sum("n").alias("n"))
     within_bin = Window.partitionBy(*key, "bin")
-    ends = [areas.withColumn("k", F.row_number().over(within_bin.orderBy(o))).filter("k <= 2").drop("k") for o in (F.asc("a"), F.desc("a"))]
-    ends = ends[0].unionByName(ends[1]).distinct()
+    ends = areas.withColumns({"k": F.row_number().over(within_bin.orderBy("a")), "last": F.count(F.lit(1)).over(within_bin)}).filter("k <= 2 or k >= last - 1").drop("k", "last")
     asked = left.select(*key, "area").distinct().withColumn("bin", F.explode(F.sequence(bin_of("area") - 3, bin_of("area") + 3)))
     near = asked.join(ends, [*key, "bin"]).filter(F.abs(F.col("area") - F.col("a")) <= F.lit(float(tolerance)))
     near = near.groupBy(*key, "area").agg(F.sum("n").alias("n"), F.min("a").alias("sole"))
@@ -184,35 +197,43 @@ def _candidate_counts(left: DataFrame, right: DataFrame, tolerance: float) -> Da
 
 
 def _scored(left: DataFrame, right: DataFrame, counts: DataFrame, tolerance: float) -> DataFrame:
-    """The candidates that :func:`deed_score` does not reject, each once, with their score: every rule of it is a join on what that rule wants equal or near."""
+    """The candidates that :func:`deed_score` does not reject, each once, with their score: every rule of it is a join on what that rule wants equal or near.
+
+    A rule that no record tells enough for is left out, so the deeds are not shuffled for it.
+    """
+    told = _told(left)
     key, band = ["town", "type"], F.abs(F.col("area") - F.col("a")) <= F.lit(float(tolerance))
     probe = left.withColumn("bin", F.explode(_bins(F.col("area"), tolerance)))
     measured, unmeasured = right.filter("a is not null").withColumn("bin", _bin(F.col("a"), tolerance)), right.filter(_UNMEASURED)
     meet = lambda r, d, what, *also: r.withColumn("x", F.col(f"r_{what}")).join(d.withColumn("x", F.col(f"d_{what}")), [*key, *also, "x"])
     or_unknown = lambda c: F.coalesce(c, F.lit(True))
-    same_parcel = F.coalesce(F.col("r_dz") == F.col("d_dz"), F.lit(False))
+    same_parcel = F.coalesce(F.col("r_dz") == F.col("d_dz"), F.lit(False)) if told["parcel"] else F.lit(False)
     same_street = ~same_parcel & word_lists_agree(F.col("r_words"), F.col("d_words"))
     # Neither streets nor parcels can be compared.
     silent = (F.col("r_words").isNull() | F.col("d_words").isNull()) & (F.col("r_dz").isNull() | F.col("d_dz").isNull())
     # Numbers agree or one is unknown: each such pair has one key in common.
     numbered = lambda df, side, known, unknown: df.withColumn("number", F.explode(F.when(F.col(f"{side}_nr").isNotNull(), F.array(F.concat(F.lit("="), f"{side}_nr"), F.lit(known))).otherwise(unknown)))
-    asked, listed = numbered(probe, "r", "none", F.array(F.lit("any"))), numbered(measured, "d", "any", F.array(F.lit("none"), F.lit("any")))
+    asked, listed, number = probe, measured, []
+    if told["number"]:
+        asked, listed, number = numbered(probe, "r", "none", F.array(F.lit("any"))), numbered(measured, "d", "any", F.array(F.lit("none"), F.lit("any"))), ["number"]
     floors = probe.filter("type = 'flat'").withColumn("kond", F.explode(F.array(F.col("floor_no"), F.col("floor_no") + 1)))
     apart = -math.log(1 - PLOT_SHARE)
     plots = probe.filter("type != 'flat' and plot > 0").withColumn("plot_bin", F.explode(_bins(F.log("plot"), apart)))
     alike = F.abs(F.col("plot") - F.col("grunt")) <= PLOT_SHARE * F.greatest("plot", "grunt")
-    sole = counts.filter("not several and sole is not null").select("record_id", F.col("sole").alias("a"))
+    # Few records have one candidate only: written, so that they and not the deeds are sent.
+    sole = left.filter(has_decimals(F.col("area"))).join(counts.filter("not several and sole is not null").select("record_id", F.col("sole").alias("a")), "record_id")
+    sole = materialize(sole.drop("r_nr", "r_begin"), "sole")
     both = F.col("rooms").isNotNull() & F.col("izb").isNotNull() & F.col("floor_no").isNotNull() & F.col("kond").isNotNull()
     not_against = or_unknown(F.col("rooms") == F.col("izb")) & or_unknown((F.col("kond") == F.col("floor_no")) | (F.col("kond") == F.col("floor_no") + 1))
     met = [
-        (2, meet(left, right, "dz").filter(band | F.expr(_UNMEASURED))),
-        (2, meet(asked, listed, "begin", "bin", "number").filter(band & same_street)),
-        (2, meet(left, unmeasured, "nr").filter((F.col("r_begin") == F.col("d_begin")) & same_street)),
-        (1, floors.join(measured.withColumn("rooms", F.col("izb")), [*key, "bin", "rooms", "kond"]).filter(band & silent)),
-        (1, plots.join(measured.filter("grunt > 0").withColumn("plot_bin", _bin(F.log("grunt"), apart)), [*key, "bin", "plot_bin"]).filter(band & silent & alike)),
-        (1, left.filter(has_decimals(F.col("area"))).join(sole, "record_id").join(right, [*key, "a"]).filter(band & silent & F.when(F.col("type") == "flat", not_against & ~both).otherwise(F.expr("plot = 0 or grunt = 0")))),
+        (2, told["parcel"], lambda: meet(left, right, "dz").filter(band | F.expr(_UNMEASURED))),
+        (2, True, lambda: meet(asked, listed, "begin", "bin", *number).filter(band & same_street)),
+        (2, told["number"], lambda: meet(left, unmeasured, "nr").filter((F.col("r_begin") == F.col("d_begin")) & same_street)),
+        (1, told["storey"], lambda: floors.join(measured.withColumn("rooms", F.col("izb")), [*key, "bin", "rooms", "kond"]).filter(band & silent)),
+        (1, told["plot"], lambda: plots.join(measured.filter("grunt > 0").withColumn("plot_bin", _bin(F.log("grunt"), apart)), [*key, "bin", "plot_bin"]).filter(band & silent & alike)),
+        (1, True, lambda: sole.join(right, [*key, "a"]).filter(band & silent & F.when(F.col("type") == "flat", not_against & ~both).otherwise(F.expr("plot = 0 or grunt = 0")))),
     ]
-    return reduce(DataFrame.unionByName, [m.select("record_id", "d", "c", "a", F.lit(score).alias("score"), "rynek", "ul", "deed_nr", "dz", "n", "first_seen", "delisted") for score, m in met])
+    return reduce(DataFrame.unionByName, [m.select("record_id", "d", "c", "a", F.lit(score).alias("score"), "rynek", "ul", "deed_nr", "dz", "n", "first_seen", "delisted") for score, ever, m in ((s, e, f()) for s, e, f in met if e)])
 
 
 def match_deeds(records: DataFrame, deeds: DataFrame, tolerance: float = LIMITS.area_tolerance) -> DataFrame:

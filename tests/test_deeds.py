@@ -140,3 +140,20 @@ def test_archived_records_with_rooms_only_are_not_paired_out(spark):
     began = time.time()
     assert [(r["record_id"], r["kind"], r["price"], r["score"]) for r in D.match_deeds(records, deeds).collect()] == [(0, "past", 7, 1)]
     assert time.time() - began < 120
+
+
+def test_rules_that_no_record_tells_enough_for_do_not_read_the_deeds(spark):
+    """Archived records tell no number, parcel, storey or plot: deeds are read for streets and sole candidates only."""
+    deeds = rows(spark, DEED, SALE | {"nr": "3", "dz": "1_4.5", "izb": 2, "kond": 1}, SALE | {"ul": "Długa", "nr": "4", "dz": "7"}, SALE | {"msc": " "})
+
+    def scored(**record):
+        left, right = D._sides(rows(spark, RECORD, REC | record), deeds)
+        got = D._scored(left, right, D._candidate_counts(left, right, 0.6), 0.6)
+        joins = got._jdf.queryExecution().analyzed().toString().count("Join Inner")
+        return joins, [tuple(r) for r in got.select("score", "ul", "deed_nr", "dz").collect()], right.filter("d_nr is not null or d_dz is not null").count()
+
+    best = (2, "Krótka", "3", "1_4.5")
+    assert scored() == (2, [best], 0)
+    assert scored(nr="3") == (3, [best], 2)
+    assert scored(dzialka_id="1_4.5", street="Inna") == (3, [best], 2)
+    assert scored(rooms=2, floor_no=0, street=None)[:2] == (3, [(1, "Krótka", "3", "1_4.5")])
